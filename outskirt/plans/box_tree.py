@@ -1,0 +1,214 @@
+"""Box tree: the partition plan's boxes, cut further until a leaf holds few points.
+
+The tree is grown level by level. In each round every box above ``leaf_rows`` gets
+a histogram along its longest side and is cut into at most 16 parts of near-equal
+count. Only the histogram is shuffled; the points just get a longer ``node`` path.
+A cut always separates the two ends of a box, so growth ends once a leaf is small
+or all its points coincide.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from outskirt.functions.geometry import items
+from outskirt.operators.joins import lookup_join
+from outskirt.params import ScoreParams
+from outskirt.plans.grid_plan import assign_partitions, partition_plan
+from outskirt.session import keep, keep_small
+
+FAN = 16  # parts per cut, one hexadecimal digit of the path
+SLABS = 64  # histogram slabs per cut
+ROOT = ""
+# The plan is the tree's first level only while it has few boxes and cells.
+MAX_PLAN_BOXES = 4096
+MAX_PLAN_CELLS = 1 << 20
+
+
+@dataclass
+class BoxTree:
+    """``levels[i]`` has ``node, parent, n, lo, hi, free_lo, free_hi, leaf`` (``lo``/``hi``:
+    bounds of the points inside; ``free_*``: nearest coordinates that outside points
+    can have); ``points`` has ``id, c, pid, node`` with ``node`` the leaf."""
+
+    points: DataFrame
+    levels: list[DataFrame]
+    level_rows: list[int]
+
+    @property
+    def leaf_count(self) -> int:
+        return sum(self.level_rows)
+
+    @property
+    def depth(self) -> int:
+        return len(self.levels)
+
+    def leaves(self) -> DataFrame:
+        out = self.levels[0].where("leaf")
+        for level in self.levels[1:]:
+            out = out.unionByName(level.where("leaf"))
+        return out
+
+
+def uses_plan(p: ScoreParams) -> bool:
+    """Whether the grid plan is small enough to be the first level for these settings."""
+    return (
+        p.dims <= 3 and p.buckets**p.dims <= MAX_PLAN_BOXES and p.cells**p.dims <= MAX_PLAN_CELLS
+    )
+
+
+def grow(points: DataFrame, p: ScoreParams, plan: DataFrame | None = None) -> BoxTree:
+    """Grow the tree over ``points`` (``id, c``); at most k + 2 points may share a location."""
+    d = p.dims
+    if plan is None and uses_plan(p):
+        plan = partition_plan(points, p)
+    if plan is not None:
+        plan = keep_small(plan, p.buckets**p.dims)
+        placed = assign_partitions(points, plan, p).select("id", "c", "pid")
+    else:
+        placed = points.select("id", "c", F.lit(0).alias("pid"))
+    placed = placed.withColumn("node", F.lpad(F.lower(F.hex("pid")), 3, "0"))
+
+    level = _roots(placed, p)
+    levels, rows = [], []
+    while True:
+        counts = level.agg(
+            F.count(F.lit(1)).alias("boxes"), F.count(F.when(~F.col("leaf"), 1)).alias("open")
+        ).first()
+        levels.append(level)
+        rows.append(counts["boxes"])
+        if not counts["open"]:
+            return BoxTree(placed, levels, rows)
+        cuts = keep(_cuts(placed, level.where("not leaf"), counts["open"], p))
+        placed = _route(placed, cuts, counts["open"], d)
+        if len(levels) % 4 == 0:
+            placed = keep(placed)
+        level = keep_small(_children(cuts, p), FAN * counts["open"])
+
+
+def _bounds(dims: int) -> list[Column]:
+    xs = items(F.col("c"), dims)
+    return [
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.min(x) for x in xs]).alias("lo"),
+        F.array(*[F.max(x) for x in xs]).alias("hi"),
+    ]
+
+
+def _is_leaf(p: ScoreParams) -> Column:
+    return (F.col("n") <= p.leaf_rows) | (F.col("lo") == F.col("hi"))
+
+
+def _roots(placed: DataFrame, p: ScoreParams) -> DataFrame:
+    """The first level: one row per plan box, so at most ``MAX_PLAN_BOXES`` on the driver."""
+    rows = placed.groupBy("node").agg(*_bounds(p.dims)).collect()
+    lo = np.array([r["lo"] for r in rows]).reshape(len(rows), p.dims)
+    hi = np.array([r["hi"] for r in rows]).reshape(len(rows), p.dims)
+    out = []
+    for i, r in enumerate(rows):
+        below, above = hi < lo[i], lo > hi[i]
+        free_lo = np.where(below, hi, -np.inf).max(axis=0)
+        free_hi = np.where(above, lo, np.inf).min(axis=0)
+        out.append((r["node"], ROOT, r["n"], r["lo"], r["hi"], free_lo.tolist(), free_hi.tolist()))
+    schema = (
+        "node string, parent string, n bigint, lo array<double>, hi array<double>, "
+        "free_lo array<double>, free_hi array<double>"
+    )
+    return placed.sparkSession.createDataFrame(out, schema).withColumn("leaf", _is_leaf(p))
+
+
+def _longest_side(dims: int) -> Column:
+    sides = F.zip_with("hi", "lo", lambda b, a: b - a)
+    return (F.array_position(sides, F.array_max(sides)) - 1).cast("int")
+
+
+def _slab(dims: int) -> Column:
+    v = F.col("c")[F.col("dim")]
+    return F.least(
+        F.floor((v - F.col("base")) * F.lit(float(SLABS)) / F.col("side")), F.lit(SLABS - 1)
+    ).cast("int")
+
+
+def _cuts(placed: DataFrame, open_boxes: DataFrame, count: int, p: ScoreParams) -> DataFrame:
+    """Histogram slabs of the open boxes with the child each slab goes to."""
+    parts = F.ceil(F.col("n") / F.lit(p.leaf_rows))
+    fan = F.when(parts <= 4, parts).otherwise(F.ceil(F.sqrt(parts)))
+    open_boxes = open_boxes.withColumn("dim", _longest_side(p.dims)).select(
+        "node",
+        "dim",
+        F.col("lo")[F.col("dim")].alias("base"),
+        (F.col("hi")[F.col("dim")] - F.col("lo")[F.col("dim")]).alias("side"),
+        F.least(fan, F.lit(FAN)).alias("fan"),
+        F.col("n").alias("box_n"),
+        "free_lo",
+        "free_hi",
+    )
+    slim = open_boxes.select("node", "dim", "base", "side")
+    slabs = (
+        lookup_join(placed.select("c", "node"), slim, "node", 64 * count)
+        .groupBy("node", _slab(p.dims).alias("slab"))
+        .agg(*_bounds(p.dims))
+    )
+    # A box has at most SLABS rows here; the middle of a slab's share decides its part.
+    before = Window.partitionBy("node").orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)
+    middle = F.coalesce(F.sum("n").over(before), F.lit(0)) + F.col("n") / F.lit(2.0)
+    return (
+        slabs.join(open_boxes, "node")
+        .withColumn("part", F.floor(middle * F.col("fan") / F.col("box_n")).cast("int"))
+        .withColumn("digit", F.lower(F.hex(F.col("part"))))
+    )
+
+
+def _route(placed: DataFrame, cuts: DataFrame, count: int, dims: int) -> DataFrame:
+    """Lengthen the path of every point of a cut box by its part's digit."""
+    digits = F.map_from_entries(F.collect_list(F.struct("slab", "digit")))
+    routes = cuts.groupBy("node", "dim", "base", "side").agg(digits.alias("digits")).select(
+        "node",
+        "dim",
+        "base",
+        "side",
+        F.array_join(
+            F.transform(
+                F.sequence(F.lit(0), F.lit(SLABS - 1)),
+                lambda s: F.coalesce(F.element_at("digits", s), F.lit("-")),
+            ),
+            "",
+        ).alias("route"),
+    )
+    joined = lookup_join(placed, keep_small(routes, count), "node", (96 + SLABS) * count, "left")
+    digit = F.substring(F.col("route"), _slab(dims) + 1, F.lit(1))
+    return joined.select("id", "c", "pid", F.concat("node", F.coalesce(digit, F.lit(""))).alias("node"))
+
+
+def _children(cuts: DataFrame, p: ScoreParams) -> DataFrame:
+    d = p.dims
+    kids = cuts.groupBy("node", "digit", "part", "dim", "free_lo", "free_hi").agg(
+        F.sum("n").alias("n"),
+        F.array(*[F.min(F.col("lo")[i]) for i in range(d)]).alias("lo"),
+        F.array(*[F.max(F.col("hi")[i]) for i in range(d)]).alias("hi"),
+    )
+    siblings = Window.partitionBy("node").orderBy("part")
+    left = F.lag(F.col("hi")[F.col("dim")]).over(siblings)
+    right = F.lead(F.col("lo")[F.col("dim")]).over(siblings)
+    kids = kids.withColumn("left", left).withColumn("right", right)
+
+    def replace(free: str, by: str) -> Column:
+        return F.transform(
+            F.col(free),
+            lambda v, i: F.when((i == F.col("dim")) & F.col(by).isNotNull(), F.col(by)).otherwise(v),
+        )
+
+    return kids.select(
+        F.concat("node", "digit").alias("node"),
+        F.col("node").alias("parent"),
+        "n",
+        "lo",
+        "hi",
+        replace("free_lo", "left").alias("free_lo"),
+        replace("free_hi", "right").alias("free_hi"),
+        _is_leaf(p).alias("leaf"),
+    )
