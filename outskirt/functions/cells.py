@@ -3,40 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from outskirt.functions.geometry import add_all
+from outskirt.functions.numeric import lit
 from outskirt.params import ScoreParams
 
 
-def raw_cell_index(value: Column, p: ScoreParams) -> Column:
-    """Grid index without any limit; monotone in ``value``."""
-    return F.floor((value - F.lit(p.domain_min)) / F.lit(p.cell_width))
+def raw_cell_index(v: str, p: ScoreParams) -> str:
+    """Grid index without any limit; monotone in ``v``."""
+    shifted = v if p.domain_min == 0.0 else f"({v} - {lit(p.domain_min)})"
+    return f"floor({shifted} / {lit(p.cell_width)})"
 
 
-def cell_index(value: Column, p: ScoreParams) -> Column:
-    """Index of the cell holding ``value``; the domain maximum is in the last cell."""
-    return F.least(raw_cell_index(value, p), F.lit(p.cells - 1)).cast("int")
+def cell_index(v: str, p: ScoreParams) -> str:
+    """Index of the cell holding ``v``; the domain maximum is in the last cell."""
+    return f"cast(least({raw_cell_index(v, p)}, {p.cells - 1}) as int)"
 
 
-def in_domain(values: Sequence[Column], p: ScoreParams) -> Column:
-    checks = [v.between(F.lit(p.domain_min), F.lit(p.domain_max)) for v in values]
-    return reduce(lambda a, b: a & b, checks)
+def in_domain(values: Sequence[str], p: ScoreParams) -> str:
+    return " and ".join(f"{v} between {lit(p.domain_min)} and {lit(p.domain_max)}" for v in values)
 
 
-def cell_id(indexes: Sequence[Column], cells: int) -> Column:
+def cell_id(indexes: Sequence[str], cells: int) -> str:
     """One BIGINT per cell: index of dimension i counts ``cells^i``."""
     if cells ** len(indexes) >= 2**63:
         raise ValueError("the grid has more cells than a BIGINT can number")
-    return add_all([ix.cast("bigint") * F.lit(cells**i) for i, ix in enumerate(indexes)])
+    return " + ".join(f"cast({ix} as bigint) * {cells**i}L" for i, ix in enumerate(indexes))
 
 
-def cell_indexes(cell: Column, dims: int, cells: int) -> list[Column]:
+def cell_indexes(cell: str, dims: int, cells: int) -> list[str]:
     """The per-dimension indexes of a cell id (inverse of :func:`cell_id`)."""
-    return [
-        F.pmod(F.call_function("div", cell, F.lit(cells**i)), F.lit(cells)).cast("int")
-        for i in range(dims)
-    ]
+    return [f"cast(({cell} div {cells**i}L) % {cells}L as int)" for i in range(dims)]

@@ -3,10 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from outskirt.functions.numeric import round_to
 
@@ -15,68 +11,56 @@ from outskirt.functions.numeric import round_to
 UNROLL_DIMS = 16
 
 
-def add_all(terms: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, terms)
+def items(array: str, dims: int) -> list[str]:
+    return [f"{array}[{i}]" for i in range(dims)]
 
 
-def l2(a: Sequence[Column], b: Sequence[Column], scale: int | None = 2) -> Column:
-    gaps = [p - q for p, q in zip(a, b, strict=True)]
-    return round_to(F.sqrt(add_all([g * g for g in gaps])), scale)
+def l2(a: Sequence[str], b: Sequence[str], scale: int | None = 2) -> str:
+    squares = [f"({p} - {q}) * ({p} - {q})" for p, q in zip(a, b, strict=True)]
+    return round_to(f"sqrt({' + '.join(squares)})", scale)
 
 
-def l1(a: Sequence[Column], b: Sequence[Column], scale: int | None = 2) -> Column:
-    return round_to(add_all([F.abs(p - q) for p, q in zip(a, b, strict=True)]), scale)
+def l1(a: Sequence[str], b: Sequence[str], scale: int | None = 2) -> str:
+    return round_to(" + ".join(f"abs({p} - {q})" for p, q in zip(a, b, strict=True)), scale)
 
 
-def distance(a: Column, b: Column, dims: int, metric: str = "l2", scale: int | None = 2) -> Column:
+def distance(a: str, b: str, dims: int, metric: str = "l2", scale: int | None = 2) -> str:
     """Distance of two coordinate arrays."""
     if dims <= UNROLL_DIMS:
-        formula = l2 if metric == "l2" else l1
-        return formula(items(a, dims), items(b, dims), scale)
-    return round_to(_norm_of(F.zip_with(a, b, lambda p, q: p - q), metric), scale)
-
-
-def items(array: Column, dims: int) -> list[Column]:
-    return [array.getItem(i) for i in range(dims)]
+        return (l2 if metric == "l2" else l1)(items(a, dims), items(b, dims), scale)
+    return round_to(_length(f"zip_with({a}, {b}, (p, q) -> p - q)", metric), scale)
 
 
-def force(a: Column, b: Column, d: Column) -> Column:
+def force(a: str, b: str, d: str) -> str:
     """Unrounded force component of one dimension: ``(a - b) * d^2``."""
-    return (a - b) * (d * d)
+    return f"({a} - {b}) * ({d} * {d})"
 
 
-def norm(parts: Sequence[Column], scale: int | None = 2) -> Column:
-    return round_to(F.sqrt(add_all([p * p for p in parts])), scale)
+def norm(parts: Sequence[str], scale: int | None = 2) -> str:
+    return round_to(f"sqrt({' + '.join(f'{v} * {v}' for v in parts)})", scale)
 
 
-def nearest_and_farthest(
-    c: Column, lo: Column, hi: Column, dims: int, metric: str = "l2"
-) -> tuple[Column, Column]:
+def nearest_and_farthest(c: str, lo: str, hi: str, dims: int, metric: str = "l2") -> tuple[str, str]:
     """Smallest and largest distance of point ``c`` to the box ``[lo, hi]``."""
     if dims <= UNROLL_DIMS:
-        triples = list(zip(items(c, dims), items(lo, dims), items(hi, dims)))
-        near = [F.greatest(a - v, v - b, F.lit(0.0)) for v, a, b in triples]
-        far = [F.greatest(v - a, b - v) for v, a, b in triples]
+        sides = list(zip(items(c, dims), items(lo, dims), items(hi, dims)))
+        near = [f"greatest({a} - {v}, {v} - {b}, 0.0D)" for v, a, b in sides]
+        far = [f"greatest({v} - {a}, {b} - {v})" for v, a, b in sides]
         if metric == "l1":
-            return add_all(near), add_all(far)
-        return F.sqrt(add_all([g * g for g in near])), F.sqrt(add_all([g * g for g in far]))
-    near = F.transform(
-        F.arrays_zip(c.alias("v"), lo.alias("a"), hi.alias("b")),
-        lambda t: F.greatest(t["a"] - t["v"], t["v"] - t["b"], F.lit(0.0)),
-    )
-    far = F.transform(
-        F.arrays_zip(c.alias("v"), lo.alias("a"), hi.alias("b")),
-        lambda t: F.greatest(t["v"] - t["a"], t["b"] - t["v"]),
-    )
-    return _norm_of(near, metric), _norm_of(far, metric)
+            return " + ".join(near), " + ".join(far)
+        return norm(near, None), norm(far, None)
+    below = f"zip_with({lo}, {c}, (a, v) -> a - v)"
+    above = f"zip_with({c}, {hi}, (v, b) -> v - b)"
+    near = f"zip_with({below}, {above}, (a, b) -> greatest(a, b, 0.0D))"
+    far = f"zip_with({below}, {above}, (a, b) -> greatest(-a, -b))"
+    return _length(near, metric), _length(far, metric)
 
 
-def box_centre(lo: Sequence[Column], hi: Sequence[Column]) -> list[Column]:
-    return [(a + b) / F.lit(2.0) for a, b in zip(lo, hi, strict=True)]
+def box_centre(lo: Sequence[str], hi: Sequence[str]) -> list[str]:
+    return [f"(({a} + {b}) / 2.0D)" for a, b in zip(lo, hi, strict=True)]
 
 
-def _norm_of(gaps: Column, metric: str) -> Column:
-    zero = F.lit(0.0)
+def _length(gaps: str, metric: str) -> str:
     if metric == "l1":
-        return F.aggregate(gaps, zero, lambda s, g: s + F.abs(g))
-    return F.sqrt(F.aggregate(gaps, zero, lambda s, g: s + g * g))
+        return f"aggregate({gaps}, 0.0D, (s, g) -> s + abs(g))"
+    return f"sqrt(aggregate({gaps}, 0.0D, (s, g) -> s + g * g))"

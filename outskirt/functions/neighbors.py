@@ -6,37 +6,28 @@ coordinates, one after the other), nearest first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-NEIGHBOR_TYPE = "array<struct<nid:bigint,rank:int,d:double,f:array<double>>>"
-
-
-def coordinate_slice(nc: Column, j: Column, dims: int) -> Column:
-    """Coordinates of the j-th (0-based) neighbour."""
-    return F.slice(nc, j * F.lit(dims) + F.lit(1), dims)
+NEIGHBOR_TYPE = "array<struct<nid:bigint,rank:int,d:double,f:array<double>,kdist:double,lcf:double>>"
 
 
 def edges(knn: DataFrame, dims: int, *keep: str) -> DataFrame:
     """One row per (point, neighbour): ``id, c, nid, rank, d, s`` with ``s`` the neighbour's coordinates."""
-    one = knn.select("id", "c", *keep, "nid", "nd", "nc").select(
-        "id", "c", *keep, "nd", "nc", F.posexplode("nid").alias("pos", "nid")
-    )
-    return one.select(
+    return knn.selectExpr("id", "c", *keep, "nd", "nc", "posexplode(nid) as (pos, nid)").selectExpr(
         "id",
         "c",
         *keep,
         "nid",
-        (F.col("pos") + 1).alias("rank"),
-        F.col("nd")[F.col("pos")].alias("d"),
-        coordinate_slice(F.col("nc"), F.col("pos"), dims).alias("s"),
+        "pos + 1 as rank",
+        "nd[pos] as d",
+        f"slice(nc, pos * {dims} + 1, {dims}) as s",
     )
 
 
-def to_text(neighbors: Column) -> Column:
+def to_text(neighbors: str) -> str:
     """A neighbour list as JSON text."""
-    return F.to_json(neighbors)
+    return f"to_json({neighbors})"
 
 
-def from_text(text: Column) -> Column:
-    return F.from_json(text, NEIGHBOR_TYPE)
+def from_text(text: str) -> str:
+    return f"from_json({text}, '{NEIGHBOR_TYPE}')"

@@ -6,27 +6,30 @@ and other SQL engines evaluate to the same bits; ``round`` differs between them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+def lit(value: float) -> str:
+    """A double literal."""
+    if value in (float("inf"), float("-inf")):
+        return f"double('{value}')"
+    return f"{float(value)!r}D"
 
-def round_to(value: Column, scale: int | None) -> Column:
-    if scale is None:
-        return value
-    unit = F.lit(float(10**scale))
-    return F.floor(value * unit + F.lit(0.5)) / unit
 
+def unit(scale: int) -> str:
+    return lit(10**scale)
 
-def scaled_long(value: Column, scale: int) -> Column:
-    """``value`` in units of ``10^-scale`` as BIGINT, so that sums do not depend on order."""
-    return F.floor(value * F.lit(float(10**scale)) + F.lit(0.5)).cast("bigint")
 
+def round_to(v: str, scale: int | None) -> str:
+    return v if scale is None else f"(floor(({v}) * {unit(scale)} + 0.5D) / {unit(scale)})"
 
-def round_up(value: Column, scale: int) -> Column:
-    unit = F.lit(float(10**scale))
-    return F.ceil(value * unit) / unit
 
+def scaled_long(v: str, scale: int) -> str:
+    """``v`` in units of ``10^-scale`` as BIGINT, so that sums do not depend on order."""
+    return f"cast(floor(({v}) * {unit(scale)} + 0.5D) as bigint)"
 
-def finite_or_zero(value: Column) -> Column:
-    bad = F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
-    return F.when(bad | value.isNull(), F.lit(0.0)).otherwise(value)
+
+def round_up(v: str, scale: int) -> str:
+    return f"(ceil(({v}) * {unit(scale)}) / {unit(scale)})"
+
+
+def finite_or_zero(v: str) -> str:
+    return f"if({v} is null or isnan({v}) or abs({v}) = double('inf'), 0.0D, {v})"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from outskirt.operators.copies import spread_to_copies
 from outskirt.operators.knn import nearest_neighbors
@@ -20,10 +19,8 @@ def score_points(points: DataFrame, p: ScoreParams, plan: DataFrame | None = Non
     scored = mean_neighbor_force(forces, p, found.rows, "c", "place")
     if found.crowded:
         scored = keep(scored)
-    alone = forces.where(F.size("nid") == 0)  # a table of one point
-    scored = scored.unionByName(
-        alone.select("id", "c", "place", "kdist", "lcf", F.lit(0.0).alias("nof"))
-    )
+    if found.rows == 1:  # no neighbour, no edge
+        scored = forces.selectExpr("id", "c", "place", "kdist", "lcf", "0.0D as nof")
     return spread_to_copies(points, scored, p.k, found.crowded)
 
 

@@ -21,12 +21,11 @@ _FLUSH_ROWS = 20_000
 
 def pack_leaves(points: DataFrame, partitions: int) -> DataFrame:
     """``node, ids, cs``: one row per leaf with its points in id order (at most ``leaf_rows``)."""
-    members = F.array_sort(F.collect_list(F.struct("id", "c")))
     return (
         points.repartition(partitions, "node")
         .groupBy("node")
-        .agg(members.alias("m"))
-        .select("node", F.col("m.id").alias("ids"), F.flatten("m.c").alias("cs"))
+        .agg(F.expr("array_sort(collect_list(struct(id, c)))").alias("m"))
+        .selectExpr("node", "m.id as ids", "flatten(m.c) as cs")
     )
 
 

@@ -8,19 +8,20 @@ table is thereby searched with ``k + 2`` rows; the other rows copy the last one'
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from outskirt.functions.geometry import UNROLL_DIMS, items
 from outskirt.operators.joins import lookup_join
 
 
-def representatives(points: DataFrame, k: int) -> DataFrame:
+def representatives(points: DataFrame, k: int, dims: int) -> DataFrame:
     """``id, c, place``: the ``k + 2`` smallest ids per location, numbered from 1.
 
     Spark applies the limit within each input partition before the shuffle.
     """
-    w = Window.partitionBy("c").orderBy("id")
-    return points.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 2)
+    at = ", ".join(items("c", dims)) if dims <= UNROLL_DIMS else "c"
+    place = f"row_number() over (partition by {at} order by id) as place"
+    return points.selectExpr("id", "c", place).where(f"place <= {k + 2}")
 
 
 def spread_to_copies(points: DataFrame, results: DataFrame, k: int, crowded: int) -> DataFrame:
@@ -31,14 +32,12 @@ def spread_to_copies(points: DataFrame, results: DataFrame, k: int, crowded: int
     out = results.drop("place")
     if not crowded:
         return out
-    last = results.where(F.col("place") == k + 2).drop("place")
+    last = results.where(f"place = {k + 2}").drop("place")
     payload = [c for c in last.columns if c not in ("id", "c")]
-    source = last.select(
-        F.xxhash64("c").alias("spot"), F.col("c").alias("at"), F.col("id").alias("last_id"), *payload
-    )
+    source = last.selectExpr("xxhash64(c) as spot", "c as at", "id as last_id", *payload)
     # the location's hash is the key; two locations under one hash are told apart below
-    wanted = points.select("id", "c", F.xxhash64("c").alias("spot"))
+    wanted = points.selectExpr("id", "c", "xxhash64(c) as spot")
     matched = lookup_join(wanted, source, "spot", crowded * (256 + 64 * k)).where(
-        (F.col("c") == F.col("at")) & (F.col("id") > F.col("last_id"))
+        "c = at and id > last_id"
     )
     return out.unionByName(matched.select("id", "c", *payload))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from outskirt.functions.cells import cell_id, cell_index, in_domain
 from outskirt.functions.geometry import items
+from outskirt.functions.numeric import lit
 from outskirt.params import ScoreParams
 
 
@@ -14,39 +15,36 @@ def index_names(p: ScoreParams) -> list[str]:
     return [f"i{d}" for d in range(p.dims)]
 
 
+def _placed(points: DataFrame, p: ScoreParams, *columns: str) -> DataFrame:
+    xs = items("c", p.dims)
+    indexes = [f"{cell_index(x, p)} as {name}" for x, name in zip(xs, index_names(p))]
+    return points.where(in_domain(xs, p)).selectExpr(*columns, *indexes)
+
+
 def with_cells(points: DataFrame, p: ScoreParams) -> DataFrame:
     """Points inside the domain with ``i0, i1, ...`` and ``cell_id``."""
-    xs = items(F.col("c"), p.dims)
-    placed = points.where(in_domain(xs, p)).withColumns(
-        {name: cell_index(x, p) for name, x in zip(index_names(p), xs)}
-    )
-    return placed.withColumn("cell_id", cell_id([F.col(n) for n in index_names(p)], p.cells))
+    return _placed(points, p, "*").selectExpr("*", f"{cell_id(index_names(p), p.cells)} as cell_id")
 
 
 def cell_histogram(points: DataFrame, p: ScoreParams) -> DataFrame:
     """``i0, i1, ..., n``: points per occupied cell (counts merge before the shuffle)."""
-    xs = items(F.col("c"), p.dims)
-    keys = [cell_index(x, p).alias(name) for name, x in zip(index_names(p), xs)]
-    return points.where(in_domain(xs, p)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return _placed(points, p).groupBy(*index_names(p)).agg(F.expr("count(1)").alias("n"))
 
 
 def slab_frequency(histogram: DataFrame, p: ScoreParams) -> DataFrame:
     """``dim, idx, n``: points per grid slab of each dimension, from the histogram."""
-    pairs = F.array(
-        *[F.struct(F.lit(d).alias("dim"), F.col(name).alias("idx")) for d, name in enumerate(index_names(p))]
-    )
+    pairs = ", ".join(f"{d}, {name}" for d, name in enumerate(index_names(p)))
     return (
-        histogram.select(F.explode(pairs).alias("s"), "n")
-        .groupBy("s.dim", "s.idx")
+        histogram.selectExpr(f"stack({p.dims}, {pairs}) as (dim, idx)", "n")
+        .groupBy("dim", "idx")
         .agg(F.sum("n").alias("n"))
     )
 
 
 def chi_square(slabs: DataFrame, p: ScoreParams) -> DataFrame:
     """``dim, chi2`` against a uniform spread over ``cells + 1`` bins, empty ones included."""
-    total = F.sum("n")
-    stat = F.sum(F.col("n") * F.col("n")) * F.lit(float(p.cells + 1)) / total - total
-    return slabs.groupBy("dim").agg(stat.alias("chi2"))
+    stat = f"sum(n * n) * {lit(p.cells + 1)} / sum(n) - sum(n)"
+    return slabs.groupBy("dim").agg(F.expr(stat).alias("chi2"))
 
 
 def dimension_order(slabs: DataFrame, p: ScoreParams) -> list[int]:

@@ -13,24 +13,27 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from outskirt.functions.geometry import nearest_and_farthest
+from outskirt.functions.geometry import UNROLL_DIMS, nearest_and_farthest
+from outskirt.functions.numeric import lit
 from outskirt.operators.blocks import nearest_in_other_leaf, nearest_within_leaf, pack_leaves
 from outskirt.operators.copies import representatives, spread_to_copies
 from outskirt.operators.joins import lookup_join
 from outskirt.params import ScoreParams
 from outskirt.plans.box_tree import ROOT, BoxTree, grow
-from outskirt.session import keep, keep_small, task_count
+from outskirt.session import keep, task_count
 
 GLOBAL, PARTITION = "global", "partition"
+_HOME = "split_part({}, ':', 1)"  # path of the plan box around a node
 
 
 @dataclass
 class Neighbors:
-    """``table``: ``id, c, place, pid, nid, nd, nc, settled`` per representative.
+    """``table``: ``id, c, place, home, nid, nd, nc, settled`` per representative.
 
+    ``home`` is the path of the plan box.
     ``settled`` tells whether the own leaf already gave the final list. ``rows`` is the
     number of representatives, ``crowded`` that of locations with copies beyond them.
     """
@@ -47,158 +50,126 @@ def nearest_neighbors(
 
     ``scope="partition"`` looks only inside the point's own plan box.
     """
-    reps = keep(representatives(points, p.k))
-    size = reps.agg(
-        F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("place") == p.k + 2, 1)).alias("crowded")
-    ).first()
-    tree = grow(reps.select("id", "c"), p, plan)
-    tasks = task_count(points.sparkSession, tree.leaf_count)
+    seen = Observation()
+    reps = keep(
+        representatives(points, p.k, p.dims).observe(
+            seen, F.expr("count(1)").alias("n"), F.expr(f"count_if(place = {p.k + 2})").alias("crowded")
+        )
+    )
+    size = seen.get
+    tree = grow(reps.select("id", "c"), p, size["n"], plan)
+    tasks = task_count(points.sparkSession, tree.boxes)
     leaves = keep(pack_leaves(tree.points, tasks))
     local = keep(_with_reach(nearest_within_leaf(leaves, p), tree, p))
-    own = F.col("node")
-    inner = local.where("settled").select("id", "c", own.alias("leaf"), "nid", "nd", "nc", "settled")
+    lists = ["nid", "nd", "nc"]
+    inner = local.where("settled").selectExpr("id", "c", "node as leaf", *lists, "settled")
     edge = local.where("not settled")
-    pairs = _foreign_leaves(edge, tree, p, scope)
     blocks = (
-        pairs.groupBy("node", "own")
-        .agg(F.array_sort(F.collect_list(F.struct("id", "c", "r"))).alias("q"))
-        .select(
-            "node",
-            F.col("q.id").alias("qids"),
-            F.flatten("q.c").alias("qcs"),
-            F.col("q.r").alias("qrs"),
-        )
+        _foreign_leaves(edge, tree, p, scope)
+        .groupBy("node", "own")
+        .agg(F.expr("collect_list(struct(id, c, r))").alias("q"))
+        .selectExpr("node", "q.id as qids", "flatten(q.c) as qcs", "q.r as qrs")
         .join(leaves, "node")
     )
-    found = nearest_in_other_leaf(blocks, p).select("id", "c", F.lit(None).cast("string").alias("leaf"), "nid", "nd", "nc")
-    near = edge.select("id", "c", own.alias("leaf"), "nid", "nd", "nc").unionByName(found)
+    found = nearest_in_other_leaf(blocks, p).selectExpr("id", "c", "cast(null as string) as leaf", *lists)
+    near = edge.selectExpr("id", "c", "node as leaf", *lists).unionByName(found)
     table = inner.unionByName(_merge(near, p))
-    # the leaf path starts with the plan box number
-    table = table.withColumn("pid", F.conv(F.substring("leaf", 1, 3), 16, 10).cast("int"))
     if size["crowded"]:
         table = table.join(reps.select("id", "place"), "id")
     else:
-        table = table.withColumn("place", F.lit(1))
-    table = table.select("id", "c", "place", "pid", "nid", "nd", "nc", "settled")
-    return Neighbors(table, size["rows"], size["crowded"])
+        table = table.selectExpr("*", "1 as place")
+    table = table.selectExpr("id", "c", "place", f"{_HOME.format('leaf')} as home", *lists, "settled")
+    return Neighbors(table, size["n"], size["crowded"])
 
 
 def exact_knn(points: DataFrame, p: ScoreParams, scope: str = GLOBAL, plan: DataFrame | None = None) -> DataFrame:
-    """``id, c, pid, nid, nd, nc, settled`` for every point."""
+    """``id, c, home, nid, nd, nc, settled`` for every point."""
     found = nearest_neighbors(points, p, scope, plan)
     table = keep(found.table) if found.crowded else found.table
     return spread_to_copies(points, table, p.k, found.crowded)
 
 
-def k_distance() -> Column:
-    """Largest neighbour distance; lists are sorted."""
-    return F.element_at("nd", -1)
-
-
-def _slack(radius: Column, p: ScoreParams) -> Column:
+def _slack(radius: str, p: ScoreParams) -> str:
     """``radius`` widened so that a raw distance above it cannot round into a tie."""
     half = 0.0 if p.dist_scale is None else 0.5 * 10.0**-p.dist_scale
-    return (radius + F.lit(half)) * F.lit(1.0 + 1e-9) + F.lit(1e-12)
+    return f"(({radius} + {lit(half)}) * {lit(1.0 + 1e-9)} + 1e-12D)"
 
 
 def _with_reach(found: DataFrame, tree: BoxTree, p: ScoreParams) -> DataFrame:
     """Add the radius ``r`` and whether the ball stays within the leaf's free space."""
     leaves = tree.leaves().select("node", "free_lo", "free_hi")
-    full = F.size("nid") >= p.k
-    r = F.when(full, F.element_at("nd", -1)).otherwise(F.lit(float("inf")))
-    out = lookup_join(found, leaves, "node", (64 + 16 * p.dims) * tree.leaf_count).withColumn("r", r)
-    if p.dims <= 16:
-        inside = F.lit(True)
-        for i in range(p.dims):
-            x, reach = F.col("c")[i], _slack(F.col("r"), p)
-            inside = inside & (x - reach > F.col("free_lo")[i]) & (x + reach < F.col("free_hi")[i])
-    else:
-        reach = _slack(F.col("r"), p)
-        gaps = F.zip_with(
-            F.zip_with("c", "free_lo", lambda x, a: x - a),
-            F.zip_with("free_hi", "c", lambda b, x: b - x),
-            F.least,
+    row_bytes = 64 + 16 * p.dims
+    reach = _slack("r", p)
+    if p.dims <= UNROLL_DIMS:
+        inside = " and ".join(
+            f"c[{i}] - {reach} > free_lo[{i}] and c[{i}] + {reach} < free_hi[{i}]" for i in range(p.dims)
         )
-        inside = F.array_min(gaps) > reach
+    else:
+        gaps = "zip_with(zip_with(c, free_lo, (x, a) -> x - a), zip_with(free_hi, c, (b, x) -> b - x), (l, u) -> least(l, u))"
+        inside = f"array_min({gaps}) > {reach}"
     # an infinite ball is inside only where nothing is outside: a tree of one leaf
-    alone = F.lit(tree.leaf_count == 1)
-    return out.withColumn("settled", alone | inside).drop("free_lo", "free_hi")
+    settled = "true" if tree.boxes == 1 else inside
+    return (
+        lookup_join(found, leaves, "node", row_bytes * tree.boxes)
+        .selectExpr("*", f"if(size(nid) >= {p.k}, element_at(nd, -1), double('inf')) as r")
+        .selectExpr("node", "id", "c", "nid", "nd", "nc", "r", f"{settled} as settled")
+    )
 
 
 def _foreign_leaves(edge: DataFrame, tree: BoxTree, p: ScoreParams, scope: str) -> DataFrame:
     """``id, c, r, own, node``: foreign leaves that may hold a neighbour."""
     box = ["node", "n", "lo", "hi", "leaf"]
-    nowhere = F.array().cast("array<double>")
-    here = edge.select(
-        "id",
-        "c",
-        "r",
-        F.col("node").alias("own"),
-        F.lit(ROOT).alias("node"),
-        F.lit(0).cast("bigint").alias("n"),
-        nowhere.alias("lo"),
-        nowhere.alias("hi"),
-        F.lit(False).alias("leaf"),
+    nowhere = "cast(array() as array<double>)"
+    here = edge.selectExpr(
+        "id", "c", "r", "node as own", f"'{ROOT}' as node", "0L as n", f"{nowhere} as lo", f"{nowhere} as hi",
+        "false as leaf",
     )
-    for depth, (level, boxes) in enumerate(zip(tree.levels, tree.level_rows)):
+    near, far = nearest_and_farthest("c", "lo", "hi", p.dims, p.metric)
+    for level, boxes in zip(tree.levels, tree.level_rows):
         packed = level.groupBy(F.col("parent").alias("node")).agg(
-            F.collect_list(F.struct(*box)).alias("kids")
+            F.expr(f"collect_list(struct({', '.join(box)}))").alias("kids")
         )
-        packed = keep_small(packed, boxes)
         opened = (
             lookup_join(here, packed, "node", (96 + 16 * p.dims) * boxes, "left")
             # a leaf has no children and stays
-            .withColumn("kid", F.explode(F.coalesce("kids", F.array(F.struct(*box)))))
-            .select("id", "c", "r", "own", "kid.*")
+            .selectExpr("id", "c", "r", "own", f"explode(coalesce(kids, array(struct({', '.join(box)})))) as kid")
+            .selectExpr("id", "c", "r", "own", "kid.*")
         )
-        if scope == PARTITION and depth == 0:
-            opened = opened.where(F.col("node") == F.substring("own", 1, 3))
-        near, far = nearest_and_farthest(F.col("c"), F.col("lo"), F.col("hi"), p.dims, p.metric)
-        touched = opened.withColumn("near", near).where(F.col("near") <= _slack(F.col("r"), p))
-        here = _shrink(touched.withColumn("far", far), p).select("id", "c", "r", "own", *box)
-    return here.where(F.col("node") != F.col("own")).select("id", "c", "r", "own", "node")
+        if scope == PARTITION:
+            opened = opened.where(f"startswith({_HOME.format('own')}, {_HOME.format('node')})")
+        touched = opened.selectExpr("*", f"{near} as near").where(f"near <= {_slack('r', p)}")
+        here = _shrink(touched.selectExpr("*", f"{far} as far"), p).select("id", "c", "r", "own", *box)
+    return here.where("node <> own").select("id", "c", "r", "own", "node")
 
 
 def _shrink(frontier: DataFrame, p: ScoreParams) -> DataFrame:
     """Cut each radius to the distance within which its boxes surely hold k other points."""
-    per_point = Window.partitionBy("id")
-    by_far = per_point.orderBy("far", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    enough = F.when(F.sum("n").over(by_far) > p.k, F.col("far"))
-    unit = 0.0 if p.dist_scale is None else 10.0**-p.dist_scale
+    inner = f"sum(n) over (partition by id order by far, node rows unbounded preceding) > {p.k}"
+    step = 0.0 if p.dist_scale is None else 10.0**-p.dist_scale
     return (
-        frontier.withColumn("enough", enough)
-        .withColumn("bound", F.min("enough").over(per_point) + F.lit(unit))
+        frontier.selectExpr("*", f"if({inner}, far, null) as enough")
+        .selectExpr("*", f"min(enough) over (partition by id) + {lit(step)} as bound")
+        .drop("enough", "far")
         .withColumn("r", F.least("r", "bound"))
-        .where(F.col("near") <= _slack(F.col("r"), p))
+        .where(f"near <= {_slack('r', p)}")
     )
 
 
 def _merge(near: DataFrame, p: ScoreParams) -> DataFrame:
     """The k best of all lists of a point, by distance, then id."""
-    at = F.sequence(F.lit(0), F.size("nid") - 1)
-    entries = F.when(
-        F.size("nid") > 0,
-        F.transform(
-            at,
-            lambda j: F.struct(
-                F.col("nd")[j].alias("nd"),
-                F.col("nid")[j].alias("nid"),
-                F.slice("nc", j * p.dims + 1, p.dims).alias("nc"),
-            ),
-        ),
-    ).otherwise(F.array().cast("array<struct<nd:double,nid:bigint,nc:array<double>>>"))
-    best = F.slice(F.array_sort(F.flatten(F.collect_list("entries"))), 1, p.k)
+    d = p.dims
+    entries = (
+        "if(size(nid) = 0, cast(array() as array<struct<nd:double,nid:bigint,nc:array<double>>>),"
+        " transform(sequence(0, size(nid) - 1),"
+        f" j -> named_struct('nd', nd[j], 'nid', nid[j], 'nc', slice(nc, j * {d} + 1, {d}))))"
+    )
     return (
-        near.select("id", "c", "leaf", entries.alias("entries"))
+        near.selectExpr("id", "c", "leaf", f"{entries} as entries")
         .groupBy("id")
-        .agg(F.first("c").alias("c"), F.max("leaf").alias("leaf"), best.alias("b"))
-        .select(
-            "id",
-            "c",
-            "leaf",
-            F.col("b.nid").alias("nid"),
-            F.col("b.nd").alias("nd"),
-            F.flatten("b.nc").alias("nc"),
-            F.lit(False).alias("settled"),
+        .agg(
+            F.first("c").alias("c"),
+            F.max("leaf").alias("leaf"),
+            F.expr(f"slice(array_sort(flatten(collect_list(entries))), 1, {p.k})").alias("b"),
         )
+        .selectExpr("id", "c", "leaf", "b.nid as nid", "b.nd as nd", "flatten(b.nc) as nc", "false as settled")
     )

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from outskirt.functions.cells import in_domain
-from outskirt.functions.numeric import round_to
+from outskirt.functions.numeric import lit, round_to
 from outskirt.params import ScoreParams
 
 
@@ -25,7 +24,7 @@ def coordinate_columns(df: DataFrame, dims: int | None = None) -> list[str]:
 
 def bounds(df: DataFrame, coords: Sequence[str] | None = None) -> DataFrame:
     """One row ``min_c, max_c, ...`` in column order, from one pass."""
-    parts: list[Column] = []
+    parts = []
     for c in coords or coordinate_columns(df):
         parts += [F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}")]
     return df.agg(*parts)
@@ -46,24 +45,26 @@ def normalize(
     coords = list(coords or coordinate_columns(df))
     row = (limits or bounds(df, coords)).first()
 
-    def scaled(c: str) -> Column:
+    def scaled(c: str) -> str:
         lo, hi = row[f"min_{c}"], row[f"max_{c}"]
         if lo is None or lo == hi:
-            return F.when(F.col(c).isNotNull(), F.lit(low))
-        share = (F.col(c) - F.lit(lo)) / F.lit(float(hi) - float(lo))
+            return f"if(`{c}` is null, null, {lit(low)})"
+        share = f"(`{c}` - {lit(lo)}) / {lit(float(hi) - float(lo))}"
         if (low, high) != (0.0, 1.0):
-            share = share * F.lit(high - low)
+            share = f"{share} * {lit(high - low)}"
         value = round_to(share, scale)
-        return value if low == 0.0 else value + F.lit(low)
+        return value if low == 0.0 else f"{value} + {lit(low)}"
 
-    return df.withColumns({c: scaled(c) for c in coords})
+    return df.selectExpr(
+        *[f"{scaled(c)} as `{c}`" if c in coords else f"`{c}`" for c in df.columns]
+    )
 
 
 def sample_by_id(df: DataFrame, denominator: int, scale: int | None = 2) -> DataFrame:
     """Rows whose id is a multiple of ``denominator``, coordinates rounded."""
     ident = df.columns[0]
-    return df.where(F.col(ident) % denominator == 0).select(
-        ident, *[round_to(F.col(c).cast("double"), scale).alias(c) for c in df.columns[1:]]
+    return df.where(f"`{ident}` % {denominator} = 0").selectExpr(
+        f"`{ident}`", *[f"{round_to(f'cast(`{c}` as double)', scale)} as `{c}`" for c in df.columns[1:]]
     )
 
 
@@ -73,12 +74,6 @@ def sample_random(df: DataFrame, rows: int, seed: int = 42) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(ident), F.lit(seed)), ident).limit(rows)
 
 
-def usable(coords: Sequence[str]) -> Column:
-    """True where every coordinate is a number."""
-    ok = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in coords]
-    return reduce(lambda a, b: a & b, ok)
-
-
 def as_points(
     df: DataFrame,
     p: ScoreParams,
@@ -91,17 +86,17 @@ def as_points(
     ``Observation`` to get their number as ``rejected``.
     """
     ident, coords = df.columns[0], coordinate_columns(df, p.dims)
-    values = [round_to(F.col(c).cast("double"), p.point_scale) for c in coords]
-    keep = usable(coords)
+    values = [round_to(f"cast(`{c}` as double)", p.point_scale) for c in coords]
+    keep = " and ".join(f"`{c}` is not null and not isnan(`{c}`)" for c in coords)
     if bounded:
-        keep = keep & in_domain(values, p)
+        keep = f"{keep} and {in_domain(values, p)}"
     if rejected is not None:
-        df = df.observe(rejected, F.count(F.when(~F.coalesce(keep, F.lit(False)), 1)).alias("rejected"))
-    return df.where(keep).select(
-        F.col(ident).cast("bigint").alias("id"), F.array(*values).alias("c")
+        df = df.observe(rejected, F.expr(f"count_if(not coalesce({keep}, false))").alias("rejected"))
+    return df.where(keep).selectExpr(
+        f"cast(`{ident}` as bigint) as id", f"array({', '.join(values)}) as c"
     )
 
 
 def as_table(points: DataFrame, dims: int, *keep: str) -> DataFrame:
     """``id, c`` back to ``id, x0, x1, ...``."""
-    return points.select("id", *[F.col("c")[i].alias(f"x{i}") for i in range(dims)], *keep)
+    return points.selectExpr("id", *[f"c[{i}] as x{i}" for i in range(dims)], *keep)

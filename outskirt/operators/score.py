@@ -7,12 +7,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outskirt.functions.geometry import add_all, force, norm
+from outskirt.functions.geometry import force, norm
 from outskirt.functions.neighbors import edges
-from outskirt.functions.numeric import finite_or_zero, round_to, scaled_long
+from outskirt.functions.numeric import finite_or_zero, lit, round_to, scaled_long, unit
 from outskirt.operators.joins import lookup_join
 from outskirt.params import ScoreParams
 
@@ -21,58 +21,39 @@ ZERO_LCF = 1e-9
 
 def force_vectors(knn: DataFrame, p: ScoreParams) -> DataFrame:
     """``id, nid, rank, d, f0, f1, ...`` rounded to the force scale."""
-    return edges(knn, p.dims).select(
-        "id",
-        "nid",
-        "rank",
-        "d",
-        *[
-            round_to(force(F.col("c")[i], F.col("s")[i], F.col("d")), p.force_scale).alias(f"f{i}")
-            for i in range(p.dims)
-        ],
-    )
+    parts = [
+        f"{round_to(force(f'c[{i}]', f's[{i}]', 'd'), p.force_scale)} as f{i}" for i in range(p.dims)
+    ]
+    return edges(knn, p.dims).selectExpr("id", "nid", "rank", "d", *parts)
 
 
 def net_force(knn: DataFrame, p: ScoreParams) -> DataFrame:
     """Add ``kdist`` and ``lcf``; both come from the row's own list, so nothing is shuffled."""
-    return knn.withColumn("kdist", F.element_at("nd", -1)).withColumn("lcf", local_force(p))
-
-
-def local_force(p: ScoreParams) -> Column:
-    return norm([_sum_of_forces(i, p) for i in range(p.dims)], p.lcf_scale) if p.dims <= 16 else _wide(p)
-
-
-def _sum_of_forces(i: int, p: ScoreParams) -> Column:
-    """Force component i summed over the list, in exact units of the force scale."""
-    seq = F.sequence(F.lit(0), F.size("nid") - 1)
-
-    def part(j: Column) -> Column:
-        f = force(F.col("c")[i], F.col("nc")[j * p.dims + i], F.col("nd")[j])
-        return f if p.force_scale is None else scaled_long(f, p.force_scale)
-
-    start = F.lit(0.0) if p.force_scale is None else F.lit(0).cast("bigint")
-    total = F.aggregate(seq, start, lambda acc, j: acc + part(j))
-    total = total if p.force_scale is None else total / F.lit(float(10**p.force_scale))
-    return F.when(F.size("nid") > 0, total).otherwise(F.lit(0.0))
-
-
-def _wide(p: ScoreParams) -> Column:
-    """The same for wide points: one loop over the dimensions instead of one term each."""
-    unit = None if p.force_scale is None else float(10**p.force_scale)
-    seq = F.sequence(F.lit(0), F.size("nid") - 1)
-
-    def component(x: Column, i: Column) -> Column:
-        def part(j: Column) -> Column:
-            f = force(x, F.col("nc")[j * p.dims + i], F.col("nd")[j])
-            return f if unit is None else F.floor(f * F.lit(unit) + F.lit(0.5)).cast("bigint")
+    exact = p.force_scale is not None
+    part = force("x", f"nc[j * {p.dims} + i]", "nd[j]")
+    part = scaled_long(part, p.force_scale) if exact else part
+    total = f"aggregate(sequence(0, size(nid) - 1), {'0L' if exact else '0.0D'}, (s, j) -> s + {part})"
+    total = f"{total} / {unit(p.force_scale)}" if exact else total
+    sums = f"if(size(nid) = 0, cast(array() as array<double>), transform(c, (x, i) -> {total}))"
+    square = "aggregate(net, 0.0D, (s, v) -> s + v * v)"
+    return (
+        knn.selectExpr("*", f"{sums} as net")
+        .selectExpr(
+            "*", "try_element_at(nd, -1) as kdist", f"{round_to(f'sqrt({square})', p.lcf_scale)} as lcf"
+        )
+        .drop("net")
+    )
 
-        start = F.lit(0.0) if unit is None else F.lit(0).cast("bigint")
-        total = F.aggregate(seq, start, lambda acc, j: acc + part(j))
-        return total if unit is None else total / F.lit(unit)
 
-    sums = F.transform("c", component)
-    squares = F.aggregate(sums, F.lit(0.0), lambda acc, v: acc + v * v)
-    return F.when(F.size("nid") > 0, round_to(F.sqrt(squares), p.lcf_scale)).otherwise(F.lit(0.0))
+def net_force_of(vectors: DataFrame, p: ScoreParams) -> DataFrame:
+    """``id, kdist, lcf`` from a table of force vectors (partial sums merge before the shuffle)."""
+    if p.force_scale is None:
+        sums = [f"sum(f{i})" for i in range(p.dims)]
+    else:
+        sums = [f"(sum({scaled_long(f'f{i}', p.force_scale)}) / {unit(p.force_scale)})" for i in range(p.dims)]
+    return vectors.groupBy("id").agg(
+        F.max("d").alias("kdist"), F.expr(norm(sums, p.lcf_scale)).alias("lcf")
+    )
 
 
 def neighbor_forces(forces: DataFrame, rows: int, *keep: str) -> DataFrame:
@@ -80,8 +61,8 @@ def neighbor_forces(forces: DataFrame, rows: int, *keep: str) -> DataFrame:
 
     A hub that is everyone's neighbour is a hot key here; ``lookup_join`` splits it.
     """
-    lcf = forces.select(F.col("id").alias("nid"), F.col("lcf").alias("m"))
-    pairs = forces.select("id", *keep, F.explode("nid").alias("nid"))
+    lcf = forces.selectExpr("id as nid", "lcf as m")
+    pairs = forces.selectExpr("id", *keep, "explode(nid) as nid")
     return lookup_join(pairs, lcf, "nid", 24 * rows)
 
 
@@ -89,11 +70,11 @@ def mean_neighbor_force(forces: DataFrame, p: ScoreParams, rows: int, *keep: str
     """``id, keep..., kdist, lcf, nof`` from ``id, nid, kdist, lcf``."""
     m = neighbor_forces(forces, rows, *keep, "kdist", "lcf")
     if p.lcf_scale is None:
-        total = F.sum("m")
+        total = "sum(m)"
     else:
-        total = F.sum(scaled_long(F.col("m"), p.lcf_scale)) / F.lit(float(10**p.lcf_scale))
-    mean = round_to(total / F.lit(float(p.k)), p.nof_scale)
-    nof = F.when(F.first("lcf") <= F.lit(ZERO_LCF), F.lit(0.0)).otherwise(finite_or_zero(mean))
-    return m.groupBy("id").agg(
-        *[F.first(c).alias(c) for c in (*keep, "kdist", "lcf")], nof.alias("nof")
-    )
+        total = f"sum({scaled_long('m', p.lcf_scale)}) / {unit(p.lcf_scale)}"
+    mean = round_to(f"{total} / {lit(p.k)}", p.nof_scale)
+    carried = [F.first(c).alias(c) for c in (*keep, "kdist", "lcf")]
+    out = m.groupBy("id").agg(*carried, F.expr(mean).alias("mean"))
+    nof = f"if(lcf <= {lit(ZERO_LCF)}, 0.0D, {finite_or_zero('mean')}) as nof"
+    return out.selectExpr("id", *keep, "kdist", "lcf", nof)

@@ -27,7 +27,7 @@ class ScoreParams:
     lcf_scale: int | None = 2
     nof_scale: int | None = 4
     # rows per leaf box: one leaf is the unit of work of a neighbour search
-    leaf_rows: int = 512
+    leaf_rows: int = 1024
 
     def __post_init__(self) -> None:
         if self.k < 1 or self.dims < 1 or self.cells < 1 or self.buckets < 1:

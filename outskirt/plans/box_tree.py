@@ -1,30 +1,32 @@
 """Box tree: the partition plan's boxes, cut further until a leaf holds few points.
 
-The tree is grown level by level. In each round every box above ``leaf_rows`` gets
-a histogram along its longest side and is cut into at most 16 parts of near-equal
-count. Only the histogram is shuffled; the points just get a longer ``node`` path.
-A cut always separates the two ends of a box, so growth ends once a leaf is small
-or all its points coincide.
+The plan's cuts are the upper levels. Then the tree grows level by level: in each
+round every box above ``leaf_rows`` gets a histogram along its longest side and is cut
+into at most 16 parts of near-equal count. Only the histogram is shuffled; the points
+just get a longer ``node`` path. A cut always separates the two ends of a box, so growth
+ends once a leaf is small or all its points coincide.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outskirt.functions.geometry import items
 from outskirt.operators.joins import lookup_join
 from outskirt.params import ScoreParams
-from outskirt.plans.grid_plan import assign_partitions, partition_plan
-from outskirt.session import keep, keep_small
+from outskirt.plans.grid_plan import MAX_BUCKETS, assign_partitions, partition_plan
+from outskirt.session import keep, keep_small, local_table
 
 FAN = 16  # parts per cut, one hexadecimal digit of the path
 SLABS = 64  # histogram slabs per cut
+FILL = 0.65  # aim below leaf_rows, so that uneven parts seldom need another round
 ROOT = ""
-# The plan is the tree's first level only while it has few boxes and cells.
+# Bounds of a plan that can be the upper levels.
 MAX_PLAN_BOXES = 4096
 MAX_PLAN_CELLS = 1 << 20
 
@@ -33,20 +35,20 @@ MAX_PLAN_CELLS = 1 << 20
 class BoxTree:
     """``levels[i]`` has ``node, parent, n, lo, hi, free_lo, free_hi, leaf`` (``lo``/``hi``:
     bounds of the points inside; ``free_*``: nearest coordinates that outside points
-    can have); ``points`` has ``id, c, pid, node`` with ``node`` the leaf."""
+    can have); ``points`` has ``id, c, node`` with ``node`` the leaf.
+
+    A node's path is that of its plan box, a colon, and one digit per further cut.
+    """
 
     points: DataFrame
+    plan: DataFrame | None
     levels: list[DataFrame]
     level_rows: list[int]
 
     @property
-    def leaf_count(self) -> int:
+    def boxes(self) -> int:
         return sum(self.level_rows)
 
-    @property
-    def depth(self) -> int:
-        return len(self.levels)
-
     def leaves(self) -> DataFrame:
         out = self.levels[0].where("leaf")
         for level in self.levels[1:]:
@@ -55,160 +57,215 @@ class BoxTree:
 
 
 def uses_plan(p: ScoreParams) -> bool:
-    """Whether the grid plan is small enough to be the first level for these settings."""
+    """Whether a grid plan with these settings is small enough for the upper levels."""
     return (
-        p.dims <= 3 and p.buckets**p.dims <= MAX_PLAN_BOXES and p.cells**p.dims <= MAX_PLAN_CELLS
+        p.dims <= 3
+        and p.buckets <= MAX_BUCKETS
+        and p.buckets**p.dims <= MAX_PLAN_BOXES
+        and p.cells**p.dims <= MAX_PLAN_CELLS
     )
 
 
-def grow(points: DataFrame, p: ScoreParams, plan: DataFrame | None = None) -> BoxTree:
-    """Grow the tree over ``points`` (``id, c``); at most k + 2 points may share a location."""
-    d = p.dims
-    if plan is None and uses_plan(p):
-        plan = partition_plan(points, p)
+def fitted(p: ScoreParams, rows: int) -> ScoreParams:
+    """``p`` with as many buckets (and cells) as make a plan box one leaf, within the bounds."""
+    wanted = math.ceil((rows / (FILL * p.leaf_rows)) ** (1 / p.dims))
+    most = min(MAX_BUCKETS, math.floor(MAX_PLAN_BOXES ** (1 / p.dims) + 1e-9))
+    buckets = max(1, min(wanted, most))
+    return p.with_(buckets=buckets, cells=max(p.cells, 4 * buckets))
+
+
+def grow(points: DataFrame, p: ScoreParams, rows: int, plan: DataFrame | None = None) -> BoxTree:
+    """Grow the tree over ``points`` (``id, c``); at most k + 2 points may share a location.
+
+    Without a given ``plan`` (made with the settings ``p``) one is made to fit ``rows``.
+    """
+    grid = p if plan is not None else fitted(p, rows)
+    if plan is None and uses_plan(grid):
+        plan = partition_plan(points, grid)
     if plan is not None:
-        plan = keep_small(plan, p.buckets**p.dims)
-        placed = assign_partitions(points, plan, p).select("id", "c", "pid")
+        if not uses_plan(grid):
+            raise ValueError("the plan has too many boxes or cells")
+        plan = keep_small(plan, grid.buckets**grid.dims)
+        placed = assign_partitions(points, plan, grid)
+        placed = lookup_join(placed, plan.selectExpr("pid", "path as node"), "pid", 64 * MAX_PLAN_BOXES)
+        placed = placed.select("id", "c", "node")
     else:
-        placed = points.select("id", "c", F.lit(0).alias("pid"))
-    placed = placed.withColumn("node", F.lpad(F.lower(F.hex("pid")), 3, "0"))
-
-    level = _roots(placed, p)
-    levels, rows = [], []
-    while True:
-        counts = level.agg(
-            F.count(F.lit(1)).alias("boxes"), F.count(F.when(~F.col("leaf"), 1)).alias("open")
-        ).first()
-        levels.append(level)
-        rows.append(counts["boxes"])
-        if not counts["open"]:
-            return BoxTree(placed, levels, rows)
-        cuts = keep(_cuts(placed, level.where("not leaf"), counts["open"], p))
-        placed = _route(placed, cuts, counts["open"], d)
+        placed = points.selectExpr("id", "c", "'00' as node")
+
+    levels = _plan_levels(placed, p)
+    counted = [_counts(level) for level in levels]
+    while counted[-1]["open"]:
+        open_boxes = counted[-1]["open"]
+        cuts = _cuts(placed, levels[-1].where("not leaf and not cut"), open_boxes, p)
+        placed = _route(placed, _routes(cuts), open_boxes)
         if len(levels) % 4 == 0:
             placed = keep(placed)
-        level = keep_small(_children(cuts, p), FAN * counts["open"])
+        levels.append(keep_small(_children(cuts, p), FAN * open_boxes))
+        counted.append(_counts(levels[-1]))
+    return BoxTree(placed, plan, levels, [c["boxes"] for c in counted])
+
+
+def _counts(level: DataFrame) -> dict:
+    return level.selectExpr("count(1) as boxes", "count_if(not leaf and not cut) as open").first().asDict()
 
 
 def _bounds(dims: int) -> list[Column]:
-    xs = items(F.col("c"), dims)
+    lo, hi = (", ".join(f"{fn}(c[{i}])" for i in range(dims)) for fn in ("min", "max"))
     return [
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.min(x) for x in xs]).alias("lo"),
-        F.array(*[F.max(x) for x in xs]).alias("hi"),
+        F.expr("count(1)").alias("n"),
+        F.expr(f"array({lo})").alias("lo"),
+        F.expr(f"array({hi})").alias("hi"),
     ]
 
 
-def _is_leaf(p: ScoreParams) -> Column:
-    return (F.col("n") <= p.leaf_rows) | (F.col("lo") == F.col("hi"))
+def _is_leaf(p: ScoreParams) -> str:
+    return f"(n <= {p.leaf_rows} or lo = hi)"
+
 
+def _plan_levels(placed: DataFrame, p: ScoreParams) -> list[DataFrame]:
+    """The plan's levels: at most ``MAX_PLAN_BOXES`` boxes, whose bounds pass the driver.
 
-def _roots(placed: DataFrame, p: ScoreParams) -> DataFrame:
-    """The first level: one row per plan box, so at most ``MAX_PLAN_BOXES`` on the driver."""
-    rows = placed.groupBy("node").agg(*_bounds(p.dims)).collect()
-    lo = np.array([r["lo"] for r in rows]).reshape(len(rows), p.dims)
-    hi = np.array([r["hi"] for r in rows]).reshape(len(rows), p.dims)
-    out = []
-    for i, r in enumerate(rows):
+    Boxes stopped early (few points) are listed on the last level too.
+    """
+    boxes = placed.groupBy("node").agg(*_bounds(p.dims)).toArrow()
+    paths = boxes["node"].to_pylist()
+    n = np.array(boxes["n"].to_pylist(), dtype=np.int64)
+    lo, hi = (np.array(boxes[side].to_pylist(), dtype=float).reshape(-1, p.dims) for side in ("lo", "hi"))
+    free_lo, free_hi = np.empty_like(lo), np.empty_like(hi)
+    for i in range(len(lo)):
         below, above = hi < lo[i], lo > hi[i]
-        free_lo = np.where(below, hi, -np.inf).max(axis=0)
-        free_hi = np.where(above, lo, np.inf).min(axis=0)
-        out.append((r["node"], ROOT, r["n"], r["lo"], r["hi"], free_lo.tolist(), free_hi.tolist()))
-    schema = (
-        "node string, parent string, n bigint, lo array<double>, hi array<double>, "
-        "free_lo array<double>, free_hi array<double>"
+        free_lo[i] = np.where(below, hi, -np.inf).max(axis=0)
+        free_hi[i] = np.where(above, lo, np.inf).min(axis=0)
+
+    rows = {"node": paths, "n": n, "lo": list(lo), "hi": list(hi), "free_lo": list(free_lo), "free_hi": list(free_hi)}
+    cuts = max((len(path) for path in paths), default=2) // 2
+    spark = placed.sparkSession
+    levels = []
+    for depth in range(1, cuts):
+        # upper boxes only route searches: bounds of their boxes, nothing else
+        groups: dict[str, list[int]] = {}
+        for i, path in enumerate(paths):
+            groups.setdefault(path[: 2 * depth], []).append(i)
+        members = list(groups.values())
+        upper = {
+            "node": list(groups),
+            "n": [n[m].sum() for m in members],
+            "lo": [lo[m].min(axis=0) for m in members],
+            "hi": [hi[m].max(axis=0) for m in members],
+        }
+        upper["free_lo"], upper["free_hi"] = upper["lo"], upper["hi"]
+        levels.append(_local_level(spark, upper, [g[: 2 * depth - 2] for g in groups], p, cut=True))
+    parents = [path[: 2 * (cuts - 1)] for path in paths]
+    return [*levels, _local_level(spark, rows, parents, p, cut=False)]
+
+
+def _local_level(spark, rows: dict, parents: list[str], p: ScoreParams, cut: bool) -> DataFrame:
+    lists = pa.list_(pa.float64())
+    table = pa.table(
+        {
+            "node": pa.array(rows["node"], pa.string()),
+            "parent": pa.array(parents, pa.string()),
+            "n": pa.array(rows["n"], pa.int64()),
+            **{c: pa.array(rows[c], lists) for c in ("lo", "hi", "free_lo", "free_hi")},
+        }
     )
-    return placed.sparkSession.createDataFrame(out, schema).withColumn("leaf", _is_leaf(p))
-
+    leaf = "false" if cut else _is_leaf(p)
+    return local_table(spark, table).selectExpr("*", f"{leaf} as leaf", f"{str(cut).lower()} as cut")
 
-def _longest_side(dims: int) -> Column:
-    sides = F.zip_with("hi", "lo", lambda b, a: b - a)
-    return (F.array_position(sides, F.array_max(sides)) - 1).cast("int")
 
-
-def _slab(dims: int) -> Column:
-    v = F.col("c")[F.col("dim")]
-    return F.least(
-        F.floor((v - F.col("base")) * F.lit(float(SLABS)) / F.col("side")), F.lit(SLABS - 1)
-    ).cast("int")
+_LONGER = "concat(node, if(contains(node, ':'), '', ':'), {digit})"
+_SLAB = f"cast(least(floor((c[dim] - base) * {float(SLABS)}D / side), {SLABS - 1}) as int)"
 
 
 def _cuts(placed: DataFrame, open_boxes: DataFrame, count: int, p: ScoreParams) -> DataFrame:
     """Histogram slabs of the open boxes with the child each slab goes to."""
-    parts = F.ceil(F.col("n") / F.lit(p.leaf_rows))
-    fan = F.when(parts <= 4, parts).otherwise(F.ceil(F.sqrt(parts)))
-    open_boxes = open_boxes.withColumn("dim", _longest_side(p.dims)).select(
-        "node",
-        "dim",
-        F.col("lo")[F.col("dim")].alias("base"),
-        (F.col("hi")[F.col("dim")] - F.col("lo")[F.col("dim")]).alias("side"),
-        F.least(fan, F.lit(FAN)).alias("fan"),
-        F.col("n").alias("box_n"),
-        "free_lo",
-        "free_hi",
+    open_boxes = (
+        open_boxes.selectExpr("*", "zip_with(hi, lo, (b, a) -> b - a) as sides")
+        .selectExpr(
+            "*",
+            "cast(array_position(sides, array_max(sides)) - 1 as int) as dim",
+            # aim below the limit, so that uneven parts seldom need another round
+            f"ceil(n / {0.65 * p.leaf_rows}D) as parts",
+        )
+        .selectExpr(
+            "node",
+            "dim",
+            "lo[dim] as base",
+            "hi[dim] - lo[dim] as side",
+            f"least(if(parts <= 4, parts, ceil(sqrt(parts))), {FAN}) as fan",
+            "n as box_n",
+            "free_lo",
+            "free_hi",
+        )
     )
     slim = open_boxes.select("node", "dim", "base", "side")
     slabs = (
         lookup_join(placed.select("c", "node"), slim, "node", 64 * count)
-        .groupBy("node", _slab(p.dims).alias("slab"))
+        .groupBy("node", F.expr(_SLAB).alias("slab"))
         .agg(*_bounds(p.dims))
     )
     # A box has at most SLABS rows here; the middle of a slab's share decides its part.
-    before = Window.partitionBy("node").orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)
-    middle = F.coalesce(F.sum("n").over(before), F.lit(0)) + F.col("n") / F.lit(2.0)
+    before = "sum(n) over (partition by node order by slab rows between unbounded preceding and 1 preceding)"
     return (
-        slabs.join(open_boxes, "node")
-        .withColumn("part", F.floor(middle * F.col("fan") / F.col("box_n")).cast("int"))
-        .withColumn("digit", F.lower(F.hex(F.col("part"))))
+        keep_small(slabs, SLABS * count)
+        .join(open_boxes, "node")
+        .selectExpr("*", f"coalesce({before}, 0) + n / 2D as middle")
+        .selectExpr("*", "cast(floor(middle * fan / box_n) as int) as part")
+        .withColumn("digit", F.expr("lower(hex(part))"))
     )
 
 
-def _route(placed: DataFrame, cuts: DataFrame, count: int, dims: int) -> DataFrame:
-    """Lengthen the path of every point of a cut box by its part's digit."""
-    digits = F.map_from_entries(F.collect_list(F.struct("slab", "digit")))
-    routes = cuts.groupBy("node", "dim", "base", "side").agg(digits.alias("digits")).select(
-        "node",
-        "dim",
-        "base",
-        "side",
-        F.array_join(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(SLABS - 1)),
-                lambda s: F.coalesce(F.element_at("digits", s), F.lit("-")),
-            ),
-            "",
-        ).alias("route"),
+def _routes(cuts: DataFrame) -> DataFrame:
+    """Per cut box its slab-to-digit text."""
+    return (
+        cuts.groupBy("node", "dim", "base", "side")
+        .agg(F.expr("map_from_entries(collect_list(struct(slab, digit)))").alias("digits"))
+        .selectExpr(
+            "node",
+            "dim",
+            "base",
+            "side",
+            f"array_join(transform(sequence(0, {SLABS - 1}), s -> coalesce(digits[s], '-')), '') as route",
+        )
     )
-    joined = lookup_join(placed, keep_small(routes, count), "node", (96 + SLABS) * count, "left")
-    digit = F.substring(F.col("route"), _slab(dims) + 1, F.lit(1))
-    return joined.select("id", "c", "pid", F.concat("node", F.coalesce(digit, F.lit(""))).alias("node"))
+
+
+def _route(placed: DataFrame, routes: DataFrame, count: int) -> DataFrame:
+    """Lengthen the path of every point of a cut box by its part's digit."""
+    joined = lookup_join(placed, routes, "node", (96 + SLABS) * count, "left")
+    longer = _LONGER.format(digit=f"substring(route, {_SLAB} + 1, 1)")
+    return joined.selectExpr("id", "c", f"if(route is null, node, {longer}) as node")
 
 
 def _children(cuts: DataFrame, p: ScoreParams) -> DataFrame:
-    d = p.dims
-    kids = cuts.groupBy("node", "digit", "part", "dim", "free_lo", "free_hi").agg(
-        F.sum("n").alias("n"),
-        F.array(*[F.min(F.col("lo")[i]) for i in range(d)]).alias("lo"),
-        F.array(*[F.max(F.col("hi")[i]) for i in range(d)]).alias("hi"),
-    )
-    siblings = Window.partitionBy("node").orderBy("part")
-    left = F.lag(F.col("hi")[F.col("dim")]).over(siblings)
-    right = F.lead(F.col("lo")[F.col("dim")]).over(siblings)
-    kids = kids.withColumn("left", left).withColumn("right", right)
-
-    def replace(free: str, by: str) -> Column:
-        return F.transform(
-            F.col(free),
-            lambda v, i: F.when((i == F.col("dim")) & F.col(by).isNotNull(), F.col(by)).otherwise(v),
-        )
+    def over(what: str) -> str:
+        return ", ".join(f"{what}[{i}])" for i in range(p.dims))
+
+    def replaced(free: str, by: str) -> str:
+        return f"transform({free}, (v, i) -> if(i = dim and {by} is not null, {by}, v)) as {free}"
 
-    return kids.select(
-        F.concat("node", "digit").alias("node"),
-        F.col("node").alias("parent"),
-        "n",
-        "lo",
-        "hi",
-        replace("free_lo", "left").alias("free_lo"),
-        replace("free_hi", "right").alias("free_hi"),
-        _is_leaf(p).alias("leaf"),
+    siblings = "over (partition by node order by part)"
+    return (
+        cuts.groupBy("node", "digit", "part", "dim", "free_lo", "free_hi")
+        .agg(
+            F.sum("n").alias("n"),
+            F.expr(f"array({over('min(lo')})").alias("lo"),
+            F.expr(f"array({over('max(hi')})").alias("hi"),
+        )
+        .selectExpr(
+            "*",
+            f"lag(hi[dim]) {siblings} as left_end",
+            f"lead(lo[dim]) {siblings} as right_start",
+        )
+        .selectExpr(
+            f"{_LONGER.format(digit='digit')} as node",
+            "node as parent",
+            "n",
+            "lo",
+            "hi",
+            replaced("free_lo", "left_end"),
+            replaced("free_hi", "right_start"),
+            f"{_is_leaf(p)} as leaf",
+            "false as cut",
+        )
     )

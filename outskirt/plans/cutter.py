@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_RUN = "named_struct('lo', cast({lo} as int), 'hi', cast({hi} as int), 'n', cast({n} as bigint))"
+_NO_RUNS = "cast(array() as array<struct<lo:int,hi:int,n:bigint>>)"
+
 
 def equi_depth_cut(slabs: DataFrame, buckets: int, k: int, end: int) -> DataFrame:
     """Cut each parent's slabs into at most ``buckets`` runs of near-equal count.
@@ -20,50 +23,34 @@ def equi_depth_cut(slabs: DataFrame, buckets: int, k: int, end: int) -> DataFram
     A parent has at most one row per slab, so the ordered list that is folded is as
     long as the grid is wide.
     """
+    ordered = "array_sort(collect_list(struct(cast(slab as int) as slab, cast(n as bigint) as n)))"
     per_parent = slabs.groupBy("parent").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("slab").cast("int").alias("slab"), F.col("n").cast("bigint").alias("n")))).alias("slabs"),
-        F.greatest(F.lit(float(k)), F.sum("n") / F.lit(float(buckets))).alias("share"),
+        F.expr(ordered).alias("slabs"),
+        F.expr(f"greatest({float(k)}D, sum(n) / {float(buckets)}D)").alias("share"),
     )
-    share = F.col("share")
-
-    def run(lo: Column, hi: Column, n: Column) -> Column:
-        return F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), n.cast("bigint").alias("n"))
-
-    def state(runs: Column, lo: Column, n: Column) -> Column:
-        return F.struct(runs.alias("runs"), lo.cast("int").alias("lo"), n.cast("bigint").alias("n"))
-
-    def step(s: Column, e: Column) -> Column:
-        n, f = s["n"], e["n"]
-        defer = (
-            (F.size(s["runs"]) < buckets - 1)
-            & (n > k)
-            & (n > F.lit(0.5) * share)
-            & (n + f > F.lit(2.0) * share)
-        )
-        runs = F.when(defer, F.concat(s["runs"], F.array(run(s["lo"], e["slab"], n)))).otherwise(s["runs"])
-        lo = F.when(defer, e["slab"]).otherwise(s["lo"])
-        n = F.when(defer, f).otherwise(n + f)
-        full = (F.size(runs) < buckets - 1) & (n >= share)
-        after = e["slab"] + 1
-        return state(
-            F.when(full, F.concat(runs, F.array(run(lo, after, n)))).otherwise(runs),
-            F.when(full, after).otherwise(lo),
-            F.when(full, F.lit(0)).otherwise(n),
-        )
-
-    def finish(s: Column) -> Column:
-        runs, count = s["runs"], F.size(s["runs"])
-        prev = F.element_at(runs, -1)
-        merged = F.concat(
-            F.slice(runs, F.lit(1), count - 1),
-            F.array(run(prev["lo"], F.lit(end), prev["n"] + s["n"])),
-        )
-        own = F.concat(runs, F.array(run(s["lo"], F.lit(end), s["n"])))
-        return F.when((count > 0) & (s["n"] < k), merged).otherwise(own)
-
-    empty = F.array().cast("array<struct<lo:int,hi:int,n:bigint>>")
-    start = state(empty, F.lit(0), F.lit(0))
-    cuts = per_parent.select("parent", F.aggregate("slabs", start, step, finish).alias("runs"))
-    return cuts.select("parent", F.posexplode("runs").alias("bucket", "r")).select(
-        "parent", "bucket", "r.lo", "r.hi", "r.n"
+    start = f"named_struct('runs', {_NO_RUNS}, 'lo', 0, 'n', 0L)"
+    # two small steps per slab: close the run before a heavy slab, then take the slab
+    defer = (
+        f"size(s.runs) < {buckets - 1} and s.n > {k} and s.n > 0.5D * share and s.n + e.n > 2.0D * share"
+    )
+    closed = _RUN.format(lo="s.lo", hi="e.slab", n="s.n")
+    before = (
+        f"if({defer}, named_struct('runs', concat(s.runs, array({closed})), 'lo', e.slab, 'n', e.n),"
+        " named_struct('runs', s.runs, 'lo', s.lo, 'n', s.n + e.n))"
+    )
+    filled = _RUN.format(lo="t.lo", hi="e.slab + 1", n="t.n")
+    after = (
+        f"if(size(t.runs) < {buckets - 1} and t.n >= share,"
+        f" named_struct('runs', concat(t.runs, array({filled})), 'lo', e.slab + 1, 'n', 0L), t)"
+    )
+    step = f"transform(array({before}), t -> {after})[0]"
+    last = "element_at(s.runs, -1)"
+    joined = _RUN.format(lo=f"{last}.lo", hi=end, n=f"{last}.n + s.n")
+    own = _RUN.format(lo="s.lo", hi=end, n="s.n")
+    finish = (
+        f"if(size(s.runs) > 0 and s.n < {k},"
+        f" concat(slice(s.runs, 1, size(s.runs) - 1), array({joined})), concat(s.runs, array({own})))"
     )
+    return per_parent.selectExpr(
+        "parent", f"posexplode(aggregate(slabs, {start}, (s, e) -> {step}, s -> {finish})) as (bucket, r)"
+    ).selectExpr("parent", "bucket", "r.lo", "r.hi", "r.n")

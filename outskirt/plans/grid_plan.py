@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outskirt.functions.cells import cell_id
@@ -20,6 +20,7 @@ from outskirt.session import keep_small
 
 # At most this many dimensions are cut.
 CUT_DIMS = 10
+MAX_BUCKETS = 256
 
 
 def range_names(p: ScoreParams) -> list[str]:
@@ -27,61 +28,58 @@ def range_names(p: ScoreParams) -> list[str]:
 
 
 def partition_plan(points: DataFrame, p: ScoreParams) -> DataFrame:
-    """``pid, lo0, hi0, lo1, hi1, ..., n`` in cell units; the boxes tile the domain.
+    """``pid, lo0, hi0, lo1, hi1, ..., n, path`` in cell units; the boxes tile the domain.
+
+    ``path`` has two hexadecimal digits per cut: boxes of one slab share their prefix.
 
     Only the cell histogram is cut, one dimension per step in order of uniformity, so
     the points are read once. A box with at most ``2k + 1`` points is not cut again.
     """
+    if p.buckets > MAX_BUCKETS:
+        raise ValueError(f"at most {MAX_BUCKETS} buckets per dimension")
     histogram = keep_small(cell_histogram(points, p), p.cells**p.dims)
     order = dimension_order(slab_frequency(histogram, p), p)[:CUT_DIMS]
-    whole = {name: F.lit(0 if name.startswith("lo") else p.cells) for name in range_names(p)}
-    boxes = None
-    cells = histogram.withColumn("box", F.lit(""))
+    everywhere = [f"{0 if name.startswith('lo') else p.cells} as {name}" for name in range_names(p)]
+    cells = histogram.selectExpr("*", "'' as box")
+    boxes = cells.groupBy("box").agg(F.sum("n").alias("n")).selectExpr("box", *everywhere, "n")
     for level, dim in enumerate(order):
-        totals = cells.groupBy("box").agg(F.sum("n").alias("total"))
-        open_boxes = totals if level == 0 else totals.where(F.col("total") > 2 * p.k + 1)
+        limit = -1 if level == 0 else 2 * p.k + 1
         slabs = (
-            cells.join(open_boxes.select("box"), "box", "left_semi")
+            cells.join(boxes.where(f"n > {limit}").select("box"), "box", "left_semi")
             .groupBy(F.col("box").alias("parent"), F.col(f"i{dim}").alias("slab"))
             .agg(F.sum("n").alias("n"))
         )
-        runs = keep_small(
-          equi_depth_cut(slabs, p.buckets, p.k, p.cells).select(
-            F.col("parent").alias("box"),
-            F.concat_ws(".", F.nullif("parent", F.lit("")), F.col("bucket")).alias("child"),
-            F.col("lo").alias("new_lo"),
-            F.col("hi").alias("new_hi"),
-            F.col("n").alias("new_n"),
-          ),
-          p.buckets ** (level + 1),
+        runs = equi_depth_cut(slabs, p.buckets, p.k, p.cells).selectExpr(
+            "parent as box", "concat(parent, lpad(lower(hex(bucket)), 2, '0')) as child", "lo", "hi", "n as new_n"
         )
-        edge = {f"lo{dim}": F.col("new_lo"), f"hi{dim}": F.col("new_hi")}
-        if boxes is None:
-            cut = runs.withColumns({**whole, **edge})
-            kept = None
-        else:
-            cut = runs.join(boxes.drop("n"), "box").withColumns(edge)
-            kept = boxes.join(runs.select("box").distinct(), "box", "left_anti")
-        cut = cut.select(F.col("child").alias("box"), *range_names(p), F.col("new_n").alias("n"))
-        boxes = cut if kept is None else cut.unionByName(kept)
-        inside = (F.col(f"i{dim}") >= F.col("new_lo")) & (F.col(f"i{dim}") < F.col("new_hi"))
-        # a box has at most `buckets` runs, so a cell row meets no more than that
-        routed = cells.join(
-            runs.select("box", "child", "new_lo", "new_hi"), "box", "left"
-        ).where(F.col("child").isNull() | inside)
-        cells = routed.withColumn("box", F.coalesce("child", "box")).drop("child", "new_lo", "new_hi")
-    numbered = Window.orderBy(*range_names(p))  # one row per box, at most buckets^dims
-    return boxes.select(
-        (F.row_number().over(numbered) - 1).alias("pid"), *range_names(p), "n"
-    )
+        # an uncut box stays as it is; a box has at most `buckets` runs
+        edges = {f"lo{dim}": "coalesce(lo, lo{d})", f"hi{dim}": "coalesce(hi, hi{d})"}
+        ranges = [
+            f"{edges[name].format(d=dim)} as {name}" if name in edges else name
+            for name in range_names(p)
+        ]
+        boxes = boxes.join(runs, "box", "left").selectExpr(
+            "box as parent", "coalesce(child, box) as box", *ranges, "coalesce(new_n, n) as n"
+        )
+        if level + 1 < len(order):
+            boxes = keep_small(boxes, p.buckets ** (level + 1))
+            routes = boxes.selectExpr("parent as box", "box as child", f"lo{dim} as lo", f"hi{dim} as hi")
+            cells = (
+                cells.join(routes, "box")
+                .where(f"i{dim} >= lo and i{dim} < hi")
+                .selectExpr(*index_names(p), "n", "child as box")
+            )
+    # numbering reads one row per box, at most buckets^dims
+    numbered = f"row_number() over (order by {', '.join(range_names(p))}) - 1 as pid"
+    return boxes.selectExpr(numbered, *range_names(p), "n", "box as path")
 
 
 def plan_cells(plan: DataFrame, p: ScoreParams) -> DataFrame:
     """``cell_id, pid``: every grid cell of every box."""
     cells = plan
     for d, name in enumerate(index_names(p)):
-        cells = cells.withColumn(name, F.explode(F.sequence(F.col(f"lo{d}"), F.col(f"hi{d}") - 1)))
-    return cells.select(cell_id([F.col(n) for n in index_names(p)], p.cells).alias("cell_id"), "pid")
+        cells = cells.selectExpr("*", f"explode(sequence(lo{d}, hi{d} - 1)) as {name}")
+    return cells.selectExpr(f"{cell_id(index_names(p), p.cells)} as cell_id", "pid")
 
 
 def assign_partitions(points: DataFrame, plan: DataFrame, p: ScoreParams) -> DataFrame:
@@ -93,4 +91,4 @@ def assign_partitions(points: DataFrame, plan: DataFrame, p: ScoreParams) -> Dat
 
 
 def partition_sizes(assigned: DataFrame) -> DataFrame:
-    return assigned.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
+    return assigned.groupBy("pid").agg(F.expr("count(1)").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 LEAVES_PER_TASK = 256
@@ -42,10 +43,17 @@ def keep(df: DataFrame) -> DataFrame:
 
 
 def keep_small(df: DataFrame, rows: int) -> DataFrame:
-    """Like :func:`keep` for a table of at most ``rows`` rows; a small one becomes a local table."""
+    """Like :func:`keep` for a table of at most ``rows`` rows.
+
+    A small one becomes a local table in one partition: steps on it need no shuffle.
+    """
     if rows > SMALL_ROWS:
         return keep(df)
-    return df.sparkSession.createDataFrame(df.toArrow())
+    return local_table(df.sparkSession, df.toArrow())
+
+
+def local_table(spark: SparkSession, table: pa.Table) -> DataFrame:
+    return spark.createDataFrame(table).coalesce(1)
 
 
 def task_count(spark: SparkSession, leaves: int) -> int:
