@@ -89,7 +89,7 @@ def exact_knn(points: DataFrame, p: ScoreParams, scope: str = GLOBAL, plan: Data
     return spread_to_copies(points, table, p.k, found.crowded)
 
 
-def _slack(radius: str, p: ScoreParams) -> str:
+def reach_of(radius: str, p: ScoreParams) -> str:
     """``radius`` widened so that a raw distance above it cannot round into a tie."""
     half = 0.0 if p.dist_scale is None else 0.5 * 10.0**-p.dist_scale
     return f"(({radius} + {lit(half)}) * {lit(1.0 + 1e-9)} + 1e-12D)"
@@ -99,7 +99,7 @@ def _with_reach(found: DataFrame, tree: BoxTree, p: ScoreParams) -> DataFrame:
     """Add the radius ``r`` and whether the ball stays within the leaf's free space."""
     leaves = tree.leaves().select("node", "free_lo", "free_hi")
     row_bytes = 64 + 16 * p.dims
-    reach = _slack("r", p)
+    reach = reach_of("r", p)
     if p.dims <= UNROLL_DIMS:
         inside = " and ".join(
             f"c[{i}] - {reach} > free_lo[{i}] and c[{i}] + {reach} < free_hi[{i}]" for i in range(p.dims)
@@ -137,7 +137,7 @@ def _foreign_leaves(edge: DataFrame, tree: BoxTree, p: ScoreParams, scope: str)
         )
         if scope == PARTITION:
             opened = opened.where(f"startswith({_HOME.format('own')}, {_HOME.format('node')})")
-        touched = opened.selectExpr("*", f"{near} as near").where(f"near <= {_slack('r', p)}")
+        touched = opened.selectExpr("*", f"{near} as near").where(f"near <= {reach_of('r', p)}")
         here = _shrink(touched.selectExpr("*", f"{far} as far"), p).select("id", "c", "r", "own", *box)
     return here.where("node <> own").select("id", "c", "r", "own", "node")
 
@@ -151,7 +151,7 @@ def _shrink(frontier: DataFrame, p: ScoreParams) -> DataFrame:
         .selectExpr("*", f"min(enough) over (partition by id) + {lit(step)} as bound")
         .drop("enough", "far")
         .withColumn("r", F.least("r", "bound"))
-        .where(f"near <= {_slack('r', p)}")
+        .where(f"near <= {reach_of('r', p)}")
     )
 
 

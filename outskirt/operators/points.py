@@ -97,6 +97,14 @@ def as_points(
     )
 
 
+def array_points(df: DataFrame, ident: str, array: str) -> DataFrame:
+    """A table with a numeric array column to ``id, c``; rows with gaps are dropped."""
+    c = f"transform({array}, v -> cast(v as double))"
+    return df.selectExpr(f"cast({ident} as bigint) as id", f"{c} as c").where(
+        "c is not null and not exists(c, v -> v is null or isnan(v))"
+    )
+
+
 def as_table(points: DataFrame, dims: int, *keep: str) -> DataFrame:
     """``id, c`` back to ``id, x0, x1, ...``."""
     return points.selectExpr("id", *[f"c[{i}] as x{i}" for i in range(dims)], *keep)
