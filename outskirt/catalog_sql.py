@@ -69,7 +69,7 @@ def wide_knn(gap: str, finish: str) -> str:
     total = f"list_sum(list_transform({gaps}, lambda g: {gap}))"
     return f"""WITH v AS (SELECT vec_id AS id, embedding AS e FROM embeddings),
 pairs AS (SELECT a.id AS id, b.id AS nid, {r(finish.format(total), 2)} AS d FROM v a JOIN v b ON a.id <> b.id)
-SELECT * FROM (SELECT id, nid, row_number() OVER (PARTITION BY id ORDER BY d, nid) AS rank, d FROM pairs)
+SELECT * FROM (SELECT id, nid, (row_number() OVER (PARTITION BY id ORDER BY d, nid))::INT AS rank, d FROM pairs)
 WHERE rank <= 5"""
 
 

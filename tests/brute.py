@@ -9,6 +9,8 @@ def rnd(v, scale):
 
 def brute_force(ids, xs, p):
     """{id: (neighbour ids, distances, kdist, lcf, nof)}"""
+    if not len(ids):
+        return {}
     ids, xs = np.asarray(ids), np.asarray(xs, dtype=float).reshape(len(ids), -1)
     order = np.argsort(ids)
     ids, xs = ids[order], xs[order]
