@@ -14,7 +14,7 @@ from outskirt.functions.cells import cell_indexes
 from outskirt.functions.geometry import items
 from outskirt.functions.neighbors import edges, from_text, to_text
 from outskirt.ingest import normalize_columns
-from outskirt.job import score_points
+from outskirt.job import result_rows, score_points
 from outskirt.operators import support
 from outskirt.operators.histogram import (
     cell_histogram,
@@ -252,6 +252,17 @@ def supplier_nof(spark, sf):
     return score_points(on_domain(table, p), p).select("id", "kdist", "lcf", "nof")
 
 
+def result(spark, sf):
+    """Full result rows, neighbour text decoded, numbers in hundredths."""
+    rows = result_rows(customer_points(spark, sf), P)
+    show = "concat_ws(':', x.rank, x.nid, cast(round(x.d * 100) as bigint), cast(round(x.f[0] * 10000) as bigint), cast(round(x.kdist * 100) as bigint), cast(round(x.lcf * 100) as bigint))"
+    return rows.selectExpr(
+        "id", "c[0] as x", "c[1] as y", "pid", "status", "kdist", "lcf", "nof",
+        f"array_join(transform({from_text('neighbors')}, x -> {show}), ',') as neighbors",
+        "array_join(supports, ',') as supports",
+    )
+
+
 def order_nof(spark, sf):
     return score_points(on_domain(order_table(spark, sf)), P).select("id", "kdist", "lcf", "nof")
 
@@ -391,6 +402,7 @@ QUERIES = {
     "customer_nof": customer_nof,
     "part_nof": part_nof,
     "supplier_nof": supplier_nof,
+    "result_rows": result,
     "order_nof": order_nof,
     "event_nof": event_nof,
     "geojson_vertices": geojson_vertices,

@@ -185,6 +185,20 @@ def local(select: str, support: bool = False) -> str:
     return f"{parts}{', ' + SUPPORT if support else ''} {select}"
 
 
+# the exact neighbours beside those inside the partition
+_G_KNN = knn().replace("knn AS", "gknn AS", 1)
+_G_FORCE = FORCE.replace("force AS", "gforce AS", 1).replace("FROM knn", "FROM gknn")
+_G_LCF = LCF.replace("lcf AS (", "glcf AS (", 1).replace("FROM force", "FROM gforce")
+_G_NOF = NOF.replace("FROM lcf o JOIN force f", "FROM glcf o JOIN gforce f").replace("JOIN lcf m", "JOIN glcf m")
+_RESULT = f""", {_G_KNN}, {_G_FORCE}, {_G_LCF}, gnof AS ({_G_NOF}),
+listed AS (SELECT f.id AS id, string_agg(rank || ':' || nid || ':' || round(d * 100)::BIGINT || ':' || fx || ':' ||
+  round(kdist * 100)::BIGINT || ':' || round(lcf * 100)::BIGINT, ',' ORDER BY rank) AS neighbors
+  FROM gforce f JOIN glcf m ON m.id = f.nid GROUP BY f.id),
+helped AS (SELECT id, string_agg(wide.pid::VARCHAR, ',' ORDER BY wide.pid) AS supports FROM placed JOIN wide USING (cell_id) GROUP BY id)
+SELECT id, x, y, s.pid::INT AS pid, s.status, o.kdist, o.lcf, o.nof, neighbors, coalesce(supports, '') AS supports
+FROM pts JOIN settled s USING (id) JOIN gnof o USING (id) JOIN listed USING (id) LEFT JOIN helped USING (id)"""
+
+
 SHAPES = """SELECT lon, lat, sum(n)::BIGINT AS n FROM (
   SELECT x AS lon, y AS lat, 6 AS n FROM raw UNION ALL SELECT x + 1, y + 2, 3 FROM raw
   UNION ALL SELECT x, y + 2, 1 FROM raw) GROUP BY lon, lat"""
@@ -240,6 +254,7 @@ SQL = {
 knn AS (SELECT * FROM (SELECT a.id AS id, b.id AS nid, a.x - b.x AS dx, 0e0 AS dy, {r('abs(a.x - b.x)', 2)} AS d,
   row_number() OVER (PARTITION BY a.id ORDER BY {r('abs(a.x - b.x)', 2)}, b.id) AS rank
   FROM pts a JOIN pts b ON a.id <> b.id) WHERE rank <= {K}), {FORCE}, {LCF} {NOF}""",
+    "result_rows": local(_RESULT, True),
     "geojson_vertices": f"WITH {CUSTOMER} SELECT 'customers' AS layer, * FROM ({SHAPES})",
     "contiguous_ids": f"WITH {CUSTOMER}, v AS ({SHAPES}) SELECT sum(n)::BIGINT AS n, 1::BIGINT AS first_id,"
     " sum(n)::BIGINT AS last_id, sum(n)::BIGINT AS ids FROM v",

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from outskirt.functions.neighbors import to_text
+from outskirt.operators import support
 from outskirt.operators.copies import spread_to_copies
-from outskirt.operators.knn import nearest_neighbors
-from outskirt.operators.points import as_points, coordinate_columns, normalize
-from outskirt.operators.score import mean_neighbor_force, net_force
+from outskirt.operators.knn import exact_knn, nearest_neighbors
+from outskirt.operators.points import as_points, coordinate_columns, normalize, sample_by_id
+from outskirt.operators.score import mean_neighbor_force, net_force, scored_neighbors
 from outskirt.params import ScoreParams
-from outskirt.session import keep
+from outskirt.plans.grid_plan import partition_plan
+from outskirt.session import keep, keep_small
+from outskirt.sources.tables import read_parquet_points, write_parquet
 
 
 def score_points(points: DataFrame, p: ScoreParams, plan: DataFrame | None = None) -> DataFrame:
@@ -33,3 +37,45 @@ def score_table(df: DataFrame, p: ScoreParams, rescale: bool = True) -> DataFram
     if rescale:
         df = normalize(df, low=p.domain_min, high=p.domain_max, scale=p.point_scale)
     return score_points(as_points(df, p), p)
+
+
+def result_rows(points: DataFrame, p: ScoreParams, plan: DataFrame | None = None) -> DataFrame:
+    """``id, c, pid, status, kdist, lcf, nof, neighbors, supports`` for every point.
+
+    ``status`` tells how far the point's own partition got: ``F`` its neighbours may lie
+    elsewhere, ``L`` its force is final, ``O`` its score is. ``neighbors`` is JSON text,
+    ``supports`` the other partitions that need the point.
+    """
+    points = keep(points)
+    if plan is None:
+        plan = partition_plan(points, p)
+    plan = keep_small(plan, p.buckets**p.dims)
+    status = keep(support.ball_status(support.local_neighbors(points, plan, p), plan, p))
+    cells = support.support_cells(support.partition_expansion(status, plan, p), p)
+    forces = keep(
+        net_force(exact_knn(points, p), p).select("id", "c", "nid", "nd", "nc", "kdist", "lcf")
+    )
+    rows = forces.count()
+    local = keep(net_force(status, p).select("id", "pid", "nid", "lcf", "status"))
+    return (
+        scored_neighbors(forces, p, rows)
+        .join(support.settlement(local, p, rows), "id")
+        .join(support.points_with_support(points, cells, p).drop("c"), "id")
+        .selectExpr(
+            "id", "c", "pid", "status", "kdist", "lcf", "nof", f"{to_text('neighbors')} as neighbors", "pids as supports"
+        )
+    )
+
+
+def score_files(spark: SparkSession, source: str, target: str, p: ScoreParams, detail: bool = False) -> None:
+    """Score a Parquet point table on the domain and write one row per point.
+
+    With ``detail`` the full result rows are written; the partition plan is then made from
+    the rows whose id is a multiple of ``denominator``.
+    """
+    table = read_parquet_points(spark, source, p.dims)
+    points = as_points(table, p)
+    if not detail:
+        return write_parquet(score_points(points, p), target)
+    sample = table if p.denominator == 1 else sample_by_id(table, p.denominator)
+    write_parquet(result_rows(points, p, partition_plan(as_points(sample, p), p)), target)

@@ -129,8 +129,12 @@ def _foreign_leaves(edge: DataFrame, tree: BoxTree, p: ScoreParams, scope: str)
         packed = level.groupBy(F.col("parent").alias("node")).agg(
             F.expr(f"collect_list(struct({', '.join(box)}))").alias("kids")
         )
+        if level is tree.levels[0]:  # all start at the root: its few children are one value
+            asked = here.withColumn("kids", packed.select("kids").scalar())
+        else:
+            asked = lookup_join(here, packed, "node", (96 + 16 * p.dims) * boxes, "left")
         opened = (
-            lookup_join(here, packed, "node", (96 + 16 * p.dims) * boxes, "left")
+            asked
             # a leaf has no children and stays
             .selectExpr("id", "c", "r", "own", f"explode(coalesce(kids, array(struct({', '.join(box)})))) as kid")
             .selectExpr("id", "c", "r", "own", "kid.*")

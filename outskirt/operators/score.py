@@ -66,15 +66,39 @@ def neighbor_forces(forces: DataFrame, rows: int, *keep: str) -> DataFrame:
     return lookup_join(pairs, lcf, "nid", 24 * rows)
 
 
+def _mean_of(m: str, p: ScoreParams) -> str:
+    """Aggregate: mean neighbour lcf with k as the divisor."""
+    if p.lcf_scale is None:
+        total = f"sum({m})"
+    else:
+        total = f"sum({scaled_long(m, p.lcf_scale)}) / {unit(p.lcf_scale)}"
+    return round_to(f"{total} / {lit(p.k)}", p.nof_scale)
+
+
+def _nof(p: ScoreParams) -> str:
+    return f"if(lcf <= {lit(ZERO_LCF)}, 0.0D, {finite_or_zero('mean')}) as nof"
+
+
 def mean_neighbor_force(forces: DataFrame, p: ScoreParams, rows: int, *keep: str) -> DataFrame:
     """``id, keep..., kdist, lcf, nof`` from ``id, nid, kdist, lcf``."""
     m = neighbor_forces(forces, rows, *keep, "kdist", "lcf")
-    if p.lcf_scale is None:
-        total = "sum(m)"
-    else:
-        total = f"sum({scaled_long('m', p.lcf_scale)}) / {unit(p.lcf_scale)}"
-    mean = round_to(f"{total} / {lit(p.k)}", p.nof_scale)
     carried = [F.first(c).alias(c) for c in (*keep, "kdist", "lcf")]
-    out = m.groupBy("id").agg(*carried, F.expr(mean).alias("mean"))
-    nof = f"if(lcf <= {lit(ZERO_LCF)}, 0.0D, {finite_or_zero('mean')}) as nof"
-    return out.selectExpr("id", *keep, "kdist", "lcf", nof)
+    out = m.groupBy("id").agg(*carried, F.expr(_mean_of("m", p)).alias("mean"))
+    return out.selectExpr("id", *keep, "kdist", "lcf", _nof(p))
+
+
+def scored_neighbors(forces: DataFrame, p: ScoreParams, rows: int) -> DataFrame:
+    """``id, c, kdist, lcf, nof, neighbors``; the list has each neighbour's distance, force, kdist and lcf.
+
+    Input is ``id, c, nid, nd, nc, kdist, lcf``; one pass over the edges gives score and list.
+    """
+    known = forces.selectExpr("id as nid", "kdist as nk", "lcf as m")
+    vector = ", ".join(round_to(force(f"c[{i}]", f"s[{i}]", "d"), p.force_scale) for i in range(p.dims))
+    pairs = edges(forces, p.dims).selectExpr("id", "nid", "rank", "d", f"array({vector}) as f")
+    entry = "named_struct('rank', rank, 'nid', nid, 'd', d, 'f', f, 'kdist', nk, 'lcf', m)"
+    lists = (
+        lookup_join(pairs, known, "nid", 32 * rows)
+        .groupBy("id")
+        .agg(F.expr(_mean_of("m", p)).alias("mean"), F.expr(f"array_sort(collect_list({entry}))").alias("neighbors"))
+    )
+    return forces.join(lists, "id", "left").selectExpr("id", "c", "kdist", "lcf", _nof(p), "neighbors")

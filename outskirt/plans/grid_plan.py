@@ -31,6 +31,7 @@ def partition_plan(points: DataFrame, p: ScoreParams) -> DataFrame:
     """``pid, lo0, hi0, lo1, hi1, ..., n, path`` in cell units; the boxes tile the domain.
 
     ``path`` has two hexadecimal digits per cut: boxes of one slab share their prefix.
+    Without any point the plan is one box.
 
     Only the cell histogram is cut, one dimension per step in order of uniformity, so
     the points are read once. A box with at most ``2k + 1`` points is not cut again.
@@ -41,7 +42,8 @@ def partition_plan(points: DataFrame, p: ScoreParams) -> DataFrame:
     order = dimension_order(slab_frequency(histogram, p), p)[:CUT_DIMS]
     everywhere = [f"{0 if name.startswith('lo') else p.cells} as {name}" for name in range_names(p)]
     cells = histogram.selectExpr("*", "'' as box")
-    boxes = cells.groupBy("box").agg(F.sum("n").alias("n")).selectExpr("box", *everywhere, "n")
+    total = histogram.agg(F.expr("coalesce(sum(n), 0)").alias("n"))
+    boxes = total.selectExpr("'' as box", *everywhere, "n")
     for level, dim in enumerate(order):
         limit = -1 if level == 0 else 2 * p.k + 1
         slabs = (
@@ -71,7 +73,7 @@ def partition_plan(points: DataFrame, p: ScoreParams) -> DataFrame:
             )
     # numbering reads one row per box, at most buckets^dims
     numbered = f"row_number() over (order by {', '.join(range_names(p))}) - 1 as pid"
-    return boxes.selectExpr(numbered, *range_names(p), "n", "box as path")
+    return boxes.selectExpr(numbered, *range_names(p), "n", "if(box = '', '00', box) as path")
 
 
 def plan_cells(plan: DataFrame, p: ScoreParams) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 LEAVES_PER_TASK = 256
+MOST_TASKS = 100_000
 # A table of at most this many (narrow) rows may pass through the driver.
 SMALL_ROWS = 20_000
 
@@ -57,4 +58,4 @@ def local_table(spark: SparkSession, table: pa.Table) -> DataFrame:
 
 
 def task_count(spark: SparkSession, leaves: int) -> int:
-    return max(spark.sparkContext.defaultParallelism, leaves // LEAVES_PER_TASK)
+    return max(spark.sparkContext.defaultParallelism, min(leaves // LEAVES_PER_TASK, MOST_TASKS))

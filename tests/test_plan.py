@@ -84,3 +84,9 @@ def test_tree_leaves_are_small_and_complete(spark, leaf_rows):
     leaves = {r.node: r.n for r in tree.leaves().collect()}
     found = {r.node: r["count"] for r in tree.points.groupBy("node").count().collect()}
     assert leaves == found and sum(found.values()) == 900 and max(found.values()) <= leaf_rows
+
+
+def test_plan_of_nothing_is_the_whole_domain(spark):
+    p = ScoreParams()
+    empty = spark.createDataFrame([], "id bigint, c array<double>")
+    assert [tuple(r) for r in partition_plan(empty, p).collect()] == [(0, 0, 50, 0, 50, 0, "00")]

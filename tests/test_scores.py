@@ -5,6 +5,7 @@ from brute import brute_force
 
 from outskirt import ScoreParams, score_points, score_table
 from outskirt.functions.neighbors import edges
+from outskirt.job import score_files
 from outskirt.operators import joins
 from outskirt.operators.knn import exact_knn
 from outskirt.operators.score import force_vectors, net_force, net_force_of
@@ -149,3 +150,16 @@ def test_score_table(spark):
 def test_edges_rank_from_one(spark):
     knn = exact_knn(table(spark, SEVEN), ScoreParams(k=2))
     assert {r["rank"] for r in edges(knn, 2).collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("detail", [False, True])
+def test_score_files(spark, tmp_path, detail):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = skewed(120, 2, 8)
+    table(spark, rows).selectExpr("id", "c[0] as x", "c[1] as y", "'a' as label").write.parquet(source)
+    # no id is a multiple of the denominator: the sample is empty, the plan one box
+    p = ScoreParams(k=3, denominator=1_000_003, leaf_rows=20)
+    score_files(spark, source, target, p, detail)
+    want = brute_force([r[0] for r in rows], [r[1] for r in rows], p)
+    got = {r.id: (r.kdist, r.lcf, r.nof) for r in spark.read.parquet(target).collect()}
+    assert got == {i: w[2:] for i, w in want.items()}
