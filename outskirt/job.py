@@ -20,11 +20,9 @@ def score_points(points: DataFrame, p: ScoreParams, plan: DataFrame | None = Non
     """``id, c, kdist, lcf, nof`` for every row of ``points`` (``id, c``)."""
     found = nearest_neighbors(points, p, plan=plan)
     forces = keep(net_force(found.table, p).select("id", "c", "place", "nid", "kdist", "lcf"))
-    scored = mean_neighbor_force(forces, p, found.rows, "c", "place")
+    scored = mean_neighbor_force(forces, p, found.rows)
     if found.crowded:
         scored = keep(scored)
-    if found.rows == 1:  # no neighbour, no edge
-        scored = forces.selectExpr("id", "c", "place", "kdist", "lcf", "0.0D as nof")
     return spread_to_copies(points, scored, p.k, found.crowded)
 
 

@@ -31,7 +31,8 @@ _HOME = "split_part({}, ':', 1)"  # path of the plan box around a node
 
 @dataclass
 class Neighbors:
-    """``table``: ``id, c, place, home, nid, nd, nc, settled`` per representative.
+    """``table``: ``id, c, place, home, nid, nd, nc, settled`` per representative, with
+    ``place`` only for the last one of a crowded location.
 
     ``home`` is the path of the plan box.
     ``settled`` tells whether the own leaf already gave the final list. ``rows`` is the
@@ -75,9 +76,10 @@ def nearest_neighbors(
     near = edge.selectExpr("id", "c", "node as leaf", *lists).unionByName(found)
     table = inner.unionByName(_merge(near, p))
     if size["crowded"]:
-        table = table.join(reps.select("id", "place"), "id")
+        last = reps.where(f"place = {p.k + 2}").select("id", "place")
+        table = lookup_join(table, last, "id", 16 * size["crowded"], "left")
     else:
-        table = table.selectExpr("*", "1 as place")
+        table = table.selectExpr("*", "cast(null as int) as place")
     table = table.selectExpr("id", "c", "place", f"{_HOME.format('leaf')} as home", *lists, "settled")
     return Neighbors(table, size["n"], size["crowded"])
 

@@ -56,16 +56,6 @@ def net_force_of(vectors: DataFrame, p: ScoreParams) -> DataFrame:
     )
 
 
-def neighbor_forces(forces: DataFrame, rows: int, *keep: str) -> DataFrame:
-    """``id, keep..., nid, m``: each edge with the neighbour's lcf ``m``.
-
-    A hub that is everyone's neighbour is a hot key here; ``lookup_join`` splits it.
-    """
-    lcf = forces.selectExpr("id as nid", "lcf as m")
-    pairs = forces.selectExpr("id", *keep, "explode(nid) as nid")
-    return lookup_join(pairs, lcf, "nid", 24 * rows)
-
-
 def _mean_of(m: str, p: ScoreParams) -> str:
     """Aggregate: mean neighbour lcf with k as the divisor."""
     if p.lcf_scale is None:
@@ -79,12 +69,19 @@ def _nof(p: ScoreParams) -> str:
     return f"if(lcf <= {lit(ZERO_LCF)}, 0.0D, {finite_or_zero('mean')}) as nof"
 
 
-def mean_neighbor_force(forces: DataFrame, p: ScoreParams, rows: int, *keep: str) -> DataFrame:
-    """``id, keep..., kdist, lcf, nof`` from ``id, nid, kdist, lcf``."""
-    m = neighbor_forces(forces, rows, *keep, "kdist", "lcf")
-    carried = [F.first(c).alias(c) for c in (*keep, "kdist", "lcf")]
-    out = m.groupBy("id").agg(*carried, F.expr(_mean_of("m", p)).alias("mean"))
-    return out.selectExpr("id", *keep, "kdist", "lcf", _nof(p))
+def mean_neighbor_force(forces: DataFrame, p: ScoreParams, rows: int) -> DataFrame:
+    """Add ``nof`` to ``id, nid, kdist, lcf, ...`` and drop ``nid``.
+
+    Only ids and one number per edge travel. A hub that is everyone's neighbour is a hot
+    key of the lookup, which ``lookup_join`` splits.
+    """
+    lcf = forces.selectExpr("id as nid", "lcf as m")
+    pairs = forces.selectExpr("id", "explode(nid) as nid")
+    means = (
+        lookup_join(pairs, lcf, "nid", 24 * rows).groupBy("id").agg(F.expr(_mean_of("m", p)).alias("mean"))
+    )
+    kept = [c for c in forces.columns if c != "nid"]
+    return forces.drop("nid").join(means, "id", "left").selectExpr(*kept, _nof(p))
 
 
 def scored_neighbors(forces: DataFrame, p: ScoreParams, rows: int) -> DataFrame:

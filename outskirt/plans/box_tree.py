@@ -92,21 +92,17 @@ def grow(points: DataFrame, p: ScoreParams, rows: int, plan: DataFrame | None =
     else:
         placed = points.selectExpr("id", "c", "'00' as node")
 
-    levels = _plan_levels(placed, p)
-    counted = [_counts(level) for level in levels]
-    while counted[-1]["open"]:
-        open_boxes = counted[-1]["open"]
+    levels, rows, open_boxes = _plan_levels(placed, p)
+    while open_boxes:
         cuts = _cuts(placed, levels[-1].where("not leaf and not cut"), open_boxes, p)
         placed = _route(placed, _routes(cuts), open_boxes)
         if len(levels) % 4 == 0:
             placed = keep(placed)
         levels.append(keep_small(_children(cuts, p), FAN * open_boxes))
-        counted.append(_counts(levels[-1]))
-    return BoxTree(placed, plan, levels, [c["boxes"] for c in counted])
-
-
-def _counts(level: DataFrame) -> dict:
-    return level.selectExpr("count(1) as boxes", "count_if(not leaf and not cut) as open").first().asDict()
+        count = levels[-1].selectExpr("count(1) as boxes", "count_if(not leaf) as open").first()
+        rows.append(count["boxes"])
+        open_boxes = count["open"]
+    return BoxTree(placed, plan, levels, rows)
 
 
 def _bounds(dims: int) -> list[Column]:
@@ -122,10 +118,10 @@ def _is_leaf(p: ScoreParams) -> str:
     return f"(n <= {p.leaf_rows} or lo = hi)"
 
 
-def _plan_levels(placed: DataFrame, p: ScoreParams) -> list[DataFrame]:
-    """The plan's levels: at most ``MAX_PLAN_BOXES`` boxes, whose bounds pass the driver.
+def _plan_levels(placed: DataFrame, p: ScoreParams) -> tuple[list[DataFrame], list[int], int]:
+    """The plan's levels, their row counts and the number of boxes to cut further.
 
-    Boxes stopped early (few points) are listed on the last level too.
+    The bounds of at most ``MAX_PLAN_BOXES`` boxes pass the driver. Boxes stopped early (few points) are listed on the last level too.
     """
     boxes = placed.groupBy("node").agg(*_bounds(p.dims)).toArrow()
     paths = boxes["node"].to_pylist()
@@ -140,7 +136,7 @@ def _plan_levels(placed: DataFrame, p: ScoreParams) -> list[DataFrame]:
     rows = {"node": paths, "n": n, "lo": list(lo), "hi": list(hi), "free_lo": list(free_lo), "free_hi": list(free_hi)}
     cuts = max((len(path) for path in paths), default=2) // 2
     spark = placed.sparkSession
-    levels = []
+    levels, counts = [], []
     for depth in range(1, cuts):
         # upper boxes only route searches: bounds of their boxes, nothing else
         groups: dict[str, list[int]] = {}
@@ -154,9 +150,13 @@ def _plan_levels(placed: DataFrame, p: ScoreParams) -> list[DataFrame]:
             "hi": [hi[m].max(axis=0) for m in members],
         }
         upper["free_lo"], upper["free_hi"] = upper["lo"], upper["hi"]
+        counts.append(len(groups))
         levels.append(_local_level(spark, upper, [g[: 2 * depth - 2] for g in groups], p, cut=True))
     parents = [path[: 2 * (cuts - 1)] for path in paths]
-    return [*levels, _local_level(spark, rows, parents, p, cut=False)]
+    levels.append(_local_level(spark, rows, parents, p, cut=False))
+    counts.append(len(paths))
+    open_boxes = int(((n > p.leaf_rows) & (lo != hi).any(axis=1)).sum())
+    return levels, counts, open_boxes
 
 
 def _local_level(spark, rows: dict, parents: list[str], p: ScoreParams, cut: bool) -> DataFrame:
@@ -185,7 +185,7 @@ def _cuts(placed: DataFrame, open_boxes: DataFrame, count: int, p: ScoreParams)
             "*",
             "cast(array_position(sides, array_max(sides)) - 1 as int) as dim",
             # aim below the limit, so that uneven parts seldom need another round
-            f"ceil(n / {0.65 * p.leaf_rows}D) as parts",
+            f"ceil(n / {FILL * p.leaf_rows}D) as parts",
         )
         .selectExpr(
             "node",
