@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from outskirt.params import ScoreParams
 
 RESULT = "id bigint, c array<double>, node string, nid array<bigint>, nd array<double>, nc array<double>"
+OWN_RESULT = f"{RESULT}, r double, settled boolean"
 _FLUSH_ROWS = 20_000
 
 
@@ -30,8 +31,13 @@ def pack_leaves(points: DataFrame, partitions: int) -> DataFrame:
 
 
 def nearest_within_leaf(leaves: DataFrame, p: ScoreParams) -> DataFrame:
-    """Every point against its own leaf, itself left out."""
-    return leaves.select("node", "ids", "cs").mapInArrow(_run(_own_block(p), p.dims), RESULT)
+    """Every point against its own leaf, itself left out.
+
+    ``leaves`` has ``free_lo, free_hi`` besides the packed points. ``r`` is the distance of the
+    k-th neighbour, infinite with fewer; ``settled`` tells whether that ball stays in the free space.
+    """
+    cols = leaves.select("node", "ids", "cs", "free_lo", "free_hi")
+    return cols.mapInArrow(_run(_own_block(p), p.dims), OWN_RESULT)
 
 
 def nearest_in_other_leaf(pairs: DataFrame, p: ScoreParams) -> DataFrame:
@@ -40,12 +46,26 @@ def nearest_in_other_leaf(pairs: DataFrame, p: ScoreParams) -> DataFrame:
     return cols.mapInArrow(_run(_foreign_block(p), p.dims), RESULT)
 
 
+def slack(radius, p: ScoreParams):
+    """``radius`` widened so that a raw distance above it cannot round into a tie."""
+    half = 0.0 if p.dist_scale is None else 0.5 * 10.0**-p.dist_scale
+    return (radius + half) * (1.0 + 1e-9) + 1e-12
+
+
 def _own_block(p: ScoreParams) -> Callable:
     def one(row: dict) -> tuple:
         ids, cs = row["ids"], row["cs"].reshape(-1, p.dims)
         d = _distances(cs, cs, p)
         np.fill_diagonal(d, np.inf)
-        return (ids, cs, ids, cs, *_smallest(d, p.k))
+        at, best = _smallest(d, p.k)
+        r = best[:, -1] if best.shape[1] == p.k else np.full(len(ids), np.inf)
+        free_lo, free_hi = row["free_lo"], row["free_hi"]
+        if np.isinf(free_lo).all() and np.isinf(free_hi).all():  # nothing is outside
+            settled = np.ones(len(ids), dtype=bool)
+        else:
+            reach = slack(r, p)[:, None]
+            settled = ((cs - reach > free_lo) & (cs + reach < free_hi)).all(axis=1)
+        return (ids, cs, ids, cs, at, best, {"r": r, "settled": settled})
 
     return one
 
@@ -55,7 +75,7 @@ def _foreign_block(p: ScoreParams) -> Callable:
         qcs, cs = row["qcs"].reshape(-1, p.dims), row["cs"].reshape(-1, p.dims)
         d = _distances(qcs, cs, p)
         d[d > row["qrs"][:, None]] = np.inf
-        return (row["qids"], qcs, row["ids"], cs, *_smallest(d, p.k))
+        return (row["qids"], qcs, row["ids"], cs, *_smallest(d, p.k), {})
 
     return one
 
@@ -113,7 +133,7 @@ def _run(one: Callable, dims: int) -> Callable:
 
 
 def _block_rows(node: str, result: tuple, dims: int) -> pa.RecordBatch:
-    qids, qcs, ids, cs, at, best = result
+    qids, qcs, ids, cs, at, best, more = result
     found = np.isfinite(best)
     stops = np.concatenate([[0], np.cumsum(found.sum(axis=1))])
     picked = at[found]
@@ -131,6 +151,7 @@ def _block_rows(node: str, result: tuple, dims: int) -> pa.RecordBatch:
             lists(ids[picked], 1),
             lists(best[found], 1),
             lists(np.ascontiguousarray(cs[picked]).ravel(), dims),
+            *[pa.array(values) for values in more.values()],
         ],
-        names=["id", "c", "node", "nid", "nd", "nc"],
+        names=["id", "c", "node", "nid", "nd", "nc", *more],
     )

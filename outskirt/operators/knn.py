@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from outskirt.functions.geometry import UNROLL_DIMS, nearest_and_farthest
+from outskirt.functions.geometry import nearest_and_farthest
 from outskirt.functions.numeric import lit
 from outskirt.operators.blocks import nearest_in_other_leaf, nearest_within_leaf, pack_leaves
 from outskirt.operators.copies import representatives, spread_to_copies
@@ -59,9 +59,8 @@ def nearest_neighbors(
     )
     size = seen.get
     tree = grow(reps.select("id", "c"), p, size["n"], plan)
-    tasks = task_count(points.sparkSession, tree.boxes)
-    leaves = keep(pack_leaves(tree.points, tasks))
-    local = keep(_with_reach(nearest_within_leaf(leaves, p), tree, p))
+    leaves = keep(_packed(tree, p))
+    local = keep(nearest_within_leaf(leaves, p))
     lists = ["nid", "nd", "nc"]
     inner = local.where("settled").selectExpr("id", "c", "node as leaf", *lists, "settled")
     edge = local.where("not settled")
@@ -70,7 +69,7 @@ def nearest_neighbors(
         .groupBy("node", "own")
         .agg(F.expr("collect_list(struct(id, c, r))").alias("q"))
         .selectExpr("node", "q.id as qids", "flatten(q.c) as qcs", "q.r as qrs")
-        .join(leaves, "node")
+        .join(leaves.select("node", "ids", "cs"), "node")
     )
     found = nearest_in_other_leaf(blocks, p).selectExpr("id", "c", "cast(null as string) as leaf", *lists)
     near = edge.selectExpr("id", "c", "node as leaf", *lists).unionByName(found)
@@ -92,30 +91,17 @@ def exact_knn(points: DataFrame, p: ScoreParams, scope: str = GLOBAL, plan: Data
 
 
 def reach_of(radius: str, p: ScoreParams) -> str:
-    """``radius`` widened so that a raw distance above it cannot round into a tie."""
+    """:func:`outskirt.operators.blocks.slack` as SQL."""
     half = 0.0 if p.dist_scale is None else 0.5 * 10.0**-p.dist_scale
     return f"(({radius} + {lit(half)}) * {lit(1.0 + 1e-9)} + 1e-12D)"
 
 
-def _with_reach(found: DataFrame, tree: BoxTree, p: ScoreParams) -> DataFrame:
-    """Add the radius ``r`` and whether the ball stays within the leaf's free space."""
-    leaves = tree.leaves().select("node", "free_lo", "free_hi")
-    row_bytes = 64 + 16 * p.dims
-    reach = reach_of("r", p)
-    if p.dims <= UNROLL_DIMS:
-        inside = " and ".join(
-            f"c[{i}] - {reach} > free_lo[{i}] and c[{i}] + {reach} < free_hi[{i}]" for i in range(p.dims)
-        )
-    else:
-        gaps = "zip_with(zip_with(c, free_lo, (x, a) -> x - a), zip_with(free_hi, c, (b, x) -> b - x), (l, u) -> least(l, u))"
-        inside = f"array_min({gaps}) > {reach}"
-    # an infinite ball is inside only where nothing is outside: a tree of one leaf
-    settled = "true" if tree.boxes == 1 else inside
-    return (
-        lookup_join(found, leaves, "node", row_bytes * tree.boxes)
-        .selectExpr("*", f"if(size(nid) >= {p.k}, element_at(nd, -1), double('inf')) as r")
-        .selectExpr("node", "id", "c", "nid", "nd", "nc", "r", f"{settled} as settled")
-    )
+def _packed(tree: BoxTree, p: ScoreParams) -> DataFrame:
+    """``node, ids, cs, free_lo, free_hi``: one row per leaf."""
+    tasks = task_count(tree.points.sparkSession, tree.boxes)
+    free = tree.leaves().select("node", "free_lo", "free_hi")
+    # one row per leaf on both sides
+    return lookup_join(pack_leaves(tree.points, tasks), free, "node", (64 + 16 * p.dims) * tree.boxes)
 
 
 def _foreign_leaves(edge: DataFrame, tree: BoxTree, p: ScoreParams, scope: str) -> DataFrame:
