@@ -165,3 +165,15 @@ def test_score_files(spark, tmp_path, detail):
     want = brute_force([r[0] for r in rows], [r[1] for r in rows], p)
     got = {r.id: (r.kdist, r.lcf, r.nof) for r in spark.read.parquet(target).collect()}
     assert got == {i: w[2:] for i, w in want.items()}
+
+
+def test_domain_below_zero(spark):
+    rows = [(i, [round(v - 50.0, 4) for v in c]) for i, c in skewed(300, 2, 11)]
+    p = ScoreParams(k=3, leaf_rows=30, domain_min=-50.0, domain_max=50.0, cells=20)
+    check(spark, rows, p)
+    points = table(spark, rows)
+    plan = spark.createDataFrame(partition_plan(points, p).toArrow())
+    best = {r.id: list(r.nid) for r in exact_knn(points, p).collect()}
+    status = ball_status(local_neighbors(points, plan, p), plan, p).collect()
+    assert len(status) == 300
+    assert all(list(r.nid) == best[r.id] for r in status if r.status == "T")
