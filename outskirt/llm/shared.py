@@ -53,3 +53,19 @@ def text_or_empty(column: str = "text") -> Column:
 def width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which the cluster's owner fits to the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(frame: DataFrame, folder: str, name: str, key: str) -> DataFrame:
+    """``frame`` as a table bucketed by ``key``: later joins and groups on it do not shuffle it again."""
+    spark = frame.sparkSession
+    n, full = width(spark), f"{name}_{uuid.uuid4().hex}"
+    writer = frame.repartition(n, key).write.option("path", f"{folder}/{full}").option("compression", "zstd")
+    writer.bucketBy(n, key).saveAsTable(full)
+    return spark.table(full)
+
+
+def rows_of(out: dict, schema):
+    """A record batch of the columns in ``out``."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
