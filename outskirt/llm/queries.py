@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outskirt.llm import decontaminate, lines, simhash, substring
+from outskirt.llm import decontaminate, lines, packing, simhash, substring
 from outskirt.llm.shared import table
 
+#: The vocabulary of byte_bpe_50k.json as ranks.
+RANKS = "byte_bpe_50k.tiktoken"
+
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -30,10 +34,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
+    "op9_packing": op9_packing,
     "op10_decontaminate": op10_decontaminate,
 }
 
