@@ -1,10 +1,10 @@
 """SimHash near-duplicates by a segment-popcount embedding.
 
 The 64 bits of a fingerprint are 32 segments of two; the bit counts of the segments (0, 1 or 2) are a point of a
-grid, and the Manhattan distance of two points never exceeds the number of differing bits. If that
-is at most 4, then in one half of the segments the points are at most 2 apart, so some grid cell is
-at most one step from both. Every distinct fingerprint goes to its own cell and the cells one step
-away, for each half (about 50 rows); fingerprints that meet in a cell are compared bit by bit.
+grid, and the Manhattan distance of two points never exceeds the number of differing bits. Cut into eight blocks
+of four segments, points at most 4 apart agree in at least four blocks. So the range join is an
+equality join on the cells of 70 coarser grids, one for each choice of four blocks: every distinct
+fingerprint is a row of one cell in each. What meets in a cell is compared by Manhattan distance, then bit by bit.
 
 Cells of one fingerprint are dropped by an aggregate. Crowded cells (groups of near copies) are cut into
 blocks, and each pair of blocks is one group of bounded size; such a group yields a star per component
@@ -13,6 +13,8 @@ in it instead of its links, so rows do not grow with the square of a group.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -67,22 +69,32 @@ def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, "text").mapInArrow(_fingerprint, f"id {kind}, fp long")
 
 
-def cells_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, fingerprint) for the own cell and all cells one step away, in both halves."""
+def grid_points(fps: np.ndarray) -> np.ndarray:
+    """The segments' bit counts, two bits for each: 0 is 00, 1 is 01, 2 is 11. So written, Manhattan distance is the
+    number of differing bits."""
     one, low = np.uint64(1), np.uint64(0x5555555555555555)
-    counts = fps - ((fps >> one) & low)  # two bits each: the bit count of a segment
-    cells, owners = [], []
-    for half in (0, 1):
-        code = (counts >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
-        tag = np.uint64(half << 32)
-        cells.append(code | tag)
-        owners.append(fps)
-        for i in range(0, 32, 2):
-            field, step = (code >> np.uint64(i)) & np.uint64(3), np.uint64(1 << i)
-            for at, moved in ((field < 2, code + step), (field > 0, code - step)):
-                cells.append(moved[at] | tag)
-                owners.append(fps[at])
-    return np.concatenate(cells), np.concatenate(owners)
+    return ((fps | (fps >> one)) & low) | ((fps & (fps >> one) & low) << one)
+
+
+def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether fingerprints are at most MOST_BITS apart: the lower bound first, exactly where it passes."""
+    out = np.bitwise_count(grid_points(x) ^ grid_points(y)) <= MOST_BITS
+    x, y = np.broadcast_arrays(x, y)
+    out[out] = np.bitwise_count(x[out] ^ y[out]) <= MOST_BITS
+    return out
+
+
+def cells_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, fingerprint) in each of the coarser grids."""
+    points = grid_points(fps)
+    blocks = [(points >> np.uint64(8 * b)) & np.uint64(0xFF) for b in range(8)]
+    cells = []
+    for tag, chosen in enumerate(itertools.combinations(range(8), 8 - MOST_BITS)):
+        cell = np.full(len(fps), tag << 32, dtype=np.uint64)
+        for place, b in enumerate(chosen):
+            cell |= blocks[b] << np.uint64(8 * place)
+        cells.append(cell)
+    return np.concatenate(cells), np.tile(fps, len(cells))
 
 
 def _spread(batches):
@@ -96,7 +108,7 @@ def _spread(batches):
 
 def _stars(fps: np.ndarray) -> list[tuple[int, int]]:
     """(smallest, other) of each component among ``fps``."""
-    linked = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= MOST_BITS
+    linked = near(fps[:, None], fps[None, :])
     left, out = np.ones(len(fps), dtype=bool), []
     for i in range(len(fps)):
         if not left[i]:
@@ -128,9 +140,9 @@ def _compare(batches):
         for d in range(1, int(min(SMALL, sizes.max()))):
             same = mine[d:] == mine[:-d]
             x, y = own[d:][same], own[:-d][same]
-            near = np.bitwise_count(x ^ y) <= MOST_BITS
-            a.append(x[near].view(np.int64))
-            b.append(y[near].view(np.int64))
+            close = near(x, y)
+            a.append(x[close].view(np.int64))
+            b.append(y[close].view(np.int64))
         for g in np.flatnonzero(sizes > SMALL):
             found = _stars(fps[first[g] : first[g] + sizes[g]])
             a.append(np.array([x for x, _ in found], dtype=np.int64))
