@@ -6,13 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outskirt.llm import decontaminate, lines, packing, simhash, substring
+from outskirt.llm import decontaminate, lines, packing, simhash, substring, toxicity
 from outskirt.llm.shared import table
 
 #: The vocabulary of byte_bpe_50k.json as ranks.
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = lines.drop_repeated_lines(docs)
@@ -40,6 +47,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
