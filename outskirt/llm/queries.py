@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outskirt.llm import decontaminate, lines, packing, simhash, substring, toxicity
-from outskirt.llm.shared import table
+from outskirt.llm import decontaminate, lines, packing, simhash, substring, toxicity, warc
+from outskirt.llm.shared import shared_folder, table
 
 #: The vocabulary of byte_bpe_50k.json as ranks.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -20,6 +20,17 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), f"{folder}/archives")
+    records = warc.resolved(warc.read(spark, f"{folder}/archives"), folder)
+    page = lambda c: F.element_at(F.split(c, ":"), -1).try_cast("long")
+    return records.select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        page("refers_to").alias("refers_to"),
+    )
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = lines.drop_repeated_lines(docs)
@@ -49,6 +60,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
+    "op3_warc": op3_warc,
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
