@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outskirt.llm import decontaminate, lines, packing, simhash, substring, toxicity, warc
+from outskirt.llm import decontaminate, fingerprints, lines, packing, simhash, substring, toxicity, warc
 from outskirt.llm.shared import shared_folder, table
 
 #: The vocabulary of byte_bpe_50k.json as ranks.
@@ -20,6 +20,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
     warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), f"{folder}/archives")
@@ -60,6 +64,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
+    "op2_fingerprints": op2_fingerprints,
     "op3_warc": op3_warc,
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
