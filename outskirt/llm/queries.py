@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outskirt.llm import decontaminate, fingerprints, lines, packing, simhash, substring, toxicity, warc
+from outskirt.llm import decontaminate, fingerprints, licenses, lines, packing, sharding, simhash, substring, toxicity, warc
 from outskirt.llm.shared import shared_folder, table
 
 #: The vocabulary of byte_bpe_50k.json as ranks.
@@ -35,6 +35,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = lines.drop_repeated_lines(docs)
@@ -63,7 +71,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op4_sharding": op4_sharding,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_licenses": op6_licenses,
     "op2_fingerprints": op2_fingerprints,
     "op3_warc": op3_warc,
     "op7_line_dedup": op7_line_dedup,
@@ -75,7 +85,58 @@ QUERIES = {
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+
+def _templates() -> str:
+    rows = []
+    for tid, (words, label) in enumerate(licenses.PHRASES + licenses.NOTICES):
+        base, words = str(tid < len(licenses.PHRASES)).lower(), words.split()
+        for i in range(len(words) - 1):
+            rows.append(f"({tid}, '{label}', {base}, {len(words) - 1}, {i}, '{words[i]}', '{words[i + 1]}')")
+    return ", ".join(rows)
+
+
 SQL = {
+    "op4_sharding": f"""
+WITH r AS (
+  SELECT doc_id, strlen(coalesce(text, '')) AS doc_bytes,
+         ('0x' || md5(doc_id::VARCHAR)[1:15])::BIGINT AS h FROM documents),
+p AS (SELECT r.*, d, CASE WHEN d = 0 THEN 0 ELSE h >> (60 - d)::INT END AS prefix FROM r, range(31) AS t(d)),
+s AS (SELECT d, prefix, sum(doc_bytes) AS shard_bytes, count(*) AS shard_docs FROM p GROUP BY ALL),
+f AS (SELECT p.*, shard_bytes, shard_docs FROM p JOIN s USING (d, prefix)
+      WHERE shard_bytes <= {sharding.SHARD_BYTES} OR shard_docs = 1
+      QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d) = 1)
+SELECT doc_id, doc_bytes, CASE WHEN d = 0 THEN '' ELSE lpad(bin(prefix), d::INT, '0') END AS shard, d::INT AS depth,
+       shard_bytes::BIGINT AS shard_bytes, shard_docs FROM f""",
+    "op6_licenses": f"""
+WITH t(tid, label, base, grams, tpos, t1, t2) AS (VALUES {_templates()}),
+w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_ABC}),
+         '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, unnest(ws[:-2]) AS w1, unnest(ws[2:]) AS w2, unnest(range(len(ws) - 1)) AS pos
+      FROM w WHERE len(ws) > 1),
+m AS (SELECT doc_id, tid, label, base, grams, pos - tpos AS diagonal, tpos, pos
+      FROM g JOIN t ON w1 = t1 AND w2 = t2),
+d AS (SELECT doc_id, tid, label, base, grams, diagonal, count(*) AS votes, bit_or(1::BIGINT << tpos) AS mask,
+             min(pos) AS low, max(pos) AS high FROM m GROUP BY ALL),
+e AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) > {licenses.BAND},
+             false)::INT AS fresh FROM d),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) AS island FROM e),
+k AS (SELECT doc_id, tid, island, label, base, grams,
+             count(*) FILTER (WHERE base AND votes = grams) AS places,
+             min(diagonal) FILTER (WHERE base AND votes = grams) AS f,
+             max(diagonal) FILTER (WHERE base AND votes = grams) AS l,
+             bit_or(mask) AS mask, min(low) AS low, max(high) AS high FROM i GROUP BY ALL),
+h AS (SELECT *, CASE WHEN base THEN (places > 0)::INT::DOUBLE
+                     WHEN high - low < grams + {licenses.SLACK} THEN bit_count(mask) / grams::DOUBLE
+                     ELSE 0.0 END AS share FROM k),
+o AS (SELECT doc_id, sum(places)::BIGINT AS n_base, min(f)::BIGINT AS first_word, max(l)::BIGINT AS last_word,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base AND places > 0) AS base_labels,
+             string_agg(DISTINCT label, ',' ORDER BY label)
+               FILTER (WHERE CASE WHEN base THEN places > 0 ELSE share >= {licenses.COVERED} END) AS labels,
+             max(share) AS score FROM h GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM w LEFT JOIN o USING (doc_id)""",
     "op5_substring_dedup": """
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
