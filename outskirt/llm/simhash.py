@@ -101,8 +101,8 @@ def _spread(batches):
     schema = pa.schema([("cell", pa.int64()), ("fp", pa.int64())])
     for batch in batches:
         fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for i in range(0, len(fps), 4096):
-            cells, owners = cells_of(fps[i : i + 4096])
+        for i in range(0, len(fps), 1024):
+            cells, owners = cells_of(fps[i : i + 1024])
             yield rows_of({"cell": cells.view(np.int64), "fp": owners.view(np.int64)}, schema)
 
 
@@ -173,10 +173,13 @@ def links(fps: DataFrame, folder: str) -> DataFrame:
     """``fps``: distinct fingerprints. Rows (a, b), a < b, that join fingerprints at most 4 bits apart, or in a
     crowded group the smallest of a component with each other."""
     spark = fps.sparkSession
-    met = stored(fps.select("fp").mapInArrow(_spread, "cell long, fp long"), folder, "cells")
+    # Dealt out by number: the table is narrow, what each row becomes is not.
+    dealt = fps.select("fp").repartition(width(spark), "fp")
+    met = stored(dealt.mapInArrow(_spread, "cell long, fp long"), folder, "cells")
     # Stored, so that the join below stands on two plain tables and Spark can split a crowded cell.
     crowded = stored(met.groupBy("cell").agg(F.count("*").alias("n")).where("n >= 2"), folder, "crowded")
-    met = met.join(crowded, "cell")
+    # Never broadcast: how many cells are crowded grows with the corpus.
+    met = met.hint("merge").join(crowded, "cell")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     met = met.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
