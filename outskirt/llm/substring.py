@@ -180,6 +180,7 @@ def repeated_spans(base: DataFrame, folder: str, window: int, seed: int) -> Data
     )
     only = lambda a, b: F.when(F.col("pure") & (F.col(a) == F.col(b)), F.col(a)).otherwise(F.lit(0))
     stats = stats.select("gram", "pure", only("b1", "b2").alias("before"), only("a1", "a2").alias("after"))
+    stats = stored(stats, folder, "stats")
     marks = stored(found.drop("before", "after").join(stats, "gram"), folder, "marks")
     variants = (
         marks.where(~F.col("pure"))
@@ -198,7 +199,9 @@ def repeated_spans(base: DataFrame, folder: str, window: int, seed: int) -> Data
     by_row = whole.unionByName(mixed).groupBy("row").agg(F.collect_list(mark).alias("marks"))
     spans = fit.join(by_row.hint("shuffle_hash"), F.col("__row") == F.col("row")).select("__row", "text", "marks")
     spans = stored(spans.mapInArrow(*_verify(window)), folder, "spans")
+    # Stored, as "stats" is: Spark can split a join at a hot key only where both sides are plain tables.
     twice = spans.groupBy("d1", "d2").agg(F.count("*").alias("c")).where("c >= 2").drop("c")
+    twice = stored(twice, folder, "twice")
     return spans.join(twice, ["d1", "d2"], "left_semi").select("row", "first", "n")
 
 
