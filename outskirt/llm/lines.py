@@ -145,7 +145,8 @@ def drop_repeated_lines(
         own = F.array_distinct(F.transform("keys", lambda k: F.struct(k["h1"].alias("h1"), k["h2"].alias("h2"))))
         once = lines.where(F.col("batch") == b).select("doc", F.explode(own).alias("k")).select("doc", "k.*")
         runs.add(once.groupBy(*KEY).agg(F.max("doc").alias("keeper"), F.count("*").alias("n")))
-    repeated = totals(runs.rows()).where(F.col("n") >= min_docs).drop("n")
+    # Stored, so that Spark can split the join at a line that very many documents have.
+    repeated = stored(totals(runs.rows()).where(F.col("n") >= min_docs).drop("n"), folder, "repeated")
     drops = (
         lines.select("doc", "text_hash", F.explode("keys").alias("k"))
         .select("doc", "text_hash", "k.h1", "k.h2", "k.pos")
