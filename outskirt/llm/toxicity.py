@@ -174,8 +174,12 @@ def _train(own, swaps, toxic, n_features: int, s: Settings) -> tuple[np.ndarray,
     def dot(w, entries, size):
         return np.bincount(entries[0], weights=w[entries[1]], minlength=size)
 
-    most = max(1.0, float(np.mean([len(r) for r in own])))
-    rate = 4.0 / most
+    # One over a bound of the curvature: mean squared row lengths, of the texts and of what the swaps change.
+    curvature = (1 + float(np.mean([len(r) for r in own]))) / 4 + s.l2
+    if pair:
+        changed = [len(np.setxor1d(own[i], x)) for i, x in pair]
+        curvature += s.swap_weight * float(np.mean(changed))
+    rate = 1 / curvature
     w, bias = np.zeros(n_features), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
     look, look_bias, t = w, bias, 1.0
     for _ in range(s.steps):
