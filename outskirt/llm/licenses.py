@@ -45,10 +45,10 @@ def templates(spark: SparkSession) -> DataFrame:
     """A row per template position: tid, label, base, grams (of the template), tpos, and the gram's words t1, t2."""
     rows = []
     for tid, (words, label) in enumerate(PHRASES + NOTICES):
-        words = words.split()
+        words, base = words.split(), str(tid < len(PHRASES)).lower()
         for i in range(len(words) - 1):
-            rows.append((tid, label, tid < len(PHRASES), len(words) - 1, i, words[i], words[i + 1]))
-    return spark.createDataFrame(rows, "tid int, label string, base boolean, grams int, tpos int, t1 string, t2 string")
+            rows.append(f"({tid}, '{label}', {base}, {len(words) - 1}, {i}, '{words[i]}', '{words[i + 1]}')")
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(tid, label, base, grams, tpos, t1, t2)")
 
 
 def scan(docs: DataFrame) -> DataFrame:

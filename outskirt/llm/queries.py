@@ -90,9 +90,8 @@ def _templates() -> str:
     rows = []
     for tid, (words, label) in enumerate(licenses.PHRASES + licenses.NOTICES):
         base, words = str(tid < len(licenses.PHRASES)).lower(), words.split()
-        for i in range(len(words) - 1):
-            rows.append(f"({tid}, '{label}', {base}, {len(words) - 1}, {i}, '{words[i]}', '{words[i + 1]}')")
-    return ", ".join(rows)
+        rows.append(f"({tid}, '{label}', {base}, {len(words) - 1}, {words})")
+    return f"SELECT tid, label, base, grams, unnest(range(grams)), unnest(ws[:-2]), unnest(ws[2:]) FROM (VALUES {', '.join(rows)}) v(tid, label, base, grams, ws)"
 
 
 SQL = {
@@ -108,7 +107,7 @@ f AS (SELECT p.*, shard_bytes, shard_docs FROM p JOIN s USING (d, prefix)
 SELECT doc_id, doc_bytes, CASE WHEN d = 0 THEN '' ELSE lpad(bin(prefix), d::INT, '0') END AS shard, d::INT AS depth,
        shard_bytes::BIGINT AS shard_bytes, shard_docs FROM f""",
     "op6_licenses": f"""
-WITH t(tid, label, base, grams, tpos, t1, t2) AS (VALUES {_templates()}),
+WITH t(tid, label, base, grams, tpos, t1, t2) AS ({_templates()}),
 w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_ABC}),
          '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents),
