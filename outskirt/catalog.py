@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outskirt.functions.cells import cell_indexes
-from outskirt.functions.geometry import items
 from outskirt.functions.neighbors import edges, from_text, to_text
 from outskirt.ingest import normalize_columns
 from outskirt.job import result_rows, score_points
@@ -24,7 +23,7 @@ from outskirt.operators.histogram import (
     with_cells,
 )
 from outskirt.operators.knn import exact_knn
-from outskirt.operators.points import array_points, as_points, as_table, bounds, normalize, sample_by_id
+from outskirt.operators.points import array_points, as_points, bounds, normalize, rejections, sample_by_id
 from outskirt.operators.score import force_vectors, net_force, net_force_of
 from outskirt.params import ScoreParams
 from outskirt.plans.grid_plan import assign_partitions, partition_plan, partition_sizes, plan_cells
@@ -106,6 +105,11 @@ def sample_mod(spark, sf):
     return sample_by_id(event_table(spark, sf), 10)
 
 
+def rejected_points(spark, sf):
+    """Customers on a domain narrower than the data."""
+    return rejections(customer_table(spark, sf), P.with_(domain_min=0.0, domain_max=500_000.0))
+
+
 def cell_assign(spark, sf):
     return with_cells(event_points(spark, sf), P).select("id", *index_names(P), "cell_id")
 
@@ -162,9 +166,7 @@ def local_knn_status(spark, sf):
 
 
 def scan_order(spark, sf):
-    ordered = support.scan_order(_Local(spark, sf).status)
-    rank = "row_number() over (partition by pid order by pivot_d desc, id) as place"
-    return ordered.selectExpr("pid", "id", "pivot_d", rank)
+    return support.scan_order(_Local(spark, sf).status).select("pid", "id", "pivot_d", "place")
 
 
 def expansion(spark, sf):
@@ -267,6 +269,18 @@ def order_nof(spark, sf):
     return score_points(on_domain(order_table(spark, sf)), P).select("id", "kdist", "lcf", "nof")
 
 
+def order_far_nof(spark, sf):
+    """Orders as they are, on a domain as wide as the data: forces leave the BIGINT range."""
+    p = P.with_(domain_max=1_000_000.0)
+    return score_points(as_points(order_table(spark, sf), p), p).select("id", "kdist", "lcf", "nof")
+
+
+def outside_nof(spark, sf):
+    """Customers with a domain that most of them lie outside of: the search keeps every row."""
+    p = P.with_(domain_min=40.0, domain_max=60.0)
+    return score_points(customer_points(spark, sf), p).select("id", "kdist", "lcf", "nof")
+
+
 def event_nof(spark, sf):
     return score_points(event_points(spark, sf), P).select("id", "kdist", "lcf", "nof")
 
@@ -276,11 +290,14 @@ def event_nof(spark, sf):
 
 def customer_shapes(spark, sf):
     """A point, a line and a polygon with a hole for every customer."""
+    return shapes_of(customer_table(spark, sf))
+
+
+def shapes_of(table: DataFrame) -> DataFrame:
     a, b = "array(x, y)", "array(x + 1, y + 2)"
     ring, hole = f"array({a}, {b}, array(x, y + 2), {a})", f"array({a}, {b}, {a})"
     return (
-        customer_table(spark, sf)
-        .selectExpr(
+        table.selectExpr(
             "explode(array("
             f"named_struct('type', 'Point', 'parts', array(array({a}))),"
             f"named_struct('type', 'LineString', 'parts', array(array({a}, {b}))),"
@@ -298,6 +315,18 @@ def geojson_vertices(spark, sf):
     return found.groupBy("layer", "lon", "lat").agg(F.expr("count(1)").alias("n"))
 
 
+def geojson_layers(spark, sf):
+    """Two layers written at once, each to its own directory, and read back."""
+    suppliers = read_parquet_points(spark, f"{sf}/supplier.parquet", columns=["s_suppkey", "s_acctbal", "s_nationkey"])
+    suppliers = suppliers.selectExpr("s_suppkey as id", "s_acctbal as x", "cast(s_nationkey as double) as y")
+    both = customer_shapes(spark, sf).withColumn("layer", F.lit("customers"))
+    both = both.unionByName(shapes_of(suppliers).withColumn("layer", F.lit("suppliers")))
+    folder = scratch_path(spark, "geojson")
+    write_geojson(both, folder)
+    found = vertices(read_lines(spark, folder), "layer")
+    return found.groupBy("layer", "lon", "lat").agg(F.expr("count(1)").alias("n"))
+
+
 def contiguous_ids(spark, sf):
     folder = scratch_path(spark, "geojson") + "/customers"
     write_geojson(customer_shapes(spark, sf), folder)
@@ -320,11 +349,16 @@ def csv_points(spark, sf):
     return rows.withColumn("ids", ids)
 
 
+def _with_ids(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with the smallest, the largest and the number of different ids of ``found``."""
+    ids = found.selectExpr("min(id) as first_id", "max(id) as last_id", "count(distinct id) as ids")
+    return rows.withColumns({c: ids.select(c).scalar() for c in ids.columns})
+
+
 def csv_load(spark, sf):
     found = load_csv(spark, _part_csv(spark, sf))
-    return found.selectExpr("id", "c[0] as x", "c[1] as y").groupBy("x", "y").agg(
-        F.expr("count(1)").alias("n"), F.expr("count_if(id < 1)").alias("bad_ids")
-    )
+    rows = found.selectExpr("c[0] as x", "c[1] as y").groupBy("x", "y").agg(F.expr("count(1)").alias("n"))
+    return _with_ids(found, rows)
 
 
 def csv_normalize(spark, sf):
@@ -334,11 +368,8 @@ def csv_normalize(spark, sf):
     done = normalize_columns(table, limits, points)
     edge = spark.read.schema("min_x double, max_x double, min_y double, max_y double").csv(limits)
     # the bounds file has one row
-    return (
-        done.groupBy("x", "y")
-        .agg(F.expr("count(1)").alias("n"))
-        .withColumn("max_y", edge.select("max_y").scalar())
-    )
+    rows = done.groupBy("x", "y").agg(F.expr("count(1)").alias("n"))
+    return rows.withColumns({c: edge.select(c).scalar() for c in edge.columns})
 
 
 def npy_points(spark, sf):
@@ -350,9 +381,8 @@ def npy_points(spark, sf):
 
     files = part_table(spark, sf).mapInPandas(pack, "content binary")
     found = with_contiguous_id(parse_npy(files))
-    return found.selectExpr("c[0] as x", "c[1] as y", "id").groupBy("x", "y").agg(
-        F.expr("count(1)").alias("n"), F.expr("count_if(id < 1)").alias("bad_ids")
-    )
+    rows = found.selectExpr("c[0] as x", "c[1] as y").groupBy("x", "y").agg(F.expr("count(1)").alias("n"))
+    return _with_ids(found, rows)
 
 
 def shapefile_vertices(spark, sf):
@@ -376,6 +406,7 @@ QUERIES = {
     "point_bounds": point_bounds,
     "point_normalize": point_normalize,
     "sample_mod": sample_mod,
+    "rejected_points": rejected_points,
     "cell_assign": cell_assign,
     "cell_decode": cell_decode,
     "cell_histogram": event_histogram,
@@ -405,7 +436,10 @@ QUERIES = {
     "result_rows": result,
     "order_nof": order_nof,
     "event_nof": event_nof,
+    "order_far_nof": order_far_nof,
+    "outside_nof": outside_nof,
     "geojson_vertices": geojson_vertices,
+    "geojson_layers": geojson_layers,
     "contiguous_ids": contiguous_ids,
     "csv_points": csv_points,
     "csv_load": csv_load,

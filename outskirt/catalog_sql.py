@@ -60,6 +60,45 @@ NOF = f"""SELECT o.id, o.kdist, o.lcf, CASE WHEN o.lcf <= 1e-9 THEN 0e0 ELSE
   FROM lcf o JOIN force f ON f.id = o.id JOIN lcf m ON m.id = f.nid GROUP BY o.id, o.kdist, o.lcf"""
 
 
+def nearest(k: int = K) -> str:
+    """``knn`` again, keeping the k best of a point instead of ranking all pairs."""
+    return f"""knn AS (SELECT id, u.nid AS nid, u.dx AS dx, u.dy AS dy, u.d AS d, 0 AS rank FROM (
+  SELECT a.id AS id, unnest(min({{'d': {_D}, 'nid': b.id, 'dx': a.x - b.x, 'dy': a.y - b.y}}, {k})) AS u
+  FROM pts a JOIN pts b ON a.id <> b.id GROUP BY a.id))"""
+
+
+ORDER = """raw AS (SELECT o_orderkey AS id, o_totalprice AS x,
+  date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::DOUBLE AS y FROM orders)"""
+
+
+def large_nof(raw: str) -> str:
+    return f"WITH {pts(raw)}, {nearest()}, {FORCE}, {LCF} {NOF}"
+
+
+# forces beyond BIGINT: sums as DECIMAL, values without a fraction as they are
+_WHOLE = "9007199254740992e0"
+
+
+def wide(v: str, scale: int) -> str:
+    return f"(CASE WHEN abs({v}) * 1e{scale} < {_WHOLE} THEN floor(({v}) * 1e{scale} + 0.5) / 1e{scale} ELSE {v} END)"
+
+
+def wide_units(v: str, scale: int) -> str:
+    return f"""(CASE WHEN abs({v}) * 1e{scale} < {_WHOLE} THEN floor(({v}) * 1e{scale} + 0.5)::DECIMAL(38, 0)
+  ELSE (({v}) * 1e{scale})::DECIMAL(38, 0) END)"""
+
+
+def far_nof(raw: str) -> str:
+    points = f"{raw}, pts AS (SELECT id, {r('x', 4)} AS x, {r('y', 4)} AS y FROM raw)"
+    sums = [f"(sum({wide_units(f'{c} * (d * d)', 4)})::DOUBLE / 1e4)" for c in ("dx", "dy")]
+    lcf = f"lcf AS (SELECT id, max(d) AS kdist, sqrt({' + '.join(f'{s} * {s}' for s in sums)}) AS raw FROM knn GROUP BY id)"
+    mean = f"(sum({wide_units('m.lcf', 2)})::DOUBLE / 1e2 / {K})"
+    return f"""WITH {points}, {nearest()}, {lcf}, done AS (SELECT id, kdist, {wide('raw', 2)} AS lcf FROM lcf),
+means AS (SELECT k.id AS id, {mean} AS mean FROM knn k JOIN done m ON m.id = k.nid GROUP BY k.id)
+SELECT o.id, o.kdist, o.lcf, CASE WHEN o.lcf <= 1e-9 THEN 0e0 ELSE {wide('mean', 4)} END AS nof
+FROM done o JOIN means USING (id)"""
+
+
 def nof(raw: str) -> str:
     return f"WITH {pts(raw)}, {knn()}, {FORCE}, {LCF} {NOF}"
 
@@ -209,6 +248,9 @@ SQL = {
     "point_bounds": f"WITH {CUSTOMER} SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM raw",
     "point_normalize": f"WITH {pts(CUSTOMER)} SELECT id, x, y FROM pts",
     "sample_mod": f"WITH {EVENT} SELECT id, {r('x', 2)} AS x, {r('y', 2)} AS y FROM raw WHERE id % 10 = 0",
+    "rejected_points": f"WITH {CUSTOMER} SELECT count(*) AS rows, 0::BIGINT AS no_value,"
+    " count(*) FILTER (WHERE NOT (x BETWEEN 0 AND 5e5 AND y BETWEEN 0 AND 5e5)) AS outside,"
+    " count(*) FILTER (WHERE x BETWEEN 0 AND 5e5 AND y BETWEEN 0 AND 5e5) AS kept FROM raw",
     "cell_assign": f"WITH {pts(EVENT)}, {CELLED} SELECT id, i0, i1, cell_id::BIGINT AS cell_id FROM celled",
     "cell_decode": f"WITH {pts(EVENT)}, {CELLED} SELECT DISTINCT cell_id::BIGINT AS cell_id, i0, i1 FROM celled",
     "cell_histogram": f"WITH {pts(EVENT)}, {CELLED} SELECT i0, i1, n FROM hist",
@@ -250,20 +292,26 @@ SQL = {
     " || ':' || round(lcf * 100)::BIGINT, ',' ORDER BY rank) AS neighbors FROM knn JOIN lcf USING (id) GROUP BY id",
     "customer_nof": nof(CUSTOMER),
     "part_nof": nof(PART),
+    "outside_nof": nof(CUSTOMER),
+    "event_nof": large_nof(EVENT),
+    "order_nof": large_nof(ORDER),
+    "order_far_nof": far_nof(ORDER),
     "supplier_nof": f"""WITH {pts("raw AS (SELECT s_suppkey AS id, s_acctbal AS x FROM supplier)", "x")},
 knn AS (SELECT * FROM (SELECT a.id AS id, b.id AS nid, a.x - b.x AS dx, 0e0 AS dy, {r('abs(a.x - b.x)', 2)} AS d,
   row_number() OVER (PARTITION BY a.id ORDER BY {r('abs(a.x - b.x)', 2)}, b.id) AS rank
   FROM pts a JOIN pts b ON a.id <> b.id) WHERE rank <= {K}), {FORCE}, {LCF} {NOF}""",
     "result_rows": local(_RESULT, True),
     "geojson_vertices": f"WITH {CUSTOMER} SELECT 'customers' AS layer, * FROM ({SHAPES})",
+    "geojson_layers": f"""WITH {CUSTOMER}, sup AS (SELECT s_acctbal AS x, s_nationkey::DOUBLE AS y FROM supplier)
+SELECT 'customers' AS layer, * FROM ({SHAPES}) UNION ALL SELECT 'suppliers', * FROM ({SHAPES.replace('FROM raw', 'FROM sup')})""",
     "contiguous_ids": f"WITH {CUSTOMER}, v AS ({SHAPES}) SELECT sum(n)::BIGINT AS n, 1::BIGINT AS first_id,"
     " sum(n)::BIGINT AS last_id, sum(n)::BIGINT AS ids FROM v",
     "csv_points": f"WITH {PART} SELECT x, y, count(*) AS n, (SELECT count(*) FROM raw) AS ids FROM raw GROUP BY x, y",
-    "csv_load": f"WITH {PART} SELECT x, y, count(*) AS n, 0::BIGINT AS bad_ids FROM raw GROUP BY x, y",
+    "csv_load": f"WITH {PART} SELECT x, y, count(*) AS n, 1::BIGINT AS first_id, (SELECT count(*) FROM raw) AS last_id, (SELECT count(*) FROM raw) AS ids FROM raw GROUP BY x, y",
     "csv_normalize": f"""WITH {PART}, e AS (SELECT min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM raw)
-SELECT x, y, count(*) AS n, max_y FROM (SELECT {r('(x - a) / (b - a)', 4)} AS x, {r('(y - c) / (d - c)', 4)} AS y, d AS max_y
+SELECT x, y, count(*) AS n, min_x, max_x, min_y, max_y FROM (SELECT {r('(x - a) / (b - a)', 4)} AS x, {r('(y - c) / (d - c)', 4)} AS y, a AS min_x, b AS max_x, c AS min_y, d AS max_y
 FROM raw, e) GROUP BY ALL""",
-    "npy_points": f"WITH {PART} SELECT x, y, count(*) AS n, 0::BIGINT AS bad_ids FROM raw GROUP BY x, y",
+    "npy_points": f"WITH {PART} SELECT x, y, count(*) AS n, 1::BIGINT AS first_id, (SELECT count(*) FROM raw) AS last_id, (SELECT count(*) FROM raw) AS ids FROM raw GROUP BY x, y",
     "shapefile_vertices": f"""WITH {CUSTOMER} SELECT lon, lat, count(*) AS n FROM (SELECT x AS lon, y AS lat FROM raw
 UNION ALL SELECT x + 1, y + 2 FROM raw) GROUP BY lon, lat""",
 }

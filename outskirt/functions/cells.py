@@ -19,6 +19,11 @@ def cell_index(v: str, p: ScoreParams) -> str:
     return f"cast(least({raw_cell_index(v, p)}, {p.cells - 1}) as int)"
 
 
+def nearest_cell_index(v: str, p: ScoreParams) -> str:
+    """Like :func:`cell_index`, with values outside the domain in the border cells; monotone in ``v``."""
+    return f"cast(greatest(0, least({raw_cell_index(v, p)}, {p.cells - 1})) as int)"
+
+
 def in_domain(values: Sequence[str], p: ScoreParams) -> str:
     return " and ".join(f"{v} between {lit(p.domain_min)} and {lit(p.domain_max)}" for v in values)
 

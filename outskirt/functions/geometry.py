@@ -20,24 +20,13 @@ def l2(a: Sequence[str], b: Sequence[str], scale: int | None = 2) -> str:
     return round_to(f"sqrt({' + '.join(squares)})", scale)
 
 
-def l1(a: Sequence[str], b: Sequence[str], scale: int | None = 2) -> str:
-    return round_to(" + ".join(f"abs({p} - {q})" for p, q in zip(a, b, strict=True)), scale)
-
-
-def distance(a: str, b: str, dims: int, metric: str = "l2", scale: int | None = 2) -> str:
-    """Distance of two coordinate arrays."""
-    if dims <= UNROLL_DIMS:
-        return (l2 if metric == "l2" else l1)(items(a, dims), items(b, dims), scale)
-    return round_to(_length(f"zip_with({a}, {b}, (p, q) -> p - q)", metric), scale)
-
-
 def force(a: str, b: str, d: str) -> str:
     """Unrounded force component of one dimension: ``(a - b) * d^2``."""
     return f"({a} - {b}) * ({d} * {d})"
 
 
-def norm(parts: Sequence[str], scale: int | None = 2) -> str:
-    return round_to(f"sqrt({' + '.join(f'{v} * {v}' for v in parts)})", scale)
+def norm(parts: Sequence[str], scale: int | None = 2, wide: bool = False) -> str:
+    return round_to(f"sqrt({' + '.join(f'{v} * {v}' for v in parts)})", scale, wide)
 
 
 def nearest_and_farthest(c: str, lo: str, hi: str, dims: int, metric: str = "l2") -> tuple[str, str]:

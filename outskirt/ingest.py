@@ -35,5 +35,5 @@ def normalize_csv_points(
 
 
 def shapefiles_to_geojson(spark: SparkSession, paths: str | list[str], geojson_path: str) -> None:
-    """Shapefiles in any number of directories to one GeoJSON text directory."""
+    """Shapefiles in any number of directories (layers) to GeoJSON text, a directory ``layer=...`` for each."""
     write_geojson(read_shapes(spark, paths), geojson_path)

@@ -8,7 +8,7 @@ from outskirt.functions.neighbors import to_text
 from outskirt.operators import support
 from outskirt.operators.copies import spread_to_copies
 from outskirt.operators.knn import exact_knn, nearest_neighbors
-from outskirt.operators.points import as_points, coordinate_columns, normalize, sample_by_id
+from outskirt.operators.points import as_points, coordinate_columns, normalize, rejections, sample_by_id
 from outskirt.operators.score import mean_neighbor_force, net_force, scored_neighbors
 from outskirt.params import ScoreParams
 from outskirt.plans.grid_plan import partition_plan
@@ -17,7 +17,8 @@ from outskirt.sources.tables import read_parquet_points, write_parquet
 
 
 def score_points(points: DataFrame, p: ScoreParams, plan: DataFrame | None = None) -> DataFrame:
-    """``id, c, kdist, lcf, nof`` for every row of ``points`` (``id, c``)."""
+    """``id, c, kdist, lcf, nof`` for every row of ``points`` (``id, c``; ids are unique), in or outside the domain."""
+    p = measured(points, p)
     found = nearest_neighbors(points, p, plan=plan)
     forces = keep(net_force(found.table, p).select("id", "c", "place", "nid", "kdist", "lcf"))
     scored = mean_neighbor_force(forces, p, found.rows)
@@ -26,6 +27,12 @@ def score_points(points: DataFrame, p: ScoreParams, plan: DataFrame | None = Non
     return spread_to_copies(points, scored, p.k, found.crowded)
 
 
+def measured(points: DataFrame, p: ScoreParams) -> ScoreParams:
+    """``p`` with the extent of the points, which decides how forces are summed."""
+    low, high = points.selectExpr("min(array_min(c))", "max(array_max(c))").first()
+    return p.with_(extent=0.0 if low is None else high - low)
+
+
 def score_table(df: DataFrame, p: ScoreParams, rescale: bool = True) -> DataFrame:
     """Score a positional table (id first, then coordinates); more columns are ignored.
 
@@ -45,6 +52,7 @@ def result_rows(points: DataFrame, p: ScoreParams, plan: DataFrame | None = None
     ``supports`` the other partitions that need the point.
     """
     points = keep(points)
+    p = measured(points, p)
     if plan is None:
         plan = partition_plan(points, p)
     plan = keep_small(plan, p.buckets**p.dims)
@@ -65,15 +73,19 @@ def result_rows(points: DataFrame, p: ScoreParams, plan: DataFrame | None = None
     )
 
 
-def score_files(spark: SparkSession, source: str, target: str, p: ScoreParams, detail: bool = False) -> None:
+def score_files(spark: SparkSession, source: str, target: str, p: ScoreParams, detail: bool = False) -> dict[str, int]:
     """Score a Parquet point table on the domain and write one row per point.
 
     With ``detail`` the full result rows are written; the partition plan is then made from
-    the rows whose id is a multiple of ``denominator``.
+    the rows whose id is a multiple of ``denominator``. Returns how many rows there are (``rows``), how many
+    were left out for lack of a value (``no_value``) or outside the domain (``outside``), and how many ``kept``.
     """
     table = read_parquet_points(spark, source, p.dims)
     points = as_points(table, p)
+    counts = rejections(table, p).first().asDict()
     if not detail:
-        return write_parquet(score_points(points, p), target)
+        write_parquet(score_points(points, p), target)
+        return counts
     sample = table if p.denominator == 1 else sample_by_id(table, p.denominator)
     write_parquet(result_rows(points, p, partition_plan(as_points(sample, p), p)), target)
+    return counts

@@ -14,6 +14,11 @@ from outskirt.functions.geometry import UNROLL_DIMS, items
 from outskirt.operators.joins import lookup_join
 
 
+# Spark limits a window's groups before the shuffle up to this row number (its default).
+GROUP_LIMIT = 1000
+PARTS = 4096
+
+
 def representatives(points: DataFrame, k: int, dims: int) -> DataFrame:
     """``id, c, place``: the ``k + 2`` smallest ids per location, numbered from 1.
 
@@ -21,6 +26,10 @@ def representatives(points: DataFrame, k: int, dims: int) -> DataFrame:
     """
     at = ", ".join(items("c", dims)) if dims <= UNROLL_DIMS else "c"
     place = f"row_number() over (partition by {at} order by id) as place"
+    if k + 2 > GROUP_LIMIT:
+        # too many for that limit: a location is thinned in parts first
+        part = f"row_number() over (partition by {at}, pmod(xxhash64(id), {PARTS}) order by id) as place"
+        points = points.selectExpr("id", "c", part).where(f"place <= {k + 2}")
     return points.selectExpr("id", "c", place).where(f"place <= {k + 2}")
 
 

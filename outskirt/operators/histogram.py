@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outskirt.functions.cells import cell_id, cell_index, in_domain
+from outskirt.functions.cells import cell_id, cell_index, in_domain, nearest_cell_index
 from outskirt.functions.geometry import items
 from outskirt.functions.numeric import lit
 from outskirt.params import ScoreParams
@@ -15,20 +15,25 @@ def index_names(p: ScoreParams) -> list[str]:
     return [f"i{d}" for d in range(p.dims)]
 
 
-def _placed(points: DataFrame, p: ScoreParams, *columns: str) -> DataFrame:
+def placed(points: DataFrame, p: ScoreParams, *columns: str, every: bool = False) -> DataFrame:
+    """``columns`` and ``i0, i1, ...`` of the points inside the domain; with ``every``, of all points,
+    those outside in the border cells."""
     xs = items("c", p.dims)
+    if every:
+        indexes = [f"{nearest_cell_index(x, p)} as {name}" for x, name in zip(xs, index_names(p))]
+        return points.selectExpr(*columns, *indexes)
     indexes = [f"{cell_index(x, p)} as {name}" for x, name in zip(xs, index_names(p))]
     return points.where(in_domain(xs, p)).selectExpr(*columns, *indexes)
 
 
 def with_cells(points: DataFrame, p: ScoreParams) -> DataFrame:
     """Points inside the domain with ``i0, i1, ...`` and ``cell_id``."""
-    return _placed(points, p, "*").selectExpr("*", f"{cell_id(index_names(p), p.cells)} as cell_id")
+    return placed(points, p, "*").selectExpr("*", f"{cell_id(index_names(p), p.cells)} as cell_id")
 
 
-def cell_histogram(points: DataFrame, p: ScoreParams) -> DataFrame:
+def cell_histogram(points: DataFrame, p: ScoreParams, every: bool = False) -> DataFrame:
     """``i0, i1, ..., n``: points per occupied cell (counts merge before the shuffle)."""
-    return _placed(points, p).groupBy(*index_names(p)).agg(F.expr("count(1)").alias("n"))
+    return placed(points, p, every=every).groupBy(*index_names(p)).agg(F.expr("count(1)").alias("n"))
 
 
 def slab_frequency(histogram: DataFrame, p: ScoreParams) -> DataFrame:

@@ -1,16 +1,12 @@
-"""Lookup join that is safe for large and for skewed inputs."""
+"""Lookup join whose broadcast is bound to a checked size."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outskirt.session import keep
-
 # A lookup side below this size is broadcast; callers pass a checked size.
 BROADCAST_BYTES = 32 * 1024 * 1024
-# A key with at least this share of the rows counts as hot; so at most 1 / share keys do.
-HOT_SHARE = 0.001
 
 
 def lookup_join(
@@ -21,29 +17,10 @@ def lookup_join(
     how: str = "inner",
     broadcast_bytes: int | None = None,
 ) -> DataFrame:
-    """Join ``big`` to ``small``, which has one row per ``key``.
+    """Join ``big`` to ``small`` on ``key``: ``small`` within the limit is broadcast, else both are shuffled.
 
-    * ``small`` within the limit: broadcast, no shuffle.
-    * else: shuffle join, but rows of ``big`` under a hot key meet a broadcast of
-      just those keys' lookup rows (at most ``1 / HOT_SHARE`` of them), so that no
-      task receives a hot key.
+    Adaptive execution splits the partitions of hot keys of the shuffle join. It needs both sides to be
+    plain tables for that, so callers with possibly hot keys pass a kept ``small``.
     """
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
-    if small_bytes <= limit:
-        return big.join(F.broadcast(small), key, how)
-    big = keep(big)  # read once per branch
-    hot = frequent_keys(big, key)
-    if not hot:
-        return big.join(small, key, how)
-    is_hot = F.col(key).isin(hot)
-    return (
-        big.where(is_hot)
-        .join(F.broadcast(small.where(is_hot)), key, how)
-        .unionByName(big.where(~is_hot).join(small.where(~is_hot), key, how))
-    )
-
-
-def frequent_keys(df: DataFrame, key: str) -> list:
-    """All keys with at least ``HOT_SHARE`` of the rows (and maybe a few others)."""
-    found = df.select(key).freqItems([key], support=HOT_SHARE).first()
-    return list(found[0]) if found and found[0] else []
+    return big.join(F.broadcast(small) if small_bytes <= limit else small.hint("merge"), key, how)

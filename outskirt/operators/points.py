@@ -97,14 +97,23 @@ def as_points(
     )
 
 
+def rejections(df: DataFrame, p: ScoreParams) -> DataFrame:
+    """One row: ``rows, no_value, outside, kept`` of a positional table, as :func:`as_points` decides."""
+    coords = coordinate_columns(df, p.dims)
+    values = [round_to(f"cast(`{c}` as double)", p.point_scale) for c in coords]
+    gap = " or ".join(f"`{c}` is null or isnan(`{c}`)" for c in coords)
+    inside = in_domain(values, p)
+    return df.selectExpr(
+        "count(1) as rows",
+        f"count_if({gap}) as no_value",
+        f"count_if(not ({gap}) and not ({inside})) as outside",
+        f"count_if(not ({gap}) and {inside}) as kept",
+    )
+
+
 def array_points(df: DataFrame, ident: str, array: str) -> DataFrame:
     """A table with a numeric array column to ``id, c``; rows with gaps are dropped."""
     c = f"transform({array}, v -> cast(v as double))"
     return df.selectExpr(f"cast({ident} as bigint) as id", f"{c} as c").where(
         "c is not null and not exists(c, v -> v is null or isnan(v))"
     )
-
-
-def as_table(points: DataFrame, dims: int, *keep: str) -> DataFrame:
-    """``id, c`` back to ``id, x0, x1, ...``."""
-    return points.selectExpr("id", *[f"c[{i}] as x{i}" for i in range(dims)], *keep)

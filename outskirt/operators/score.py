@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from outskirt.functions.geometry import force, norm
 from outskirt.functions.neighbors import edges
-from outskirt.functions.numeric import finite_or_zero, lit, round_to, scaled_long, unit
+from outskirt.functions.numeric import finite_or_zero, lit, round_to, scaled, unit, zero
 from outskirt.operators.joins import lookup_join
 from outskirt.params import ScoreParams
 
@@ -22,7 +22,7 @@ ZERO_LCF = 1e-9
 def force_vectors(knn: DataFrame, p: ScoreParams) -> DataFrame:
     """``id, nid, rank, d, f0, f1, ...`` rounded to the force scale."""
     parts = [
-        f"{round_to(force(f'c[{i}]', f's[{i}]', 'd'), p.force_scale)} as f{i}" for i in range(p.dims)
+        f"{round_to(force(f'c[{i}]', f's[{i}]', 'd'), p.force_scale, p.wide)} as f{i}" for i in range(p.dims)
     ]
     return edges(knn, p.dims).selectExpr("id", "nid", "rank", "d", *parts)
 
@@ -31,15 +31,15 @@ def net_force(knn: DataFrame, p: ScoreParams) -> DataFrame:
     """Add ``kdist`` and ``lcf``; both come from the row's own list, so nothing is shuffled."""
     exact = p.force_scale is not None
     part = force("x", f"nc[j * {p.dims} + i]", "nd[j]")
-    part = scaled_long(part, p.force_scale) if exact else part
-    total = f"aggregate(sequence(0, size(nid) - 1), {'0L' if exact else '0.0D'}, (s, j) -> s + {part})"
-    total = f"{total} / {unit(p.force_scale)}" if exact else total
+    part = scaled(part, p.force_scale, p.wide) if exact else part
+    total = f"aggregate(sequence(0, size(nid) - 1), {zero(p.wide) if exact else '0.0D'}, (s, j) -> s + {part})"
+    total = f"cast({total} as double) / {unit(p.force_scale)}" if exact else total
     sums = f"if(size(nid) = 0, cast(array() as array<double>), transform(c, (x, i) -> {total}))"
     square = "aggregate(net, 0.0D, (s, v) -> s + v * v)"
     return (
         knn.selectExpr("*", f"{sums} as net")
         .selectExpr(
-            "*", "try_element_at(nd, -1) as kdist", f"{round_to(f'sqrt({square})', p.lcf_scale)} as lcf"
+            "*", "try_element_at(nd, -1) as kdist", f"{round_to(f'sqrt({square})', p.lcf_scale, p.wide)} as lcf"
         )
         .drop("net")
     )
@@ -50,9 +50,9 @@ def net_force_of(vectors: DataFrame, p: ScoreParams) -> DataFrame:
     if p.force_scale is None:
         sums = [f"sum(f{i})" for i in range(p.dims)]
     else:
-        sums = [f"(sum({scaled_long(f'f{i}', p.force_scale)}) / {unit(p.force_scale)})" for i in range(p.dims)]
+        sums = [f"(cast(sum({scaled(f'f{i}', p.force_scale, p.wide)}) as double) / {unit(p.force_scale)})" for i in range(p.dims)]
     return vectors.groupBy("id").agg(
-        F.max("d").alias("kdist"), F.expr(norm(sums, p.lcf_scale)).alias("lcf")
+        F.max("d").alias("kdist"), F.expr(norm(sums, p.lcf_scale, p.wide)).alias("lcf")
     )
 
 
@@ -61,8 +61,8 @@ def _mean_of(m: str, p: ScoreParams) -> str:
     if p.lcf_scale is None:
         total = f"sum({m})"
     else:
-        total = f"sum({scaled_long(m, p.lcf_scale)}) / {unit(p.lcf_scale)}"
-    return round_to(f"{total} / {lit(p.k)}", p.nof_scale)
+        total = f"cast(sum({scaled(m, p.lcf_scale, p.wide)}) as double) / {unit(p.lcf_scale)}"
+    return round_to(f"{total} / {lit(p.k)}", p.nof_scale, p.wide)
 
 
 def _nof(p: ScoreParams) -> str:
@@ -90,7 +90,7 @@ def scored_neighbors(forces: DataFrame, p: ScoreParams, rows: int) -> DataFrame:
     Input is ``id, c, nid, nd, nc, kdist, lcf``; one pass over the edges gives score and list.
     """
     known = forces.selectExpr("id as nid", "kdist as nk", "lcf as m")
-    vector = ", ".join(round_to(force(f"c[{i}]", f"s[{i}]", "d"), p.force_scale) for i in range(p.dims))
+    vector = ", ".join(round_to(force(f"c[{i}]", f"s[{i}]", "d"), p.force_scale, p.wide) for i in range(p.dims))
     pairs = edges(forces, p.dims).selectExpr("id", "nid", "rank", "d", f"array({vector}) as f")
     entry = "named_struct('rank', rank, 'nid', nid, 'd', d, 'f', f, 'kdist', nk, 'lcf', m)"
     lists = (

@@ -18,6 +18,7 @@ from outskirt.operators.joins import lookup_join
 from outskirt.operators.knn import PARTITION, exact_knn, reach_of
 from outskirt.params import ScoreParams
 from outskirt.plans.grid_plan import range_names
+from outskirt.session import keep
 
 OVERHANG_SCALE = 2
 
@@ -80,8 +81,22 @@ def ball_status(local: DataFrame, plan: DataFrame, p: ScoreParams) -> DataFrame:
 
 
 def scan_order(status: DataFrame) -> DataFrame:
-    """Rows of a partition together, farthest from its centre first."""
-    return status.repartition("pid").sortWithinPartitions("pid", F.desc("pivot_d"), "id")
+    """Rows of a partition together, farthest from its centre first, with ``place`` (from 1) in that order.
+
+    The rows are range-sorted, so a partition may lie on several tasks; a row's place is its place in the task
+    plus the rows of its partition in the tasks before (one row per task and partition).
+    """
+    order = ["pid", F.desc("pivot_d"), "id"]
+    # Sorted rows are numbered in passing; kept, so that the numbers are fixed.
+    rows = status.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = keep(rows.withColumn("at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("task", F.expr("shiftright(at, 33)"))
+    first = rows.groupBy("pid", "task").agg(F.min("at").alias("first"), F.expr("count(1)").alias("n"))
+    before = "sum(n) over (partition by pid order by task rows between unbounded preceding and 1 preceding)"
+    first = first.selectExpr("pid", "task", f"coalesce({before}, 0) - first + 1 as shift")
+    return rows.join(F.broadcast(first), ["pid", "task"]).selectExpr(
+        *status.columns, "cast(at + shift as int) as place"
+    )
 
 
 def partition_expansion(status: DataFrame, plan: DataFrame, p: ScoreParams) -> DataFrame:

@@ -28,6 +28,8 @@ class ScoreParams:
     nof_scale: int | None = 4
     # rows per leaf box: one leaf is the unit of work of a neighbour search
     leaf_rows: int = 1024
+    # largest difference of two coordinates, where known (else eight domain widths are allowed for)
+    extent: float | None = None
 
     def __post_init__(self) -> None:
         if self.k < 1 or self.dims < 1 or self.cells < 1 or self.buckets < 1:
@@ -45,6 +47,14 @@ class ScoreParams:
     def cell_width(self) -> float:
         return (self.domain_max - self.domain_min) / self.cells
 
+    @property
+    def wide(self) -> bool:
+        """Whether sums of forces may leave the BIGINT range; they are DECIMAL then."""
+        far = 8 * (self.domain_max - self.domain_min) if self.extent is None else self.extent
+        reach = far * (self.dims if self.metric == "l1" else self.dims**0.5)
+        scale = max(self.force_scale or 0, self.lcf_scale or 0)
+        return self.k**2 * self.dims * far * reach**2 * 10.0**scale >= 2.0**62
+
     def with_(self, **changes) -> "ScoreParams":
         return replace(self, **changes)
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from outskirt.operators.joins import lookup_join
 from outskirt.params import ScoreParams
-from outskirt.plans.grid_plan import MAX_BUCKETS, assign_partitions, partition_plan
+from outskirt.plans.grid_plan import MAX_BUCKETS, partition_plan, plan_nodes
 from outskirt.session import keep, keep_small, local_table
 
 FAN = 16  # parts per cut, one hexadecimal digit of the path
@@ -57,7 +57,7 @@ class BoxTree:
 
 
 def uses_plan(p: ScoreParams) -> bool:
-    """Whether a grid plan with these settings is small enough for the upper levels."""
+    """Whether a plan made here is small enough for the upper levels; a given plan is always used."""
     return (
         p.dims <= 3
         and p.buckets <= MAX_BUCKETS
@@ -77,18 +77,15 @@ def fitted(p: ScoreParams, rows: int) -> ScoreParams:
 def grow(points: DataFrame, p: ScoreParams, rows: int, plan: DataFrame | None = None) -> BoxTree:
     """Grow the tree over ``points`` (``id, c``); at most k + 2 points may share a location.
 
-    Without a given ``plan`` (made with the settings ``p``) one is made to fit ``rows``.
+    Every row stays, wherever it lies: border boxes reach to infinity. Without a given ``plan`` (made with the
+    settings ``p``) one is made to fit ``rows``; how that turns out has no effect on the result.
     """
     grid = p if plan is not None else fitted(p, rows)
     if plan is None and uses_plan(grid):
-        plan = partition_plan(points, grid)
+        plan = partition_plan(points, grid, every=True)
     if plan is not None:
-        if not uses_plan(grid):
-            raise ValueError("the plan has too many boxes or cells")
         plan = keep_small(plan, grid.buckets**grid.dims)
-        placed = assign_partitions(points, plan, grid)
-        placed = lookup_join(placed, plan.selectExpr("pid", "path as node"), "pid", 64 * MAX_PLAN_BOXES)
-        placed = placed.select("id", "c", "node")
+        placed = plan_nodes(points, plan, grid, every=True).select("id", "c", "node")
     else:
         placed = points.selectExpr("id", "c", "'00' as node")
 
@@ -121,7 +118,7 @@ def _is_leaf(p: ScoreParams) -> str:
 def _plan_levels(placed: DataFrame, p: ScoreParams) -> tuple[list[DataFrame], list[int], int]:
     """The plan's levels, their row counts and the number of boxes to cut further.
 
-    The bounds of at most ``MAX_PLAN_BOXES`` boxes pass the driver. Boxes stopped early (few points) are listed on the last level too.
+    The bounds of the plan's boxes pass the driver: ``MAX_PLAN_BOXES`` at most, or as many as a given plan has. Boxes stopped early (few points) are listed on the last level too.
     """
     boxes = placed.groupBy("node").agg(*_bounds(p.dims)).toArrow()
     paths = boxes["node"].to_pylist()

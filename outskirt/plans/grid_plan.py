@@ -10,8 +10,8 @@ from outskirt.operators.histogram import (
     cell_histogram,
     dimension_order,
     index_names,
+    placed,
     slab_frequency,
-    with_cells,
 )
 from outskirt.operators.joins import lookup_join
 from outskirt.params import ScoreParams
@@ -27,18 +27,19 @@ def range_names(p: ScoreParams) -> list[str]:
     return [name for d in range(p.dims) for name in (f"lo{d}", f"hi{d}")]
 
 
-def partition_plan(points: DataFrame, p: ScoreParams) -> DataFrame:
+def partition_plan(points: DataFrame, p: ScoreParams, every: bool = False) -> DataFrame:
     """``pid, lo0, hi0, lo1, hi1, ..., n, path`` in cell units; the boxes tile the domain.
 
     ``path`` has two hexadecimal digits per cut: boxes of one slab share their prefix.
-    Without any point the plan is one box.
+    Without any point the plan is one box. Points outside the domain do not count; with ``every`` they
+    count in the border cells.
 
     Only the cell histogram is cut, one dimension per step in order of uniformity, so
     the points are read once. A box with at most ``2k + 1`` points is not cut again.
     """
     if p.buckets > MAX_BUCKETS:
         raise ValueError(f"at most {MAX_BUCKETS} buckets per dimension")
-    histogram = keep_small(cell_histogram(points, p), p.cells**p.dims)
+    histogram = keep_small(cell_histogram(points, p, every), p.cells**p.dims)
     order = dimension_order(slab_frequency(histogram, p), p)[:CUT_DIMS]
     everywhere = [f"{0 if name.startswith('lo') else p.cells} as {name}" for name in range_names(p)]
     cells = histogram.selectExpr("*", "'' as box")
@@ -84,11 +85,30 @@ def plan_cells(plan: DataFrame, p: ScoreParams) -> DataFrame:
     return cells.selectExpr(f"{cell_id(index_names(p), p.cells)} as cell_id", "pid")
 
 
+def plan_nodes(points: DataFrame, plan: DataFrame, p: ScoreParams, every: bool = False) -> DataFrame:
+    """``id, c, i0, i1, ..., node``: the path of every point's plan box.
+
+    Goes down the cuts, one join with the boxes of a level each; no cell is enumerated. With ``every``,
+    border boxes reach to infinity, else points outside the domain are left out.
+    """
+    found = placed(points, p, "id", "c", every=every).selectExpr("*", "'' as node")
+    names = index_names(p)
+    for level in range(min(p.dims, CUT_DIMS)):
+        parent, child = (F.substring("path", 1, 2 * n) for n in (level, level + 1))
+        ends = [f(name).alias(name) for d in range(p.dims) for f, name in ((F.min, f"lo{d}"), (F.max, f"hi{d}"))]
+        routes = plan.groupBy(parent.alias("node"), child.alias("child")).agg(*ends)
+        inside = " and ".join(f"{name} >= lo{d} and {name} < hi{d}" for d, name in enumerate(names))
+        found = lookup_join(found, routes, "node", 64 * p.dims * p.buckets ** (level + 1)).where(inside)
+        found = found.selectExpr("id", "c", *names, "child as node")
+    return found
+
+
 def assign_partitions(points: DataFrame, plan: DataFrame, p: ScoreParams) -> DataFrame:
     """``id, c, cell_id, pid``: the core partition of every point inside the domain."""
-    size = 16 * p.cells**p.dims  # the map has one row per grid cell
-    return lookup_join(with_cells(points, p), plan_cells(plan, p), "cell_id", size).select(
-        "id", "c", "cell_id", "pid"
+    nodes = plan_nodes(points, plan, p)
+    pids = plan.selectExpr("path as node", "pid")
+    return lookup_join(nodes, pids, "node", 64 * p.buckets**p.dims).selectExpr(
+        "id", "c", f"{cell_id(index_names(p), p.cells)} as cell_id", "pid"
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outskirt.sources.ids import with_contiguous_id
@@ -19,8 +19,12 @@ _VERTICES = {
 def read_lines(spark: SparkSession, paths: str | list[str], recursive: bool = True) -> DataFrame:
     """``value, layer`` of all files under the paths; ``layer`` is the file's directory name."""
     lines = spark.read.option("recursiveFileLookup", recursive).text(paths)
-    layer = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1)
-    return lines.select("value", layer.alias("layer"))
+    return lines.select("value", layer_of("_metadata.file_path").alias("layer"))
+
+
+def layer_of(path: str) -> Column:
+    """The name of the directory that a file is in, less the ``layer=`` of a partitioned one."""
+    return F.regexp_replace(F.regexp_extract(F.col(path), "([^/]+)/[^/]+$", 1), "^layer=", "")
 
 
 def vertices(lines: DataFrame, *keep: str) -> DataFrame:
@@ -41,18 +45,22 @@ def read_geojson_points(spark: SparkSession, paths: str | list[str], recursive:
 
 
 def write_geojson(shapes: DataFrame, path: str) -> None:
-    """Write ``type, parts`` (``parts``: lists of vertices) as one Feature per line."""
-    features(shapes).write.mode("overwrite").text(path)
+    """Write ``type, parts`` (``parts``: lists of vertices) as one Feature per line.
+
+    With a column ``layer`` each layer gets a directory ``layer=...`` of its own."""
+    writer = features(shapes).write.mode("overwrite")
+    (writer.partitionBy("layer") if "layer" in shapes.columns else writer).text(path)
 
 
 def features(shapes: DataFrame) -> DataFrame:
-    """``value``: GeoJSON text of each shape."""
+    """``value``: GeoJSON text of each shape, and its ``layer`` if it has one."""
     coordinates = (
         "case when type = 'Point' then to_json(parts[0][0])"
         " when type in ('LineString', 'MultiPoint') then to_json(parts[0])"
         " else to_json(parts) end"
     )
+    kept = ["layer"] if "layer" in shapes.columns else []
     return shapes.selectExpr(
-        "concat('{\"type\":\"Feature\",\"geometry\":{\"type\":\"', type, '\",\"coordinates\":', "
+        *kept, "concat('{\"type\":\"Feature\",\"geometry\":{\"type\":\"', type, '\",\"coordinates\":', "
         f"{coordinates}, '}},\"properties\":{{}}}}') as value"
     )

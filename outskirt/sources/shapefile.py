@@ -8,8 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-SHAPES = "record bigint, type string, parts array<array<array<double>>>"
+from outskirt.sources.geojson import layer_of
+
+SHAPES = "path string, record bigint, type string, parts array<array<array<double>>>"
 # Fixed values of the file format: shape type codes; z and m variants add 10 and 20.
 _POINT, _POLYLINE, _POLYGON, _MULTIPOINT = 1, 3, 5, 8
 _HEADER_BYTES = 100
@@ -17,20 +20,23 @@ _BATCH = 2_000
 
 
 def read_shapes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``record, type, parts`` of every shape in all ``.shp`` files under the paths."""
+    """``layer, path, record, type, parts`` of every shape in all ``.shp`` files under the paths.
+
+    ``layer`` is the file's directory name, ``record`` is unique within ``path``."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.shp")
         .option("recursiveFileLookup", True)
         .load(paths)
-        .select("content")
+        .select("content", F.col("_metadata.file_path").alias("path"))
     )
-    return parse_shapes(files)
+    return parse_shapes(files).withColumn("layer", layer_of("path"))
 
 
 def parse_shapes(files: DataFrame) -> DataFrame:
-    """``record, type, parts`` of the shapes in the binary column ``content``."""
-    return files.select("content").mapInPandas(_shapes, SHAPES)
+    """``path, record, type, parts`` of the shapes in the binary column ``content``; ``path`` is passed on."""
+    path = F.col("path") if "path" in files.columns else F.lit(None).cast("string").alias("path")
+    return files.select("content", path).mapInPandas(_shapes, SHAPES)
 
 
 def shape_vertices(shapes: DataFrame) -> DataFrame:
@@ -39,12 +45,12 @@ def shape_vertices(shapes: DataFrame) -> DataFrame:
 
 
 def _shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["record", "type", "parts"]
+    columns = ["path", "record", "type", "parts"]
     for batch in batches:
-        for content in batch["content"]:
+        for content, path in zip(batch["content"], batch["path"]):
             rows = []
             for row in _records(content):
-                rows.append(row)
+                rows.append((path, *row))
                 if len(rows) == _BATCH:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []

@@ -177,3 +177,42 @@ def test_domain_below_zero(spark):
     status = ball_status(local_neighbors(points, plan, p), plan, p).collect()
     assert len(status) == 300
     assert all(list(r.nid) == best[r.id] for r in status if r.status == "T")
+
+
+@pytest.mark.parametrize("dims, cells, buckets", [(1, 7, 2), (2, 50, 4), (2, 1100, 65), (4, 50, 4)])
+def test_every_row_stays_whatever_the_grid(spark, dims, cells, buckets):
+    """Points outside the domain are neighbours like others; plan settings change nothing."""
+    rows = skewed(150, dims, 20 + dims) + [(100_000 + i, [-300.0 + i] * dims) for i in range(3)]
+    rows += [(200_000, [5000.0] * dims), (200_001, [150.0] + [5.0] * (dims - 1))]
+    check(spark, rows, ScoreParams(k=3, dims=dims, leaf_rows=20, cells=cells, buckets=buckets))
+
+
+@pytest.mark.parametrize("cells, buckets, dims", [(20, 65, 2), (6, 3, 4)])
+def test_result_rows_take_any_plan(spark, cells, buckets, dims):
+    from outskirt.job import result_rows
+
+    rows = skewed(120, dims, 31)
+    p = ScoreParams(k=3, dims=dims, leaf_rows=20, cells=cells, buckets=buckets)
+    want = brute_force([r[0] for r in rows], [r[1] for r in rows], p)
+    got = {r.id: (r.kdist, r.lcf, r.nof) for r in result_rows(table(spark, rows), p).collect()}
+    assert got == {i: w[2:] for i, w in want.items()}
+
+
+@pytest.mark.parametrize("k", [1, 2])
+def test_far_outliers_have_exact_forces(spark, k):
+    rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [999_999.0, 999_999.0])]
+    p = ScoreParams(k=k, domain_max=1e6)
+    assert p.wide and not ScoreParams().wide
+    want = brute_force([r[0] for r in rows], [r[1] for r in rows], p)
+    for r in score_points(table(spark, rows), p).collect():
+        assert (r.kdist, r.lcf, r.nof) == pytest.approx(want[r.id][2:], rel=1e-12)
+    assert want[4][3] > 2.8e18
+
+
+def test_many_neighbours_on_a_large_domain(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.random() * 10_001, rng.random() * 10_001]) for i in range(700)]
+    p = ScoreParams(k=500, domain_max=10_001.0)
+    want = brute_force([r[0] for r in rows], [r[1] for r in rows], p)
+    for r in score_points(table(spark, rows), p).collect():
+        assert (r.kdist, r.lcf, r.nof) == pytest.approx(want[r.id][2:], rel=1e-9)
