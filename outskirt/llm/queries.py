@@ -94,7 +94,26 @@ def _templates() -> str:
     return f"SELECT tid, label, base, grams, unnest(range(grams)), unnest(ws[:-2]), unnest(ws[2:]) FROM (VALUES {', '.join(rows)}) v(tid, label, base, grams, ws)"
 
 
+# The sixteen four-bit groups in order, and the base32 alphabet.
+_NIBBLES = "".join(f"{i:04b}" for i in range(16))
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
 SQL = {
+    "op3_warc": f"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+b AS (
+  SELECT *, array_to_string(list_transform(range(40), lambda i:
+    substr('{_NIBBLES}', 4 * strpos('0123456789abcdef', substr(hex, i::INT + 1, 1))::INT - 3, 4)), '') AS bits FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('{_BASE32}', 1 + (
+         16 * substr(bits, 5 * i::INT + 1, 1)::INT + 8 * substr(bits, 5 * i::INT + 2, 1)::INT
+         + 4 * substr(bits, 5 * i::INT + 3, 1)::INT + 2 * substr(bits, 5 * i::INT + 4, 1)::INT
+         + substr(bits, 5 * i::INT + 5, 1)::INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b""",
     "op4_sharding": f"""
 WITH r AS (
   SELECT doc_id, strlen(coalesce(text, '')) AS doc_bytes,
