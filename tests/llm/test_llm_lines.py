@@ -53,3 +53,13 @@ def test_runs_are_compacted_and_keep_the_first_keeper(spark):
     assert [len(level) for level in runs.levels] == [0, 0, 1]
     found = {(r.h1, r.h2): (r.keeper, r.n) for r in lines.totals(runs.rows()).collect()}
     assert found == {(1, 1): (9, 8), **{(k, 0): (k, 1) for k in (9, 5, 3, 1)}}
+
+
+def test_totals_over_several_runs_of_many_keys(spark):
+    from outskirt.llm.shared import shared_folder
+
+    runs = lines.LineRuns(spark, shared_folder(spark), fanout=9)
+    for keeper in (5, 4, 3):
+        runs.add(spark.range(3000).selectExpr("id as h1", "id * 7 as h2", f"{keeper}L as keeper", "2L as n"))
+    found = lines.totals(runs.rows()).groupBy("keeper", "n").count().collect()
+    assert [(r.keeper, r.n, r["count"]) for r in found] == [(5, 6, 3000)]
