@@ -194,6 +194,8 @@ def write(pages: DataFrame, folder: str, id_column: str = "page_id", payload: st
     planned = rows.join(first, "digest").select(
         "id", "url", F.when(refers_to.isNull(), F.col("body")).alias("body"), "digest", refers_to.alias("refers_to")
     )
+    # Sorted, so that a task that runs again makes the same archives and replaces all of its files.
+    planned = planned.sortWithinPartitions("id", "digest")
     run, schema = _write(folder, id_column)
     return stored(planned.mapInArrow(run, schema), f"{folder}-plan", "archives")
 
