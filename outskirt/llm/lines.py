@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outskirt.llm.shared import ascii_lower, shared_folder, stored, text_or_empty, width
+from outskirt.llm.shared import ascii_lower, dropped, shared_folder, stored, text_or_empty, width
 
 SPACE = " \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
@@ -89,8 +89,6 @@ class LineRuns:
             level += 1
 
     def _drop(self, name: str) -> None:
-        from outskirt.llm.shared import dropped
-
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         dropped(self.spark, f"{self.folder}/{name}")
 
