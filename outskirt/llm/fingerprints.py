@@ -18,6 +18,8 @@ from outskirt.llm.shared import shared_folder, stored, text_or_empty, width
 
 SAMPLES = 32
 WHITE = " \t\n\x0b\x0c\r"
+#: A SHA-256 travels as five numbers of at most 13 hexadecimal digits.
+DIGITS, PIECES = 13, 5
 SPLIT = r"[\x20\x09-\x0D]+"
 
 
@@ -41,16 +43,18 @@ def sample(term: Column, log_weight: Column, i: int) -> Column:
 
 
 def signatures(texts: DataFrame) -> DataFrame:
-    """``texts`` (row, which, text): rows (row, which, signature, an array of 16-bit values).
+    """``texts`` (row, which, text): rows (row, which, signature, an array of 16-bit values, and number).
 
-    A text without words has the empty word as its only term."""
+    A text without words has the empty word as its only term. Texts with ``which`` from 2 on are hexadecimal numbers;
+    they pass through as ``number``, so that what belongs to a row is made in the same pass over its text."""
     words = texts.select("row", "which", F.explode(F.split(F.btrim("text", F.lit(WHITE)), SPLIT)).alias("word"))
-    counted = words.groupBy("row", "which", F.xxhash64("word").alias("term")).agg(F.count("*").alias("w"))
+    term = F.when(F.col("which") < 2, F.xxhash64("word")).otherwise(F.conv("word", 16, 10).cast("long"))
+    counted = words.groupBy("row", "which", term.alias("term")).agg(F.count("*").alias("w"))
     counted = counted.select("row", "which", "term", F.ln(F.col("w").cast("double")).alias("lw"))
     least = [F.min(sample(F.col("term"), F.col("lw"), i)).alias(f"s{i}") for i in range(SAMPLES)]
-    out = counted.groupBy("row", "which").agg(*least)
+    out = counted.groupBy("row", "which").agg(*least, F.min("term").alias("number"))
     short = [F.col(f"s{i}").bitwiseAND(F.lit(0xFFFF)).cast("int") for i in range(SAMPLES)]
-    return out.select("row", "which", F.array(*short).alias("signature"))
+    return out.select("row", "which", F.when(F.col("which") < 2, F.array(*short)).alias("signature"), "number")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -71,7 +75,7 @@ def neighbours(rows: DataFrame, folder: str) -> DataFrame:
     ranged = stored(ranged, folder, "ranged")
     inside = Window.partitionBy("part").orderBy(*order)
     inner = ranged.select(
-        "row", "n", "part", F.lead("row").over(inside).alias("nx"), F.lag("row").over(inside).alias("pv"),
+        "row", "doc_id", "n", "part", F.lead("row").over(inside).alias("nx"), F.lag("row").over(inside).alias("pv"),
         F.lag("n").over(inside).alias("pn"),
     )
     inner = stored(inner, folder, "inner")
@@ -87,7 +91,7 @@ def neighbours(rows: DataFrame, folder: str) -> DataFrame:
         ring(F.lag, "last_n", F.last).alias("n_before"),
     )
     return inner.join(F.broadcast(ends), "part").select(
-        "row", "n", F.coalesce("nx", "first_after").alias("next_row"), F.coalesce("pv", "last_before").alias("prev_row"),
+        "row", "doc_id", "n", F.coalesce("nx", "first_after").alias("next_row"), F.coalesce("pv", "last_before").alias("prev_row"),
         F.coalesce("pn", "n_before").alias("prev_n"),
     )
 
@@ -106,20 +110,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_or_empty().alias("text"))
     ring = neighbours(texts.select("row", "doc_id", F.length("text").alias("n")), folder)
     ring = stored(ring, folder, "ring")
-    known = texts.join(ring, "row")
+    known = texts.select("row", "text").join(ring.select("row", "n", "prev_row", "prev_n"), "row")
     heads = known.select(F.col("prev_row").alias("row"), F.expr("substring(text, 1, prev_n div 2)").alias("head"))
     edited = F.expr("concat(substring(text, 1, n - n div 2), head)")
-    pairs = known.join(heads, "row").select("row", "doc_id", "next_row", "n", "text", edited.alias("edited"))
-    both = F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text"))))
-    keyed = pairs.select("row", both.alias("t")).select("row", "t.which", "t.text")
-    made = stored(signatures(keyed), folder, "signatures")
-    digest = pairs.select("row", "doc_id", "next_row", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    own = made.where("which = 0").select("row", "signature")
-    changed = made.where("which = 1").select("row", F.col("signature").alias("edited"))
-    following = own.select(F.col("row").alias("next_row"), F.col("signature").alias("following"))
-    return digest.join(own, "row").join(changed, "row").join(following, "next_row").select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("signature")).alias("fingerprint"),
+    pairs = known.join(heads, "row").select("row", "text", edited.alias("edited"))
+    pairs = pairs.withColumn("digest", F.sha2("edited", 256))
+    part = lambda which, text: F.struct(F.lit(which).alias("which"), text.alias("text"))
+    digits = [part(2 + j, F.substring("digest", DIGITS * j + 1, DIGITS)) for j in range(PIECES)]
+    every = F.explode(F.array(part(0, F.col("text")), part(1, F.col("edited")), *digits)).alias("t")
+    made = stored(signatures(pairs.select("row", every).select("row", "t.which", "t.text")), folder, "signatures")
+    of = lambda which, c: F.max(F.when(F.col("which") == which, F.col(c)))
+    sizes = [min(DIGITS, 64 - DIGITS * j) for j in range(PIECES)]
+    hexed = [F.lpad(F.lower(F.hex(of(2 + j, "number"))), n, "0") for j, n in enumerate(sizes)]
+    rows = made.groupBy("row").agg(
+        of(0, "signature").alias("own"), of(1, "signature").alias("edited"), F.concat(*hexed).alias("edited_sha256")
+    )
+    rows = stored(rows, folder, "rows")
+    following = rows.select(F.col("row").alias("next_row"), F.col("own").alias("following"))
+    return ring.select("row", "doc_id", "next_row", "n").join(rows, "row").join(following, "next_row").select(
+        "doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", as_text(F.col("own")).alias("fingerprint"),
         as_text(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("signature"), F.col("edited")).alias("near_edited"),
-        likeness(F.col("signature"), F.col("following")).alias("near_next"),
+        likeness(F.col("own"), F.col("edited")).alias("near_edited"),
+        likeness(F.col("own"), F.col("following")).alias("near_next"),
     )
