@@ -84,11 +84,42 @@ class Tokenizer:
         return cls.loaded[path]
 
 
-def _tokenize(path: str, pattern: str, end_id: int, wide: bool, vocabulary: int, text_at: int):
+class WholeTokenizer:
+    """The same vocabulary as a JSON file, for texts that the other fails on; loaded once per Python worker, when needed."""
+
+    loaded: dict = {}
+
+    @classmethod
+    def at(cls, path: str):
+        if path not in cls.loaded:
+            import tokenizers
+
+            cls.loaded[path] = tokenizers.Tokenizer.from_file(path)
+            # As in the rank file's encode_ordinary: strings of special tokens are ordinary text.
+            cls.loaded[path].encode_special_tokens = True
+        return cls.loaded[path]
+
+
+def encoder(path: str, pattern: str, json_file: str):
+    """Text to ids by the rank file; by the JSON file where that fails (white space in runs of about a million)."""
+    ordinary = Tokenizer.at(path, pattern).encode_ordinary
+
+    def encode(text: str) -> list[int]:
+        try:
+            return ordinary(text)
+        except (KeyboardInterrupt, SystemExit, GeneratorExit, MemoryError):
+            raise
+        except BaseException:  # a panic is no Exception
+            return WholeTokenizer.at(json_file).encode(text, add_special_tokens=False).ids
+
+    return encode
+
+
+def _tokenize(path: str, pattern: str, json_file: str, end_id: int, wide: bool, vocabulary: int, text_at: int):
     kind = np.dtype("<u4" if wide else "<u2")
 
     def run(batches):
-        encode = Tokenizer.at(path, pattern).encode_ordinary
+        encode = encoder(path, pattern, json_file)
         table = signs(vocabulary)
         for batch in batches:
             # Batches are cut so that the ids of few documents are held at once.
@@ -148,7 +179,8 @@ def _cut(length: int, wide: bool):
 
 
 def pack(
-    docs: DataFrame, rank_file: str, pattern: str, end_id: int = 1, length: int = 2048, vocabulary: int = 50257
+    docs: DataFrame, rank_file: str, pattern: str, end_id: int = 1, length: int = 2048, vocabulary: int = 50257,
+    json_file: str | None = None,
 ) -> DataFrame:
     """Pieces of ``docs``: its columns but for ``text``, and start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -157,7 +189,8 @@ def pack(
     the order of (Hilbert key, doc_id, row). Repeated rows are documents of their own; null ids come
     first among equal keys. No rows give no rows. Columns pass through whatever their names, save those added.
 
-    ``rank_file`` must be readable under the same path on every worker; it is part of an installed package.
+    ``rank_file`` must be readable under the same path on every worker; it is part of an installed package. So must
+    ``json_file``, the same vocabulary for tokenizers (default: beside it, ending in .json), which takes the texts that tiktoken fails on.
     """
     from pyspark.sql import types as T
 
@@ -171,7 +204,8 @@ def pack(
     others = [f for f in schema if f.name != "__row"]
     for name, kind in (("__ids", "binary"), ("__n", "long"), ("__key", "long")):
         schema = schema.add(name, kind)
-    run = _tokenize(rank_file, pattern, end_id, wide, max(vocabulary, end_id + 1), base.columns.index("text"))
+    json_file = json_file or f"{rank_file.removesuffix('.tiktoken')}.json"
+    run = _tokenize(rank_file, pattern, json_file, end_id, wide, max(vocabulary, end_id + 1), base.columns.index("text"))
     made = stored(base.mapInArrow(run, schema), folder, "ids")
     # Sorted by key, not only by range, before the ids are numbered.
     order = made.select("__row", "__n", "__key", "doc_id").repartitionByRange(width(spark), "__key", "doc_id", "__row")

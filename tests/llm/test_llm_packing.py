@@ -61,3 +61,12 @@ def test_like_documents_have_near_keys():
     near[:10] = 5
     grid = lambda x: packing.grid(x, table).astype(int)
     assert np.abs(grid(ids) - grid(near)).max() < np.abs(grid(ids) - grid(far)).max()
+
+
+@pytest.mark.parametrize("blank", [" ", "\n"])
+def test_long_white_space_equals_the_json_tokenizer(spark, blank):
+    text = f"x{blank * 2_000_000}y"
+    ids = [*Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids, 1]
+    out = packing.pack(cases.table(spark, [(1, text)]), RANKS, public_tokenizers.PATTERN, length=1 << 22).collect()
+    want = (0, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+    assert [(r.start, r.doc_tokens, r.ids_crc32) for r in out] == [want]
