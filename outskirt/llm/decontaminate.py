@@ -83,7 +83,7 @@ def _seeds(min_match: int):
                     made = {"gram": grams.view(np.int64), "pos": np.arange(len(grams)), "n_words": [len(words)] * len(grams)}
                     made = rows_of(made, schema)
                     ids = pa.array([item.as_py()] * len(grams), type=batch.schema.field(0).type)
-                    yield pa.RecordBatch.from_arrays([ids, *made.columns], names=["item_id", *schema.names])
+                    yield pa.RecordBatch.from_arrays([ids, *made.columns], names=["item", *schema.names])
 
     return run
 
@@ -145,7 +145,7 @@ def _tile(min_match: int, threshold: float):
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_match: int = 5
+    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_match: int = 5, unnamed: bool = False
 ) -> DataFrame:
     """Rows (doc_id, text_hash, item_id, n_tiles, covered, item_words, coverage), one per contaminated document and item.
 
@@ -153,13 +153,19 @@ def contaminated(
     share of the item's words under tiles, at least ``threshold``. Null and empty texts and items shorter than
     ``min_match`` words match nothing. Repeated rows (same id, same text) give one row per item, ids may
     be null. Empty tables give no rows. ``text_hash`` (xxhash64) tells rows of one id with different texts apart.
+    Each distinct text of an item_id is an item of its own, with rows of its own. Items with a null item_id take part
+    only with ``unnamed``.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    items = benchmark.select("item_id", "text")
+    items = benchmark.select("item_id", "text").distinct()
+    if not unnamed:
+        items = items.where("item_id is not null")
+    # Stored, so that a number stands for the same item in both reads; item_id is only handed on.
+    items = stored(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), folder, "items")
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    seeds = items.mapInArrow(_seeds(min_match), f"item_id {kind}, gram long, pos int, n_words int")
-    seeds = stored(seeds.where("item_id is not null").distinct(), folder, "seeds")
+    seeds = items.select("item", "text").mapInArrow(_seeds(min_match), "item long, gram long, pos int, n_words int")
+    seeds = stored(seeds, folder, "seeds")
     bits = spark.sparkContext.broadcast(_filter(seeds))
     narrow = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), "text")
     shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, text string"
@@ -169,7 +175,7 @@ def contaminated(
     # Each item position that a shared gram starts at covers at most min_match words.
     pairs = (
         hits.join(seeds, "gram")
-        .groupBy("doc_id", "text_hash", "item_id")
+        .groupBy("doc_id", "text_hash", "item")
         .agg((F.count_distinct("pos") * min_match >= F.max("n_words") * threshold).alias("can"))
         .where("can")
         .drop("can")
@@ -178,15 +184,15 @@ def contaminated(
     same = F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("p.text_hash") == F.col("t.text_hash"))
     texts = found.select("doc_id", "text_hash", "text").alias("t")
     both = pairs.join(texts, same).select("p.*", "t.text")
-    both = both.join(items.withColumnRenamed("text", "item"), "item_id")
-    both = both.select("doc_id", "text_hash", "item_id", "text", "item")
+    both = both.join(items.withColumnRenamed("text", "item_text"), "item")
+    both = both.select("doc_id", "text_hash", "item_id", "text", "item_text")
     schema = f"{shape.rpartition(',')[0]}, item_id {kind}, n_tiles int, covered int, item_words int, coverage double"
     return both.mapInArrow(_tile(min_match, threshold), schema).distinct()
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_match: int = 5) -> DataFrame:
-    """``docs`` without the contaminated rows."""
-    bad = contaminated(docs, benchmark, threshold, min_match).select(
+    """``docs`` without the contaminated rows, whether or not the item has an id."""
+    bad = contaminated(docs, benchmark, threshold, min_match, unnamed=True).select(
         F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")
     )
     bad = stored(bad.distinct(), shared_folder(docs.sparkSession), "contaminated")

@@ -61,7 +61,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).drop("text_hash")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), unnamed=True).drop("text_hash")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

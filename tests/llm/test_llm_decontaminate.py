@@ -84,3 +84,15 @@ def test_empty_tables(spark):
     assert dc.contaminated(cases.table(spark), none).count() == 0
     assert dc.contaminated(cases.table(spark, []), some).count() == 0
     assert dc.drop_contaminated(cases.table(spark), none).count() == len(cases.texts())
+
+
+def test_texts_of_one_id_and_null_ids(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 20), ("b", 200), ("c", 30))]
+    items = [(1, texts[0]), (1, texts[1]), (1, texts[0]), (None, texts[2])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = cases.table(spark, [*cases.texts(), (900, f"x {texts[0]} y"), (901, texts[1]), (902, texts[2])])
+    found = dc.contaminated(docs, bench, unnamed=True).collect()
+    want = {(900, 1, 20, 1.0), (901, 1, 200, 1.0), (902, None, 30, 1.0)}
+    assert len(found) == 3 and {(r.doc_id, r.item_id, r.item_words, r.coverage) for r in found} == want
+    kept = {r.doc_id for r in dc.drop_contaminated(docs, bench).collect()}
+    assert kept == {i for i, _ in cases.texts()}
