@@ -3,14 +3,17 @@
 All rolling hashes of ``GRAM`` words of a text are joined to the template positions that have them (the words are compared
 too, so a match is exact). A match votes for the diagonal (position in the text minus position in the template); per
 diagonal the matched template positions are a bit mask. Diagonals at most ``BAND`` apart are merged, so
-that inserted or missing words do not take a notice apart. A merged group whose words in the text span no more than the
-template's length and some slack, and whose mask covers ``COVERED`` of the template's grams, is a hit.
+that inserted or missing words do not take a notice apart. A merged group is a hit if within it a window of the
+template's length and some slack has matches whose mask covers ``COVERED`` of the template's grams. A single diagonal
+always fits a window, so matches around a whole notice take nothing from it.
 
 The templates are a fixed list, so the join broadcasts them: their number of rows is bounded by this file.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,18 +87,26 @@ def scan(docs: DataFrame) -> DataFrame:
     diagonals = diagonals.withColumn("island", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     about = known.select("tid", "label", "base", "grams").distinct()
     merged = diagonals.join(F.broadcast(about), "tid", "left")
-    whole = F.col("base") & (F.col("votes") == F.col("grams"))
+    # A row per match again: a diagonal's mask has its template positions.
+    bits = F.expr("filter(sequence(0, grams - 1), t -> getbit(mask, t) = 1)")
+    merged = merged.select("*", F.explode_outer(bits).alias("tpos"))
+    # Positions in units that make every template's window equally wide.
+    widths = [len(words.split()) - 1 + SLACK - 1 for words, _ in PHRASES + NOTICES]
+    unit = math.lcm(*widths)
+    at = (F.col("diagonal") + F.col("tpos")) * (F.lit(unit) / (F.col("grams") + SLACK - 1)).cast("long")
+    window = Window.partitionBy("row", "tid", "island").orderBy("at").rangeBetween(0, unit)
+    merged = merged.withColumn("at", at)
+    merged = merged.withColumn("seen", F.bit_or(F.expr("shiftleft(1L, tpos)")).over(window))
+    whole = F.col("base") & (F.col("votes") == F.col("grams")) & (F.col("tpos") == 0)
     islands = merged.groupBy("row", "doc_id", "tid", "island", "label", "base", "grams").agg(
         F.sum(F.when(whole, 1).otherwise(0)).alias("places"),
         F.min(F.when(whole, F.col("diagonal"))).alias("first"),
         F.max(F.when(whole, F.col("diagonal"))).alias("last"),
-        F.bit_or("mask").alias("mask"),
-        F.min("low").alias("low"),
+        F.max(F.bit_count("seen")).alias("seen"),
         F.max("high").alias("high"),
     )
-    fits = F.col("high") - F.col("low") < F.col("grams") + SLACK
-    share = F.when(F.col("base"), (F.col("places") > 0).cast("double")).when(
-        fits, F.bit_count("mask") / F.col("grams").cast("double")
+    share = F.when(F.col("base"), (F.col("places") > 0).cast("double")).otherwise(
+        F.col("seen") / F.col("grams").cast("double")
     )
     islands = islands.withColumn("share", F.coalesce(share, F.lit(0.0)))
     hit = F.when(F.col("base"), F.col("places") > 0).otherwise(F.col("share") >= COVERED)

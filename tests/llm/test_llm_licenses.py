@@ -43,3 +43,16 @@ def test_empty_table(spark):
 
 def test_templates_fit_a_mask():
     assert max(len(words.split()) for words, _ in licenses.PHRASES + licenses.NOTICES) <= 63
+
+
+def test_a_notice_next_to_repeated_fragments(spark):
+    rows = [
+        (1, "Licensed under the Apache License, Version 2.0. 2.0.1 2.0.2 2.0.3 2.0.4"),
+        (2, "Licensed under CC BY 4.0 CC BY 4.0 CC BY 4.0 CC BY 4.0"),
+        (3, "2.0 " * 40 + "Licensed under the Apache License, Version 2.0"),
+        (4, "2.0 " * 40 + "under the license version " + "2.0 " * 40),
+    ]
+    out = {r.doc_id: r for r in licenses.scan(cases.table(spark, rows)).collect()}
+    found = {i: set(r.labels.split(",")) for i, r in out.items()}
+    assert "apache-2.0" in found[1] & found[3] and "cc-by-4.0" in found[2] and found[4] == {""}
+    assert out[1].score == out[2].score == out[3].score == 1 and out[4].score < 0.8
