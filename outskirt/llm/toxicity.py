@@ -2,7 +2,7 @@
 
 Features of a text are its distinct words and word beginnings (first 4, 5 and 6 characters), hashed to 64 bits. A
 bounded sample of labelled rows gives, in Spark, counts per feature and label; the most telling features (bounded) are
-the vocabulary. Each labelled text with identity terms is also taken with the terms of one of its sentences
+the vocabulary. Each labelled text with identity terms is also taken with all of them, in every sentence,
 swapped for another group's, or for a neutral word. A logistic model is fitted on the driver to the bounded sample;
 besides the labels' loss it pays for the squared change of the score under such swaps, and an L1
 penalty keeps only features that matter. Scoring reads whole texts and needs the model alone.
@@ -55,11 +55,12 @@ class Settings:
 
 @dataclass(frozen=True)
 class Model:
-    """Sorted feature hashes with their weights, and the bias."""
+    """Sorted feature hashes with their weights, the bias, and how many pairs of a text and a swapped one were learned from."""
 
     features: np.ndarray
     weights: np.ndarray
     bias: float
+    pairs: int = 0
 
     def score(self, text: str | None) -> float:
         z = self.bias
@@ -91,8 +92,9 @@ def features(text: str | None) -> np.ndarray:
     return mix(hashes ^ kinds)
 
 
-def swapped(text: str, terms: dict) -> list[str]:
-    """The text with the identity terms of its first sentence that has any swapped for the next and for the neutral one."""
+def swapped(text: str, terms: dict, everywhere: bool = False) -> list[str]:
+    """The text with the identity terms of its first sentence that has any, or with ``everywhere`` of all its sentences,
+    swapped for the next and for the neutral one."""
     following, neutral = {}, {}
     for words in terms.values():
         for i, word in enumerate(words[:-1]):
@@ -105,6 +107,8 @@ def swapped(text: str, terms: dict) -> list[str]:
     begin = max(text.rfind(c, 0, found.start()) for c in ".!?\n") + 1
     stops = [at for c in ".!?\n" if (at := text.find(c, found.end())) >= 0]
     end = min(stops, default=len(text))
+    if everywhere:
+        begin, end = 0, len(text)
     out = []
     for to in (following, neutral):
         changed = pattern.sub(lambda m, to=to: to[m[0].lower()], text[begin:end])
@@ -148,7 +152,7 @@ def _examples(vocabulary, terms):
             for text in batch.column(0):
                 text = text.as_py() or ""
                 own.append(places(text))
-                swaps.append([places(t).tolist() for t in swapped(text, terms)])
+                swaps.append([places(t).tolist() for t in swapped(text, terms, everywhere=True)])
             own = pa.array(own, type=pa.list_(pa.int32()))
             swaps = pa.array(swaps, type=pa.list_(pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([own, swaps, batch.column(1)], names=["own", "swaps", "toxic"])
@@ -237,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     swaps = rows.column("swaps").to_pylist()
     weights, bias = _train(own, swaps, rows.column("toxic").to_numpy(), len(vocabulary), s)
     used = weights != 0
-    return Model(vocabulary[used], weights[used], bias)
+    return Model(vocabulary[used], weights[used], bias, sum(map(len, swaps)))
 
 
 def _score(model, text_at: int):

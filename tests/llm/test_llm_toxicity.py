@@ -72,3 +72,18 @@ def test_odd_cases(spark):
     assert toxicity.drop_toxic(docs, labels).columns == docs.columns
     one = toxicity.fit(docs, spark.createDataFrame([(20, 1), (21, 1), (23, 1)], "doc_id long, toxic int"))
     assert 0 <= one.score(None) <= 1
+
+
+def test_all_sentences_are_swapped(spark):
+    text = "One. The Women came. Men and women went!\nWomen"
+    assert toxicity.swapped(text, toxicity.IDENTITY_TERMS, everywhere=True) == [
+        "One. The men came. girls and men went!\nmen", "One. The people came. people and people went!\npeople"
+    ]
+    docs, labels = corpus()
+    docs = [(i, f"{t} Then muslims spoke. And muslims left." if "muslims" in t else t) for i, t in docs]
+    frame, known = cases.table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    plain, fair = (toxicity.fit(frame, known, toxicity.Settings(min_rows=2, swap_weight=w)) for w in (0.0, 50.0))
+    change = lambda m: abs(m.score("w1 w2 muslims w3.") - m.score("w1 w2 people w3."))
+    assert change(fair) < 0.3 * change(plain)
+    own = [i for i, t in docs if "muslims" in t and zlib.crc32(str(i).encode()) % 5]
+    assert fair.pairs == 2 * len(own)
