@@ -206,7 +206,7 @@ def _train(own, swaps, toxic, n_features: int, s: Settings) -> tuple[np.ndarray,
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
     """Learn from at most ``sample_rows`` labelled documents that are not held out (the first in the order of a hash of the id).
 
-    Labels that are null or neither 0 nor 1 are left out; of several for one id the largest counts. Documents without an id or
+    Of several rows of one id the one with the smallest text hash is learned from. Labels that are null or neither 0 nor 1 are left out; of several for one id the largest counts. Documents without an id or
     label do not take part. Without any labelled row the model scores 0 everywhere."""
     s = settings or Settings()
     spark = docs.sparkSession
@@ -217,7 +217,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample_rows).join(known, "doc_id")
     # At most sample_rows narrow rows.
     chosen = stored(chosen, folder, "chosen")
-    sample = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), folder, "sample")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # One row per id, so that sample_rows bounds what the driver gets.
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")
+    sample = sample.groupBy("doc_id", "toxic").agg(one).select("first.text", "toxic")
+    sample = stored(sample, folder, "sample")
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 + n1:

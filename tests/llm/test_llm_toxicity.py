@@ -87,3 +87,15 @@ def test_all_sentences_are_swapped(spark):
     assert change(fair) < 0.3 * change(plain)
     own = [i for i, t in docs if "muslims" in t and zlib.crc32(str(i).encode()) % 5]
     assert fair.pairs == 2 * len(own)
+
+
+def test_one_row_of_an_id_is_learned_from(spark):
+    docs, labels = corpus(40)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    hot = next(i for i, _ in docs if i % 4 == 0 and zlib.crc32(str(i).encode()) % 5)
+    own = dict(docs)[hot] + " Women spoke."
+    single = [(i, own if i == hot else t) for i, t in docs]
+    several = single + [(hot, own)] * 60
+    s = toxicity.Settings(min_rows=1)
+    one, many = (toxicity.fit(cases.table(spark, rows), known, s) for rows in (single, several))
+    assert one.pairs == many.pairs and np.array_equal(one.features, many.features) and np.allclose(one.weights, many.weights)
