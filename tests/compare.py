@@ -34,7 +34,7 @@ def rows(columns, data):
 
 
 # Spark's and DuckDB's names of the column types that the queries return
-SAME = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+SAME = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def compare(spark, con, sf, query, sql):
