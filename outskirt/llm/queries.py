@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outskirt.llm import decontaminate, fingerprints, licenses, lines, packing, sharding, simhash, substring, toxicity, warc
-from outskirt.llm.shared import shared_folder, table
+from outskirt.llm import (
+    bestfit, decontaminate, fingerprints, licenses, lines, merkle, packing, runs, sharding, simhash, substring, toxicity, warc,
+)
+from outskirt.llm.shared import LOWER, UPPER, shared_folder, table
 
 #: The vocabulary of byte_bpe_50k.json as ranks.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -69,6 +71,52 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    parts = lambda text: [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    leaf, changed = (merkle.row_digest(parts(t)) for t in (F.col("text"), F.translate("text", UPPER, LOWER)))
+    out = merkle.proofs(docs, leaf, F.when(tampered, changed).otherwise(leaf), "lang", "doc_id")
+    return out.withColumn("proof_sha256", F.sha2("proof", 256)).drop("proof")
+
+
+def repeat_words(text: Column, doc_id: Column) -> Column:
+    """The edit of op12's contract: in every tenth document the words from some place on repeat."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    # Bound once, in an array of its own: inside a lambda an expression is worked out anew for each word.
+    all_words = F.array(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    g = F.floor(h / 10)
+
+    def edit(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        bounds = F.array(F.struct(a.alias("a"), (1 + F.floor((n - a) / (3 + g % 8))).alias("p")))
+        place = lambda i, b: F.when(i < b["a"], i).otherwise(b["a"] + (i - b["a"]) % b["p"]).cast("int")
+        index = lambda b: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i, b)))
+        return F.when(n > 0, F.array_join(F.transform(bounds, index)[0], " ")).otherwise("")
+
+    return F.when(h % 10 == 0, F.transform(all_words, edit)[0]).otherwise(text)
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", repeat_words(F.col("text"), F.col("doc_id")).alias("text"))
+    out = runs.collapse_runs(docs).withColumn("best", runs.best_run(F.col("runs")))
+    line = lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])
+    listed = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bestfit.pack_whole(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_sharding": op4_sharding,
@@ -80,6 +128,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_decontaminate": op10_decontaminate,
+    "op11_merkle": op11_merkle,
+    "op12_runs": op12_runs,
+    "op13_best_fit": op13_best_fit,
 }
 
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -98,7 +149,67 @@ def _templates() -> str:
 _NIBBLES = "".join(f"{i:04b}" for i in range(16))
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
+#: crc32 of a document id's decimal digits, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * length(doc_id::VARCHAR)), lambda i:
+  (ascii(substr(doc_id::VARCHAR, 1 + (i // 8)::INT, 1)) >> (i % 8)::INT) & 1)),
+  lambda r, b: xor(r >> 1, CASE WHEN (xor(r, b) & 1) = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+_ROW = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_UP = "list_transform(range((len(hs) + 7) // 8), lambda i: sha256(array_to_string(hs[8 * i + 1:8 * i + 8], '')))"
+_OWN = "(pos >> (3 * level)::INT)"
+_STEP = f"""array_to_string(hs[1 + {_OWN} // 8 * 8:{_OWN}], '') || '#'
+  || array_to_string(hs[{_OWN} + 2:{_OWN} // 8 * 8 + 8], '')"""
+
 SQL = {
+    "op11_merkle": f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, sha256({_ROW} || {_field('text')}) AS leaf,
+         CASE WHEN {_CRC} % 3 = 0 THEN sha256({_ROW} || {_field(f"translate(text, {_ABC})")}) END AS tampered FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+t(lang, level, hs) AS (
+  SELECT lang, 0, list(leaf ORDER BY pos) FROM l GROUP BY lang
+  UNION ALL SELECT lang, level + 1, {_UP} FROM t WHERE len(hs) > 1),
+s AS (SELECT lang, hs[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM t WHERE len(hs) = 1),
+u(level, hs) AS (
+  SELECT 0, list(subroot ORDER BY pos) FROM s
+  UNION ALL SELECT level + 1, {_UP} FROM u WHERE len(hs) > 1),
+low AS (SELECT doc_id, leaf, list({_STEP} ORDER BY level) AS steps
+        FROM l JOIN t ON l.lang IS NOT DISTINCT FROM t.lang WHERE len(hs) > 1 GROUP BY ALL),
+high AS (SELECT lang, list({_STEP} ORDER BY level) AS steps FROM s, u WHERE len(hs) > 1 GROUP BY ALL),
+p AS (SELECT l.*, subroot, (SELECT hs[1] FROM u WHERE len(hs) = 1) AS root,
+             list_concat(coalesce(low.steps, []), coalesce(high.steps, [])) AS steps
+      FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang LEFT JOIN low ON l.doc_id IS NOT DISTINCT FROM low.doc_id AND l.leaf = low.leaf
+      LEFT JOIN high ON l.lang IS NOT DISTINCT FROM high.lang),
+f AS (SELECT *, list_reduce(list_prepend(coalesce(tampered, leaf), steps), lambda h, x:
+                sha256(split_part(x, '#', 1) || h || split_part(x, '#', 2))) AS folded_root FROM p)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '#', '')) AS proof_sha256, folded_root,
+       folded_root = root AS verified FROM f""",
+    "op12_runs": f"""
+WITH o AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws, {_CRC} AS h FROM documents),
+g AS (SELECT *, len(ws) AS n, (h // 10) % greatest(len(ws), 1) AS a, 3 + (h // 10) % 8 AS times FROM o),
+e AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i:
+             ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // times) END]) ELSE ws END AS ws FROM g),
+w AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM e),
+c AS (SELECT x.doc_id, x.pos, y.pos - x.pos AS q FROM w x JOIN w y USING (doc_id, word)
+      WHERE y.pos > x.pos AND 4 * (y.pos - x.pos) <= x.n),
+i AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, q ORDER BY pos) AS island FROM c),
+a AS (SELECT doc_id, q, min(pos) AS start, count(*) + q AS length FROM i GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM a WHERE length >= greatest(6, 4 * q) GROUP BY ALL),
+b AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+             first({{'start': start, 'length': length, 'period': period}} ORDER BY length / period DESC, start, period) AS best
+      FROM r GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept FROM w
+      WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = w.doc_id AND pos >= start + period AND pos < start + length) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+       1000 * best.length // best.period AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+       sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM e LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)""",
     "op3_warc": f"""
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
