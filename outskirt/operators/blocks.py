@@ -1,7 +1,7 @@
-"""Distance blocks: the points of one leaf against a block of query points.
+"""Distance blocks: a box of points searched for its own neighbours, and a leaf against query points from other boxes.
 
 Spark decides which blocks meet and ships them as Arrow arrays; the functions here
-only turn one pair of bounded blocks into the k nearest of each query.
+only turn one bounded box, or one pair of bounded blocks, into the k nearest of each query.
 """
 
 from __future__ import annotations
@@ -10,74 +10,231 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from outskirt.params import ScoreParams
-
-RESULT = "id bigint, c array<double>, node string, nid array<bigint>, nd array<double>, nc array<double>"
-OWN_RESULT = f"{RESULT}, r double, settled boolean"
+from outskirt.plans.kd_tree import Routes, leaves_of
+
+RESULT = "id bigint, nid array<bigint>, nd array<double>, nc array<double>"
+POINT = f"{RESULT}, c array<double>, home string, settled boolean"
+#: One row per leaf. ``n`` neighbours of each point are in ``nids``, ``nds``, ``ncs``. The points whose ball leaves the box are ``oids``, ...;
+#: ``touch`` are the other boxes that a hull around those balls reaches into.
+LEAF = (
+    "box bigint, node bigint, home string, ids array<bigint>, cs array<double>, lo array<double>, hi array<double>, "
+    "n array<int>, nids array<bigint>, nds array<double>, ncs array<double>, settled array<boolean>, "
+    "oids array<bigint>, ocs array<double>, ogs array<double>, ors array<double>, touch array<bigint>"
+)
+ASK = "node bigint, qids array<bigint>, qcs array<double>, qrs array<double>, m bigint"
 _FLUSH_ROWS = 20_000
 
 
-def pack_leaves(points: DataFrame, partitions: int) -> DataFrame:
-    """``node, ids, cs``: one row per leaf with its points in id order (at most ``leaf_rows``)."""
-    return (
-        points.repartition(partitions, "node")
-        .groupBy("node")
-        .agg(F.expr("array_sort(collect_list(struct(id, c)))").alias("m"))
-        .selectExpr("node", "m.id as ids", "flatten(m.c) as cs")
-    )
+def slack(radius, p: ScoreParams):
+    """``radius`` widened so that a raw distance above it cannot round into a tie."""
+    half = 0.0 if p.dist_scale is None else 0.5 * 10.0**-p.dist_scale
+    return (radius + half) * (1.0 + 1e-9) + 1e-12
 
 
-def nearest_within_leaf(leaves: DataFrame, p: ScoreParams) -> DataFrame:
-    """Every point against its own leaf, itself left out.
+def _margin(g: np.ndarray, routes: Routes) -> float:
+    """What rounding can do to differences of distances to pivots."""
+    return 0.0 if routes.pivots is None else 1e-11 * float(np.abs(g).max(initial=0.0))
 
-    ``leaves`` has ``free_lo, free_hi`` besides the packed points. ``r`` is the distance of the
-    k-th neighbour, infinite with fewer; ``settled`` tells whether that ball stays in the free space.
-    """
-    cols = leaves.select("node", "ids", "cs", "free_lo", "free_hi")
-    return cols.mapInArrow(_run(_own_block(p), p.dims), OWN_RESULT)
 
+def _gap(g: np.ndarray, lo: np.ndarray, hi: np.ndarray, p: ScoreParams, routes: Routes) -> np.ndarray:
+    """Distance of each row of ``g`` to each box [lo, hi], or a lower bound of it."""
+    total = np.zeros((len(g), len(lo)))
+    for i in range(g.shape[1]):
+        x = g[:, i, None]
+        gap = np.maximum(np.maximum(lo[None, :, i] - x, x - hi[None, :, i]), 0.0)
+        if routes.pivots is not None:
+            np.maximum(total, gap, out=total)
+        else:
+            total += gap if p.metric == "l1" else gap * gap
+    return np.sqrt(total) if routes.pivots is None and p.metric == "l2" else total
 
-def nearest_in_other_leaf(pairs: DataFrame, p: ScoreParams) -> DataFrame:
-    """``node, qids, qcs, qrs, ids, cs``: queries with a search radius against a foreign leaf."""
-    cols = pairs.select("node", "qids", "qcs", "qrs", "ids", "cs")
-    return cols.mapInArrow(_run(_foreign_block(p), p.dims), RESULT)
 
+class _Best:
+    """The k nearest so far of some points, by distance, then id."""
 
-def slack(radius, p: ScoreParams):
-    """``radius`` widened so that a raw distance above it cannot round into a tie."""
-    half = 0.0 if p.dist_scale is None else 0.5 * 10.0**-p.dist_scale
-    return (radius + half) * (1.0 + 1e-9) + 1e-12
+    def __init__(self, n: int, p: ScoreParams):
+        self.d = np.full((n, p.k), np.inf)
+        self.id = np.full((n, p.k), np.iinfo(np.int64).max)
+        self.at = np.full((n, p.k), -1, dtype=np.int64)
 
+    def merge(self, rows: np.ndarray, d: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+        d, ids, at = (np.concatenate([old[rows], new], axis=1) for old, new in ((self.d, d), (self.id, ids), (self.at, at)))
+        order = np.lexsort((ids, d), axis=1)[:, : self.d.shape[1]]
+        self.d[rows], self.id[rows], self.at[rows] = (np.take_along_axis(x, order, axis=1) for x in (d, ids, at))
 
-def _own_block(p: ScoreParams) -> Callable:
-    def one(row: dict) -> tuple:
-        ids, cs = row["ids"], row["cs"].reshape(-1, p.dims)
-        d = _distances(cs, cs, p)
-        np.fill_diagonal(d, np.inf)
-        at, best = _smallest(d, p.k)
-        r = best[:, -1] if best.shape[1] == p.k else np.full(len(ids), np.inf)
-        free_lo, free_hi = row["free_lo"], row["free_hi"]
-        if np.isinf(free_lo).all() and np.isinf(free_hi).all():  # nothing is outside
-            settled = np.ones(len(ids), dtype=bool)
-        else:
-            reach = slack(r, p)[:, None]
-            settled = ((cs - reach > free_lo) & (cs + reach < free_hi)).all(axis=1)
-        return (ids, cs, ids, cs, at, best, {"r": r, "settled": settled})
 
-    return one
+def within_box(p: ScoreParams, routes: Routes) -> Callable:
+    """A box's points (``id, c, home, box``) to its leaves, every point searched for neighbours in the whole box.
 
+    A leaf's points are compared with each other; those whose ball leaves the leaf also with the leaves it touches, the nearest first.
+    """
 
-def _foreign_block(p: ScoreParams) -> Callable:
-    def one(row: dict) -> tuple:
-        qcs, cs = row["qcs"].reshape(-1, p.dims), row["cs"].reshape(-1, p.dims)
-        d = _distances(qcs, cs, p)
-        d[d > row["qrs"][:, None]] = np.inf
-        return (row["qids"], qcs, row["ids"], cs, *_smallest(d, p.k), {})
+    def run(table: pa.Table) -> pa.Table:
+        ids = table["id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, home, box = ids[order], table["home"][0].as_py(), table["box"][0].as_py()
+        cs = table["c"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, p.dims)[order]
+        g = routes.space(cs, p.metric)
+        margin = _margin(g, routes)
+        cell_lo, cell_hi = routes.cells[box]
+        leaves = leaves_of(g, cell_lo, cell_hi, p.leaf_rows)
+        lo, hi = (np.array([f(g[rows], axis=0) for rows, _, _ in leaves]) for f in (np.min, np.max))
+        best = _Best(len(ids), p)
+        for rows, _, _ in leaves:
+            d = _distances(cs[rows], cs[rows], p)
+            np.fill_diagonal(d, np.inf)
+            at, near = _smallest(d, p.k)
+            found = rows[at]
+            best.d[rows, : at.shape[1]], best.at[rows, : at.shape[1]] = near, found
+            best.id[rows, : at.shape[1]] = ids[found]
+        for i, (rows, free_lo, free_hi) in enumerate(leaves):
+            out = ~_inside(g[rows], best.d[rows, -1], free_lo, free_hi, margin, p)
+            if out.any():
+                _search_leaves(rows[out], i, leaves, lo, hi, ids, cs, g, margin, best, p, routes)
+        radius = best.d[:, -1]
+        settled = _inside(g, radius, cell_lo, cell_hi, margin, p)
+        made = [_leaf(rows, home, box, i, ids, cs, g, best, settled, radius, margin, routes, p) for i, (rows, _, _) in enumerate(leaves)]
+        columns = []
+        for name, kind in _LEAF_TYPES:
+            columns.append(pa.array([m[name] for m in made], type=kind))
+        return pa.table(columns, names=[name for name, _ in _LEAF_TYPES])
+
+    return run
+
+
+_LISTS = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+_LEAF_TYPES = [
+    (name, pa.list_(_LISTS[kind[6:-1]]) if kind.startswith("array") else _LISTS[kind])
+    for name, kind in (column.split() for column in LEAF.split(", "))
+]
+
+
+def _inside(g, radius, lo, hi, margin, p) -> np.ndarray:
+    """Whether the ball of each point lies in the free space between ``lo`` and ``hi``."""
+    if np.isinf(lo).all() and np.isinf(hi).all():  # nothing is outside
+        return np.ones(len(g), dtype=bool)
+    reach = (slack(radius, p) + margin)[:, None]
+    return ((g - reach > lo) & (g + reach < hi)).all(axis=1)
+
+
+def _search_leaves(rows, own, leaves, lo, hi, ids, cs, g, margin, best, p, routes) -> None:
+    gap = _gap(g[rows], lo, hi, p, routes)
+    gap[:, own] = np.inf
+    for i in np.argsort(gap.min(axis=0), kind="stable"):
+        some = np.flatnonzero(gap[:, i] <= slack(best.d[rows, -1], p) + margin)
+        some = some[np.isfinite(gap[some, i])]
+        if not len(some):
+            continue
+        other, of = leaves[i][0], rows[some]
+        at, near = _smallest(_distances(cs[of], cs[other], p), p.k)
+        best.merge(of, near, ids[other[at]], other[at])
+
+
+def _leaf(rows, home, box, i, ids, cs, g, best, settled, radius, margin, routes, p) -> dict:
+    has = np.isfinite(best.d[rows])
+    at = best.at[rows][has]
+    open_rows = rows[~settled[rows]]
+    touch = np.zeros(0, dtype=np.int64)
+    if len(open_rows):
+        reach = (slack(radius[open_rows], p) + margin)[:, None]
+        hull = (g[open_rows] - reach).min(axis=0)[None], (g[open_rows] + reach).max(axis=0)[None]
+        _, touch = routes.touched(routes.root[home], *hull)
+        touch = touch[touch != box]
+    return {
+        "box": box, "node": (box << 32) + i, "home": home, "ids": ids[rows], "cs": cs[rows].ravel(),
+        "lo": g[rows].min(axis=0), "hi": g[rows].max(axis=0), "n": has.sum(axis=1), "nids": ids[at], "nds": best.d[rows][has],
+        "ncs": cs[at].ravel(), "settled": settled[rows], "oids": ids[open_rows], "ocs": cs[open_rows].ravel(),
+        "ogs": g[open_rows].ravel(), "ors": radius[open_rows], "touch": np.sort(touch),
+    }
+
+
+def _values(column: pa.Array, i: int) -> np.ndarray:
+    return column[i].values.to_numpy(zero_copy_only=False)
+
+
+def points_of(p: ScoreParams) -> Callable:
+    """Leaves to one row per point."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = dict(zip(batch.schema.names, batch.columns))
+            for i in range(batch.num_rows):
+                ids = _values(col["ids"], i)
+                yield _rows(
+                    ids, _values(col["n"], i), _values(col["nids"], i), _values(col["nds"], i), _values(col["ncs"], i), p.dims,
+                    _lists(_values(col["cs"], i), np.arange(len(ids) + 1) * p.dims),
+                    pa.array([col["home"][i].as_py()] * len(ids), type=pa.string()), pa.array(_values(col["settled"], i)),
+                )
+
+    return run
 
-    return one
+
+def asks_of(p: ScoreParams, routes: Routes) -> Callable:
+    """A leaf's open points (``oids``, ...) and the leaves of a box they may reach (``nodes, los, his``) to packed queries per reached leaf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = dict(zip(batch.schema.names, batch.columns))
+            out = {name: [] for name in ("node", "qids", "qcs", "qrs", "m")}
+            for i in range(batch.num_rows):
+                ids, r = _values(col["oids"], i), _values(col["ors"], i)
+                cs, g = (_values(col[name], i).reshape(len(ids), -1) for name in ("ocs", "ogs"))
+                nodes = _values(col["nodes"], i)
+                lo, hi = (_values(col[name], i).reshape(len(nodes), -1) for name in ("los", "his"))
+                hit = _gap(g, lo, hi, p, routes) <= (slack(r, p) + _margin(np.concatenate([g, lo, hi]), routes))[:, None]
+                for j in np.flatnonzero(hit.any(axis=0)):
+                    some = hit[:, j]
+                    for name, value in (("node", nodes[j]), ("qids", ids[some]), ("qcs", cs[some].ravel()), ("qrs", r[some]), ("m", some.sum())):
+                        out[name].append(value)
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(out.values(), kinds)], names=list(out))
+
+    return run
+
+
+def search_leaves(p: ScoreParams) -> Callable:
+    """Packed queries against a leaf (``qids, qcs, qrs, ids, cs``): of all that a task finds, the k best of each point leave it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        rows = kept = 0
+        for batch in batches:
+            col = dict(zip(batch.schema.names, batch.columns))
+            for i in range(batch.num_rows):
+                qids, ids = _values(col["qids"], i), _values(col["ids"], i)
+                qcs, cs = _values(col["qcs"], i).reshape(-1, p.dims), _values(col["cs"], i).reshape(-1, p.dims)
+                d = _distances(qcs, cs, p)
+                d[d > _values(col["qrs"], i)[:, None]] = np.inf
+                at, near = _smallest(d, p.k)
+                has = np.isfinite(near)
+                found = at[has]
+                held.append((np.repeat(qids, has.sum(axis=1)), near[has], ids[found], cs[found]))
+                rows += len(found)
+                if rows > max(2 * kept, 16 * _FLUSH_ROWS):
+                    held = [_best_of(held, p)]
+                    rows = kept = len(held[0][0])
+        if held:
+            own, d, nid, nc = _best_of(held, p)
+            ids, n = np.unique(own, return_counts=True)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            for start in range(0, len(ids), _FLUSH_ROWS):
+                part = slice(ends[start], ends[min(start + _FLUSH_ROWS, len(ids))])
+                yield _rows(ids[start : start + _FLUSH_ROWS], n[start : start + _FLUSH_ROWS], nid[part], d[part], nc[part].ravel(), p.dims)
+
+    return run
+
+
+def _best_of(held: list[tuple], p: ScoreParams) -> tuple:
+    """The k best (by distance, then id) of each point, in the order of the points' ids."""
+    own, d, nid, nc = (np.concatenate(part) for part in zip(*held))
+    order = np.lexsort((nid, d, own))
+    own = own[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, dtype=np.int64)
+    rank = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+    order = order[rank < p.k]
+    return own[rank < p.k], d[order], nid[order], nc[order]
 
 
 def _distances(a: np.ndarray, b: np.ndarray, p: ScoreParams) -> np.ndarray:
@@ -109,49 +266,12 @@ def _smallest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return at, best
 
 
-def _run(one: Callable, dims: int) -> Callable:
-    """Arrow batch loop around a block function."""
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.ascontiguousarray(values)))
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, rows = [], 0
-        for batch in batches:
-            cols = dict(zip(batch.schema.names, batch.columns))
-            for i in range(batch.num_rows):
-                row = {
-                    name: col[i].values.to_numpy(zero_copy_only=False)
-                    for name, col in cols.items()
-                    if name != "node"
-                }
-                done.append(_block_rows(cols["node"][i].as_py(), one(row), dims))
-                rows += done[-1].num_rows
-                if rows >= _FLUSH_ROWS:
-                    yield from done
-                    done, rows = [], 0
-        yield from done
-
-    return task
-
-
-def _block_rows(node: str, result: tuple, dims: int) -> pa.RecordBatch:
-    qids, qcs, ids, cs, at, best, more = result
-    found = np.isfinite(best)
-    stops = np.concatenate([[0], np.cumsum(found.sum(axis=1))])
-    picked = at[found]
-    m = len(qids)
-
-    def lists(values: np.ndarray, width: int | None = None) -> pa.Array:
-        ends = np.arange(m + 1) * dims if width is None else stops * width
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
-
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(qids),
-            lists(np.ascontiguousarray(qcs).ravel()),
-            pa.array([node] * m, pa.string()),
-            lists(ids[picked], 1),
-            lists(best[found], 1),
-            lists(np.ascontiguousarray(cs[picked]).ravel(), dims),
-            *[pa.array(values) for values in more.values()],
-        ],
-        names=["id", "c", "node", "nid", "nd", "nc", *more],
-    )
+
+def _rows(ids, n, nid, nd, nc, dims: int, *more: pa.Array) -> pa.RecordBatch:
+    """Rows of RESULT, or of POINT with ``more``; ``n`` neighbours of each point follow each other."""
+    ends = np.concatenate([[0], np.cumsum(n)])
+    columns = [pa.array(ids), _lists(nid, ends), _lists(nd, ends), _lists(nc, ends * dims), *more]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "nid", "nd", "nc", "c", "home", "settled"][: len(columns)])

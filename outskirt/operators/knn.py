@@ -1,12 +1,12 @@
 """Exact k nearest neighbours of every point.
 
-1. every point against its own leaf box;
-2. a point whose ball stays inside the free space around its leaf is final;
-3. the others walk down the box tree to the foreign leaves their ball touches, with a
-   radius that shrinks as soon as closer boxes are known to hold enough points;
-4. blocks of such points meet those leaves, and the lists are merged.
+1. a routing table sends every point to a box that a task can hold; one shuffle by box;
+2. the task cuts its box into leaves and searches every point in the whole box;
+3. a point whose ball stays inside the free space around its box is final;
+4. the hull of a leaf's other balls names the boxes they reach; there they ask the leaves they touch;
+5. a leaf meets its queries in chunks, and the lists are merged.
 
-Only step 3 and 4 cross box borders, and only for points near them.
+Only steps 4 and 5 cross box borders, and only for points near them.
 """
 
 from __future__ import annotations
@@ -16,17 +16,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from outskirt.functions.geometry import nearest_and_farthest
 from outskirt.functions.numeric import lit
-from outskirt.operators.blocks import nearest_in_other_leaf, nearest_within_leaf, pack_leaves
+from outskirt.operators.blocks import ASK, LEAF, POINT, RESULT, asks_of, points_of, search_leaves, within_box
 from outskirt.operators.copies import representatives, spread_to_copies
 from outskirt.operators.joins import lookup_join
 from outskirt.params import ScoreParams
-from outskirt.plans.box_tree import ROOT, BoxTree, grow
+from outskirt.plans.grid_plan import plan_nodes
+from outskirt.plans.kd_tree import Routes, routed, routing_table
 from outskirt.session import keep, task_count
 
 GLOBAL, PARTITION = "global", "partition"
-_HOME = "split_part({}, ':', 1)"  # path of the plan box around a node
 
 
 @dataclass
@@ -34,8 +33,8 @@ class Neighbors:
     """``table``: ``id, c, place, home, nid, nd, nc, settled`` per representative, with
     ``place`` only for the last one of a crowded location.
 
-    ``home`` is the path of the plan box.
-    ``settled`` tells whether the own leaf already gave the final list. ``rows`` is the
+    ``home`` is the path of the plan box, within a partition.
+    ``settled`` tells whether the own box already gave the final list. ``rows`` is the
     number of representatives, ``crowded`` that of locations with copies beyond them.
     """
 
@@ -44,12 +43,22 @@ class Neighbors:
     crowded: int
 
 
+@dataclass
+class Leaves:
+    """The searched leaves (a row of ``LEAF`` each), how they were routed, and how many points reach over their box."""
+
+    table: DataFrame
+    routes: Routes
+    boxes: int
+    open_points: int
+
+
 def nearest_neighbors(
     points: DataFrame, p: ScoreParams, scope: str = GLOBAL, plan: DataFrame | None = None
 ) -> Neighbors:
     """Neighbours of the representatives of ``points`` (``id, c``).
 
-    ``scope="partition"`` looks only inside the point's own plan box.
+    ``scope="partition"`` looks only inside the point's own plan box; ``plan`` has no effect otherwise.
     """
     seen = Observation()
     reps = keep(
@@ -58,29 +67,19 @@ def nearest_neighbors(
         )
     )
     size = seen.get
-    tree = grow(reps.select("id", "c"), p, size["n"], plan)
-    leaves = keep(_packed(tree, p))
-    local = keep(nearest_within_leaf(leaves, p))
-    lists = ["nid", "nd", "nc"]
-    inner = local.where("settled").selectExpr("id", "c", "node as leaf", *lists, "settled")
-    edge = local.where("not settled")
-    blocks = (
-        _foreign_leaves(edge, tree, p, scope)
-        .groupBy("node", "own")
-        .agg(F.expr("collect_list(struct(id, c, r))").alias("q"))
-        .selectExpr("node", "q.id as qids", "flatten(q.c) as qcs", "q.r as qrs")
-        .join(leaves.select("node", "ids", "cs"), "node")
-    )
-    found = nearest_in_other_leaf(blocks, p).selectExpr("id", "c", "cast(null as string) as leaf", *lists)
-    near = edge.selectExpr("id", "c", "node as leaf", *lists).unionByName(found)
-    table = inner.unionByName(_merge(near, p))
+    leaves = searched_leaves(reps, p, size["n"], plan if scope == PARTITION else None)
+    point = leaves.table.select("ids", "cs", "home", "n", "nids", "nds", "ncs", "settled").mapInArrow(points_of(p), POINT)
+    table = point.select("id", "c", "home", "nid", "nd", "nc", "settled")
+    if leaves.open_points:
+        found = _across(leaves, p).selectExpr("id", "cast(null as array<double>) as c", "cast(null as string) as home", "nid", "nd", "nc")
+        near = table.where("not settled").drop("settled").unionByName(found)
+        table = table.where("settled").unionByName(_merge(near, p))
     if size["crowded"]:
         last = reps.where(f"place = {p.k + 2}").select("id", "place")
         table = lookup_join(table, last, "id", 16 * size["crowded"], "left")
     else:
         table = table.selectExpr("*", "cast(null as int) as place")
-    table = table.selectExpr("id", "c", "place", f"{_HOME.format('leaf')} as home", *lists, "settled")
-    return Neighbors(table, size["n"], size["crowded"])
+    return Neighbors(table.select("id", "c", "place", "home", "nid", "nd", "nc", "settled"), size["n"], size["crowded"])
 
 
 def exact_knn(points: DataFrame, p: ScoreParams, scope: str = GLOBAL, plan: DataFrame | None = None) -> DataFrame:
@@ -96,55 +95,48 @@ def reach_of(radius: str, p: ScoreParams) -> str:
     return f"(({radius} + {lit(half)}) * {lit(1.0 + 1e-9)} + 1e-12D)"
 
 
-def _packed(tree: BoxTree, p: ScoreParams) -> DataFrame:
-    """``node, ids, cs, free_lo, free_hi``: one row per leaf."""
-    tasks = task_count(tree.points.sparkSession, tree.boxes)
-    free = tree.leaves().select("node", "free_lo", "free_hi")
-    # one row per leaf on both sides
-    return lookup_join(pack_leaves(tree.points, tasks), free, "node", (64 + 16 * p.dims) * tree.boxes)
+def searched_leaves(reps: DataFrame, p: ScoreParams, rows: int, plan: DataFrame | None = None) -> Leaves:
+    """Leaves of ``reps`` (``id, c``); with a ``plan``, each plan box is searched for itself."""
+    spark = reps.sparkSession
+    if plan is None:
+        placed, groups = reps.selectExpr("id", "c", "'' as home"), [""]
+    else:
+        placed = keep(plan_nodes(reps, plan, p, every=True).selectExpr("id", "c", "node as home"))
+        groups = [r["path"] for r in plan.select("path").collect()]
+    tasks = spark.sparkContext.defaultParallelism
+    routes, boxes = routing_table(placed, rows, groups, p, tasks)
+    grouped = routed(placed, routes, p).repartition(task_count(spark, boxes), "box").groupBy("box")
+    seen = Observation()
+    table = keep(grouped.applyInArrow(within_box(p, routes), LEAF).observe(seen, F.expr("coalesce(sum(size(oids)), 0)").alias("n")))
+    return Leaves(table, routes, boxes, seen.get["n"])
 
 
-def _foreign_leaves(edge: DataFrame, tree: BoxTree, p: ScoreParams, scope: str) -> DataFrame:
-    """``id, c, r, own, node``: foreign leaves that may hold a neighbour."""
-    box = ["node", "n", "lo", "hi", "leaf"]
-    nowhere = "cast(array() as array<double>)"
-    here = edge.selectExpr(
-        "id", "c", "r", "node as own", f"'{ROOT}' as node", "0L as n", f"{nowhere} as lo", f"{nowhere} as hi",
-        "false as leaf",
-    )
-    near, far = nearest_and_farthest("c", "lo", "hi", p.dims, p.metric)
-    for level, boxes in zip(tree.levels, tree.level_rows):
-        packed = level.groupBy(F.col("parent").alias("node")).agg(
-            F.expr(f"collect_list(struct({', '.join(box)}))").alias("kids")
-        )
-        if level is tree.levels[0]:  # all start at the root: its few children are one value
-            asked = here.withColumn("kids", packed.select("kids").scalar())
-        else:
-            asked = lookup_join(here, packed, "node", (96 + 16 * p.dims) * boxes, "left")
-        opened = (
-            asked
-            # a leaf has no children and stays
-            .selectExpr("id", "c", "r", "own", f"explode(coalesce(kids, array(struct({', '.join(box)})))) as kid")
-            .selectExpr("id", "c", "r", "own", "kid.*")
-        )
-        if scope == PARTITION:
-            opened = opened.where(f"startswith({_HOME.format('own')}, {_HOME.format('node')})")
-        touched = opened.selectExpr("*", f"{near} as near").where(f"near <= {reach_of('r', p)}")
-        here = _shrink(touched.selectExpr("*", f"{far} as far"), p).select("id", "c", "r", "own", *box)
-    return here.where("node <> own").select("id", "c", "r", "own", "node")
+def asks(leaves: Leaves, p: ScoreParams) -> DataFrame:
+    """``node, qids, qcs, qrs, m``: the queries of a leaf's open points to a leaf of another box, packed.
 
+    A leaf has one row per box that the hull of its open balls reaches.
+    """
+    walk = leaves.table.where("size(touch) > 0").select("oids", "ocs", "ogs", "ors", F.explode("touch").alias("box"))
+    packed = leaves.table.groupBy("box").agg(F.expr("collect_list(struct(node, lo, hi))").alias("k"))
+    packed = packed.selectExpr("box", "k.node as nodes", "flatten(k.lo) as los", "flatten(k.hi) as his")
+    met = walk.join(packed, "box").select("oids", "ocs", "ogs", "ors", "nodes", "los", "his")
+    return met.mapInArrow(asks_of(p, leaves.routes), ASK)
 
-def _shrink(frontier: DataFrame, p: ScoreParams) -> DataFrame:
-    """Cut each radius to the distance within which its boxes surely hold k other points."""
-    inner = f"sum(n) over (partition by id order by far, node rows unbounded preceding) > {p.k}"
-    step = 0.0 if p.dist_scale is None else 10.0**-p.dist_scale
-    return (
-        frontier.selectExpr("*", f"if({inner}, far, null) as enough")
-        .selectExpr("*", f"min(enough) over (partition by id) + {lit(step)} as bound")
-        .drop("enough", "far")
-        .withColumn("r", F.least("r", "bound"))
-        .where(f"near <= {reach_of('r', p)}")
-    )
+
+def chunked(asked: DataFrame, p: ScoreParams) -> DataFrame:
+    """``node, chunk, qids, qcs, qrs``: queries of a leaf in chunks of about ``leaf_rows``; a leaf that many ask is met in many."""
+    crowded = asked.groupBy("node").agg(F.sum("m").alias("all")).where(f"all > {p.leaf_rows}")
+    crowded = crowded.selectExpr("node", f"cast(ceil(all / {p.leaf_rows}D) as int) as chunks")
+    spread = asked.join(crowded, "node", "left")
+    spread = spread.withColumn("chunk", F.expr("coalesce(pmod(xxhash64(qids), chunks), 0)"))
+    packed = spread.groupBy("node", "chunk").agg(F.expr("collect_list(struct(qids, qcs, qrs))").alias("q"))
+    return packed.selectExpr("node", "chunk", "flatten(q.qids) as qids", "flatten(q.qcs) as qcs", "flatten(q.qrs) as qrs")
+
+
+def _across(leaves: Leaves, p: ScoreParams) -> DataFrame:
+    """``id, nid, nd, nc``: what the open points find in other boxes, at most one row per point and task."""
+    blocks = chunked(keep(asks(leaves, p)), p).join(leaves.table.select("node", "ids", "cs"), "node")
+    return blocks.select("qids", "qcs", "qrs", "ids", "cs").mapInArrow(search_leaves(p), RESULT)
 
 
 def _merge(near: DataFrame, p: ScoreParams) -> DataFrame:
@@ -156,12 +148,12 @@ def _merge(near: DataFrame, p: ScoreParams) -> DataFrame:
         f" j -> named_struct('nd', nd[j], 'nid', nid[j], 'nc', slice(nc, j * {d} + 1, {d}))))"
     )
     return (
-        near.selectExpr("id", "c", "leaf", f"{entries} as entries")
+        near.selectExpr("id", "c", "home", f"{entries} as entries")
         .groupBy("id")
         .agg(
-            F.first("c").alias("c"),
-            F.max("leaf").alias("leaf"),
+            F.first("c", ignorenulls=True).alias("c"),
+            F.max("home").alias("home"),
             F.expr(f"slice(array_sort(flatten(collect_list(entries))), 1, {p.k})").alias("b"),
         )
-        .selectExpr("id", "c", "leaf", "b.nid as nid", "b.nd as nd", "flatten(b.nc) as nc", "false as settled")
+        .selectExpr("id", "c", "home", "b.nid as nid", "b.nd as nd", "flatten(b.nc) as nc", "false as settled")
     )

@@ -27,7 +27,7 @@ class ScoreParams:
     lcf_scale: int | None = 2
     nof_scale: int | None = 4
     # rows per leaf box: one leaf is the unit of work of a neighbour search
-    leaf_rows: int = 1024
+    leaf_rows: int = 256
     # largest difference of two coordinates, where known (else eight domain widths are allowed for)
     extent: float | None = None
 

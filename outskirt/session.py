@@ -9,7 +9,6 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-LEAVES_PER_TASK = 256
 MOST_TASKS = 100_000
 # A table of at most this many (narrow) rows may pass through the driver.
 SMALL_ROWS = 20_000
@@ -58,5 +57,5 @@ def local_table(spark: SparkSession, table: pa.Table) -> DataFrame:
     return spark.createDataFrame(table).coalesce(1)
 
 
-def task_count(spark: SparkSession, leaves: int) -> int:
-    return max(spark.sparkContext.defaultParallelism, min(leaves // LEAVES_PER_TASK, MOST_TASKS))
+def task_count(spark: SparkSession, boxes: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, min(boxes, MOST_TASKS))
