@@ -18,8 +18,9 @@ from outskirt.sources.tables import read_parquet_points, write_parquet
 
 def score_points(points: DataFrame, p: ScoreParams, plan: DataFrame | None = None) -> DataFrame:
     """``id, c, kdist, lcf, nof`` for every row of ``points`` (``id, c``; ids are unique), in or outside the domain."""
-    p = measured(points, p)
     found = nearest_neighbors(points, p, plan=plan)
+    # The extent of the points decides how forces are summed.
+    p = p.with_(extent=found.extent)
     forces = keep(net_force(found.table, p).select("id", "c", "place", "nid", "kdist", "lcf"))
     scored = mean_neighbor_force(forces, p, found.rows)
     if found.crowded:

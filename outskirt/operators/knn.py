@@ -35,12 +35,14 @@ class Neighbors:
 
     ``home`` is the path of the plan box, within a partition.
     ``settled`` tells whether the own box already gave the final list. ``rows`` is the
-    number of representatives, ``crowded`` that of locations with copies beyond them.
+    number of representatives, ``crowded`` that of locations with copies beyond them, ``extent`` the largest difference
+    of two coordinates.
     """
 
     table: DataFrame
     rows: int
     crowded: int
+    extent: float
 
 
 @dataclass
@@ -63,7 +65,10 @@ def nearest_neighbors(
     seen = Observation()
     reps = keep(
         representatives(points, p.k, p.dims).observe(
-            seen, F.expr("count(1)").alias("n"), F.expr(f"count_if(place = {p.k + 2})").alias("crowded")
+            seen,
+            F.expr("count(1)").alias("n"),
+            F.expr(f"count_if(place = {p.k + 2})").alias("crowded"),
+            F.expr("coalesce(max(array_max(c)) - min(array_min(c)), 0.0D)").alias("extent"),
         )
     )
     size = seen.get
@@ -79,7 +84,7 @@ def nearest_neighbors(
         table = lookup_join(table, last, "id", 16 * size["crowded"], "left")
     else:
         table = table.selectExpr("*", "cast(null as int) as place")
-    return Neighbors(table.select("id", "c", "place", "home", "nid", "nd", "nc", "settled"), size["n"], size["crowded"])
+    return Neighbors(table.select("id", "c", "place", "home", "nid", "nd", "nc", "settled"), size["n"], size["crowded"], size["extent"])
 
 
 def exact_knn(points: DataFrame, p: ScoreParams, scope: str = GLOBAL, plan: DataFrame | None = None) -> DataFrame:

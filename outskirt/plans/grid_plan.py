@@ -88,21 +88,35 @@ def plan_cells(plan: DataFrame, p: ScoreParams) -> DataFrame:
 def plan_nodes(points: DataFrame, plan: DataFrame, p: ScoreParams, every: bool = False) -> DataFrame:
     """``id, c, i0, i1, ..., node``: the path of every point's plan box.
 
-    Goes down the cuts, one join with the boxes of a level each; no cell is enumerated. With ``every``,
-    border boxes reach to infinity, else points outside the domain are left out.
+    Goes down the cuts, one join with the parents of a level each, in which a point meets one row and finds its child among the
+    starts of the children; no cell is enumerated. With ``every``, border boxes reach to infinity, else points outside the domain are left out.
     """
     found = placed(points, p, "id", "c", every=every).selectExpr("*", "'' as node")
     names = index_names(p)
     for level in range(min(p.dims, CUT_DIMS)):
-        parent, child = (F.substring("path", 1, 2 * n) for n in (level, level + 1))
-        ends = [f(name).alias(name) for d in range(p.dims) for f, name in ((F.min, f"lo{d}"), (F.max, f"hi{d}"))]
-        routes = plan.groupBy(parent.alias("node"), child.alias("child")).agg(*ends)
-        inside = " and ".join(f"{name} >= lo{d} and {name} < hi{d}" for d, name in enumerate(names))
-        found = lookup_join(found, routes, "node", 64 * p.dims * p.buckets ** (level + 1)).where(inside)
-        found = found.selectExpr("id", "c", *names, "child as node")
+        parents = _children_of(plan, level, p)
+        found = lookup_join(found, parents, "node", 64 * p.buckets ** (level + 1))
+        below = f"size(filter(starts, s -> s <= array({', '.join(names)})[dim]))"
+        found = found.selectExpr("id", "c", *names, f"kids[{below} - 1] as node")
     return found
 
 
+def _children_of(plan: DataFrame, level: int, p: ScoreParams) -> DataFrame:
+    """``node, dim, starts, kids``: the boxes of a level, the dimension they are cut in, and their children in its order."""
+    parent, child = (F.substring("path", 1, 2 * n) for n in (level, level + 1))
+    starts = [F.min(f"lo{d}").alias(f"lo{d}") for d in range(p.dims)]
+    kids = plan.groupBy(parent.alias("node"), child.alias("child")).agg(*starts)
+    spread = ", ".join(f"max(lo{d}) > min(lo{d})" for d in range(p.dims))
+    all_starts = f"array({', '.join(f'lo{d}' for d in range(p.dims))})"
+    grouped = kids.groupBy("node").agg(
+        # an uncut box is its own child: any dimension will do
+        F.expr(f"greatest(array_position(array({spread}), true), 1) - 1").cast("int").alias("dim"),
+        F.expr(f"collect_list(struct({all_starts} as at, child))").alias("k"),
+    )
+    ordered = grouped.selectExpr("node", "dim", "array_sort(transform(k, x -> struct(x.at[dim] as s, x.child as child))) as k")
+    return ordered.selectExpr("node", "dim", "k.s as starts", "k.child as kids")
+
+
 def assign_partitions(points: DataFrame, plan: DataFrame, p: ScoreParams) -> DataFrame:
     """``id, c, cell_id, pid``: the core partition of every point inside the domain."""
     nodes = plan_nodes(points, plan, p)

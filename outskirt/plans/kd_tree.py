@@ -1,7 +1,7 @@
 """Boxes for the neighbour search: a routing table from a sample, corrected by exact counts.
 
 The routing table is a kd-tree over a bounded sample of the points. The points are then counted per box, in the
-tasks that read them. Boxes above the size of a task are cut again by a sample of their own; boxes that hold too few
+tasks that read them (a table that one task could hold needs no counts). Boxes above the size of a task are cut again by samples of their own, which stay in the tasks; boxes that hold too few
 points give them to their neighbours. Only then are the points shuffled, once, by box. Inside a task
 a box is cut further into leaves (:func:`leaves_of`), so that no level of the tree costs a shuffle.
 
@@ -76,6 +76,13 @@ class Routing:
             for child, own in ((self.left[node], rows[low]), (self.right[node], rows[~low])):
                 todo.append((child, own, round(parts * len(own) / len(rows))))
 
+    def graft(self, node: int, dim: list[int], cut: list[float], left: list[int], right: list[int]) -> None:
+        """Put a tree whose root is its node 0 in the place of the box ``node``."""
+        ids = [node, *(self._add(self.lo[node], self.hi[node]) for _ in dim[1:])]
+        for i, at in enumerate(ids):
+            self.dim[at], self.cut[at] = dim[i], cut[i]
+            self.left[at], self.right[at] = (ids[x] if x >= 0 else -1 for x in (left[i], right[i]))
+
     def settle(self, counts: dict[int, int], most: int, least: int) -> dict[int, int]:
         """Drop cuts whose two sides fit one box, and cuts around boxes below ``least``: their points go where the other side's cuts say."""
         sizes = dict(counts)
@@ -221,7 +228,10 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
 
-def _routed(routes: Routes, p: ScoreParams, count: bool):
+ROUTED = "id bigint, c array<double>, home string, box bigint"
+
+
+def _routed(routes: Routes, p: ScoreParams, count: bool, only: frozenset | None = None):
     def run(batches):
         for batch in batches:
             groups = np.array([routes.root[h] for h in batch.column("home").to_pylist()], dtype=np.int64)
@@ -231,14 +241,15 @@ def _routed(routes: Routes, p: ScoreParams, count: bool):
                 boxes, n = np.unique(box, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(boxes), pa.array(n)], names=["box", "n"])
             else:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(box)], names=[*batch.schema.names, "box"])
+                made = pa.RecordBatch.from_arrays([*batch.columns, pa.array(box)], names=[*batch.schema.names, "box"])
+                yield made if only is None else made.filter(pa.array(np.isin(box, list(only))))
 
     return run
 
 
 def routed(points: DataFrame, routes: Routes, p: ScoreParams) -> DataFrame:
     """``points`` (``id, c, home``) with their ``box``."""
-    return points.mapInArrow(_routed(routes, p, False), "id bigint, c array<double>, home string, box bigint")
+    return points.mapInArrow(_routed(routes, p, False), ROUTED)
 
 
 def _counted(points: DataFrame, routing: Routing, p: ScoreParams) -> dict[int, int]:
@@ -273,37 +284,51 @@ def task_rows(p: ScoreParams) -> int:
 def routing_table(points: DataFrame, rows: int, groups: list[str], p: ScoreParams, tasks: int) -> tuple[Routes, int]:
     """The routing table of ``points`` (``id, c, home``), and its number of boxes.
 
-    At least some ``3 * tasks`` boxes, where they then hold a leaf or more, and none above :func:`task_rows`.
+    At least some ``3 * tasks`` boxes, where they then hold a leaf or more, and none above twice :func:`task_rows`, unless
+    its points coincide or there are ``MOST_BOXES``.
     """
     most = max(p.leaf_rows, min(task_rows(p), -(-rows // (3 * tasks))))
     flat, homes = _sampled(points, rows)
     sample = flat.reshape(-1, p.dims)
     pivots = choose_pivots(sample, p.metric) if p.dims > PIVOTS_FROM and len(sample) else None
     routing = Routing(groups, p.dims if pivots is None else len(pivots), pivots)
-    exact = rows <= SAMPLE_ROWS
-    least, share = max(p.k + 1, p.leaf_rows // 4), 1 if exact else SAMPLE_PER_BOX
-    sizes: dict[int, int] = {}
+    # Where one task could hold all points, the sample's own counts will do.
+    exact = rows <= max(SAMPLE_ROWS, task_rows(p))
+    g = routing.frozen().space(sample, p.metric)
+    share = 1 if rows <= SAMPLE_ROWS else SAMPLE_PER_BOX
+    for name, node in routing.root.items():
+        own = g[[h == name for h in homes]] if len(groups) > 1 else g
+        routing.split(node, own, min(math.ceil(rows * len(own) / max(len(sample), 1) / most), len(own) // share))
+    least = max(p.k + 1, p.leaf_rows // 4)
     while True:
-        roots = np.array([routing.root[h] for h in homes], dtype=np.int64)
-        routes = routing.frozen()
-        g = routes.space(sample, p.metric)
-        at = routes.place(roots, g)
-        grown = False
-        for node, own in zip(*(x.tolist() for x in np.unique(at, return_counts=True))):
-            size = sizes.get(node, rows * own / len(sample))
-            wanted = min(math.ceil(size / most), own // share)
-            if wanted > 1:
-                routing.split(node, g[at == node], wanted)
-                grown = True
         if exact:
-            counts = dict(zip(*(x.tolist() for x in np.unique(routing.frozen().place(roots, g), return_counts=True))))
+            roots = np.array([routing.root[h] for h in homes], dtype=np.int64)
+            boxes, n = np.unique(routing.frozen().place(roots, g), return_counts=True)
+            counts = dict(zip(boxes.tolist(), (n * (rows / len(sample))).round().astype(int).tolist()))
         else:
             counts = _counted(points, routing, p)
         sizes = routing.settle(counts, most, least)
-        large = [b for b, n in sizes.items() if n > 2 * most]
-        if exact or not grown or not large or len(sizes) >= MOST_BOXES:
+        large = {b: math.ceil(n / most) for b, n in sizes.items() if n > 2 * most}
+        if exact or not large or len(sizes) >= MOST_BOXES or not _cut_large(points, routing, large, most, p):
             return routing.frozen(), len(sizes)
-        # Another sample, of the large boxes only.
-        part = routed(points, routing.frozen(), p).where(F.col("box").isin(large)).select("id", "c", "home")
-        flat, homes = _sampled(part, sum(sizes[b] for b in large))
-        sample = flat.reshape(-1, p.dims)
+
+
+def _cut_large(points: DataFrame, routing: Routing, large: dict[int, int], most: int, p: ScoreParams) -> bool:
+    """Cut each of the ``large`` boxes into that many by a sample of its own, in the tasks; whether any could be cut."""
+    routes = routing.frozen()
+
+    def cuts(table: pa.Table) -> pa.Table:
+        box, own = table["box"][0].as_py(), Routing([""], routing_dims)
+        own.split(0, routes.space(_matrix(table["c"].combine_chunks(), p.dims), p.metric), large[box])
+        columns = [pa.array([v], type=pa.list_(t)) for v, t in zip((own.dim, own.cut, own.left, own.right), kinds)]
+        return pa.table([pa.array([box]), *columns], names=["box", "dim", "cut", "left", "right"])
+
+    kinds, routing_dims = (pa.int64(), pa.float64(), pa.int64(), pa.int64()), routing.dims
+    chosen = points.where(f"pmod(xxhash64(id, 43), {2**40}) < {int(2**40 * min(1.0, 2 * SAMPLE_PER_BOX / most))}")
+    inside = chosen.mapInArrow(_routed(routes, p, False, frozenset(large)), ROUTED)
+    shape = "box bigint, dim array<bigint>, cut array<double>, left array<bigint>, right array<bigint>"
+    grown = False
+    for row in inside.groupBy("box").applyInArrow(cuts, shape).toArrow().to_pylist():
+        grown |= len(row["dim"]) > 1
+        routing.graft(row["box"], row["dim"], row["cut"], row["left"], row["right"])
+    return grown

@@ -2,8 +2,8 @@ import pytest
 
 from outskirt.functions.cells import cell_id, cell_index, cell_indexes
 from outskirt.operators.histogram import chi_square, cell_histogram, dimension_order, slab_frequency
+from outskirt.operators.knn import searched_leaves
 from outskirt.params import ScoreParams
-from outskirt.plans.box_tree import grow
 from outskirt.plans.cutter import equi_depth_cut
 from outskirt.plans.grid_plan import assign_partitions, partition_plan, partition_sizes, plan_cells
 
@@ -80,10 +80,9 @@ def test_uniform_dimension_comes_first(spark):
 @pytest.mark.parametrize("leaf_rows", [5, 30])
 def test_tree_leaves_are_small_and_complete(spark, leaf_rows):
     p = ScoreParams(k=3, leaf_rows=leaf_rows)
-    tree = grow(_points(spark, 900), p, 900)
-    leaves = {r.node: r.n for r in tree.leaves().collect()}
-    found = {r.node: r["count"] for r in tree.points.groupBy("node").count().collect()}
-    assert leaves == found and sum(found.values()) == 900 and max(found.values()) <= leaf_rows
+    leaves = searched_leaves(_points(spark, 900), p, 900).table.select("node", "ids").collect()
+    assert len({r.node for r in leaves}) == len(leaves) and max(len(r.ids) for r in leaves) <= leaf_rows
+    assert sorted(i for r in leaves for i in r.ids) == list(range(1, 901))
 
 
 def test_plan_of_nothing_is_the_whole_domain(spark):
