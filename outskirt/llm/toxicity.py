@@ -111,8 +111,10 @@ def swapped(text: str, terms: dict, everywhere: bool = False) -> list[str]:
         begin, end = 0, len(text)
     out = []
     for to in (following, neutral):
-        changed = pattern.sub(lambda m, to=to: to[m[0].lower()], text[begin:end])
-        out.append(text[:begin] + changed + text[end:])
+        # A few letters match others only when case is ignored (long s); they fold to them, or the word stays.
+        changed = pattern.sub(lambda m, to=to: to.get(m[0].lower(), to.get(m[0].casefold(), m[0])), text[begin:end])
+        if changed != text[begin:end]:
+            out.append(text[:begin] + changed + text[end:])
     return out
 
 
@@ -248,26 +250,26 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     return Model(vocabulary[used], weights[used], bias, sum(map(len, swaps)))
 
 
-def _score(model, text_at: int):
+def _score(model, text_at: int, name: str):
     def run(batches):
         own = model.value
         for batch in batches:
             made = [own.score(t.as_py()) for t in batch.column(text_at)]
             columns = [*batch.columns, pa.array(made, type=pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, name])
 
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) from the whole text; a null text counts as empty. Repeated rows score alike, no rows
-    give none, other columns pass through (a column ``score`` is replaced)."""
-    docs = docs.drop("score")
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with ``score`` (0 to 1; or ``name``) from the whole text; a null text counts as empty. Repeated rows score alike, no rows
+    give none, other columns pass through (a column of that name is replaced)."""
+    docs = docs.drop(name)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields]).add("score", "double")
-    return docs.mapInArrow(_score(sent, docs.columns.index("text")), schema)
+    schema = T.StructType([*docs.schema.fields]).add(name, "double")
+    return docs.mapInArrow(_score(sent, docs.columns.index("text"), name), schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, limit: float = 0.5) -> DataFrame:
-    """``docs`` without rows that score ``limit`` or more."""
-    return score(docs, fit(docs, labels, settings)).where(F.col("score") < limit).drop("score")
+    """``docs`` without rows that score ``limit`` or more; all its columns, whatever their names."""
+    return score(docs, fit(docs, labels, settings), "__score").where(F.col("__score") < limit).drop("__score")

@@ -99,3 +99,22 @@ def test_one_row_of_an_id_is_learned_from(spark):
     s = toxicity.Settings(min_rows=1)
     one, many = (toxicity.fit(cases.table(spark, rows), known, s) for rows in (single, several))
     assert one.pairs == many.pairs and np.array_equal(one.features, many.features) and np.allclose(one.weights, many.weights)
+
+
+def test_letters_that_only_case_folding_matches(spark):
+    for text in ("A \u017ftraight line.", "The boy\u017f came.", "\u0130mmigrants and \u0131mmigrants, \u212aids."):
+        assert all(isinstance(t, str) for t in toxicity.swapped(text, toxicity.IDENTITY_TERMS))
+    same = toxicity.swapped("A straight line.", toxicity.IDENTITY_TERMS)
+    assert toxicity.swapped("A \u017ftraight line.", toxicity.IDENTITY_TERMS) == same and same
+    docs, labels = corpus(60)
+    docs += [(900 + i, f"\u017ftraight w{i} \u0130mmigrants") for i in range(8)]
+    labels += [(900 + i, 1, 0) for i in range(8)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert toxicity.fit(cases.table(spark, docs), labels, toxicity.Settings(min_rows=2)).pairs > 0
+
+
+def test_dropping_keeps_a_column_named_score(spark):
+    docs, labels = corpus(100)
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = toxicity.drop_toxic(cases.table(spark, docs), labels, toxicity.Settings(min_rows=2))
+    assert kept.columns == cases.table(spark, []).columns and {r.score for r in kept.collect()} == {"x"}
