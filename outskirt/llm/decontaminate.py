@@ -7,7 +7,8 @@
    (document, item) pairs. A pair whose seeds cannot cover the threshold is left out, which loses nothing.
 3. Each pair's whole texts are tiled: Karp-Rabin hashes give all maximal matches, the longest one is marked, what is
    left of the others competes again. Tiles do not overlap in either text and may lie in any
-   order, so passages that were taken apart and reordered count in full.
+   order, so passages that were taken apart and reordered count in full. Texts that share very many seeds are tiled
+   length by length instead, which marks the same tiles without a list of all pairs.
 4. The share of the item's words under tiles is its coverage; at ``threshold`` the document is contaminated.
 """
 
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from outskirt.llm.shared import rows_of, shared_folder, stored, text_or_empty
 from outskirt.llm.tokens import Spans, U, hashes_between
 
+#: Pairs of seeds that are held at once; texts that share more are tiled length by length.
+SEED_PAIRS = 1 << 20
 #: Bits of the filter; a power of two.
 FILTER_BITS = 1 << 23
 _WORD = np.zeros(256, dtype=np.int8)
@@ -38,12 +41,58 @@ def text_words(text: str | None) -> np.ndarray:
     return hashes_between(data, np.flatnonzero(step == 1), np.flatnonzero(step == -1))
 
 
+def _common(item: Spans, doc: Spans, free: list[np.ndarray], size: int) -> list[np.ndarray]:
+    """Starts in the item and in the document of free stretches of ``size`` words that both have, and their hashes."""
+    out, grams = [], []
+    for spans, own in ((item, free[0]), (doc, free[1])):
+        used = np.concatenate(([0], np.cumsum(~own)))
+        out.append(np.flatnonzero(used[size:] == used[:-size]) if spans.n >= size else np.zeros(0, dtype=np.int64))
+        grams.append(spans.grams(size)[out[-1]])
+    for i in (0, 1):
+        kept = np.isin(grams[i], grams[1 - i])
+        out[i], grams[i] = out[i][kept], grams[i][kept]
+    return [*out, *grams]
+
+
+def _by_length(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
+    """:func:`tiles` without pairs of seeds: the length of the longest match by bisection, then from left to right the first free
+    place in the document for each of its places in the item. Linear memory, and time but for the number of lengths."""
+    spans, out = (Spans(item), Spans(doc)), []
+    free = [np.ones(len(item), dtype=bool), np.ones(len(doc), dtype=bool)]
+    most = min(len(item), len(doc))
+    while True:
+        low, high = min_match - 1, most
+        while low < high:  # the longest length that both have
+            size = (low + high + 1) // 2
+            low, high = (size, high) if len(_common(*spans, free, size)[0]) else (low, size - 1)
+        if low < min_match:
+            return out
+        xs, ys, a, b = _common(*spans, free, low)
+        order = np.argsort(b, kind="stable")
+        ys, first, last = ys[order], *(np.searchsorted(b[order], a, side) for side in ("left", "right"))
+        # Places of a stretch that turned out to be taken stay so: each is looked at once. A tile that overlaps one takes an end of it.
+        at: dict[int, int] = {}
+        for x, begin, end in zip(xs.tolist(), first.tolist(), last.tolist()):
+            if not (free[0][x] and free[0][x + low - 1]):
+                continue
+            i = at.get(begin, begin)
+            while i < end and not (free[1][ys[i]] and free[1][ys[i] + low - 1]):
+                i += 1
+            at[begin] = i
+            if i < end and (item[x : x + low] == doc[ys[i] : ys[i] + low]).all():
+                free[0][x : x + low] = free[1][ys[i] : ys[i] + low] = False
+                out.append((x, int(ys[i]), low))
+        most = low - 1
+
+
 def tiles(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
     """(start in the item, start in the document, length): longest first, of equal ones the leftmost."""
     a, b = Spans(item).grams(min_match), Spans(doc).grams(min_match)
     order = np.argsort(a, kind="stable")
     low, high = np.searchsorted(a[order], b, "left"), np.searchsorted(a[order], b, "right")
     n = high - low
+    if n.sum() > SEED_PAIRS:
+        return _by_length(item, doc, min_match)
     j = np.repeat(np.arange(len(b)), n)
     i = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
     by = np.lexsort((i, j - i))
@@ -72,15 +121,15 @@ def tiles(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int,
 
 
 def _seeds(min_match: int):
-    schema = pa.schema([("gram", pa.int64()), ("pos", pa.int32()), ("n_words", pa.int32())])
+    schema = pa.schema([("gram", pa.int64()), ("places", pa.int32()), ("n_words", pa.int32())])
 
     def run(batches):
         for batch in batches:
             for item, text in zip(batch.column(0), batch.column(1), strict=True):
                 words = text_words(text.as_py())
-                grams = Spans(words).grams(min_match)
+                grams, n = np.unique(Spans(words).grams(min_match), return_counts=True)
                 if len(grams):
-                    made = {"gram": grams.view(np.int64), "pos": np.arange(len(grams)), "n_words": [len(words)] * len(grams)}
+                    made = {"gram": grams.view(np.int64), "places": n, "n_words": [len(words)] * len(grams)}
                     made = rows_of(made, schema)
                     ids = pa.array([item.as_py()] * len(grams), type=batch.schema.field(0).type)
                     yield pa.RecordBatch.from_arrays([ids, *made.columns], names=["item", *schema.names])
@@ -164,19 +213,21 @@ def contaminated(
     # Stored, so that a number stands for the same item in both reads; item_id is only handed on.
     items = stored(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), folder, "items")
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    seeds = items.select("item", "text").mapInArrow(_seeds(min_match), "item long, gram long, pos int, n_words int")
+    seeds = items.select("item", "text").mapInArrow(_seeds(min_match), "item long, gram long, places int, n_words int")
     seeds = stored(seeds, folder, "seeds")
     bits = spark.sparkContext.broadcast(_filter(seeds))
     narrow = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), "text")
     shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, text string"
     found = narrow.mapInArrow(_candidates(bits, min_match), f"{shape}, grams array<long>")
     found = stored(found, folder, "candidates")
-    hits = found.select("doc_id", "text_hash", F.explode("grams").alias("gram"))
+    # Repeated rows share id and hash; their seeds count once.
+    hits = found.select("doc_id", "text_hash", "grams").dropDuplicates(["doc_id", "text_hash"])
+    hits = hits.select("doc_id", "text_hash", F.explode("grams").alias("gram"))
     # Each item position that a shared gram starts at covers at most min_match words.
     pairs = (
         hits.join(seeds, "gram")
         .groupBy("doc_id", "text_hash", "item")
-        .agg((F.count_distinct("pos") * min_match >= F.max("n_words") * threshold).alias("can"))
+        .agg((F.sum("places") * min_match >= F.max("n_words") * threshold).alias("can"))
         .where("can")
         .drop("can")
     )

@@ -1,5 +1,8 @@
+import pathlib
 import random
 import re
+import subprocess
+import sys
 
 import cases
 import pytest
@@ -96,3 +99,28 @@ def test_texts_of_one_id_and_null_ids(spark):
     assert len(found) == 3 and {(r.doc_id, r.item_id, r.item_words, r.coverage) for r in found} == want
     kept = {r.doc_id for r in dc.drop_contaminated(docs, bench).collect()}
     assert kept == {i for i, _ in cases.texts()}
+
+
+def test_rounds_mark_the_same_tiles(monkeypatch):
+    rng = random.Random(8)
+    for _ in range(60):
+        letters = rng.choice(["a", "ab", "abc"])
+        item, doc = (rng.choices(letters, k=rng.randint(0, n)) for n in (60, 90))
+        item, doc = dc.text_words(" ".join(item)), dc.text_words(" ".join(doc))
+        monkeypatch.setattr(dc, "SEED_PAIRS", 1 << 20)
+        at_once = dc.tiles(item, doc, 3)
+        monkeypatch.setattr(dc, "SEED_PAIRS", 7)
+        assert dc.tiles(item, doc, 3) == at_once
+
+
+def test_repetitive_texts_stay_in_memory():
+    code = """
+import resource, sys
+from outskirt.llm import decontaminate as dc
+for unit, n, m in (("a ", 10_000, 200_000), ("a b c ", 3_000, 60_000), ("a " * 50 + "b ", 100, 2_000)):
+    item, doc = dc.text_words(unit * n + "x"), dc.text_words("y " + unit * m)
+    assert sum(k for _, _, k in dc.tiles(item, doc, 5)) == len(item) - 1
+assert dc.tiles(dc.text_words("a " * 3_000), dc.text_words(("a " * 70 + "b ") * 500), 5)[0][2] == 70
+resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1 << 20 or sys.exit("over 1 GB")
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=pathlib.Path(__file__).parents[2])
