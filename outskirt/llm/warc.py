@@ -31,6 +31,7 @@ from outskirt.llm.shared import rows_of, stored
 DICTIONARY_FRAME = 0x184D2A5D
 ZSTD_MAGIC = 0xFD2FB528
 VERSION = b"WARC/1.1"
+VERSIONS = (b"WARC/1.0", VERSION)
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REQUIRED = ("WARC-Record-ID", "WARC-Date", "WARC-Type", "Content-Length")
 
@@ -39,6 +40,8 @@ ARCHIVE_BYTES = 64 << 20
 #: Records and bytes that a dictionary is trained on, and its size.
 TRAIN_RECORDS, TRAIN_BYTES, DICTIONARY_BYTES = 256, 4 << 20, 64 << 10
 DATE = "2024-01-01T00:00:00Z"
+#: Compressed bytes of a frame that are looked at first.
+FIRST_READ = 4096
 
 
 def base32_sha1(data: bytes) -> str:
@@ -58,18 +61,41 @@ def record(kind: str, record_id: str, url: str | None, payload: bytes, digest: s
     return VERSION + b"\r\n" + lines + b"\r\n" + payload + b"\r\n\r\n"
 
 
+class Headers(dict):
+    """Header fields; names are compared without case."""
+
+    def __setitem__(self, name: str, value: str) -> None:
+        super().__setitem__(name.lower(), value)
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def __contains__(self, name: str) -> bool:
+        return super().__contains__(name.lower())
+
+    def get(self, name: str, default=None):
+        return super().get(name.lower(), default)
+
+
+def payload_of(headers: Headers, block: bytes) -> bytes:
+    """What a payload digest is of: of an HTTP message the part behind its header lines, else the block."""
+    if headers.get("Content-Type", "").lower().startswith("application/http"):
+        return block.partition(b"\r\n\r\n")[2]
+    return block
+
+
 def parse(data: bytes) -> tuple[dict, bytes]:
-    """Headers and block of one record. ValueError names the fault."""
+    """Headers and block of one record. ValueError names the fault. Digests by other algorithms than SHA-1 are not checked."""
     head, gap, rest = data.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
-    if not gap or lines[0] != VERSION:
+    if not gap or lines[0].upper() not in VERSIONS:
         raise ValueError("version line")
-    headers = {}
+    headers = Headers()
     for line in lines[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("header line")
-        headers[name.decode()] = value.strip().decode()
+        headers[name.decode(errors="replace").strip()] = value.strip().decode(errors="replace")
     for name in REQUIRED:
         if name not in headers:
             raise ValueError(f"no {name}")
@@ -79,8 +105,12 @@ def parse(data: bytes) -> tuple[dict, bytes]:
     if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise ValueError("record length")
     block = rest[:n]
-    for name, whole in (("WARC-Block-Digest", True), ("WARC-Payload-Digest", headers["WARC-Type"] != "revisit")):
-        if whole and name in headers and headers[name] != f"sha1:{base32_sha1(block)}":
+    checks = {"WARC-Block-Digest": block}
+    if headers["WARC-Type"] != "revisit":
+        checks["WARC-Payload-Digest"] = payload_of(headers, block)
+    for name, content in checks.items():
+        algorithm, _, digest = headers.get(name, "").partition(":")
+        if algorithm.lower() == "sha1" and digest.upper() != base32_sha1(content):
             raise ValueError(name)
     return headers, block
 
@@ -120,22 +150,33 @@ def frames(data: bytes):
         if len(raw) < n:
             yield 0, None, "dictionary length"
             return
-        if raw[:4] == struct.pack("<I", ZSTD_MAGIC):  # a dictionary may be compressed itself
-            raw = zstandard.ZstdDecompressor().decompress(raw)
-        made, at = zstandard.ZstdCompressionDict(raw), 8 + n
-    unpack = zstandard.ZstdDecompressor(dict_data=made)
+        try:
+            if raw[:4] == struct.pack("<I", ZSTD_MAGIC):  # a dictionary may be compressed itself
+                one = zstandard.ZstdDecompressor().decompressobj()
+                raw = one.decompress(raw)
+                if not one.eof:
+                    yield 0, None, "dictionary cut off"
+                    return
+            made, at = zstandard.ZstdCompressionDict(raw), 8 + n
+        except zstandard.ZstdError as e:
+            yield 0, None, f"dictionary: {e}"
+            return
+    unpack, view = zstandard.ZstdDecompressor(dict_data=made), memoryview(data)
     while at < len(data):
-        one = unpack.decompressobj()
+        one, parts, end, step = unpack.decompressobj(), [], at, FIRST_READ
         try:
-            text = one.decompress(memoryview(data)[at:])
+            # Handed over in growing parts: what lies behind the frame is copied once at most.
+            while not one.eof and end < len(data):
+                parts.append(one.decompress(view[end : end + step]))
+                end, step = min(end + step, len(data)), 2 * step
         except zstandard.ZstdError as e:
             yield at, None, f"frame: {e}"
             return
         if not one.eof:
             yield at, None, "frame cut off"
             return
-        yield at, text, None
-        at = len(data) - len(one.unused_data)
+        yield at, b"".join(parts), None
+        at = end - len(one.unused_data)
 
 
 def _write(folder: str, id_name: str):
@@ -212,10 +253,11 @@ def _read(payloads: bool):
             try:
                 h, block = parse(text)
                 bare = lambda name: h[name].strip("<>") if name in h else None
-                digest = h.get("WARC-Payload-Digest", "").removeprefix("sha1:") or base32_sha1(block)
-                kept = block if payloads else None
+                payload = payload_of(h, block)
+                digest = h.get("WARC-Payload-Digest", "").removeprefix("sha1:") or base32_sha1(payload)
+                kept = payload if payloads else None
                 made = (bare("WARC-Record-ID"), h["WARC-Type"], h.get("WARC-Target-URI"), bare("WARC-Refers-To"))
-                return (path, at, *made, digest, len(block), kept, None)
+                return (path, at, *made, digest, len(payload), kept, None)
             except ValueError as e:
                 fault = str(e)
         return (path, at, None, None, None, None, None, None, None, fault)
@@ -239,14 +281,21 @@ def _read(payloads: bool):
 
 def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
     """A row per record of the archives below ``folder``, or per fault: path, at (offset of the frame), record_id,
-    record_type, target_uri, refers_to, payload_digest, payload_bytes (of the block), payload (on demand), fault."""
+    record_type, target_uri, refers_to, payload_digest, payload_bytes, payload (on demand; of an HTTP message its body), fault."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
     return files.select("path", "content").mapInArrow(*_read(payloads))
 
 
-def resolved(records: DataFrame, folder: str) -> DataFrame:
-    """``records`` without faults, with ``payload_bytes`` of a revisit taken from the response it refers to."""
-    whole = stored(records.where("fault is null"), folder, "records")
+def resolved(records: DataFrame, folder: str, archives: DataFrame | None = None) -> DataFrame:
+    """``records`` with ``payload_bytes`` of a revisit taken from the response it refers to.
+
+    A faulty record raises ValueError, as does another number of records than ``archives`` (what :func:`write` returned) has."""
+    whole = stored(records, folder, "records")
+    seen = whole.agg(F.count("*").alias("n"), F.max(F.when(F.col("fault").isNotNull(), F.concat_ws(" ", "path", "at", "fault"))).alias("fault")).first()
+    if seen["fault"]:
+        raise ValueError(f"faulty archive: {seen['fault']}")
+    if archives is not None and seen["n"] != (wanted := archives.agg(F.sum("records")).first()[0] or 0):
+        raise ValueError(f"{seen['n']} records read of {wanted}")
     responses = whole.where("record_type = 'response'").groupBy("record_id")
     responses = responses.agg(F.max("payload_bytes").alias("full_bytes"))
     # Stored, so that Spark can split the join at a response with many revisits.

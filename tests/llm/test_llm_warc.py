@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import pathlib
 import struct
+import time
 
 import pytest
 import zstandard
@@ -77,3 +79,50 @@ def test_faults_are_named():
     data = warc.archive([good])
     assert [f for _, _, f in warc.frames(data[:-3])][-1] is not None
     assert list(warc.frames(struct.pack("<II", warc.DICTIONARY_FRAME, 99) + b"x")) == [(0, None, "dictionary length")]
+
+
+def foreign(name=str.lower, version="WARC/1.0", body=b"<p>hello</p>"):
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    fields = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Date", "2020-01-01T00:00:00Z")]
+    fields += [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", "sha1:" + warc.base32_sha1(body))]
+    fields += [("WARC-Block-Digest", "sha1:" + warc.base32_sha1(block)), ("Content-Length", str(len(block)))]
+    head = "".join(f"{name(k)}: {v}\r\n" for k, v in fields)
+    return f"{version}\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("name", [str.lower, str.upper, str])
+def test_archives_of_others(spark, name):
+    folder = shared_folder(spark).removeprefix("file://")
+    pathlib.Path(folder).mkdir(parents=True)
+    records = [foreign(name), foreign(name, "WARC/1.1", b"x" * 50_000)]
+    (pathlib.Path(folder) / "a.warc.zst").write_bytes(b"".join(zstandard.ZstdCompressor(write_content_size=False).compress(r) for r in records))
+    got = warc.read(spark, f"file://{folder}", payloads=True).orderBy("at").collect()
+    assert [r.fault for r in got] == [None, None] and [r.payload_bytes for r in got] == [12, 50_000]
+    assert bytes(got[0].payload) == b"<p>hello</p>" and got[0].payload_digest == warc.base32_sha1(b"<p>hello</p>")
+    with pytest.raises(ValueError, match="WARC-Payload-Digest"):
+        warc.parse(foreign().replace(b"hello", b"hallo").replace(b"warc-block-digest: sha1", b"warc-block-digest: md5"))
+
+
+def test_broken_dictionaries_are_faults():
+    packer = zstandard.ZstdCompressor().compressobj()  # no content size
+    packed = packer.compress(b"word " * 400) + packer.flush()
+    good = zstandard.ZstdCompressor().compress(warc.record("response", "urn:x:1", "u", b"abc", "D", None))
+    for raw, faults in ((packed, 0), (packed[:-5], 1), (struct.pack("<I", warc.ZSTD_MAGIC) + b"junk", 1)):
+        found = list(warc.frames(struct.pack("<II", warc.DICTIONARY_FRAME, len(raw)) + raw + good))
+        assert sum(f is not None for _, _, f in found) == faults
+
+
+def test_reading_is_linear_and_losses_are_raised(spark):
+    data = warc.archive([warc.record("response", f"urn:x:{i}", None, f"page {i} {i * 7919}".encode(), "D", None) for i in range(16_000)])
+    began = time.time()
+    assert sum(1 for _ in warc.frames(data)) == 16_000 and time.time() - began < 2
+    folder = shared_folder(spark)
+    archives = warc.write(pages(spark), f"{folder}/a")
+    path = pathlib.Path(next(r.path for r in archives.collect() if r.records > 1))
+    assert warc.resolved(warc.read(spark, f"{folder}/a"), f"{folder}/1", archives).count() == len(PAGES)
+    path.write_bytes(path.read_bytes()[:-20])
+    with pytest.raises(ValueError, match="faulty archive"):
+        warc.resolved(warc.read(spark, f"{folder}/a"), f"{folder}/2", archives)
+    path.unlink()
+    with pytest.raises(ValueError, match="records read"):
+        warc.resolved(warc.read(spark, f"{folder}/a"), f"{folder}/3", archives)
