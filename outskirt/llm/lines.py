@@ -105,9 +105,9 @@ def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
 
 
 def drop_repeated_lines(
-    docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3
+    docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3, counts: bool = True
 ) -> DataFrame:
-    """``docs`` with ``text`` less its repeated lines, and columns ``n_lines`` and ``n_dropped``.
+    """``docs`` with ``text`` less its repeated lines, and with ``counts`` columns ``n_lines`` and ``n_dropped``.
 
     A line's key is the line without the white space ``[\\x20\\x09-\\x0D]`` at its ends and with A-Z lower-cased.
     Keys of at least ``min_chars`` code points in at least ``min_docs`` documents lose their lines in
@@ -116,7 +116,7 @@ def drop_repeated_lines(
     A null or empty text is one empty line and comes out as the empty string. Every row counts as a
     document: repeated rows of one id count as often as they stand there, and all rows of the largest
     id keep the line. A null id is smaller than all others. No rows give no rows. Other columns pass
-    through whatever their names, save the two that are added.
+    through whatever their names, save those that are added.
 
     ``batches`` only sets into how many pieces the ids are cut, it has no effect on the result.
     """
@@ -147,7 +147,7 @@ def drop_repeated_lines(
         .join(repeated, KEY)
         .where(F.col("doc") != F.col("keeper"))
         .groupBy("doc", "text_hash")
-        .agg(F.collect_list("pos").alias("__drop"))
+        .agg(F.collect_set("pos").alias("__drop"))  # repeated rows add nothing
         .withColumnRenamed("doc", "__doc")
         .withColumnRenamed("text_hash", "__hash")
     )
@@ -160,5 +160,6 @@ def drop_repeated_lines(
     text = F.when(F.col("__drop").isNull(), text_or_empty()).otherwise(kept)
     n_lines = F.size(parts).cast("long")
     n_dropped = F.coalesce(F.size(F.array_distinct("__drop")), F.lit(0)).cast("long")
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    return out.select(*others, text.alias("text"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+    added = {"n_lines": n_lines, "n_dropped": n_dropped} if counts else {}
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text" and c not in added]
+    return out.select(*others, text.alias("text"), *[c.alias(name) for name, c in added.items()])
