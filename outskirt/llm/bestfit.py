@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from outskirt.llm.packing import encoder
 from outskirt.llm.shared import shared_folder, stored
 
-ADDED = ("piece", "start", "length", "ids", "sequence_id", "offset")
+ADDED = ("piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset")
 
 
 class _Gaps:
@@ -121,14 +122,15 @@ def _pieces(path: str, pattern: str, json_file: str, end_id: int, length: int, t
                     cuts = [0, *range(len(ids) % length or length, len(ids), length), len(ids)]
                     for piece, (start, end) in enumerate(zip(cuts, cuts[1:])):
                         take.append(row)
-                        made.append((piece, start, end - start, ids[start:end].tobytes(), part, seen[end - start]))
+                        own = ids[start:end].tobytes()
+                        made.append((piece, start, end - start, own, zlib.crc32(own), part, seen[end - start]))
                         seen[end - start] += 1
                 rows = some.take(pa.array(take, type=pa.int64()))
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
                 columns = [pa.array(v, type=k) for v, k in zip(zip(*made), kinds)]
                 others = [c for i, c in enumerate(rows.columns) if i != text_at]
                 names = [n for i, n in enumerate(rows.schema.names) if i != text_at]
-                yield pa.RecordBatch.from_arrays([*others, *columns], names=[*names, *ADDED[:4], "__part", "__nth"])
+                yield pa.RecordBatch.from_arrays([*others, *columns], names=[*names, *ADDED[:5], "__part", "__nth"])
 
     return run
 
@@ -136,11 +138,11 @@ def _pieces(path: str, pattern: str, json_file: str, end_id: int, length: int, t
 def pack_whole(
     docs: DataFrame, rank_file: str, pattern: str, end_id: int = 0, length: int = 2048, json_file: str | None = None
 ) -> DataFrame:
-    """Pieces of ``docs``: its columns but for ``text``, and piece, start, length, ids (little-endian unsigned 32-bit), sequence_id, offset.
+    """Pieces of ``docs``: its columns but for ``text``, and piece, start, length, ids (little-endian unsigned 32-bit), ids_crc32, sequence_id, offset.
 
     A document's ids are those of its whole text (null: empty) and then ``end_id``. Only documents longer than ``length``
     are cut. Pieces lie in a sequence without gaps from 0 on. Which of several pieces of one size is where, and the numbers of sequences,
-    depend on how the table is split into tasks; the number of sequences does not. Repeated rows are documents of their own; no
+    depend on how the table is split into tasks; the number of sequences does not. Who does not select ``ids`` does not shuffle them. Repeated rows are documents of their own; no
     rows give no rows; columns of the input pass through whatever their names, save those added.
 
     The driver sees one count per size, at most ``length``; the plan made of it is what tasks get (see ``plan``).
@@ -149,7 +151,7 @@ def pack_whole(
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED])
     others = [f for f in base.schema if f.name != "text"]
     schema = T.StructType([*others])
-    for name, kind in zip((*ADDED[:4], "__part", "__nth"), ("integer", "long", "long", "binary", "long", "long")):
+    for name, kind in zip((*ADDED[:5], "__part", "__nth"), ("integer", "long", "long", "binary", "long", "long", "long")):
         schema.add(name, kind)
     json_file = json_file or f"{rank_file.removesuffix('.tiktoken')}.json"
     run = _pieces(rank_file, pattern, json_file, end_id, length, base.columns.index("text"))
@@ -175,4 +177,4 @@ def pack_whole(
     found = numbered.join(F.broadcast(places), ["length", "__block"]).where((since >= 0) & (since < F.col("__count")))
     sequence = (F.col("__sequence") + F.expr("(__number - __first) div __per")).alias("sequence_id")
     offset = (F.col("__offset") + since % F.col("__per") * F.col("length")).alias("offset")
-    return found.select(*[F.col(f"`{f.name}`") for f in others], *ADDED[:4], sequence, offset)
+    return found.select(*[F.col(f"`{f.name}`") for f in others], *ADDED[:5], sequence, offset)

@@ -28,8 +28,8 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
-    warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), f"{folder}/archives")
-    records = warc.resolved(warc.read(spark, f"{folder}/archives"), folder)
+    archives = warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), f"{folder}/archives")
+    records = warc.resolved(warc.read(spark, f"{folder}/archives"), folder, archives)
     page = lambda c: F.element_at(F.split(c, ":"), -1).try_cast("long")
     return records.select(
         page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
@@ -114,7 +114,7 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bestfit.pack_whole(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 QUERIES = {
