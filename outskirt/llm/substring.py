@@ -187,6 +187,7 @@ def repeated_spans(base: DataFrame, folder: str, window: int, seed: int) -> Data
         .groupBy("gram", "piece")
         .agg(F.count("*").alias("copies"), F.min("row").alias("chosen"))
     )
+    variants = stored(variants, folder, "variants")
     shape = ["row", "gram", "first", "n", "before", "after"]
     whole = marks.where("pure").select(*shape, F.lit(True).alias("repeated"), F.lit(False).alias("windows"))
     mixed = marks.where(~F.col("pure")).join(variants, ["gram", "piece"])
