@@ -16,9 +16,9 @@ def _large_star(edges: DataFrame, folder: str, step: int) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+def _small_star(edges: DataFrame, folder: str, step: int) -> DataFrame:
+    down = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), folder, f"down{step}")
+    least = stored(down.groupBy("a").agg(F.min("b").alias("m")), folder, f"small{step}")
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
@@ -37,4 +37,4 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         if tuple(now) == mark or now[0] == 0:
             return edges
         mark, last, step = tuple(now), step + 1, step + 1
-        edges = _small_star(_large_star(edges, folder, step))
+        edges = _small_star(_large_star(edges, folder, step), folder, step)

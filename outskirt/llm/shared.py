@@ -24,10 +24,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def stored(frame: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write ``frame`` as Parquet below ``folder`` and read it back: cuts the lineage, survives lost executors."""
+def stored(frame: DataFrame, folder: str, name: str, file_rows: int = 0) -> DataFrame:
+    """Write ``frame`` as Parquet below ``folder`` and read it back: cuts the lineage, survives lost executors.
+
+    A file has at most ``file_rows`` rows, if given."""
     path = f"{folder}/{name}"
-    frame.write.mode("overwrite").parquet(path)
+    frame.write.mode("overwrite").option("maxRecordsPerFile", file_rows).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

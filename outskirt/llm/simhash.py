@@ -27,6 +27,8 @@ from outskirt.llm.tokens import LOWER
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
 #: Fingerprints of a crowded cell that one block takes.
+#: Rows of a file of cells: they compress so well that a split by bytes would hold most of them.
+CELL_ROWS = 1 << 18
 BLOCK = 1024
 #: Groups up to this size are compared row against row, larger ones as a matrix.
 SMALL = 24
@@ -175,7 +177,7 @@ def links(fps: DataFrame, folder: str) -> DataFrame:
     spark = fps.sparkSession
     # Dealt out by number: the table is narrow, what each row becomes is not.
     dealt = fps.select("fp").repartition(width(spark), "fp")
-    met = stored(dealt.mapInArrow(_spread, "cell long, fp long"), folder, "cells")
+    met = stored(dealt.mapInArrow(_spread, "cell long, fp long"), folder, "cells", CELL_ROWS)
     # Stored, so that the join below stands on two plain tables and Spark can split a crowded cell.
     crowded = stored(met.groupBy("cell").agg(F.count("*").alias("n")).where("n >= 2"), folder, "crowded")
     # Never broadcast: how many cells are crowded grows with the corpus.
@@ -196,7 +198,9 @@ def groups(prints: DataFrame, folder: str) -> DataFrame:
     stars = components(links(fps, folder), folder)
     rooted = fps.join(stars.withColumnRenamed("a", "fp").withColumnRenamed("b", "root"), "fp", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    # Both sides stored, so that Spark can split the join at a large component.
+    rooted = stored(rooted, folder, "rooted")
+    least = stored(rooted.groupBy("root").agg(F.min("least").alias("component")), folder, "least")
     return rooted.join(least, "root").select("fp", "component")
 
 
