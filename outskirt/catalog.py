@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from outskirt.functions.cells import cell_indexes
 from outskirt.functions.neighbors import edges, from_text, to_text
 from outskirt.ingest import normalize_columns
-from outskirt.job import result_rows, score_points
+from outskirt.job import result_rows, score_files, score_points
 from outskirt.operators import support
 from outskirt.operators.histogram import (
     cell_histogram,
@@ -23,15 +23,16 @@ from outskirt.operators.histogram import (
     with_cells,
 )
 from outskirt.operators.knn import exact_knn
-from outskirt.operators.points import array_points, as_points, bounds, normalize, rejections, sample_by_id
+from outskirt.operators.points import array_points, as_points, bounds, normalize, rejections, sample_by_id, sample_random
 from outskirt.operators.score import force_vectors, net_force, net_force_of
 from outskirt.params import ScoreParams
 from outskirt.plans.grid_plan import assign_partitions, partition_plan, partition_sizes, plan_cells
 from outskirt.session import keep, keep_small, scratch_path
 from outskirt.sources.geojson import read_lines, vertices, write_geojson
 from outskirt.sources.ids import with_contiguous_id
-from outskirt.sources.shapefile import parse_shapes, shape_vertices
-from outskirt.sources.tables import load_csv, parse_npy, read_csv_points, read_parquet_points
+from outskirt.sources.ranges import shape_files, write_files
+from outskirt.sources.shapefile import parse_shapes, read_shapes, shape_vertices
+from outskirt.sources.tables import load_csv, load_npy, parse_npy, read_csv_points, read_parquet_points
 
 P = ScoreParams(k=3)
 WIDE = ScoreParams(k=5, dims=64, point_scale=None)
@@ -110,6 +111,11 @@ def rejected_points(spark, sf):
     return rejections(customer_table(spark, sf), P.with_(domain_min=0.0, domain_max=500_000.0))
 
 
+def sample_random_rows(spark, sf):
+    """A third of the events, at random."""
+    return sample_random(event_table(spark, sf), 3_333)
+
+
 def cell_assign(spark, sf):
     return with_cells(event_points(spark, sf), P).select("id", *index_names(P), "cell_id")
 
@@ -189,6 +195,29 @@ def support_copies(spark, sf):
     return copies.select("id", "pid", "support_pid")
 
 
+CORNERS = ScoreParams(k=3, dims=5, buckets=2)
+
+
+def corner_plan(spark: SparkSession) -> DataFrame:
+    """A given plan: each of five dimensions halved, 32 boxes."""
+    half = CORNERS.cells // 2
+    side = [f"cast(shiftright(id, {4 - d}) & 1 as int)" for d in range(5)]
+    ranges = [e for d in range(5) for e in (f"{side[d]} * {half} as lo{d}", f"({side[d]} + 1) * {half} as hi{d}")]
+    path = ", ".join(f"'0', cast({x} as string)" for x in side)
+    return spark.range(32).coalesce(1).selectExpr("cast(id as int) as pid", *ranges, "0L as n", f"concat({path}) as path")
+
+
+def support_slabs(spark, sf):
+    """Five dimensions: which partitions need a point, by slabs instead of cells."""
+    table = read_parquet_points(spark, f"{sf}/embeddings.parquet", columns=["vec_id", "embedding"])
+    five = [f"cast(embedding[{d}] as double) as x{d}" for d in range(5)]
+    points = keep(on_domain(table.selectExpr("vec_id as id", *five), CORNERS))
+    plan = keep_small(corner_plan(spark), 32)
+    status = support.ball_status(support.local_neighbors(points, plan, CORNERS), plan, CORNERS)
+    slabs = support.support_slabs(support.partition_expansion(status, plan, CORNERS), CORNERS)
+    return support.slab_points(points, keep(slabs), plan, CORNERS).select("id", "pid", "support_pid")
+
+
 def settlement(spark, sf):
     local = _Local(spark, sf)
     forces = keep(net_force(local.status, P).select("id", "pid", "nid", "lcf", "status"))
@@ -254,9 +283,8 @@ def supplier_nof(spark, sf):
     return score_points(on_domain(table, p), p).select("id", "kdist", "lcf", "nof")
 
 
-def result(spark, sf):
+def shown(rows: DataFrame) -> DataFrame:
     """Full result rows, neighbour text decoded, numbers in hundredths."""
-    rows = result_rows(customer_points(spark, sf), P)
     show = "concat_ws(':', x.rank, x.nid, cast(round(x.d * 100) as bigint), cast(round(x.f[0] * 10000) as bigint), cast(round(x.kdist * 100) as bigint), cast(round(x.lcf * 100) as bigint))"
     return rows.selectExpr(
         "id", "c[0] as x", "c[1] as y", "pid", "status", "kdist", "lcf", "nof",
@@ -265,6 +293,18 @@ def result(spark, sf):
     )
 
 
+def result(spark, sf):
+    return shown(result_rows(customer_points(spark, sf), P))
+
+
+def scored_files(spark, sf):
+    """The whole job from Parquet to Parquet, with full result rows, read back."""
+    source, target = scratch_path(spark, "points"), scratch_path(spark, "scores")
+    normalize(customer_table(spark, sf), low=P.domain_min, high=P.domain_max, scale=P.point_scale).write.parquet(source)
+    score_files(spark, source, target, P, detail=True)
+    return shown(spark.read.parquet(target))
+
+
 def order_nof(spark, sf):
     return score_points(on_domain(order_table(spark, sf)), P).select("id", "kdist", "lcf", "nof")
 
@@ -402,10 +442,66 @@ def shapefile_vertices(spark, sf):
     return found.groupBy("lon", "lat").agg(F.expr("count(1)").alias("n"))
 
 
+def _written(table: DataFrame, folder: str, parts_of) -> None:
+    """A file (and its index) per task below ``folder``."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        for number, pdf in enumerate(batches):
+            name = f"part-{TaskContext.get().partitionId():05d}-{number:05d}"
+            write_files(folder, name, parts_of(pdf))
+            yield pd.DataFrame({"rows": [len(pdf)]})
+
+    table.mapInPandas(run, "rows bigint").write.format("noop").mode("overwrite").save()
+
+
+def _npy_file(pdf: pd.DataFrame) -> dict[str, bytes]:
+    out = io.BytesIO()
+    np.save(out, pdf[["x", "y"]].to_numpy())
+    return {".npy": out.getvalue()}
+
+
+def npy_files(spark, sf):
+    """NPY files in the shared folder, scanned in ranges."""
+    folder = scratch_path(spark, "npy")
+    _written(part_table(spark, sf), folder, _npy_file)
+    found = load_npy(spark, folder)
+    rows = found.selectExpr("c[0] as x", "c[1] as y").groupBy("x", "y").agg(F.expr("count(1)").alias("n"))
+    return _with_ids(found, rows)
+
+
+def _shape_file(pdf: pd.DataFrame) -> dict[str, bytes]:
+    """A point, a line and a polygon with a hole of each row, as :func:`shapes_of` has them."""
+
+    def rings(code: int, *parts: list) -> tuple[int, bytes]:
+        points = [v for part in parts for v in part]
+        starts = np.cumsum([0, *map(len, parts[:-1])])
+        box = np.array(points)
+        head = struct.pack("<4d2i", *box.min(axis=0), *box.max(axis=0), len(parts), len(points))
+        return code, head + struct.pack(f"<{len(parts)}i", *starts) + box.astype("<f8").tobytes()
+
+    shapes = []
+    for x, y in zip(pdf["x"], pdf["y"]):
+        a, b = (x, y), (x + 1, y + 2)
+        shapes += [(1, struct.pack("<2d", x, y)), rings(3, [a, b]), rings(5, [a, b, (x, y + 2), a], [a, b, a])]
+    return shape_files(shapes)
+
+
+def shapefile_layers(spark, sf):
+    """Shapefiles with points, lines and polygons in the shared folder, scanned by their index."""
+    folder = scratch_path(spark, "shapes")
+    _written(customer_table(spark, sf), f"{folder}/customers", _shape_file)
+    shapes = read_shapes(spark, folder)
+    found = shapes.selectExpr("layer", "explode(flatten(parts)) as v").selectExpr("layer", "v[0] as lon", "v[1] as lat")
+    return found.groupBy("layer", "lon", "lat").agg(F.expr("count(1)").alias("n"))
+
+
 QUERIES = {
     "point_bounds": point_bounds,
     "point_normalize": point_normalize,
     "sample_mod": sample_mod,
+    "sample_random": sample_random_rows,
     "rejected_points": rejected_points,
     "cell_assign": cell_assign,
     "cell_decode": cell_decode,
@@ -421,6 +517,7 @@ QUERIES = {
     "expanded_partitions": expanded_count,
     "support_cells": support_cell_lists,
     "support_points": support_copies,
+    "support_slabs": support_slabs,
     "settlement": settlement,
     "unsettled_points": unsettled_points,
     "l2_knn": l2_knn,
@@ -434,6 +531,7 @@ QUERIES = {
     "part_nof": part_nof,
     "supplier_nof": supplier_nof,
     "result_rows": result,
+    "scored_files": scored_files,
     "order_nof": order_nof,
     "event_nof": event_nof,
     "order_far_nof": order_far_nof,
@@ -446,4 +544,6 @@ QUERIES = {
     "csv_normalize": csv_normalize,
     "npy_points": npy_points,
     "shapefile_vertices": shapefile_vertices,
+    "npy_files": npy_files,
+    "shapefile_layers": shapefile_layers,
 }

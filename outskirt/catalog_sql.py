@@ -244,10 +244,54 @@ SHAPES = """SELECT lon, lat, sum(n)::BIGINT AS n FROM (
 
 _CUST_KNN = f"WITH {pts(CUSTOMER)}, {knn()}"
 
+
+
+def support_in(dims: int) -> str:
+    """Points in the expanded boxes of others, each dimension halved; every cell of every dimension compared."""
+    d = range(dims)
+    half = CELLS // 2
+    every = lambda text, glue: glue.join(text.format(i=i) for i in d)
+    gap = every("(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})", " + ")
+    sides = [f"greatest(0e0, x{i} - reach) AS low{i}, least(1e2, x{i} + reach) AS high{i}" for i in d]
+    edge = f"CAST(c{{i}} >= {half} AS INT) * {half}"
+    over = [
+        f"lo{i} > 0 AND least(floor(low{i} / {W}), {CELLS - 1}) < lo{i} AS below{i},"
+        f" lo{i} + {half} < {CELLS} AND floor(high{i} / {W}) >= lo{i} + {half} AS above{i}"
+        for i in d
+    ]
+    grown = [
+        f"max(CASE WHEN below{i} THEN greatest(0e0, {up(f'lo{i} * {W} - low{i}', 2)}) ELSE 0e0 END) AS el{i},"
+        f" max(CASE WHEN above{i} THEN greatest(0e0, {up(f'high{i} - (lo{i} + {half}) * {W}', 2)}) ELSE 0e0 END) AS eh{i}, any_value(lo{i}) AS lo{i}"
+        for i in d
+    ]
+    inside = " AND ".join(
+        f"p.c{i} >= greatest(0, floor((g.lo{i} * {W} - el{i}) / {W}))"
+        f" AND p.c{i} < least({CELLS}, ceil(((g.lo{i} + {half}) * {W} + eh{i}) / {W}))"
+        for i in d
+    )
+    raw = "raw AS (SELECT vec_id AS id, " + every("embedding[{i} + 1]::DOUBLE AS x{i}", ", ") + " FROM embeddings)"
+    ends = "ends AS (SELECT " + every("min(x{i}) AS a{i}, max(x{i}) AS b{i}", ", ") + " FROM raw)"
+    scaled = ", ".join(f"CASE WHEN b{i} = a{i} THEN 0e0 ELSE {r(f'(x{i} - a{i}) / (b{i} - a{i}) * 1e2', 4)} END AS x{i}" for i in d)
+    pid = " + ".join(f"(c{i} >= {half})::INT * {2 ** (dims - 1 - i)}" for i in d)
+    dist = r(f"sqrt({gap})", 2)
+    return f"""WITH {raw}, {ends}, pts AS (SELECT id, {scaled} FROM raw, ends),
+celled AS (SELECT *, {every(f"least(floor(x{{i}} / {W}), {CELLS - 1})::INT AS c{{i}}", ", ")} FROM pts),
+placed AS (SELECT *, {pid} AS pid, {every(f"{edge} AS lo{{i}}", ", ")} FROM celled),
+near AS (SELECT a.id AS id, {dist} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {dist}, b.id) AS rank
+  FROM placed a JOIN placed b ON a.pid = b.pid AND a.id <> b.id),
+ball AS (SELECT p.*, CASE WHEN count(d) < {K} THEN 'infinity'::DOUBLE ELSE (max(d) + 0.005) * (1 + 1e-9) + 1e-12 END AS reach
+  FROM placed p LEFT JOIN near n ON n.id = p.id AND rank <= {K} GROUP BY ALL),
+crossed AS (SELECT *, {", ".join(over)} FROM (SELECT *, {", ".join(sides)} FROM ball)),
+grown AS (SELECT pid, {", ".join(grown)} FROM crossed GROUP BY pid)
+SELECT p.id, p.pid::INT AS pid, g.pid::INT AS support_pid FROM placed p JOIN grown g ON p.pid <> g.pid AND {inside}"""
+
+
 SQL = {
     "point_bounds": f"WITH {CUSTOMER} SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM raw",
     "point_normalize": f"WITH {pts(CUSTOMER)} SELECT id, x, y FROM pts",
     "sample_mod": f"WITH {EVENT} SELECT id, {r('x', 2)} AS x, {r('y', 2)} AS y FROM raw WHERE id % 10 = 0",
+    "sample_random": f"WITH {EVENT} SELECT id, x, y FROM raw"
+    " ORDER BY ('0x' || md5(id::VARCHAR || ':42')[1:15])::BIGINT, id LIMIT 3333",
     "rejected_points": f"WITH {CUSTOMER} SELECT count(*) AS rows, 0::BIGINT AS no_value,"
     " count(*) FILTER (WHERE NOT (x BETWEEN 0 AND 5e5 AND y BETWEEN 0 AND 5e5)) AS outside,"
     " count(*) FILTER (WHERE x BETWEEN 0 AND 5e5 AND y BETWEEN 0 AND 5e5) AS kept FROM raw",
@@ -278,6 +322,7 @@ SQL = {
     "support_points": local(
         "SELECT id, placed.pid::INT AS pid, wide.pid::INT AS support_pid FROM placed JOIN wide USING (cell_id)", True
     ),
+    "support_slabs": support_in(5),
     "settlement": local("SELECT id, pid::INT AS pid, status FROM settled"),
     "unsettled_points": local(
         "SELECT pid::INT AS pid, status, count(*) AS n FROM settled WHERE status <> 'O' GROUP BY pid, status"
@@ -301,6 +346,7 @@ knn AS (SELECT * FROM (SELECT a.id AS id, b.id AS nid, a.x - b.x AS dx, 0e0 AS d
   row_number() OVER (PARTITION BY a.id ORDER BY {r('abs(a.x - b.x)', 2)}, b.id) AS rank
   FROM pts a JOIN pts b ON a.id <> b.id) WHERE rank <= {K}), {FORCE}, {LCF} {NOF}""",
     "result_rows": local(_RESULT, True),
+    "scored_files": local(_RESULT, True),
     "geojson_vertices": f"WITH {CUSTOMER} SELECT 'customers' AS layer, * FROM ({SHAPES})",
     "geojson_layers": f"""WITH {CUSTOMER}, sup AS (SELECT s_acctbal AS x, s_nationkey::DOUBLE AS y FROM supplier)
 SELECT 'customers' AS layer, * FROM ({SHAPES}) UNION ALL SELECT 'suppliers', * FROM ({SHAPES.replace('FROM raw', 'FROM sup')})""",
@@ -315,3 +361,5 @@ FROM raw, e) GROUP BY ALL""",
     "shapefile_vertices": f"""WITH {CUSTOMER} SELECT lon, lat, count(*) AS n FROM (SELECT x AS lon, y AS lat FROM raw
 UNION ALL SELECT x + 1, y + 2 FROM raw) GROUP BY lon, lat""",
 }
+SQL["npy_files"] = SQL["npy_points"]
+SQL["shapefile_layers"] = SQL["geojson_vertices"]

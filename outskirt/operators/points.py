@@ -68,10 +68,35 @@ def sample_by_id(df: DataFrame, denominator: int, scale: int | None = 2) -> Data
     )
 
 
+#: Rows that share the last part of a sample's threshold and are put in order; bits of a hash that are counted at once.
+_ORDERED_ROWS, _HASH_BITS, _STEP_BITS = 20_000, 60, 12
+
+
 def sample_random(df: DataFrame, rows: int, seed: int = 42) -> DataFrame:
-    """A fixed number of random rows without replacement (a per-task top-n, then one merge)."""
+    """``rows`` random rows without replacement: those with the smallest hash of id and ``seed`` (ties: smallest id).
+
+    The hash that ends the sample is found by counting prefixes, ``2 ** _STEP_BITS`` at a time; only rows with the last
+    prefix are put in order. All others are taken where they lie."""
     ident = df.columns[0]
-    return df.orderBy(F.xxhash64(F.col(ident), F.lit(seed)), ident).limit(rows)
+    digest = F.md5(F.concat_ws(":", F.col(f"`{ident}`").cast("string"), F.lit(str(seed))).cast("binary"))
+    hashed = df.withColumn("__hash", F.conv(F.substring(digest, 1, _HASH_BITS // 4), 16, 10).cast("long"))
+    low, bits, left = 0, 0, rows  # hashes below `low` are in, and `left` of those whose first `bits` are those of `low`
+    while True:
+        bits += _STEP_BITS
+        width = 1 << (_HASH_BITS - bits)
+        inside = hashed.where(F.col("__hash").between(low, low + (width << _STEP_BITS) - 1))
+        counts = inside.groupBy(F.expr(f"(__hash - {low}) div {width}").alias("at")).agg(F.expr("count(1)").alias("n"))
+        for at, n in sorted(counts.collect()):
+            if n >= left:
+                break
+            left -= n
+        else:  # fewer rows than asked for
+            return df
+        low += at * width
+        if n <= _ORDERED_ROWS or bits >= _HASH_BITS:
+            break
+    last = hashed.where(F.col("__hash").between(low, low + width - 1)).orderBy("__hash", ident).limit(left)
+    return hashed.where(F.col("__hash") < low).unionByName(last).drop("__hash")
 
 
 def as_points(

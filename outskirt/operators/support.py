@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from outskirt.functions.cells import cell_id, cell_index, raw_cell_index
 from outskirt.functions.geometry import box_centre, l2
 from outskirt.functions.numeric import lit, round_up
-from outskirt.operators.histogram import index_names, with_cells
+from outskirt.operators.histogram import index_names, placed, with_cells
 from outskirt.operators.joins import lookup_join
 from outskirt.operators.knn import PARTITION, exact_knn, reach_of
 from outskirt.params import ScoreParams
-from outskirt.plans.grid_plan import range_names
+from outskirt.plans.grid_plan import plan_nodes, range_names, slab_nodes
 from outskirt.session import keep
 
 OVERHANG_SCALE = 2
@@ -128,6 +128,42 @@ def support_cells(expansion: DataFrame, p: ScoreParams) -> DataFrame:
     )
 
 
+def support_slabs(expansion: DataFrame, p: ScoreParams) -> DataFrame:
+    """``pid, lo0, hi0, ...``: the expanded box without the box, as at most two disjoint slabs per dimension, in cells.
+
+    The slabs of dimension i lie below and above the box; before i they have the width of the box, after it that
+    of the expanded box. No cell is listed.
+    """
+    w, first, last = lit(p.cell_width), [], []
+    for i in range(p.dims):
+        first.append(f"cast(greatest(0, floor((lo{i} * {w} - ex_lo{i}) / {w})) as int)")
+        last.append(f"cast(least({p.cells}, ceil((hi{i} * {w} + ex_hi{i}) / {w})) as int)")
+    slabs = []
+    for i in range(p.dims):
+        for own in ((first[i], f"lo{i}"), (f"hi{i}", last[i])):
+            sides = [own if j == i else (f"lo{j}", f"hi{j}") if j < i else (first[j], last[j]) for j in range(p.dims)]
+            slabs.append(f"named_struct({', '.join(f"'lo{j}', {a}, 'hi{j}', {b}" for j, (a, b) in enumerate(sides))})")
+    some = " and ".join(f"lo{j} < hi{j}" for j in range(p.dims))
+    return expansion.selectExpr("pid", f"inline(array({', '.join(slabs)}))").where(some)
+
+
+def slab_points(points: DataFrame, slabs: DataFrame, plan: DataFrame, p: ScoreParams) -> DataFrame:
+    """``id, c, pid, support_pid``: a copy of a point for every partition in whose slabs it lies.
+
+    Slabs go down the plan to the boxes they reach; a point meets only those that reach its own box.
+    """
+    names = index_names(p)
+    boxes = plan.selectExpr("path as node", "pid as own")
+    size = 64 * p.dims * p.buckets**p.dims
+    found = placed(points, p, "id", "c").select("id", "c", *names)
+    homes = plan_nodes(points, plan, p).select("id", "node")
+    found = lookup_join(found.join(homes, "id"), boxes, "node", size)
+    reached = slab_nodes(slabs.selectExpr("pid as support_pid", *range_names(p)), plan, p)
+    inside = " and ".join(f"{name} >= lo{d} and {name} < hi{d}" for d, name in enumerate(names))
+    # A slab reaches at most all boxes.
+    return found.join(reached, "node").where(inside).selectExpr("id", "c", "own as pid", "support_pid")
+
+
 def support_lists(cells: DataFrame) -> DataFrame:
     """``cell_id, pids``: the supported partitions of a cell, ascending."""
     return cells.groupBy("cell_id").agg(F.expr("array_sort(collect_set(pid))").alias("pids"))

@@ -101,6 +101,19 @@ def plan_nodes(points: DataFrame, plan: DataFrame, p: ScoreParams, every: bool =
     return found
 
 
+def slab_nodes(slabs: DataFrame, plan: DataFrame, p: ScoreParams) -> DataFrame:
+    """``slabs`` (with ``lo0, hi0, ...``) once for every plan box, its path in ``node``, that they reach into."""
+    found = slabs.selectExpr("*", "'' as node")
+    for level in range(min(p.dims, CUT_DIMS)):
+        parents = _children_of(plan, level, p)
+        ends = {side: f"array({', '.join(f'{side}{d}' for d in range(p.dims))})[dim]" for side in ("lo", "hi")}
+        # A child ends where the next one starts.
+        reached = f"(x, i) -> starts[i] < {ends['hi']} and (i + 1 >= size(starts) or get(starts, i + 1) > {ends['lo']})"
+        found = lookup_join(found, parents, "node", 64 * p.buckets ** (level + 1))
+        found = found.selectExpr(*slabs.columns, f"explode(filter(kids, {reached})) as node")
+    return found
+
+
 def _children_of(plan: DataFrame, level: int, p: ScoreParams) -> DataFrame:
     """``node, dim, starts, kids``: the boxes of a level, the dimension they are cut in, and their children in its order."""
     parent, child = (F.substring("path", 1, 2 * n) for n in (level, level + 1))

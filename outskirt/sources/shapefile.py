@@ -1,9 +1,12 @@
-"""Shapefile geometry (.shp): points, polylines, polygons, multipoints, with or without z / m."""
+"""Shapefile geometry (.shp): points, polylines, polygons, multipoints, with or without z / m.
+
+With an index (.shx) beside it, a large file is read by several tasks (:mod:`outskirt.sources.ranges`)."""
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +18,7 @@ from outskirt.sources.geojson import layer_of
 SHAPES = "path string, record bigint, type string, parts array<array<array<double>>>"
 # Fixed values of the file format: shape type codes; z and m variants add 10 and 20.
 _POINT, _POLYLINE, _POLYGON, _MULTIPOINT = 1, 3, 5, 8
-_HEADER_BYTES = 100
+HEADER_BYTES = 100
 _BATCH = 2_000
 
 
@@ -23,14 +26,11 @@ def read_shapes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``layer, path, record, type, parts`` of every shape in all ``.shp`` files under the paths.
 
     ``layer`` is the file's directory name, ``record`` is unique within ``path``."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.shp")
-        .option("recursiveFileLookup", True)
-        .load(paths)
-        .select("content", F.col("_metadata.file_path").alias("path"))
-    )
-    return parse_shapes(files).withColumn("layer", layer_of("path"))
+    from outskirt.sources.ranges import ShapeSource, scan
+
+    paths = [paths] if isinstance(paths, str) else paths
+    found = [scan(spark, ShapeSource, path) for path in paths]
+    return reduce(DataFrame.unionByName, found).withColumn("layer", layer_of("path"))
 
 
 def parse_shapes(files: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def _shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for content, path in zip(batch["content"], batch["path"]):
             rows = []
-            for row in _records(content):
+            for row in records(content, HEADER_BYTES):
                 rows.append((path, *row))
                 if len(rows) == _BATCH:
                     yield pd.DataFrame(rows, columns=columns)
@@ -58,8 +58,8 @@ def _shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(rows, columns=columns)
 
 
-def _records(content: bytes) -> Iterator[tuple[int, str, list]]:
-    at = _HEADER_BYTES
+def records(content: bytes, at: int = 0) -> Iterator[tuple[int, str, list]]:
+    """(number, type, parts) of the records from ``at`` on."""
     while at + 12 <= len(content):
         number, words = struct.unpack_from(">ii", content, at)
         (code,) = struct.unpack_from("<i", content, at + 8)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +43,11 @@ def load_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def load_npy(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """2-D NPY arrays to ``id, c`` with ids 1, 2, 3, ...; files are parsed in the tasks."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.npy")
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .select("content")
-    )
-    return with_contiguous_id(parse_npy(files))
+    """2-D NPY arrays to ``id, c`` with ids 1, 2, 3, ... in the order of paths; files are read in ranges, in the tasks."""
+    from outskirt.sources.ranges import NpySource, scan
+
+    found = [scan(spark, NpySource, one) for one in ([path] if isinstance(path, str) else path)]
+    return with_contiguous_id(reduce(DataFrame.unionByName, found))
 
 
 def parse_npy(files: DataFrame) -> DataFrame:
