@@ -7,7 +7,7 @@ import string
 ABC = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Names that the operators use inside.
-CLASHING = ["row", "key", "n", "first", "gram", "piece", "cell", "fp", "h1", "keeper", "part", "text_hash", "spans", "id", "score", "n_lines", "n_words", "component", "rank"]
+CLASHING = ["row", "key", "n", "first", "gram", "piece", "cell", "fp", "h1", "keeper", "part", "text_hash", "spans", "id", "score", "n_lines", "component", "rank"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
 
 
