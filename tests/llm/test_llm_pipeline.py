@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import test_llm_decontaminate
 import test_llm_lines
-import test_llm_simhash
+import test_llm_nearcopies
 import test_llm_toxicity
 from outskirt.llm import toxicity
 from pyspark.sql import functions as F
@@ -63,11 +63,11 @@ def test_stages(spark, folder):
     assert out.where(F.length("text") != F.col("n_chars")).count() == 0
 
     out = stages["near_dedup"](spark, frame(want), folder)
-    prints = [test_llm_simhash.fingerprint(t) for _, t in want]
-    near = cases.components(sorted(set(prints)), lambda a, b: (a ^ b).bit_count() <= 4)
+    sets = [test_llm_nearcopies.grams(t) for _, t in want]
+    near = cases.components(list(range(len(want))), lambda a, b: test_llm_nearcopies.alike(sets[a], sets[b]))
     best = {}
-    for (i, t), f in zip(want, prints, strict=True):
-        best[near[f]] = min(best.get(near[f], (True, 0)), (i is None, i or 0))
+    for k, (i, _) in enumerate(want):
+        best[near[k]] = min(best.get(near[k], (True, 0)), (i is None, i or 0))
     got = rows_of(out)
     assert sorted((i is None, i or 0) for i, _ in got) == sorted(best.values()) and set(got) <= set(want)
     assert out.columns == docs.columns
