@@ -26,6 +26,7 @@ from outskirt.operators.knn import exact_knn
 from outskirt.operators.points import array_points, as_points, bounds, normalize, rejections, sample_by_id, sample_random
 from outskirt.operators.score import force_vectors, net_force, net_force_of
 from outskirt.params import ScoreParams
+from outskirt.plans.curve import core_ranges, merged, range_cells, range_points
 from outskirt.plans.grid_plan import assign_partitions, partition_plan, partition_sizes, plan_cells
 from outskirt.session import keep, keep_small, scratch_path
 from outskirt.sources.geojson import read_lines, vertices, write_geojson
@@ -150,6 +151,18 @@ def event_plan_cells(spark, sf):
     return plan_cells(partition_plan(event_points(spark, sf), P), P)
 
 
+def plan_ranges(spark, sf):
+    """Cells of the boxes' stretches of the Z-order curve."""
+    plan = keep_small(partition_plan(event_points(spark, sf), P), P.buckets**P.dims)
+    return range_cells(merged(core_ranges(plan, P)), plan, P)
+
+
+def range_partitions(spark, sf):
+    """Events with their plan boxes, by stretches of the Z-order curve."""
+    points = event_points(spark, sf)
+    return range_points(points, keep_small(partition_plan(points, P), P.buckets**P.dims), P)
+
+
 def partition_coverage(spark, sf):
     points = event_points(spark, sf)
     return partition_sizes(assign_partitions(points, partition_plan(points, P), P))
@@ -510,6 +523,8 @@ QUERIES = {
     "chi_square_dims": chi_square_dims,
     "partition_plan": event_plan,
     "plan_cells": event_plan_cells,
+    "plan_ranges": plan_ranges,
+    "range_partitions": range_partitions,
     "partition_coverage": partition_coverage,
     "local_knn_status": local_knn_status,
     "scan_order": scan_order,

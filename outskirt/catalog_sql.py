@@ -304,6 +304,9 @@ SQL = {
     "partition_plan": f"{planned(EVENT)} SELECT pid::INT AS pid, lo0, hi0, lo1, hi1, n FROM plan",
     "plan_cells": f"{planned(EVENT)} SELECT (c0.i + c1.i * {CELLS})::BIGINT AS cell_id, pid::INT AS pid FROM plan"
     f" JOIN range({CELLS}) c0(i) ON c0.i >= lo0 AND c0.i < hi0 JOIN range({CELLS}) c1(i) ON c1.i >= lo1 AND c1.i < hi1",
+    "plan_ranges": f"{planned(EVENT)} SELECT (c0.i + c1.i * {CELLS})::BIGINT AS cell_id, pid::INT AS pid FROM plan"
+    f" JOIN range({CELLS}) c0(i) ON c0.i >= lo0 AND c0.i < hi0 JOIN range({CELLS}) c1(i) ON c1.i >= lo1 AND c1.i < hi1",
+    "range_partitions": f"{planned(EVENT)}, {ASSIGNED} SELECT id, pid::INT AS pid FROM placed",
     "partition_coverage": f"{planned(EVENT)}, {ASSIGNED} SELECT pid::INT AS pid, count(*) AS n FROM placed GROUP BY pid",
     "local_knn_status": local(
         "SELECT id, pid::INT AS pid, kdist, status, pivot_d, ex_lo0, ex_hi0, ex_lo1, ex_hi1 FROM status"

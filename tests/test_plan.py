@@ -5,6 +5,7 @@ from outskirt.operators.histogram import chi_square, cell_histogram, dimension_o
 from outskirt.operators.knn import searched_leaves
 from outskirt.params import ScoreParams
 from outskirt.plans.cutter import equi_depth_cut
+from outskirt.plans.curve import core_ranges, merged, range_cells, range_points
 from outskirt.plans.grid_plan import assign_partitions, partition_plan, partition_sizes, plan_cells
 
 
@@ -89,3 +90,23 @@ def test_plan_of_nothing_is_the_whole_domain(spark):
     p = ScoreParams()
     empty = spark.createDataFrame([], "id bigint, c array<double>")
     assert [tuple(r) for r in partition_plan(empty, p).collect()] == [(0, 0, 50, 0, 50, 0, "00")]
+
+
+@pytest.mark.parametrize("dims, cells, most", [(1, 20, 4096), (2, 20, 4096), (2, 20, 3), (3, 7, 4096)])
+def test_curve_stretches_are_the_boxes(spark, dims, cells, most):
+    p = ScoreParams(k=3, dims=dims, cells=cells, buckets=3)
+    points = _points(spark, 300, dims=dims)
+    plan = spark.createDataFrame(partition_plan(points, p).toArrow())
+    ranges = core_ranges(plan, p, most)
+    found = sorted(map(tuple, range_cells(merged(ranges), plan, p).collect()))
+    assert found == sorted((r.cell_id, r.pid) for r in plan_cells(plan, p).collect())
+    assert ranges.where("not whole").isEmpty() == (most > 3)
+    assigned = {(r.id, r.pid) for r in assign_partitions(points, plan, p).collect()}
+    assert {tuple(r) for r in range_points(points, plan, p).collect()} == assigned and len(assigned) == 300
+
+
+def test_stretches_follow_the_boxes_not_the_cells(spark):
+    p = ScoreParams(cells=1 << 20)
+    plan = spark.createDataFrame([(0, 0, 1 << 19, 0, 1 << 20), (1, 1 << 19, 1 << 20, 3, 1 << 20)], "pid int, lo0 int, hi0 int, lo1 int, hi1 int")
+    n = {r.pid: r.n for r in core_ranges(plan, p, 64).groupBy("pid").agg({"*": "count"}).toDF("pid", "n").collect()}
+    assert n[0] <= 2 and n[1] < 64 * 41
