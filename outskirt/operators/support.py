@@ -94,7 +94,8 @@ def scan_order(status: DataFrame) -> DataFrame:
     first = rows.groupBy("pid", "task").agg(F.min("at").alias("first"), F.expr("count(1)").alias("n"))
     before = "sum(n) over (partition by pid order by task rows between unbounded preceding and 1 preceding)"
     first = first.selectExpr("pid", "task", f"coalesce({before}, 0) - first + 1 as shift")
-    return rows.join(F.broadcast(first), ["pid", "task"]).selectExpr(
+    # A row per task and partition that meet: as many as Spark finds small enough are broadcast.
+    return rows.join(first, ["pid", "task"]).selectExpr(
         *status.columns, "cast(at + shift as int) as place"
     )
 
@@ -104,7 +105,7 @@ def partition_expansion(status: DataFrame, plan: DataFrame, p: ScoreParams) -> D
     grown = status.where("status = 'F'").groupBy("pid").agg(*[F.max(s).alias(s) for s in side_names(p)])
     sides = [f"coalesce({s}, 0.0D) as {s}" for s in side_names(p)]
     # at most one row per box on both sides
-    return plan.join(F.broadcast(grown), "pid", "left").selectExpr("pid", *range_names(p), *sides)
+    return lookup_join(plan, grown, "pid", _plan_bytes(p), "left").selectExpr("pid", *range_names(p), *sides)
 
 
 def expanded_partitions(expansion: DataFrame, p: ScoreParams) -> DataFrame:
