@@ -28,6 +28,7 @@ from outskirt.operators.score import force_vectors, net_force, net_force_of
 from outskirt.params import ScoreParams
 from outskirt.plans.curve import core_ranges, merged, range_cells, range_points
 from outskirt.plans.grid_plan import assign_partitions, partition_plan, partition_sizes, plan_cells
+from outskirt.plans.quantile_plan import quantile_plan
 from outskirt.session import keep, keep_small, scratch_path
 from outskirt.sources.geojson import read_lines, vertices, write_geojson
 from outskirt.sources.ids import with_contiguous_id
@@ -37,6 +38,9 @@ from outskirt.sources.tables import load_csv, load_npy, parse_npy, read_csv_poin
 
 P = ScoreParams(k=3)
 WIDE = ScoreParams(k=5, dims=64, point_scale=None)
+# Plans by quantiles: vectors cut in three of their dimensions, events into many parts of both.
+WIDE_PLAN = WIDE.with_(domain_min=-1.0, domain_max=1.0, buckets=3)
+FINE_PLAN = P.with_(buckets=300)
 
 
 # -- point sets ---------------------------------------------------------------------
@@ -168,6 +172,19 @@ def partition_coverage(spark, sf):
     return partition_sizes(assign_partitions(points, partition_plan(points, P), P))
 
 
+def wide_plan(spark, sf):
+    """The boxes of a plan over 64-d vectors, a row per box and dimension that it is cut in."""
+    plan = quantile_plan(keep(embedding_points(spark, sf)), WIDE_PLAN, levels=3)
+    boxes = plan.boxes.selectExpr("path", "n", "explode_outer(ranges) as r")
+    return boxes.selectExpr("path", "n", "r.dim", "r.lo", "r.hi")
+
+
+def fine_partitions(spark, sf):
+    """Events with their boxes of a plan of 300 parts per dimension."""
+    points = keep(event_points(spark, sf))
+    return quantile_plan(points, FINE_PLAN).nodes(points)
+
+
 class _Local:
     """Customer points, their plan, and neighbours within the partitions."""
 
@@ -525,6 +542,8 @@ QUERIES = {
     "plan_cells": event_plan_cells,
     "plan_ranges": plan_ranges,
     "range_partitions": range_partitions,
+    "quantile_plan": wide_plan,
+    "quantile_partitions": fine_partitions,
     "partition_coverage": partition_coverage,
     "local_knn_status": local_knn_status,
     "scan_order": scan_order,

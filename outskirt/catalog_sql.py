@@ -166,6 +166,36 @@ plan AS (SELECT row_number() OVER (ORDER BY lo0, hi0, lo1, hi1) - 1 AS pid, * FR
   n FROM cut, axis))"""
 
 
+def quantile_levels(dims: int, levels: int, buckets: int, k: int, low: str, width: str) -> str:
+    """``x0 .. x{levels}`` (id, c, node) and ``cut0 ..`` (node, dim, cuts): boxes cut at ``ceil(j n / buckets)``-th values."""
+    cell = f"greatest(0, least({CELLS - 1}, floor((v - ({low})) / {width})))::INT"
+    parts = [
+        f"flat AS (SELECT unnest(range({dims})) AS dim, unnest(c) AS v FROM x0)",
+        f"filled AS (SELECT dim, {cell} AS i, count(*) AS n FROM flat GROUP BY ALL)",
+        "axes AS (SELECT (row_number() OVER (ORDER BY sum(n * n), dim) - 1) AS level, dim FROM filled GROUP BY dim)",
+    ]
+    for level in range(levels):
+        parts.append(f"""v{level} AS (SELECT node, dim, c[dim + 1] AS v, count(*) OVER (PARTITION BY node) AS n,
+  row_number() OVER (PARTITION BY node ORDER BY c[dim + 1]) AS rn, max(c[dim + 1]) OVER (PARTITION BY node) AS most
+  FROM x{level}, axes WHERE level = {level}),
+cut{level} AS (SELECT node, dim, coalesce(list(DISTINCT v ORDER BY v)
+    FILTER (WHERE v < most AND list_contains(list_transform(range(1, {buckets}), lambda j: (j * n + {buckets - 1}) // {buckets}), rn)), []) AS cuts
+  FROM v{level} WHERE n > {2 * k + 1} GROUP BY node, dim),
+x{level + 1} AS (SELECT id, c, CASE WHEN cuts IS NULL THEN x{level}.node
+  ELSE x{level}.node || printf('%04x', len(list_filter(cuts, lambda q: q < c[dim + 1]))) END AS node
+  FROM x{level} LEFT JOIN cut{level} USING (node))""")
+    return ", ".join(parts)
+
+
+def quantile_ranges(levels: int) -> str:
+    """A row per box of the last level and cut above it."""
+    cuts = " UNION ALL ".join(f"SELECT {level} AS level, * FROM cut{level}" for level in range(levels))
+    return f"""cuts AS ({cuts}), boxes AS (SELECT node, count(*) AS n FROM x{levels} GROUP BY node),
+numbered AS (SELECT boxes.node AS path, n, dim, cuts, ('0x' || boxes.node[length(cuts.node) + 1:length(cuts.node) + 4])::INT AS i
+  FROM boxes LEFT JOIN cuts ON length(boxes.node) > length(cuts.node) AND starts_with(boxes.node, cuts.node))
+SELECT path, n, dim::INT AS dim, CASE WHEN i > 0 THEN cuts[i] END AS lo, cuts[i + 1] AS hi FROM numbered"""
+
+
 def planned(raw: str) -> str:
     return f"WITH RECURSIVE {pts(raw)}, {CELLED}, {PLAN}"
 
@@ -306,6 +336,10 @@ SQL = {
     f" JOIN range({CELLS}) c0(i) ON c0.i >= lo0 AND c0.i < hi0 JOIN range({CELLS}) c1(i) ON c1.i >= lo1 AND c1.i < hi1",
     "plan_ranges": f"{planned(EVENT)} SELECT (c0.i + c1.i * {CELLS})::BIGINT AS cell_id, pid::INT AS pid FROM plan"
     f" JOIN range({CELLS}) c0(i) ON c0.i >= lo0 AND c0.i < hi0 JOIN range({CELLS}) c1(i) ON c1.i >= lo1 AND c1.i < hi1",
+    "quantile_plan": "WITH x0 AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS c, '' AS node FROM embeddings), "
+    + quantile_levels(64, 3, 3, 5, "-1e0", "4e-2") + ", " + quantile_ranges(3),
+    "quantile_partitions": f"WITH {pts(EVENT)}, x0 AS (SELECT id, [x, y] AS c, '' AS node FROM pts), "
+    + quantile_levels(2, 2, 300, K, "0e0", W) + " SELECT id, node FROM x2",
     "range_partitions": f"{planned(EVENT)}, {ASSIGNED} SELECT id, pid::INT AS pid FROM placed",
     "partition_coverage": f"{planned(EVENT)}, {ASSIGNED} SELECT pid::INT AS pid, count(*) AS n FROM placed GROUP BY pid",
     "local_knn_status": local(

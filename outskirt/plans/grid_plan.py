@@ -20,7 +20,11 @@ from outskirt.session import keep_small
 
 # At most this many dimensions are cut.
 CUT_DIMS = 10
-MAX_BUCKETS = 256
+
+
+def path_digits(p: ScoreParams) -> int:
+    """Hexadecimal digits of a child's number in a path."""
+    return max(2, len(f"{p.buckets - 1:x}"))
 
 
 def range_names(p: ScoreParams) -> list[str]:
@@ -30,15 +34,13 @@ def range_names(p: ScoreParams) -> list[str]:
 def partition_plan(points: DataFrame, p: ScoreParams, every: bool = False) -> DataFrame:
     """``pid, lo0, hi0, lo1, hi1, ..., n, path`` in cell units; the boxes tile the domain.
 
-    ``path`` has two hexadecimal digits per cut: boxes of one slab share their prefix.
+    ``path`` has two hexadecimal digits per cut (more beyond 256 buckets): boxes of one slab share their prefix.
     Without any point the plan is one box. Points outside the domain do not count; with ``every`` they
     count in the border cells.
 
     Only the cell histogram is cut, one dimension per step in order of uniformity, so
     the points are read once. A box with at most ``2k + 1`` points is not cut again.
     """
-    if p.buckets > MAX_BUCKETS:
-        raise ValueError(f"at most {MAX_BUCKETS} buckets per dimension")
     histogram = keep_small(cell_histogram(points, p, every), p.cells**p.dims)
     order = dimension_order(slab_frequency(histogram, p), p)[:CUT_DIMS]
     everywhere = [f"{0 if name.startswith('lo') else p.cells} as {name}" for name in range_names(p)]
@@ -53,7 +55,7 @@ def partition_plan(points: DataFrame, p: ScoreParams, every: bool = False) -> Da
             .agg(F.sum("n").alias("n"))
         )
         runs = equi_depth_cut(slabs, p.buckets, p.k, p.cells).selectExpr(
-            "parent as box", "concat(parent, lpad(lower(hex(bucket)), 2, '0')) as child", "lo", "hi", "n as new_n"
+            "parent as box", f"concat(parent, lpad(lower(hex(bucket)), {path_digits(p)}, '0')) as child", "lo", "hi", "n as new_n"
         )
         # an uncut box stays as it is; a box has at most `buckets` runs
         edges = {f"lo{dim}": "coalesce(lo, lo{d})", f"hi{dim}": "coalesce(hi, hi{d})"}
@@ -74,7 +76,7 @@ def partition_plan(points: DataFrame, p: ScoreParams, every: bool = False) -> Da
             )
     # numbering reads one row per box, at most buckets^dims
     numbered = f"row_number() over (order by {', '.join(range_names(p))}) - 1 as pid"
-    return boxes.selectExpr(numbered, *range_names(p), "n", "if(box = '', '00', box) as path")
+    return boxes.selectExpr(numbered, *range_names(p), "n", f"if(box = '', '{'0' * path_digits(p)}', box) as path")
 
 
 def plan_cells(plan: DataFrame, p: ScoreParams) -> DataFrame:
@@ -116,7 +118,7 @@ def slab_nodes(slabs: DataFrame, plan: DataFrame, p: ScoreParams) -> DataFrame:
 
 def _children_of(plan: DataFrame, level: int, p: ScoreParams) -> DataFrame:
     """``node, dim, starts, kids``: the boxes of a level, the dimension they are cut in, and their children in its order."""
-    parent, child = (F.substring("path", 1, 2 * n) for n in (level, level + 1))
+    parent, child = (F.substring("path", 1, path_digits(p) * n) for n in (level, level + 1))
     starts = [F.min(f"lo{d}").alias(f"lo{d}") for d in range(p.dims)]
     kids = plan.groupBy(parent.alias("node"), child.alias("child")).agg(*starts)
     spread = ", ".join(f"max(lo{d}) > min(lo{d})" for d in range(p.dims))
