@@ -3,7 +3,8 @@
 Features of a text are its distinct words and word beginnings (first 4, 5 and 6 characters), hashed to 64 bits. A
 bounded sample of labelled rows gives, in Spark, counts per feature and label; the most telling features (bounded) are
 the vocabulary. Each labelled text with identity terms is also taken with all of them, in every sentence,
-swapped for another group's, or for a neutral word. A logistic model is fitted on the driver to the bounded sample;
+swapped for another group's, or for a neutral word; a text without any gets a mention of a group behind its words, which is
+swapped likewise. A logistic model is fitted on the driver to the bounded sample;
 besides the labels' loss it pays for the squared change of the score under such swaps, and an L1
 penalty keeps only features that matter. Scoring reads whole texts and needs the model alone.
 """
@@ -11,6 +12,7 @@ penalty keeps only features that matter. Scoring reads whole texts and needs the
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -41,7 +43,8 @@ PREFIXES = (4, 5, 6)
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows``: labelled rows that are learned from at most. ``max_features``: size of the vocabulary at most."""
+    """``sample_rows``: labelled rows that are learned from at most. ``max_features``: size of the vocabulary at most, besides the
+    features of ``terms``. ``place``: whether texts without identity terms get a mention of a group for the penalty."""
 
     sample_rows: int = 20_000
     max_features: int = 1 << 12
@@ -51,16 +54,19 @@ class Settings:
     l2: float = 1e-6
     steps: int = 300
     terms: dict = field(default_factory=lambda: IDENTITY_TERMS)
+    place: bool = True
 
 
 @dataclass(frozen=True)
 class Model:
-    """Sorted feature hashes with their weights, the bias, and how many pairs of a text and a swapped one were learned from."""
+    """Sorted feature hashes with their weights, the bias, and how many pairs of a text and a swapped one were learned from:
+    ``pairs`` of texts with identity terms of their own, ``placed`` of texts that got a mention."""
 
     features: np.ndarray
     weights: np.ndarray
     bias: float
     pairs: int = 0
+    placed: int = 0
 
     def score(self, text: str | None) -> float:
         z = self.bias
@@ -118,6 +124,12 @@ def swapped(text: str, terms: dict, everywhere: bool = False) -> list[str]:
     return out
 
 
+def mention(text: str, terms: dict) -> tuple[str, str, str]:
+    """An identity term, told by the text, the next one of its kind, and its neutral word."""
+    choices = [(w, words[(i + 1) % (len(words) - 1)], words[-1]) for words in terms.values() for i, w in enumerate(words[:-1])]
+    return choices[zlib.crc32(text.encode()) % len(choices)]
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that are never learned from: crc32 of the id as text, modulo 5, is 0. A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
@@ -139,8 +151,9 @@ def _count(batches):
                     yield pa.RecordBatch.from_arrays(columns, names=schema)
 
 
-def _examples(vocabulary, terms):
-    """Per text its features' places in the vocabulary, and those of its swapped versions."""
+def _examples(vocabulary, s: Settings):
+    """Per text its features' places in the vocabulary, and for each pair of it and a swapped version the places that only
+    the one and only the other has."""
 
     def places(text):
         known = vocabulary.value
@@ -148,16 +161,28 @@ def _examples(vocabulary, terms):
         at = np.minimum(np.searchsorted(known, found), len(known) - 1)
         return np.unique(at[known[at] == found]).astype(np.int32)
 
+    def pairs(text, own):
+        swaps = [places(t) for t in swapped(text, s.terms, everywhere=True)]
+        if swaps or not s.place or not any(len(words) > 1 for words in s.terms.values()):
+            return own, swaps, False
+        # A mention behind the text's words adds its own features to theirs.
+        before, *after = (np.union1d(own, places(word)) for word in mention(text, s.terms))
+        return before, after, True
+
     def run(batches):
         for batch in batches:
-            own, swaps = [], []
+            own, plus, minus, placed = [], [], [], []
             for text in batch.column(0):
                 text = text.as_py() or ""
                 own.append(places(text))
-                swaps.append([places(t).tolist() for t in swapped(text, terms, everywhere=True)])
-            own = pa.array(own, type=pa.list_(pa.int32()))
-            swaps = pa.array(swaps, type=pa.list_(pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([own, swaps, batch.column(1)], names=["own", "swaps", "toxic"])
+                before, after, added = pairs(text, own[-1])
+                plus.append([np.setdiff1d(before, x).tolist() for x in after])
+                minus.append([np.setdiff1d(x, before).tolist() for x in after])
+                placed.append(added)
+            lists = pa.list_(pa.list_(pa.int32()))
+            columns = [pa.array(own, type=pa.list_(pa.int32())), pa.array(plus, type=lists), pa.array(minus, type=lists)]
+            columns += [pa.array(placed, type=pa.bool_()), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["own", "plus", "minus", "placed", "toxic"])
 
     return run
 
@@ -169,36 +194,46 @@ def _sparse(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(rows)), sizes), entries
 
 
-def _train(own, swaps, toxic, n_features: int, s: Settings) -> tuple[np.ndarray, float]:
-    """Proximal gradient descent with momentum (FISTA) on logistic loss, swap penalty, L2 and L1."""
-    y = np.asarray(toxic, dtype=np.float64)
-    n = len(y)
-    row, col = _sparse(own)
-    pair = [(i, x) for i, several in enumerate(swaps) for x in several]
-    before, after = _sparse([own[i] for i, _ in pair]), _sparse([x for _, x in pair])
-
-    def dot(w, entries, size):
-        return np.bincount(entries[0], weights=w[entries[1]], minlength=size)
-
-    # One over a bound of the curvature: mean squared row lengths, of the texts and of what the swaps change.
-    curvature = (1 + float(np.mean([len(r) for r in own]))) / 4 + s.l2
-    if pair:
-        changed = [len(np.setxor1d(own[i], x)) for i, x in pair]
-        curvature += s.swap_weight * float(np.mean(changed))
-    rate = 1 / curvature
-    w, bias = np.zeros(n_features), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
+class Loss:
+    """Mean logistic loss of the labels, half the squared weights times ``l2``, and half the squared score changes of the pairs:
+    ``swap_weight`` times their mean over the pairs of swapped texts, and as much over those of placed mentions."""
+
+    def __init__(self, own: list, plus: list, minus: list, placed, toxic, n_features: int, s: Settings):
+        """``own``: a list of features per text. ``plus``, ``minus``, ``placed``: one entry per pair."""
+        self.y, self.n_features, self.l2 = np.asarray(toxic, dtype=np.float64), n_features, s.l2
+        self.row, self.col = _sparse(own)
+        placed = np.asarray(placed, dtype=bool)
+        self.weight = s.swap_weight / np.where(placed, max(placed.sum(), 1), max((~placed).sum(), 1))
+        (a, x), (b, y) = _sparse(plus), _sparse(minus)
+        self.pair, self.feature = np.concatenate([a, b]), np.concatenate([x, y])
+        self.sign = np.repeat([1.0, -1.0], [len(a), len(b)])
+        # A bound of the curvature: mean squared row lengths of the texts, the largest row sum of what the pairs add.
+        changed = np.bincount(self.pair, minlength=len(placed))
+        sums = np.bincount(self.feature, weights=(self.weight * changed)[self.pair], minlength=n_features)
+        self.curvature = (1 + float(np.mean([len(r) for r in own]))) / 4 + s.l2 + float(sums.max(initial=0))
+
+    def gradient(self, w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        n = len(self.y)
+        z = np.bincount(self.row, weights=w[self.col], minlength=n) + bias
+        error = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - self.y
+        grad = np.bincount(self.col, weights=error[self.row], minlength=self.n_features) / n + self.l2 * w
+        if len(self.pair):
+            change = np.bincount(self.pair, weights=self.sign * w[self.feature], minlength=len(self.weight)) * self.weight
+            grad += np.bincount(self.feature, weights=self.sign * change[self.pair], minlength=self.n_features)
+        return grad, float(error.mean())
+
+
+def _train(loss: Loss, s: Settings) -> tuple[np.ndarray, float]:
+    """Proximal gradient descent with momentum (FISTA) on the loss and L1."""
+    n, positive = len(loss.y), loss.y.sum()
+    rate = 1 / loss.curvature
+    w, bias = np.zeros(loss.n_features), float(np.log((positive + 0.5) / (n - positive + 0.5)))
     look, look_bias, t = w, bias, 1.0
     for _ in range(s.steps):
-        error = 1 / (1 + np.exp(-np.clip(dot(look, (row, col), n) + look_bias, -40, 40))) - y
-        grad = np.bincount(col, weights=error[row], minlength=n_features) / n + s.l2 * look
-        if pair:
-            change = dot(look, before, len(pair)) - dot(look, after, len(pair))
-            scale = s.swap_weight / len(pair)
-            grad += scale * np.bincount(before[1], weights=change[before[0]], minlength=n_features)
-            grad -= scale * np.bincount(after[1], weights=change[after[0]], minlength=n_features)
+        grad, bias_grad = loss.gradient(look, look_bias)
         new = look - rate * grad
         new = np.sign(new) * np.maximum(np.abs(new) - rate * s.l1, 0)
-        new_bias = look_bias - rate * float(error.mean())
+        new_bias = look_bias - rate * bias_grad
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         look, look_bias = new + (t - 1) / t_new * (new - w), new_bias + (t - 1) / t_new * (new_bias - bias)
         w, bias, t = new, new_bias, t_new
@@ -238,16 +273,21 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     telling = F.abs(F.col("a") - total * F.lit(share)) / F.sqrt(total)
     best = counts.where(total >= s.min_rows).orderBy(telling.desc(), "feature").limit(s.max_features).select("feature")
     found = np.array([r["feature"] for r in best.collect()], dtype=np.int64).view(U)
-    vocabulary = np.sort(found)
-    if not len(vocabulary):
-        return Model(vocabulary, np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 0.5))))
+    if not len(found):
+        return Model(found, np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 0.5))))
+    # Identity terms are always features, so that the penalty can hold their weights down.
+    words = [features(word) for kind in s.terms.values() for word in kind]
+    vocabulary = np.unique(np.concatenate([found, *words]))
     sent = spark.sparkContext.broadcast(vocabulary)
-    rows = sample.mapInArrow(_examples(sent, s.terms), "own array<int>, swaps array<array<int>>, toxic int").toArrow()
+    shape = "own array<int>, plus array<array<int>>, minus array<array<int>>, placed boolean, toxic int"
+    rows = sample.mapInArrow(_examples(sent, s), shape).toArrow()
     own = [r.values.to_numpy(zero_copy_only=False) for r in rows.column("own").combine_chunks()] if rows.num_rows else []
-    swaps = rows.column("swaps").to_pylist()
-    weights, bias = _train(own, swaps, rows.column("toxic").to_numpy(), len(vocabulary), s)
+    plus, minus = rows.column("plus").to_pylist(), rows.column("minus").to_pylist()
+    placed = np.repeat(rows.column("placed").to_numpy().astype(bool), [len(p) for p in plus])
+    flat = ([x for several in lists for x in several] for lists in (plus, minus))
+    weights, bias = _train(Loss(own, *flat, placed, rows.column("toxic").to_numpy(), len(vocabulary), s), s)
     used = weights != 0
-    return Model(vocabulary[used], weights[used], bias, sum(map(len, swaps)))
+    return Model(vocabulary[used], weights[used], bias, int((~placed).sum()), int(placed.sum()))
 
 
 def _score(model, text_at: int, name: str):

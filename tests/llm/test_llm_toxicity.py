@@ -118,3 +118,58 @@ def test_dropping_keeps_a_column_named_score(spark):
     labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     kept = toxicity.drop_toxic(cases.table(spark, docs), labels, toxicity.Settings(min_rows=2))
     assert kept.columns == cases.table(spark, []).columns and {r.score for r in kept.collect()} == {"x"}
+
+
+def test_texts_without_terms_get_mentions(spark):
+    """Group terms stand in toxic texts only, and in few of them: most pairs are placed mentions."""
+    docs, labels = corpus()
+    docs = [(i, t.replace(" muslims", " muslims and women") if i % 4 == 0 else t.replace(" muslims", "")) for i, t in docs]
+    frame, known = cases.table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    s = toxicity.Settings(min_rows=2)
+    fair = toxicity.fit(frame, known, s)
+    learned = [t for i, t in docs if zlib.crc32(str(i).encode()) % 5]
+    assert fair.pairs + fair.placed == 2 * len(learned) and fair.placed == 2 * sum("muslims" not in t for t in learned)
+    plain, alone = (toxicity.fit(frame, known, toxicity.Settings(min_rows=2, **c)) for c in ({"swap_weight": 0.0}, {"place": False}))
+    assert alone.placed == 0 and alone.pairs == fair.pairs
+    change = lambda m: abs(m.score("w1 w2 muslims w3.") - m.score("w1 w2 people w3."))
+    assert change(fair) < 0.3 * change(plain)
+
+
+def test_loss_equals_a_dense_version():
+    """Features, loss and penalty written out over dense matrices; its gradient by differences."""
+    rng = np.random.default_rng(2)
+    n, m, d = 12, 9, 7
+    x, before, after = (rng.integers(0, 2, (k, d)) for k in (n, m, m))
+    y, placed = rng.integers(0, 2, n), np.arange(m) % 3 == 0
+    s = toxicity.Settings(swap_weight=3.0, l2=0.1)
+    sparse = lambda a: [np.flatnonzero(r) for r in a]
+    own = toxicity.Loss(sparse(x), sparse(before & ~after & 1), sparse(after & ~before & 1), placed, y, d, s)
+
+    def dense(w, bias):
+        z = x @ w + bias
+        changes = ((before - after) @ w) ** 2 / 2
+        penalty = s.swap_weight * (changes[placed].mean() + changes[~placed].mean())
+        return np.mean(np.log1p(np.exp(z)) - y * z) + s.l2 * (w @ w) / 2 + penalty
+
+    w, bias, step = rng.normal(size=d), 0.3, 1e-6
+    grad, bias_grad = own.gradient(w, bias)
+    want = [(dense(w + step * e, bias) - dense(w - step * e, bias)) / (2 * step) for e in np.eye(d)]
+    assert np.allclose(grad, want, atol=1e-6)
+    assert np.isclose(bias_grad, (dense(w, bias + step) - dense(w, bias - step)) / (2 * step), atol=1e-6)
+    hessian = np.array([(own.gradient(w + step * e, bias)[0] - own.gradient(w - step * e, bias)[0]) / (2 * step) for e in np.eye(d)])
+    assert np.linalg.eigvalsh((hessian + hessian.T) / 2).max() <= own.curvature
+    best, own_bias = toxicity._train(own, toxicity.Settings(l1=0.0, steps=3000))
+    assert np.abs(own.gradient(best, own_bias)[0]).max() < 1e-4
+
+
+def test_score_equals_a_dictionary_of_features():
+    text = "Éclair women, éclair; straße x"
+    words = {"éclair", "women", "straße", "x"}
+    named = {(n, w[:n]) for w in words for n in toxicity.PREFIXES if len(w) >= n} | {(0, w) for w in words}
+    own = np.unique(toxicity.features(text))
+    assert len(own) == len(named)
+    weights = np.linspace(-1, 1, len(own))
+    model = toxicity.Model(own, weights, 0.25)
+    assert np.isclose(model.score(text), 1 / (1 + np.exp(-0.25 - weights.sum())))
+    part = np.unique(toxicity.features("women"))
+    assert np.isclose(model.score("WOMEN zzz"), 1 / (1 + np.exp(-0.25 - weights[np.isin(own, part)].sum())))
