@@ -138,10 +138,9 @@ _ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
 def _templates() -> str:
-    rows = []
-    for tid, (words, label) in enumerate(licenses.PHRASES + licenses.NOTICES):
-        base, words = str(tid < len(licenses.PHRASES)).lower(), words.split()
-        rows.append(f"({tid}, '{label}', {base}, {len(words) - 1}, {words})")
+    rows = [
+        f"({tid}, '{label}', {str(base).lower()}, {len(words) - 1}, {words})" for tid, label, base, words in licenses.TEMPLATES
+    ]
     return f"SELECT tid, label, base, grams, unnest(range(grams)), unnest(ws[:-2]), unnest(ws[2:]) FROM (VALUES {', '.join(rows)}) v(tid, label, base, grams, ws)"
 
 
@@ -245,19 +244,22 @@ g AS (SELECT doc_id, unnest(ws[:-2]) AS w1, unnest(ws[2:]) AS w2, unnest(range(l
       FROM w WHERE len(ws) > 1),
 m AS (SELECT doc_id, tid, label, base, grams, pos - tpos AS diagonal, tpos, pos
       FROM g JOIN t ON w1 = t1 AND w2 = t2),
-d AS (SELECT doc_id, tid, label, base, grams, diagonal, count(*) AS votes, bit_or(1::BIGINT << tpos) AS mask,
-             min(pos) AS low, max(pos) AS high FROM m GROUP BY ALL),
+d AS (SELECT doc_id, tid, base, grams, diagonal, count(*) AS votes FROM m GROUP BY ALL),
 e AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) > {licenses.BAND},
              false)::INT AS fresh FROM d),
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) AS island FROM e),
+j AS (SELECT m.*, island, votes FROM m JOIN i USING (doc_id, tid, diagonal)),
+starts AS (SELECT DISTINCT doc_id, tid, island, grams, pos FROM j),
+x AS (SELECT j.doc_id, j.tid, j.island, a.pos, count(DISTINCT j.tpos) AS seen
+      FROM starts a JOIN j ON a.doc_id = j.doc_id AND a.tid = j.tid AND a.island = j.island
+      AND j.pos BETWEEN a.pos AND a.pos + a.grams + {licenses.SLACK - 1} GROUP BY ALL),
+best AS (SELECT doc_id, tid, island, max(seen) AS seen FROM x GROUP BY ALL),
 k AS (SELECT doc_id, tid, island, label, base, grams,
-             count(*) FILTER (WHERE base AND votes = grams) AS places,
+             count(*) FILTER (WHERE base AND votes = grams AND tpos = 0) AS places,
              min(diagonal) FILTER (WHERE base AND votes = grams) AS f,
-             max(diagonal) FILTER (WHERE base AND votes = grams) AS l,
-             bit_or(mask) AS mask, min(low) AS low, max(high) AS high FROM i GROUP BY ALL),
-h AS (SELECT *, CASE WHEN base THEN (places > 0)::INT::DOUBLE
-                     WHEN high - low < grams + {licenses.SLACK} THEN bit_count(mask) / grams::DOUBLE
-                     ELSE 0.0 END AS share FROM k),
+             max(diagonal) FILTER (WHERE base AND votes = grams) AS l FROM j GROUP BY ALL),
+h AS (SELECT *, CASE WHEN base THEN (places > 0)::INT::DOUBLE ELSE seen / grams::DOUBLE END AS share
+      FROM k JOIN best USING (doc_id, tid, island)),
 o AS (SELECT doc_id, sum(places)::BIGINT AS n_base, min(f)::BIGINT AS first_word, max(l)::BIGINT AS last_word,
              string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base AND places > 0) AS base_labels,
              string_agg(DISTINCT label, ',' ORDER BY label)

@@ -1,7 +1,8 @@
 import re
 
 import cases
-from outskirt.llm import licenses
+import duckdb
+from outskirt.llm import licenses, queries
 
 PHRASES = dict(licenses.PHRASES)
 
@@ -45,6 +46,72 @@ def test_templates_fit_a_mask():
     assert max(len(words.split()) for words, _ in licenses.PHRASES + licenses.NOTICES) <= 63
 
 
+def found(text):
+    """Labels and score by the definition: shares of template positions in windows of merged diagonals."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(cases.ABC))
+    labels, best = set(filter(None, base(text)[4].split(","))), float(bool(base(text)[1]))
+    for _, label, phrase, template in licenses.TEMPLATES:
+        if phrase:
+            continue
+        grams = len(template) - 1
+        hits = [(p, t) for p in range(len(words) - 1) for t in range(grams) if words[p : p + 2] == template[t : t + 2]]
+        island, last, islands = -1, None, {}
+        for d in sorted({p - t for p, t in hits}):
+            island += last is None or d - last > licenses.BAND
+            last, islands[d] = d, island
+        for start in {(islands[p - t], p) for p, t in hits}:
+            seen = {t for p, t in hits if islands[p - t] == start[0] and start[1] <= p < start[1] + grams + licenses.SLACK}
+            best = max(best, len(seen) / grams)
+            if len(seen) / grams >= licenses.COVERED:
+                labels.add(label)
+    return ",".join(sorted(labels)), best
+
+
+def whole(label):
+    return next(text for text, l in licenses.TEXTS if l == label)
+
+
+LONG = [
+    *((200 + i, f"Copyright 2020 someone. {text} some code") for i, (text, _) in enumerate(licenses.TEXTS)),
+    (220, whole("mit-full").replace("without restriction", "with no restriction at all").replace("TORT", "tort (or delict)")),
+    (221, " ".join(whole("isc").split()[:60])),
+    (222, whole("zlib") + " " + whole("zlib") + " " + whole("unlicense")),
+    (223, "of the software or the use " * 80 + whole("bsd-2-clause") + " of the software" * 50),
+    (224, " ".join(reversed(whole("mit-full").split()))),
+]
+REPEATED = [
+    (301, "Licensed under the Apache License, Version 2.0. 2.0.1 2.0.2 2.0.3 2.0.4"),
+    (302, "Licensed under CC BY 4.0 CC BY 4.0 CC BY 4.0 CC BY 4.0"),
+    (304, "2.0 " * 40 + "under the license version " + "2.0 " * 40),
+]
+
+
+def test_labels_and_score_equal_brute_force(spark):
+    rows = cases.texts()[:12] + ROWS + LONG + REPEATED
+    out = {r.doc_id: r for r in licenses.scan(cases.table(spark, rows)).collect()}
+    for i, text in rows:
+        labels, score = found(text)
+        assert (out[i].labels, round(out[i].score, 12)) == (labels, round(score, 12)), i
+    for i, (_, label) in enumerate(licenses.TEXTS):
+        assert label in out[200 + i].labels.split(",") and out[200 + i].score == 1
+    assert "mit-full" in out[220].labels and "isc" not in out[221].labels and {"zlib", "unlicense"} <= set(out[222].labels.split(","))
+    assert "bsd-2-clause" in out[223].labels.split(",") and "bsd-3-clause" not in out[223].labels.split(",")
+    assert "mit-full" not in out[224].labels
+    assert licenses.MASKS > 1
+
+
+def test_sql_follows_the_operator(spark):
+    rows = ROWS + LONG + REPEATED
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    cur = con.execute(queries.SQL["op6_licenses"])
+    names = [d[0] for d in cur.description]
+    want = {r["doc_id"]: r for r in (dict(zip(names, row)) for row in cur.fetchall())}
+    got = {r.doc_id: r.asDict() for r in licenses.scan(cases.table(spark, rows)).collect()}
+    assert got == want
+
+
 def test_a_notice_next_to_repeated_fragments(spark):
     rows = [
         (1, "Licensed under the Apache License, Version 2.0. 2.0.1 2.0.2 2.0.3 2.0.4"),
