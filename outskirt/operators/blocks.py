@@ -12,11 +12,11 @@ import numpy as np
 import pyarrow as pa
 
 from outskirt.params import ScoreParams
-from outskirt.plans.kd_tree import Routes, leaves_of
+from outskirt.plans.kd_tree import Routes, leaves_of, many_dims
 
 RESULT = "id bigint, nid array<bigint>, nd array<double>, nc array<double>"
 POINT = f"{RESULT}, c array<double>, home string, settled boolean"
-#: One row per leaf. ``n`` neighbours of each point are in ``nids``, ``nds``, ``ncs``. The points whose ball leaves the box are ``oids``, ...;
+#: One row per leaf. ``n`` neighbours of each point are in ``nids``, ``nds``, ``ncs`` (empty in many dimensions). The points whose ball leaves the box are ``oids``, ...;
 #: ``touch`` are the other boxes that a hull around those balls reaches into.
 LEAF = (
     "box bigint, node bigint, home string, ids array<bigint>, cs array<double>, lo array<double>, hi array<double>, "
@@ -119,6 +119,12 @@ def _inside(g, radius, lo, hi, margin, p) -> np.ndarray:
     return ((g - reach > lo) & (g + reach < hi)).all(axis=1)
 
 
+def _reached(g: np.ndarray, reach: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The boxes [lo, hi] that the hull of the balls around ``g`` reaches into."""
+    low, high = (g - reach[:, None]).min(axis=0), (g + reach[:, None]).max(axis=0)
+    return np.flatnonzero(((lo <= high) & (hi >= low)).all(axis=1))
+
+
 def _search_leaves(rows, own, leaves, lo, hi, ids, cs, g, margin, best, p, routes) -> None:
     gap = _gap(g[rows], lo, hi, p, routes)
     gap[:, own] = np.inf
@@ -145,7 +151,7 @@ def _leaf(rows, home, box, i, ids, cs, g, best, settled, radius, margin, routes,
     return {
         "box": box, "node": (box << 32) + i, "home": home, "ids": ids[rows], "cs": cs[rows].ravel(),
         "lo": g[rows].min(axis=0), "hi": g[rows].max(axis=0), "n": has.sum(axis=1), "nids": ids[at], "nds": best.d[rows][has],
-        "ncs": cs[at].ravel(), "settled": settled[rows], "oids": ids[open_rows], "ocs": cs[open_rows].ravel(),
+        "ncs": cs[at[:0] if many_dims(p) else at].ravel(), "settled": settled[rows], "oids": ids[open_rows], "ocs": cs[open_rows].ravel(),
         "ogs": g[open_rows].ravel(), "ors": radius[open_rows], "touch": np.sort(touch),
     }
 
@@ -154,6 +160,11 @@ def _values(column: pa.Array, i: int) -> np.ndarray:
     return column[i].values.to_numpy(zero_copy_only=False)
 
 
+def listed_dims(p: ScoreParams) -> int:
+    """How many coordinates of a neighbour are in a list."""
+    return 0 if many_dims(p) else p.dims
+
+
 def points_of(p: ScoreParams) -> Callable:
     """Leaves to one row per point."""
 
@@ -163,7 +174,7 @@ def points_of(p: ScoreParams) -> Callable:
             for i in range(batch.num_rows):
                 ids = _values(col["ids"], i)
                 yield _rows(
-                    ids, _values(col["n"], i), _values(col["nids"], i), _values(col["nds"], i), _values(col["ncs"], i), p.dims,
+                    ids, _values(col["n"], i), _values(col["nids"], i), _values(col["nds"], i), _values(col["ncs"], i), listed_dims(p),
                     _lists(_values(col["cs"], i), np.arange(len(ids) + 1) * p.dims),
                     pa.array([col["home"][i].as_py()] * len(ids), type=pa.string()), pa.array(_values(col["settled"], i)),
                 )
@@ -226,6 +237,45 @@ def search_leaves(p: ScoreParams) -> Callable:
     return run
 
 
+def search_box(p: ScoreParams, routes: Routes) -> Callable:
+    """Packed queries of other boxes' leaves (``oids, ocs, ogs, ors``) against a whole box (its leaves' ``ids, cs, lo, hi``), for many dimensions.
+
+    Only the k best of each query leave the task. A query's ball shrinks while it is searched, the nearest leaves first.
+    """
+
+    def run(asked: pa.Table, box: pa.Table) -> pa.Table:
+        out = []
+        asked, box = asked.combine_chunks(), box.combine_chunks()
+        leaves = [(_values(box["ids"], i), _values(box["cs"], i).reshape(-1, p.dims)) for i in range(box.num_rows)]
+        lo, hi = (np.array([_values(box[c], i) for i in range(box.num_rows)]) for c in ("lo", "hi"))
+        for i in range(asked.num_rows if leaves else 0):
+            qids, radius = _values(asked["oids"], i), _values(asked["ors"], i)
+            qcs, g = (_values(asked[c], i).reshape(len(qids), -1) for c in ("ocs", "ogs"))
+            best = _Best(len(qids), p)
+            margin = _margin(np.concatenate([g, lo, hi]), routes)
+            near = _reached(g, slack(radius, p) + margin, lo, hi)
+            gap = _gap(g, lo[near], hi[near], p, routes)
+            least = gap.min(axis=0)
+            for j in np.argsort(least, kind="stable"):
+                reach = slack(np.minimum(radius, best.d[:, -1]), p) + margin
+                if least[j] > reach.max():
+                    break
+                some = np.flatnonzero(gap[:, j] <= reach)
+                if not len(some):
+                    continue
+                ids, cs = leaves[near[j]]
+                at, d = _smallest(_distances(qcs[some], cs, p), p.k)
+                best.merge(some, d, ids[at], at)
+            has = np.isfinite(best.d) & (best.d <= radius[:, None])
+            n = has.sum(axis=1)
+            if n.any():
+                out.append(_rows(qids[n > 0], n[n > 0], best.id[has], best.d[has], np.zeros(0), 0))
+        none = _rows(*(np.zeros(0, dtype=kind) for kind in ("i8", "i8", "i8", "f8", "f8")), 0)
+        return pa.Table.from_batches(out or [none])
+
+    return run
+
+
 def _best_of(held: list[tuple], p: ScoreParams) -> tuple:
     """The k best (by distance, then id) of each point, in the order of the points' ids."""
     own, d, nid, nc = (np.concatenate(part) for part in zip(*held))
@@ -239,9 +289,11 @@ def _best_of(held: list[tuple], p: ScoreParams) -> tuple:
 
 def _distances(a: np.ndarray, b: np.ndarray, p: ScoreParams) -> np.ndarray:
     total = np.zeros((len(a), len(b)))
+    gap, size = np.empty_like(total), np.abs if p.metric == "l1" else np.square
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
     for i in range(p.dims):
-        gap = a[:, i, None] - b[None, :, i]
-        total += np.abs(gap) if p.metric == "l1" else gap * gap
+        np.subtract(a[i, :, None], b[i], out=gap)
+        total += size(gap, out=gap)
     if p.metric == "l2":
         np.sqrt(total, out=total)
     if p.dist_scale is not None:

@@ -7,6 +7,9 @@
 5. a leaf meets its queries in chunks, and the lists are merged.
 
 Only steps 4 and 5 cross box borders, and only for points near them.
+
+In many dimensions nearly every ball reaches nearly every leaf. There the queries of step 4 go to whole boxes, a task's fill of them
+at a time, so that a query is written once a box and not once a leaf, and neighbours' coordinates are looked up at the end.
 """
 
 from __future__ import annotations
@@ -17,12 +20,12 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from outskirt.functions.numeric import lit
-from outskirt.operators.blocks import ASK, LEAF, POINT, RESULT, asks_of, points_of, search_leaves, within_box
+from outskirt.operators.blocks import ASK, LEAF, POINT, RESULT, asks_of, listed_dims, points_of, search_box, search_leaves, within_box
 from outskirt.operators.copies import representatives, spread_to_copies
 from outskirt.operators.joins import lookup_join
 from outskirt.params import ScoreParams
 from outskirt.plans.grid_plan import plan_nodes
-from outskirt.plans.kd_tree import Routes, routed, routing_table
+from outskirt.plans.kd_tree import Routes, many_dims, routed, routing_table, task_rows
 from outskirt.session import keep, task_count
 
 GLOBAL, PARTITION = "global", "partition"
@@ -76,9 +79,12 @@ def nearest_neighbors(
     point = leaves.table.select("ids", "cs", "home", "n", "nids", "nds", "ncs", "settled").mapInArrow(points_of(p), POINT)
     table = point.select("id", "c", "home", "nid", "nd", "nc", "settled")
     if leaves.open_points:
-        found = _across(leaves, p).selectExpr("id", "cast(null as array<double>) as c", "cast(null as string) as home", "nid", "nd", "nc")
+        across = _across_boxes if many_dims(p) else _across
+        found = across(leaves, p).selectExpr("id", "cast(null as array<double>) as c", "cast(null as string) as home", "nid", "nd", "nc")
         near = table.where("not settled").drop("settled").unionByName(found)
         table = table.where("settled").unionByName(_merge(near, p))
+    if many_dims(p):
+        table = _with_coordinates(table, reps)
     if size["crowded"]:
         last = reps.where(f"place = {p.k + 2}").select("id", "place")
         table = lookup_join(table, last, "id", 16 * size["crowded"], "left")
@@ -144,9 +150,32 @@ def _across(leaves: Leaves, p: ScoreParams) -> DataFrame:
     return blocks.select("qids", "qcs", "qrs", "ids", "cs").mapInArrow(search_leaves(p), RESULT)
 
 
+def _across_boxes(leaves: Leaves, p: ScoreParams) -> DataFrame:
+    """Like :func:`_across`, without coordinates: a box meets its queries in chunks of about what a task may hold."""
+    spark = leaves.table.sparkSession
+    walk = leaves.table.where("size(touch) > 0").select("node", "oids", "ocs", "ogs", "ors", F.explode("touch").alias("box"))
+    asked = walk.groupBy("box").agg(F.expr(f"cast(ceil(sum(size(oids)) / {task_rows(p)}D) as int)").alias("chunks"))
+    asked = keep(asked)
+    tasks = task_count(spark, asked.agg(F.sum("chunks")).first()[0])
+    walk = lookup_join(walk, asked, "box", 24 * leaves.boxes)
+    walk = walk.selectExpr("box", "cast(pmod(xxhash64(node), chunks) as int) as chunk", "oids", "ocs", "ogs", "ors")
+    boxes = lookup_join(leaves.table.select("box", "ids", "cs", "lo", "hi"), asked, "box", 24 * leaves.boxes)
+    boxes = boxes.selectExpr("box", "explode(sequence(0, chunks - 1)) as chunk", "ids", "cs", "lo", "hi")
+    walk, boxes = (t.repartition(tasks, "box", "chunk").groupBy("box", "chunk") for t in (walk, boxes))
+    return walk.cogroup(boxes).applyInArrow(search_box(p, leaves.routes), RESULT)
+
+
+def _with_coordinates(table: DataFrame, reps: DataFrame) -> DataFrame:
+    """``table`` with the neighbours' coordinates ``nc``."""
+    found = keep(table.drop("nc"))
+    pairs = found.selectExpr("id", "posexplode(nid) as (j, nid)").join(reps.selectExpr("id as nid", "c as s"), "nid")
+    lists = pairs.groupBy("id").agg(F.expr("flatten(transform(array_sort(collect_list(struct(j, s))), x -> x.s)) as nc"))
+    return found.join(lists, "id", "left").withColumn("nc", F.expr("coalesce(nc, cast(array() as array<double>))"))
+
+
 def _merge(near: DataFrame, p: ScoreParams) -> DataFrame:
     """The k best of all lists of a point, by distance, then id."""
-    d = p.dims
+    d = listed_dims(p)
     entries = (
         "if(size(nid) = 0, cast(array() as array<struct<nd:double,nid:bigint,nc:array<double>>>),"
         " transform(sequence(0, size(nid) - 1),"

@@ -277,6 +277,11 @@ def choose_pivots(sample: np.ndarray, metric: str) -> np.ndarray:
     return sample[chosen]
 
 
+def many_dims(p: ScoreParams) -> bool:
+    """Whether boxes are made of distances to pivots; they prune little there, so lists travel without coordinates."""
+    return p.dims > PIVOTS_FROM
+
+
 def task_rows(p: ScoreParams) -> int:
     return max(4 * p.leaf_rows, TASK_VALUES // (p.dims + 4))
 
@@ -290,7 +295,7 @@ def routing_table(points: DataFrame, rows: int, groups: list[str], p: ScoreParam
     most = max(p.leaf_rows, min(task_rows(p), -(-rows // (3 * tasks))))
     flat, homes = _sampled(points, rows)
     sample = flat.reshape(-1, p.dims)
-    pivots = choose_pivots(sample, p.metric) if p.dims > PIVOTS_FROM and len(sample) else None
+    pivots = choose_pivots(sample, p.metric) if many_dims(p) and len(sample) else None
     routing = Routing(groups, p.dims if pivots is None else len(pivots), pivots)
     # Where one task could hold all points, the sample's own counts will do.
     exact = rows <= max(SAMPLE_ROWS, task_rows(p))

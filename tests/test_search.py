@@ -124,3 +124,19 @@ def test_pivots_prune_clustered_vectors(spark, monkeypatch, metric):
         for i, n in zip(leaf["ids"], leaf["n"]):
             assert (leaf["nids"][at : at + n], leaf["nds"][at : at + n]) == want[i][:2]
             at += n
+
+
+def test_many_dimensions_ask_whole_boxes(spark, monkeypatch):
+    """Queries are not written once per leaf, nor neighbours' coordinates with every list."""
+    small_boxes(monkeypatch)
+    monkeypatch.setattr(knn, "asks", lambda *_: pytest.fail("a row per leaf that asks and leaf that is asked"))
+    p = ScoreParams(k=3, dims=12, leaf_rows=12)
+    rows = uniform(700, 12, seed=4) + [(10_000 + i, [50.0] * 12) for i in range(20)]
+    points = table(spark, rows)
+    leaves = knn.searched_leaves(points, p, len(rows))
+    assert leaves.boxes > 5 and leaves.open_points > len(rows) // 2
+    assert leaves.table.selectExpr("sum(size(ncs))").first()[0] == 0
+    want, at = brute_force([r[0] for r in rows], [r[1] for r in rows], p), dict(rows)
+    got = knn.exact_knn(points, p).collect()
+    assert {r.id: (list(r.nid), list(r.nd)) for r in got} == {i: (w[0], w[1]) for i, w in want.items()}
+    assert all(list(r.nc) == [x for i in r.nid for x in at[i]] for r in got)
