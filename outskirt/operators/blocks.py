@@ -126,16 +126,21 @@ def _reached(g: np.ndarray, reach: np.ndarray, lo: np.ndarray, hi: np.ndarray) -
 
 
 def _search_leaves(rows, own, leaves, lo, hi, ids, cs, g, margin, best, p, routes) -> None:
-    gap = _gap(g[rows], lo, hi, p, routes)
-    gap[:, own] = np.inf
-    for i in np.argsort(gap.min(axis=0), kind="stable"):
-        some = np.flatnonzero(gap[:, i] <= slack(best.d[rows, -1], p) + margin)
-        some = some[np.isfinite(gap[some, i])]
+    """Only the leaves that the rows' balls reach are looked at, so that a leaf's work does not grow with its box."""
+    near = _reached(g[rows], slack(best.d[rows, -1], p) + margin, lo, hi)
+    near = near[near != own]
+    gap = _gap(g[rows], lo[near], hi[near], p, routes)
+    least = gap.min(axis=0)
+    for i in np.argsort(least, kind="stable"):
+        reach = slack(best.d[rows, -1], p) + margin
+        if least[i] > reach.max():
+            break
+        some = np.flatnonzero(gap[:, i] <= reach)
         if not len(some):
             continue
-        other, of = leaves[i][0], rows[some]
-        at, near = _smallest(_distances(cs[of], cs[other], p), p.k)
-        best.merge(of, near, ids[other[at]], other[at])
+        other, of = leaves[near[i]][0], rows[some]
+        at, found = _smallest(_distances(cs[of], cs[other], p), p.k)
+        best.merge(of, found, ids[other[at]], other[at])
 
 
 def _leaf(rows, home, box, i, ids, cs, g, best, settled, radius, margin, routes, p) -> dict:

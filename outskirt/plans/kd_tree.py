@@ -309,7 +309,7 @@ def routing_table(points: DataFrame, rows: int, groups: list[str], p: ScoreParam
         if exact:
             roots = np.array([routing.root[h] for h in homes], dtype=np.int64)
             boxes, n = np.unique(routing.frozen().place(roots, g), return_counts=True)
-            counts = dict(zip(boxes.tolist(), (n * (rows / len(sample))).round().astype(int).tolist()))
+            counts = dict(zip(boxes.tolist(), (n * (rows / max(len(sample), 1))).round().astype(int).tolist()))
         else:
             counts = _counted(points, routing, p)
         sizes = routing.settle(counts, most, least)

@@ -140,3 +140,14 @@ def test_many_dimensions_ask_whole_boxes(spark, monkeypatch):
     got = knn.exact_knn(points, p).collect()
     assert {r.id: (list(r.nid), list(r.nd)) for r in got} == {i: (w[0], w[1]) for i, w in want.items()}
     assert all(list(r.nc) == [x for i in r.nid for x in at[i]] for r in got)
+
+
+def test_a_leafs_work_does_not_grow_with_its_box(monkeypatch):
+    p, gap, cells = ScoreParams(k=3, leaf_rows=16), blocks._gap, {}
+    for n in (2000, 8000):
+        rows, seen = uniform(n, 2), []
+        monkeypatch.setattr(blocks, "_gap", lambda g, lo, *rest: seen.append(len(g) * len(lo)) or gap(g, lo, *rest))
+        box = {"id": [r[0] for r in rows], "c": [r[1] for r in rows], "home": [""] * n, "box": [0] * n}
+        blocks.within_box(p, kd_tree.Routing([""], 2).frozen())(pa.table(box))
+        cells[n] = sum(seen)
+    assert 0 < cells[8000] < 5 * cells[2000]
