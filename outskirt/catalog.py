@@ -181,7 +181,7 @@ def wide_plan(spark, sf):
 
 def fine_partitions(spark, sf):
     """Events with their boxes of a plan of 300 parts per dimension."""
-    points = keep(event_points(spark, sf))
+    points = keep(event_points(spark, sf).repartition("id"))  # read many times, by all tasks
     return quantile_plan(points, FINE_PLAN).nodes(points)
 
 

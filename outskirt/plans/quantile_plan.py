@@ -85,12 +85,21 @@ def _digits(number: str) -> str:
     return f"lpad(lower(hex({number})), {DIGITS}, '0')"
 
 
+def below(array: str, value: str, most: int) -> str:
+    """How many items of an ascending ``array`` of at most ``most`` are below ``value``, by halving; null, as the first one, is below all."""
+    steps = ", ".join(str(1 << i) for i in reversed(range(max(most, 1).bit_length())))
+    return (
+        f"aggregate(array({steps}), 0, (at, s) ->"
+        f" if(at + s <= size({array}) and coalesce(get({array}, at + s - 1) < {value}, true), at + s, at))"
+    )
+
+
 def _descended(points: DataFrame, steps: tuple, buckets: int) -> DataFrame:
     """``points`` with ``node``: one lookup per level, nothing is multiplied."""
     found = points.selectExpr("id", "c", "'' as node")
     for level, (dim, cuts) in enumerate(steps):
         found = lookup_join(found, cuts, "node", (64 + 8 * buckets) * buckets**level, how="left")
-        child = f"concat(node, {_digits(f'size(filter(cuts, x -> x < c[{dim}]))')})"
+        child = f"concat(node, {_digits(below('cuts', f'c[{dim}]', buckets))})"
         found = found.selectExpr("id", "c", f"if(cuts is null, node, {child}) as node")
     return found
 
@@ -109,9 +118,8 @@ def selected(values: DataFrame, wanted: DataFrame, nodes: int, ranks: int) -> Da
     found = None
     fractions = ", ".join(f"{(i + 0.5) / PARTS!r}D" for i in range(PARTS))
     while True:
-        listed = _listed(brackets, small)
         sketches = (
-            _within(values, listed, size)
+            _within(values, _listed(brackets, small), size, ranks)
             .groupBy("node", "part")
             .agg(F.expr(f"kll_sketch_agg_double(v, {SKETCH})").alias("sketch"))
             .selectExpr("node", "part", f"kll_sketch_get_quantile_double(sketch, array({fractions})) as q")
@@ -122,13 +130,22 @@ def selected(values: DataFrame, wanted: DataFrame, nodes: int, ranks: int) -> Da
         cut = brackets.join(sketches, ["node", "part"]).selectExpr(*brackets.columns, f"{pivots} as pivots")
         cut = keep_small(cut, small)
         # even slots lie between pivots, odd ones are pivots
-        slot = "2 * size(filter(pivots, x -> x < v)) + cast(exists(pivots, x -> x = v) as int)"
-        counts = _within(values, _listed(cut, small, "pivots"), size, "pivots").selectExpr("node", "part", f"{slot} as slot")
+        inside = _within(values, _listed(cut, small, "pivots"), size, ranks, "pivots")
+        inside = inside.selectExpr("node", "part", "v", "pivots", f"{below('pivots', 'v', PARTS)} as at")
+        counts = inside.selectExpr("node", "part", "2 * at + cast(coalesce(get(pivots, at) = v, false) as int) as slot")
         counts = counts.groupBy("node", "part", "slot").agg(F.count("*").alias("m"))
-        upto = "sum(m) over (partition by node, part order by slot) as upto"
-        each = cut.selectExpr("*", "explode(ranks) as r").join(counts.selectExpr("*", upto), ["node", "part"])
-        each = keep_small(each.where("r - below <= upto and r - below > upto - m"), small)
-        met = each.where("slot % 2 = 1").selectExpr("node", "pivots[slot div 2] as cut")
+        # a bracket's slots in one row: each rank finds its own by halving, so that no row per rank and slot is made
+        counts = counts.selectExpr("node", "part", "slot", "m", "sum(m) over (partition by node, part order by slot) as upto")
+        counts = counts.groupBy("node", "part").agg(F.expr("array_sort(collect_list(struct(slot, m, upto))) as s"))
+        counts = counts.selectExpr("node", "part", "s.slot as slots", "s.m as ms", "s.upto as uptos")
+        each = cut.join(counts, ["node", "part"])
+        at = below("uptos", "r - below", 2 * PARTS + 1)
+        each = each.selectExpr("*", f"transform(ranks, r -> struct(r, {at} as at)) as rs")
+        slot, edge = "slots[x.at]", "get(pivots, cast(slots[x.at] div 2 as int){})"
+        fields = f"x.r as r, {slot} as slot, ms[x.at] as m, uptos[x.at] as upto, {edge.format('')} as pivot, {edge.format(' - 1')} as before"
+        each = each.selectExpr("node", "part", "lo", "hi", "below", f"inline(transform(rs, x -> struct({fields})))")
+        each = keep_small(each, small)
+        met = each.where("slot % 2 = 1").selectExpr("node", "pivot as cut")
         found = met if found is None else found.unionByName(met)
         narrower = each.where("slot % 2 = 0")
         if narrower.isEmpty():
@@ -136,8 +153,8 @@ def selected(values: DataFrame, wanted: DataFrame, nodes: int, ranks: int) -> Da
         # a bracket is told by the smallest of its ranks
         brackets = narrower.groupBy("node", "part", "slot").agg(
             F.min("r").alias("first"),
-            F.expr("first(coalesce(get(pivots, cast(slot div 2 as int) - 1), lo)) as lo"),
-            F.expr("first(coalesce(get(pivots, cast(slot div 2 as int)), hi)) as hi"),
+            F.expr("first(coalesce(before, lo)) as lo"),
+            F.expr("first(coalesce(pivot, hi)) as hi"),
             F.expr("first(below + upto - m) as below"),
             F.expr("first(m) as n"),
             F.collect_set("r").alias("ranks"),
@@ -146,14 +163,15 @@ def selected(values: DataFrame, wanted: DataFrame, nodes: int, ranks: int) -> Da
 
 
 def _listed(brackets: DataFrame, rows: int, *more: str) -> DataFrame:
-    """``node, parts``: the brackets of each node; a table of many rows is kept for the joins."""
-    fields = ", ".join(("part", "lo", "hi", *more))
-    listed = brackets.groupBy("node").agg(F.expr(f"collect_list(struct({fields})) as parts"))
+    """``node`` and arrays of its brackets' columns, ascending; a table of many rows is kept for the joins."""
+    fields = ("lo", "hi", "part", *more)
+    listed = brackets.groupBy("node").agg(F.expr(f"sort_array(collect_list(struct({', '.join(fields)}))) as b"))
+    listed = listed.selectExpr("node", *(f"b.{c} as {c}s" for c in fields))
     return listed if rows <= SMALL_ROWS else keep(listed)
 
 
-def _within(values: DataFrame, listed: DataFrame, size: int, *more: str) -> DataFrame:
+def _within(values: DataFrame, listed: DataFrame, size: int, ranks: int, *more: str) -> DataFrame:
     """``values`` that are in a bracket of their node (in one at most), with its ``part``."""
-    inside = "get(filter(parts, x -> (x.lo is null or v > x.lo) and (x.hi is null or v < x.hi)), 0)"
-    met = lookup_join(values, listed, "node", size).selectExpr("node", "v", f"{inside} as b").where("b is not null")
-    return met.selectExpr("node", "v", *(f"b.{c} as {c}" for c in ("part", *more)))
+    met = lookup_join(values, listed, "node", size).selectExpr("*", f"{below('los', 'v', ranks)} - 1 as i")
+    met = met.where("i >= 0 and (get(his, i) is null or v < get(his, i))")
+    return met.selectExpr("node", "v", *(f"get({c}s, i) as {c}" for c in ("part", *more)))

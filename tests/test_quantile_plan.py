@@ -96,3 +96,19 @@ def test_grid_plan_of_more_than_256_buckets(spark):
     assert len(sizes) > 256 and sum(sizes.values()) == 3000
     found = collections.Counter(r.pid for r in assign_partitions(points, plan, p).collect())
     assert all(found[pid] == n for pid, n in sizes.items())
+
+
+def test_below_halves(spark):
+    rows = [([None, 1.0, 2.5, 2.5, 9.0], v) for v in (0.0, 1.0, 2.0, 2.5, 9.0, 10.0)] + [([], 1.0), ([None], 1.0), ([3.0], 3.0), ([3.0], 4.0)]
+    table = spark.createDataFrame(rows, "a array<double>, v double")
+    got = [r.n for r in table.selectExpr(f"{module.below('a', 'v', 5)} as n").collect()]
+    assert got == [sum(x is None or x < v for x in a) for a, v in rows]
+
+
+def test_no_row_per_rank_and_slot(spark, monkeypatch):
+    """What a level makes grows with its ranks, not with their square."""
+    plans, keep_small = [], module.keep_small
+    monkeypatch.setattr(module, "keep_small", lambda df, rows: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep_small(df, rows))
+    plan = quantile_plan(table(spark, kinds(400)["spread"][:, :2]), ScoreParams(k=3, buckets=5))
+    assert plan.boxes.count() == 25
+    assert plans and not any("explode(ranks" in x for x in plans)
