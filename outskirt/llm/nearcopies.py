@@ -1,16 +1,21 @@
-"""Near copies by the Jaccard similarity of their word shingles: an exact set similarity join.
-
-Two sets with a Jaccard similarity of ``LIKE`` share a shingle among the first n - ceil(LIKE n) + 1 of each, in any order that
-all sets keep (prefix filter). So every pair meets in the cell of a shingle, and none is lost. The order takes rare
-shingles first: common ones (a bounded list, which only saves rows) would crowd their cells.
-
-1. Texts with the same set are one. Their prefixes are the cells' rows.
-2. Small cells give all their pairs, larger ones neighbours in several orders; lengths and positions rule pairs out, then
-   sketches do: counts of a set's hashes by their low bits, of which the smaller ones sum to no less than what two sets share.
-   Only the texts of what is left are fetched and compared, and links are joined to components.
-3. Larger cells that still hold several components look at the pairs across them, by sketches in the task. Short sets travel
+"""Near copies by SimHash, compared by the Jaccard similarity of their word shingles; an exact join finds what SimHash leaves.
+
+1. Texts with the same set of shingles are one. SimHash of the shingles (:mod:`outskirt.llm.simhash`: grid of segments' bit
+   counts, Manhattan bound, bits) proposes the sets of equal or linked fingerprints. Sketches rule pairs out: counts of a
+   set's hashes by their low bits, of which the smaller ones sum to no less than what two sets share. Only the texts of
+   what is left are fetched and compared, and links are joined to components.
+2. Fingerprints tell a similarity by chance, so that SimHash alone would lose pairs near ``LIKE``. An exact join looks for
+   links between the components that SimHash has found. Two sets with a Jaccard similarity of ``LIKE`` share a shingle
+   among the first n - ceil(LIKE n) + 1 of each, in any order that all sets keep (prefix filter). So every pair meets in the
+   cell of a shingle, and none is lost. The order takes rare shingles first: common ones (a bounded list, which only saves
+   rows) would crowd their cells.
+3. Small cells give all their pairs, larger ones neighbours in several orders; lengths and positions rule pairs out, then
+   pairs of one component go, and what is left is compared as in 1.
+4. Larger cells that still hold several components look at the pairs across them, by sketches in the task. Short sets travel
    in whole: they are compared in the task too, which gives a tree of links for each component that it finds. Of longer
    ones the pairs that sketches allow go on to be compared.
+
+A table is dropped once all that was made of it is stored.
 """
 
 from __future__ import annotations
@@ -22,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from outskirt.llm import simhash
 from outskirt.llm.components import components
-from outskirt.llm.shared import bucketed, rows_of, shared_folder, stored, width
+from outskirt.llm.shared import bucketed, dropped, rows_of, shared_folder, stored, width
 from outskirt.llm.tokens import LOWER, Spans, U, mix, word_hashes
 
 #: Words of a shingle, and the least similarity as a fraction.
 WORDS, LIKE = 5, (4, 5)
+#: Fingerprints link at so many bits; at a similarity of 0.8 some 9.7 of 64 differ on average, at 0.9 some 6.6.
+BITS = 14
 #: Cells up to this size give all pairs at once; of larger ones a block takes this many rows.
 SMALL, BLOCK = 8, 1024
 #: Shingles that are told to be common, at most, and how often one stands in a chunk of this many to be counted.
@@ -104,7 +112,7 @@ def _prefixes(common):
     def run(batches):
         known, counts = common.value
         for batch in batches:
-            sigs, sizes, prefixes, sketches, whole = [], [], [], [], []
+            sigs, sizes, prefixes, sketches, whole, prints = [], [], [], [], [], []
             for text in batch.column(1):
                 grams = shingles(text.as_py())
                 n = len(grams)
@@ -118,9 +126,11 @@ def _prefixes(common):
                 prefixes.append(grams[np.lexsort((grams, times))[:length]].view(np.int64))
                 sketches.append(sketch(grams).tobytes())
                 whole.append(grams.tobytes() if n <= SHORT else None)
+                prints.append(simhash.signed(simhash.simhash(text.as_py(), WORDS)))
             columns = [pa.array(sigs, type=pa.binary()), pa.array(sizes, type=pa.int32()), pa.array(prefixes, type=pa.list_(pa.int64()))]
-            columns += [pa.array(sketches, type=pa.binary()), pa.array(whole, type=pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "sig", "n", "prefix", "sketch", "grams"])
+            columns += [pa.array(sketches, type=pa.binary()), pa.array(whole, type=pa.binary()), pa.array(prints, type=pa.int64())]
+            names = ["id", "sig", "n", "prefix", "sketch", "grams", "fp"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
     return run
 
@@ -277,15 +287,37 @@ def _linked(pairs: DataFrame, base: DataFrame) -> DataFrame:
     return both.mapInArrow(_verify, "a long, b long")
 
 
-def _links_within(met: DataFrame, prints: DataFrame, base: DataFrame, folder: str) -> DataFrame:
-    """Links of small cells, and some of larger ones."""
-    pairs = stored(_blocks(met).mapInArrow(_within, "a long, b long").distinct(), folder, "pairs_within")
+def _compared(pairs: DataFrame, sketches: DataFrame, base: DataFrame, folder: str, name: str) -> DataFrame:
+    """``pairs`` (a, b), stored: those that are alike, by ``sketches`` (id, n, sketch, label) and then by their texts. Pairs of one
+    label are left out."""
     left, right = (
-        prints.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in ("a", "b")
+        sketches.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("sketch", "n", "label")]) for c in ("a", "b")
     )
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "sa", "na", "sb", "nb")
-    allowed = stored(both.mapInArrow(_allowed, "a long, b long"), folder, "allowed")
-    return stored(_linked(allowed, base), folder, "links_within")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where("label_a <> label_b")
+    both = both.select("a", "b", "sketch_a", "n_a", "sketch_b", "n_b")
+    return _linked(stored(both.mapInArrow(_allowed, "a long, b long"), folder, name), base)
+
+
+def simhash_links(sets: DataFrame, sketches: DataFrame, base: DataFrame, folder: str) -> DataFrame:
+    """``sets`` (id, fp), stored: links (a, b) of the first set of a fingerprint with the others, and with the first ones of the
+    fingerprints that link to it (``simhash.links``), where the sets are alike."""
+    spark = sets.sparkSession
+    held = stored(sets.groupBy("fp").agg(F.min("id").alias("least")), folder, "fingerprints")
+    linked = stored(simhash.links(held, f"{folder}/simhash", BITS), folder, "fingerprint_links")
+    for name in ("cells", "crowded"):
+        dropped(spark, f"{folder}/simhash/{name}")
+    same = sets.hint("merge").join(held, "fp").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    ends = (held.select(F.col("fp").alias(c), F.col("least").alias(f"id_{c}")).hint("merge") for c in ("a", "b"))
+    across = linked.join(next(ends), "a").join(next(ends), "b")
+    across = across.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    pairs = stored(same.unionByName(across), folder, "pairs_simhash")
+    return stored(_compared(pairs, sketches, base, folder, "allowed_simhash"), folder, "links_simhash")
+
+
+def _links_within(met: DataFrame, sketches: DataFrame, base: DataFrame, folder: str) -> DataFrame:
+    """Links between labels in small cells, and some in larger ones."""
+    pairs = stored(_blocks(met).mapInArrow(_within, "a long, b long").distinct(), folder, "pairs_within")
+    return stored(_compared(pairs, sketches, base, folder, "allowed"), folder, "links_within")
 
 
 def _links_across(many: DataFrame, prints: DataFrame, base: DataFrame, folder: str) -> DataFrame:
@@ -301,28 +333,42 @@ def groups(base: DataFrame, folder: str) -> DataFrame:
     """``base`` (__row, text), stored: rows (__row, component), the smallest row reachable over near copies."""
     spark = base.sparkSession
     common = spark.sparkContext.broadcast(_common(base))
-    shape = "id long, sig binary, n int, prefix array<long>, sketch binary, grams binary"
+    shape = "id long, sig binary, n int, prefix array<long>, sketch binary, grams binary, fp long"
     prints = stored(base.select("__row", "text").mapInArrow(_prefixes(common), shape), folder, "prefixes")
-    first = stored(prints.groupBy("sig").agg(F.min("id").alias("first")), folder, "sets")
-    ids = first.select(F.col("first").alias("id"))
+    first = stored(prints.groupBy("sig").agg(F.min("id").alias("first"), F.min_by("fp", "id").alias("fp")), folder, "sets")
+    sets = first.select(F.col("first").alias("id"), "fp")
+    near = simhash_links(sets, prints.withColumn("label", F.col("id")), base, folder)
+    close = stored(components(near, f"{folder}/close"), folder, "stars_simhash")
+    roots = close.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    labels = sets.select("id").join(roots.hint("merge"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    # Stored, so that the joins below stand on plain tables and Spark can split a set of many pairs or a crowded cell.
+    sketches = stored(prints.select("id", "n", "sketch").join(labels.hint("merge"), "id"), folder, "sketches")
     met = prints.select("id", "n", F.posexplode("prefix").alias("pos", "cell"))
-    met = stored(met.join(ids.hint("merge"), "id", "left_semi"), folder, "cells")
-    # Stored, so that the joins below stand on plain tables and Spark can split a crowded cell.
+    met = stored(met.join(sets.select("id").hint("merge"), "id", "left_semi"), folder, "cells")
     crowded = stored(met.groupBy("cell").agg(F.count("*").alias("size")).where("size >= 2"), folder, "crowded")
     met = stored(met.hint("merge").join(crowded, "cell"), folder, "met")
-    near = _links_within(met, prints, base, folder)
-    stars = stored(components(near, f"{folder}/first"), folder, "stars")
+    for name in ("cells", "crowded"):
+        dropped(spark, f"{folder}/{name}")
+    near = _links_within(met, sketches, base, folder)
+    stars = stored(components(close.unionByName(near), f"{folder}/first"), folder, "stars")
     roots = stars.select(F.col("a").alias("id"), F.col("b").alias("root"))
     many = met.where(F.col("size") > SMALL)
     many = many.join(roots.hint("merge"), "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
     many = stored(many, folder, "labelled")
+    for name in ("met", "sketches", "pairs_within"):
+        dropped(spark, f"{folder}/{name}")
     mixed = many.groupBy("cell").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("cell")
     many = many.hint("merge").join(stored(mixed, folder, "mixed"), "cell", "left_semi")
     further = _links_across(many, prints, base, folder)
+    for name in ("labelled", "sketched"):
+        dropped(spark, f"{folder}/{name}")
     roots = components(stars.unionByName(further), f"{folder}/second")
     roots = first.join(roots.select(F.col("a").alias("first"), F.col("b").alias("root")), "first", "left")
     roots = stored(roots.select("sig", F.coalesce("root", "first").alias("component")), folder, "roots")
-    return prints.select(F.col("id").alias("__row"), "sig").join(roots, "sig").select("__row", "component")
+    found = prints.select(F.col("id").alias("__row"), "sig").join(roots, "sig").select("__row", "component")
+    found = stored(found, folder, "components")
+    dropped(spark, f"{folder}/prefixes")
+    return found
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ grid, and the Manhattan distance of two points never exceeds the number of diffe
 of four segments, points at most 4 apart agree in at least four blocks. So the range join is an
 equality join on the cells of 70 coarser grids, one for each choice of four blocks: every distinct
 fingerprint is a row of one cell in each. What meets in a cell is compared by Manhattan distance, then bit by bit.
+A wider bound is a parameter of :func:`links`; beyond 4 bits it finds what agrees in four blocks.
 
 Cells of one fingerprint are dropped by an aggregate. Crowded cells (groups of near copies) are cut into
 blocks, and each pair of blocks is one group of bounded size; such a group yields a star per component
@@ -26,6 +27,8 @@ from outskirt.llm.shared import bucketed, rows_of, shared_folder, stored, width
 from outskirt.llm.tokens import LOWER
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
+#: Blocks of a fingerprint that make a cell.
+AGREE = 4
 #: Fingerprints of a crowded cell that one block takes.
 #: Rows of a file of cells: they compress so well that a split by bytes would hold most of them.
 CELL_ROWS = 1 << 18
@@ -34,8 +37,8 @@ BLOCK = 1024
 SMALL = 24
 
 
-def simhash(text: str | None) -> int:
-    """The fingerprint as an unsigned integer; 0 without words."""
+def simhash(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint over shingles of so many words, as an unsigned integer; 0 without words."""
     words = (text or "").encode().translate(LOWER).split()
     if not words:
         return 0
@@ -43,7 +46,7 @@ def simhash(text: str | None) -> int:
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    k = min(SHINGLE, len(words)) - 1
+    k = min(shingle, len(words)) - 1
     starts, ends = starts[: len(words) - k].tolist(), ends[k:].tolist()
     digest = xxhash.xxh64_intdigest
     ones = np.zeros(64, dtype=np.int64)
@@ -55,13 +58,13 @@ def simhash(text: str | None) -> int:
     return int(bits.view("<u8")[0])
 
 
-def _signed(value: int) -> int:
+def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
 def _fingerprint(batches):
     for batch in batches:
-        made = [_signed(simhash(t.as_py())) for t in batch.column(1)]
+        made = [signed(simhash(t.as_py())) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, type=pa.int64())], names=["id", "fp"])
 
 
@@ -78,11 +81,11 @@ def grid_points(fps: np.ndarray) -> np.ndarray:
     return ((fps | (fps >> one)) & low) | ((fps & (fps >> one) & low) << one)
 
 
-def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether fingerprints are at most MOST_BITS apart: the lower bound first, exactly where it passes."""
-    out = np.bitwise_count(grid_points(x) ^ grid_points(y)) <= MOST_BITS
+def near(x: np.ndarray, y: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
+    """Whether fingerprints are at most ``most`` bits apart: the lower bound first, exactly where it passes."""
+    out = np.bitwise_count(grid_points(x) ^ grid_points(y)) <= most
     x, y = np.broadcast_arrays(x, y)
-    out[out] = np.bitwise_count(x[out] ^ y[out]) <= MOST_BITS
+    out[out] = np.bitwise_count(x[out] ^ y[out]) <= most
     return out
 
 
@@ -91,7 +94,7 @@ def cells_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     points = grid_points(fps)
     blocks = [(points >> np.uint64(8 * b)) & np.uint64(0xFF) for b in range(8)]
     cells = []
-    for tag, chosen in enumerate(itertools.combinations(range(8), 8 - MOST_BITS)):
+    for tag, chosen in enumerate(itertools.combinations(range(8), AGREE)):
         cell = np.full(len(fps), tag << 32, dtype=np.uint64)
         for place, b in enumerate(chosen):
             cell |= blocks[b] << np.uint64(8 * place)
@@ -108,9 +111,9 @@ def _spread(batches):
             yield rows_of({"cell": cells.view(np.int64), "fp": owners.view(np.int64)}, schema)
 
 
-def _stars(fps: np.ndarray) -> list[tuple[int, int]]:
+def _stars(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
     """(smallest, other) of each component among ``fps``."""
-    linked = near(fps[:, None], fps[None, :])
+    linked = near(fps[:, None], fps[None, :], most)
     left, out = np.ones(len(fps), dtype=bool), []
     for i in range(len(fps)):
         if not left[i]:
@@ -127,7 +130,7 @@ def _stars(fps: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(batches):
+def _compare(most: int):
     """Rows sorted by (cell, i, j): links between fingerprints of one group. A group may reach over batches."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -142,11 +145,11 @@ def _compare(batches):
         for d in range(1, int(min(SMALL, sizes.max()))):
             same = mine[d:] == mine[:-d]
             x, y = own[d:][same], own[:-d][same]
-            close = near(x, y)
+            close = near(x, y, most)
             a.append(x[close].view(np.int64))
             b.append(y[close].view(np.int64))
         for g in np.flatnonzero(sizes > SMALL):
-            found = _stars(fps[first[g] : first[g] + sizes[g]])
+            found = _stars(fps[first[g] : first[g] + sizes[g]], most)
             a.append(np.array([x for x, _ in found], dtype=np.int64))
             b.append(np.array([y for _, y in found], dtype=np.int64))
         if a:
@@ -154,26 +157,29 @@ def _compare(batches):
             return rows_of({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema)
         return None
 
-    rest = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4)], axis=1)
-        if rest is not None:
-            table = np.concatenate((rest, table))
-        differs = (table[:, :3] != table[-1, :3]).any(axis=1)
-        cut = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
-        done, rest = table[:cut], table[cut:]
-        if len(done) and (out := links(done[:, :3], np.ascontiguousarray(done[:, 3]).view(np.uint64))):
-            yield out
-    if rest is not None and len(rest):
-        if out := links(rest[:, :3], np.ascontiguousarray(rest[:, 3]).view(np.uint64)):
-            yield out
-
-
-def links(fps: DataFrame, folder: str) -> DataFrame:
-    """``fps``: distinct fingerprints. Rows (a, b), a < b, that join fingerprints at most 4 bits apart, or in a
-    crowded group the smallest of a component with each other."""
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4)], axis=1)
+            if rest is not None:
+                table = np.concatenate((rest, table))
+            differs = (table[:, :3] != table[-1, :3]).any(axis=1)
+            cut = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
+            done, rest = table[:cut], table[cut:]
+            if len(done) and (out := links(done[:, :3], np.ascontiguousarray(done[:, 3]).view(np.uint64))):
+                yield out
+        if rest is not None and len(rest):
+            if out := links(rest[:, :3], np.ascontiguousarray(rest[:, 3]).view(np.uint64)):
+                yield out
+
+    return run
+
+
+def links(fps: DataFrame, folder: str, most: int = MOST_BITS) -> DataFrame:
+    """``fps``: distinct fingerprints. Rows (a, b), a < b, that join fingerprints at most ``most`` bits apart whose bit counts
+    agree in four blocks (up to 4 bits all do), or in a crowded group the smallest of a component with each other."""
     spark = fps.sparkSession
     # Dealt out by number: the table is narrow, what each row becomes is not.
     dealt = fps.select("fp").repartition(width(spark), "fp")
@@ -189,7 +195,7 @@ def links(fps: DataFrame, folder: str) -> DataFrame:
         "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp"
     )
     met = met.repartition(width(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "fp")
-    return met.mapInArrow(_compare, "a long, b long").distinct()
+    return met.mapInArrow(_compare(most), "a long, b long").distinct()
 
 
 def groups(prints: DataFrame, folder: str) -> DataFrame:

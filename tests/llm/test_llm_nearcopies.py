@@ -4,6 +4,7 @@ import cases
 import corpus_pipeline
 import numpy as np
 import pytest
+import xxhash
 from outskirt.llm import nearcopies
 
 
@@ -48,6 +49,53 @@ def test_stage_equals_brute_force_jaccard(spark, monkeypatch, block, small):
     assert 12 < len([k for k in set(near.values()) if k >= len(cases.texts())]) < 60
 
 
+def fingerprint(text):
+    words = cases.WORDS.findall((text or "").translate(cases.ABC))
+    shingles = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def met(f, g):
+    """At most 14 bits differ, and of eight blocks of four two-bit segments at least four have the same bit counts."""
+    counts = lambda x, b: [(x >> 8 * b + s & 3).bit_count() for s in (0, 2, 4, 6)]
+    return (f ^ g).bit_count() <= 14 and sum(counts(f, b) == counts(g, b) for b in range(8)) >= 4
+
+
+def close():
+    """Copies with 0 to 4 changed words of three texts of 400 words."""
+    rng, rows = random.Random(4), []
+    for k in range(3):
+        base = [f"c{k}w{rng.randrange(10**6)}" for _ in range(400)]
+        for _ in range(8):
+            text = list(base)
+            for _ in range(rng.randint(0, 4)):
+                text[rng.randrange(400)] = f"w{rng.randrange(10**6)}"
+            rows.append(" ".join(text))
+    return list(enumerate(rows, 2000))
+
+
+def test_simhash_finds_links_and_the_exact_join_the_rest(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/made"
+    monkeypatch.setattr(nearcopies, "shared_folder", lambda _: folder)
+    nearcopies.drop_near_copies(cases.table(spark, cases.texts() + edited() + close())).count()
+    read = lambda name: spark.read.parquet(f"{folder}/{name}").collect()
+    text = {r["__row"]: r["text"] for r in read("texts_*")}
+    sets, first, least = {i: grams(t) for i, t in text.items()}, {}, {}
+    for i in sorted(sets):
+        first.setdefault(frozenset(sets[i]), i)
+    prints = {i: fingerprint(text[i]) for i in first.values()}
+    for i in sorted(prints):
+        least.setdefault(prints[i], i)
+    want = {(least[f], i) for i, f in prints.items() if i != least[f]}
+    want |= {(a, b) for f, a in least.items() for g, b in least.items() if a < b and met(f, g)}
+    want = {(a, b) for a, b in want if alike(sets[a], sets[b])}
+    assert {(r.a, r.b) for r in read("links_simhash")} == want and len(want) > 20
+    label = {r.a: r.b for r in read("stars_simhash")}
+    left = [(r.a, r.b) for r in read("allowed")]
+    assert left and not [p for p in left if label.get(p[0], p[0]) == label.get(p[1], p[1])]
+
+
 def test_empty_table(spark):
     assert nearcopies.drop_near_copies(cases.table(spark, [])).count() == 0
 
