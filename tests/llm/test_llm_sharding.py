@@ -49,5 +49,23 @@ def test_repeated_rows_are_split_too(spark, tmp_path):
     assert back.count() == 81 and back.select("shard").distinct().count() == len(size)
 
 
+def test_only_few_rows_are_broadcast(spark, monkeypatch):
+    """Cells grow with the documents; their files are so small that Spark's own check would broadcast millions of rows."""
+    monkeypatch.setattr(sharding, "BROADCAST_ROWS", 1100, raising=False)
+    plans, stored = {}, sharding.stored
+
+    def seen(frame, folder, name, *rest):
+        plans[name] = frame._jdf.queryExecution().executedPlan().toString()
+        return stored(frame, folder, name, *rest)
+
+    monkeypatch.setattr(sharding, "stored", seen)
+    rows = [(i, "x" * 10) for i in range(3000)] + [(i // 2, "y" * 10) for i in range(10_000, 14_000)]
+    out = {(r.doc_id, r.shard) for r in sharding.assign(cases.table(spark, rows), 15).collect()}
+    assert len({s for _, s in out}) == 7000
+    large = {name: plan for name, plan in plans.items() if name in ("hashed", "buckets20", "placed20")}
+    assert len(large) == 3 and all("SortMergeJoin" in x and "Broadcast" not in x for x in large.values())
+    assert "BroadcastHashJoin" in plans["placed10"]
+
+
 def test_empty_table(spark):
     assert sharding.assign(cases.table(spark, [])).count() == 0
