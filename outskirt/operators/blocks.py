@@ -2,6 +2,9 @@
 
 Spark decides which blocks meet and ships them as Arrow arrays; the functions here
 only turn one bounded box, or one pair of bounded blocks, into the k nearest of each query.
+
+In many dimensions pivots rule out few pairs of spread-out points. There a matrix product bounds the distances of a block of pairs
+from below (:class:`_Sieve`), and only pairs whose bound lies within the query's radius are measured.
 """
 
 from __future__ import annotations
@@ -25,6 +28,10 @@ LEAF = (
 )
 ASK = "node bigint, qids array<bigint>, qcs array<double>, qrs array<double>, m bigint"
 _FLUSH_ROWS = 20_000
+# Points that a matrix product meets at once, pairs measured at once, and the share of a block's pairs from which all of them are measured.
+_BLOCK_ROWS, _PAIRS, _DENSE = 4096, 1 << 13, 0.25
+# Between these quantiles of a coordinate, and beyond them, a sieve of l1 has a ramp each; rows it takes them from.
+_CUTS, _CUT_ROWS = (0.3, 0.7), 2048
 
 
 def slack(radius, p: ScoreParams):
@@ -64,6 +71,156 @@ class _Best:
         order = np.lexsort((ids, d), axis=1)[:, : self.d.shape[1]]
         self.d[rows], self.id[rows], self.at[rows] = (np.take_along_axis(x, order, axis=1) for x in (d, ids, at))
 
+    def merge_pairs(self, rows: np.ndarray, d: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+        """Like :meth:`merge`, with any number of entries per row."""
+        own, k = np.unique(rows), self.d.shape[1]
+        rows = np.concatenate([np.repeat(own, k), rows])
+        d, ids, at = (np.concatenate([old[own].ravel(), new]) for old, new in ((self.d, d), (self.id, ids), (self.at, at)))
+        order = np.lexsort((ids, d, rows))
+        order = order[np.searchsorted(rows[order], own)[:, None] + np.arange(k)]
+        self.d[own], self.id[own], self.at[own] = d[order], ids[order], at[order]
+
+
+class _Sieve:
+    """Bounds distances to the points ``cs`` from below, by one matrix product for a block of pairs.
+
+    ``f(x) . f(y) >= a(x) + a(y) - h``, with ``h`` half the squared distance (l2) or half the distance (l1) of x and y. For l2, f(x) is x
+    (seen from the middle) and both sides are equal. For l1, ``|x - y| = |x| + |y| - 2 min(|x|, |y|)`` on one side of a cut, without the last term
+    across it, and ``min(u, v) <= u v + sqrt(u (1 - u)) sqrt(v (1 - v))`` in [0, 1]: a ramp and its bridge for each piece of a
+    coordinate. Both sides are equal unless x and y lie in one piece; the pairs left are looked at in single precision. ``f . f = 2 a``
+    in both, which bounds what single precision can do.
+    """
+
+    def __init__(self, cs: np.ndarray, queries: list[np.ndarray], p: ScoreParams):
+        lo, hi = (f([f(x, axis=0) for x in (cs, *queries) if len(x)], axis=0) for f in (np.min, np.max))
+        self.l1, self.p = p.metric == "l1", p
+        # A power of two, so that scaling is exact; nothing overflows in single precision.
+        self.unit = float(np.ldexp(1.0, min(int(np.frexp((hi - lo).max())[1]), 1023)))
+        sample = cs[:: -(-len(cs) // _CUT_ROWS)]
+        if self.l1:
+            cuts = np.clip(np.quantile(sample, _CUTS, axis=0), lo, hi)
+            self.centre = cuts[0]
+            ends = [x.astype(np.float32) for x in np.stack([cuts[0] - lo, *(x - cuts[0] for x in (*cuts[1:], hi))]) / self.unit]
+            none = np.zeros(p.dims, dtype=np.float32)
+            #: (side of the middle, start and length) of each piece, seen from the middle.
+            self.pieces = [(j > 0, start, np.maximum(end - start, 0)) for j, (start, end) in enumerate(zip([none, none, *ends[1:]], ends))]
+        else:
+            self.centre = np.clip(np.median(sample, axis=0), lo, hi)
+        self.width = p.dims * (2 * (len(_CUTS) + 1) if self.l1 else 1)
+        self.f, self.a = np.empty((len(cs), self.width + 2), dtype=np.float32), np.empty(len(cs))
+        self.z = np.empty((len(cs) if self.l1 else 0, p.dims), dtype=np.float32)
+        for start in range(0, len(cs), _BLOCK_ROWS):
+            part = slice(start, start + _BLOCK_ROWS)
+            z, self.a[part] = self._seen(cs[part])
+            self._features(z, self.f[part])
+            if self.l1:
+                self.z[part] = z
+        self.f[:, -2], self.f[:, -1] = 1.0, -self.a
+
+    def _seen(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``x`` in single precision, scaled and seen from the middle, and a(x)."""
+        z = ((x - self.centre) / self.unit).astype(np.float32)
+        return z, 0.5 * (np.abs(z) if self.l1 else np.square(z, dtype=np.float64)).sum(axis=1, dtype=np.float64)
+
+    def _features(self, z: np.ndarray, out: np.ndarray) -> None:
+        """f of the points ``z`` into the first columns of ``out``."""
+        d = z.shape[1]
+        if not self.l1:
+            out[:, :d] = z
+            return
+        for j, (above, start, size) in enumerate(self.pieces):
+            u = (z if above else -z) - start
+            np.clip(u, 0, size, out=u)
+            scale = np.sqrt(size)
+            scale = np.divide(1, scale, out=np.zeros_like(scale), where=scale > 0)
+            np.multiply(u, scale, out=out[:, 2 * j * d : (2 * j + 1) * d])
+            bridge = np.sqrt(size - u)  # not the root of a product, which may underflow
+            bridge *= np.sqrt(u, out=u)
+            np.multiply(bridge, scale, out=out[:, (2 * j + 1) * d : (2 * j + 2) * d])
+
+    def asked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The queries ``x`` for :meth:`pairs`."""
+        f, (z, a) = np.empty((len(x), self.width + 2), dtype=np.float32), self._seen(x)
+        self._features(z, f)
+        f[:, -1] = 1.0
+        return f, a, z
+
+    def pairs(self, f: np.ndarray, a: np.ndarray, z: np.ndarray, radius: np.ndarray, at) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point of ``at``) of all pairs that may be within the query's ``radius``, and more."""
+        base, most = self.f[at], a.max() + self.a[at].max()
+        radius = np.minimum(radius / self.unit, 1e9)
+        half = np.minimum(0.5 * radius if self.l1 else 0.5 * radius * radius, 3.0 * most)  # no h is above 2 most
+        f[:, -2] = half - a
+        # Each product and sum is off by 2^-24 of itself at most, features and coordinates by a few times that.
+        off = (self.width + 32) * 2.0**-24 * (2.0 * most + half.max()) * 1.01 + 1e-30
+        product = f @ base.T
+        i, j = np.divmod(np.flatnonzero(product >= -off), product.shape[1])
+        if self.l1 and len(i) <= _DENSE * product.size:
+            base, ones = self.z[at], np.ones(self.p.dims, dtype=np.float32)
+            near = 2.0 * half + (self.p.dims + 32) * 2.0**-24 * 2.0 * most * 1.01 + 1e-30
+            kept = np.empty(len(i), dtype=bool)
+            for start in range(0, len(i), _PAIRS):
+                part = slice(start, start + _PAIRS)
+                gap = z[i[part]] - base[j[part]]
+                kept[part] = np.abs(gap, out=gap) @ ones <= near[i[part]]
+            i, j = i[kept], j[kept]
+        return i, j
+
+
+class _Block:
+    """A box's points leaf after leaf, searched with a sieve (many dimensions)."""
+
+    def __init__(self, ids: list[np.ndarray], cs: list[np.ndarray], at: list[np.ndarray], lo: np.ndarray, hi: np.ndarray, queries: list[np.ndarray], p, routes):
+        self.ids, self.cs, self.at = (np.concatenate(x) for x in (ids, cs, at))
+        self.ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+        self.lo, self.hi, self.p, self.routes = lo, hi, p, routes
+        finite = all(np.isfinite(x.sum()) or np.isfinite(x).all() for x in (self.cs, *queries))
+        with np.errstate(over="ignore"):
+            finite = finite and np.isfinite(np.ptp([f([f(x) for x in (self.cs, *queries) if x.size]) for f in (np.min, np.max)]))
+        self.sieve = _Sieve(self.cs, queries, p) if finite else None
+
+    def search(self, rows: np.ndarray, qcs: np.ndarray, g: np.ndarray, limit: np.ndarray, margin: float, best: _Best, own: int = -1) -> None:
+        """Puts what the queries (``qcs``, ``g``: those at ``rows`` of ``best``) have within ``limit`` into ``best``, the nearest leaves first.
+
+        The leaf ``own`` is left out."""
+        p = self.p
+        near = _reached(g, slack(np.minimum(limit, best.d[rows, -1]), p) + margin, self.lo, self.hi)
+        near = near[near != own]
+        if not len(near):
+            return
+        gap = _gap(g, self.lo[near], self.hi[near], p, self.routes)
+        block = near // max(1, _BLOCK_ROWS // p.leaf_rows)
+        blocks, first = np.unique(block, return_index=True)
+        least = np.minimum.reduceat(gap.min(axis=0), first)
+        asked = self.sieve.asked(qcs) if self.sieve else ()
+        for b in np.argsort(least, kind="stable"):
+            radius = np.minimum(limit, best.d[rows, -1])
+            reach = slack(radius, p) + margin
+            if least[b] > reach.max():
+                break
+            mine = slice(first[b], first[b + 1] if b + 1 < len(first) else None)
+            hit = gap[:, mine] <= reach[:, None]
+            some, leaves = np.flatnonzero(hit.any(axis=1)), near[mine][hit.any(axis=0)]
+            if not len(some):
+                continue
+            if leaves[-1] - leaves[0] < len(leaves):
+                at = slice(self.ends[leaves[0]], self.ends[leaves[-1] + 1])
+            else:
+                at = np.concatenate([np.arange(self.ends[i], self.ends[i + 1]) for i in leaves])
+            size = at.stop - at.start if isinstance(at, slice) else len(at)
+            if self.sieve:
+                i, j = self.sieve.pairs(*(x[some] for x in asked), slack(radius[some], p), at)
+                if len(i) <= _DENSE * size * len(some):
+                    i, j = some[i], j + at.start if isinstance(at, slice) else at[j]
+                    d = _paired(qcs, i, self.cs, j, p)
+                    kept = d <= radius[i]
+                    best.merge_pairs(rows[i[kept]], d[kept], self.ids[j[kept]], self.at[j[kept]])
+                    continue
+            for leaf in leaves:
+                part = slice(self.ends[leaf], self.ends[leaf + 1])
+                found, d = _smallest(_distances(qcs[some], self.cs[part], p), p.k)
+                best.merge(rows[some], d, self.ids[part][found], self.at[part][found])
+
 
 def within_box(p: ScoreParams, routes: Routes) -> Callable:
     """A box's points (``id, c, home, box``) to its leaves, every point searched for neighbours in the whole box.
@@ -89,16 +246,23 @@ def within_box(p: ScoreParams, routes: Routes) -> Callable:
             found = rows[at]
             best.d[rows, : at.shape[1]], best.at[rows, : at.shape[1]] = near, found
             best.id[rows, : at.shape[1]] = ids[found]
+        whole = None
+        if many_dims(p) and len(leaves) > 1:
+            rows = [x for x, _, _ in leaves]
+            whole = _Block([ids[x] for x in rows], [cs[x] for x in rows], rows, lo, hi, [], p, routes)
         for i, (rows, free_lo, free_hi) in enumerate(leaves):
             out = ~_inside(g[rows], best.d[rows, -1], free_lo, free_hi, margin, p)
-            if out.any():
+            if whole and out.any():
+                whole.search(rows[out], cs[rows[out]], g[rows[out]], np.full(out.sum(), np.inf), margin, best, own=i)
+            elif out.any():
                 _search_leaves(rows[out], i, leaves, lo, hi, ids, cs, g, margin, best, p, routes)
         radius = best.d[:, -1]
+        whole = None  # several times the box
         settled = _inside(g, radius, cell_lo, cell_hi, margin, p)
         made = [_leaf(rows, home, box, i, ids, cs, g, best, settled, radius, margin, routes, p) for i, (rows, _, _) in enumerate(leaves)]
         columns = []
         for name, kind in _LEAF_TYPES:
-            columns.append(pa.array([m[name] for m in made], type=kind))
+            columns.append(pa.array([m.pop(name) for m in made], type=kind))
         return pa.table(columns, names=[name for name, _ in _LEAF_TYPES])
 
     return run
@@ -251,26 +415,16 @@ def search_box(p: ScoreParams, routes: Routes) -> Callable:
     def run(asked: pa.Table, box: pa.Table) -> pa.Table:
         out = []
         asked, box = asked.combine_chunks(), box.combine_chunks()
-        leaves = [(_values(box["ids"], i), _values(box["cs"], i).reshape(-1, p.dims)) for i in range(box.num_rows)]
-        lo, hi = (np.array([_values(box[c], i) for i in range(box.num_rows)]) for c in ("lo", "hi"))
-        for i in range(asked.num_rows if leaves else 0):
+        if box.num_rows and asked.num_rows:
+            ids, cs = ([_values(box[c], i) for i in range(box.num_rows)] for c in ("ids", "cs"))
+            lo, hi = (np.array([_values(box[c], i) for i in range(box.num_rows)]) for c in ("lo", "hi"))
+            queries = [_values(asked["ocs"], i).reshape(-1, p.dims) for i in range(asked.num_rows)]
+            whole = _Block(ids, [x.reshape(-1, p.dims) for x in cs], [np.arange(len(x)) for x in ids], lo, hi, queries, p, routes)
+        for i in range(asked.num_rows if box.num_rows else 0):
             qids, radius = _values(asked["oids"], i), _values(asked["ors"], i)
-            qcs, g = (_values(asked[c], i).reshape(len(qids), -1) for c in ("ocs", "ogs"))
+            g = _values(asked["ogs"], i).reshape(len(qids), -1)
             best = _Best(len(qids), p)
-            margin = _margin(np.concatenate([g, lo, hi]), routes)
-            near = _reached(g, slack(radius, p) + margin, lo, hi)
-            gap = _gap(g, lo[near], hi[near], p, routes)
-            least = gap.min(axis=0)
-            for j in np.argsort(least, kind="stable"):
-                reach = slack(np.minimum(radius, best.d[:, -1]), p) + margin
-                if least[j] > reach.max():
-                    break
-                some = np.flatnonzero(gap[:, j] <= reach)
-                if not len(some):
-                    continue
-                ids, cs = leaves[near[j]]
-                at, d = _smallest(_distances(qcs[some], cs, p), p.k)
-                best.merge(some, d, ids[at], at)
+            whole.search(np.arange(len(qids)), queries[i], g, radius, _margin(np.concatenate([g, lo, hi]), routes), best)
             has = np.isfinite(best.d) & (best.d <= radius[:, None])
             n = has.sum(axis=1)
             if n.any():
@@ -299,6 +453,10 @@ def _distances(a: np.ndarray, b: np.ndarray, p: ScoreParams) -> np.ndarray:
     for i in range(p.dims):
         np.subtract(a[i, :, None], b[i], out=gap)
         total += size(gap, out=gap)
+    return _rounded(total, p)
+
+
+def _rounded(total: np.ndarray, p: ScoreParams) -> np.ndarray:
     if p.metric == "l2":
         np.sqrt(total, out=total)
     if p.dist_scale is not None:
@@ -307,6 +465,19 @@ def _distances(a: np.ndarray, b: np.ndarray, p: ScoreParams) -> np.ndarray:
     return total
 
 
+def _paired(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, p: ScoreParams) -> np.ndarray:
+    """The distances of a[i] and b[j], bit by bit those of :func:`_distances`."""
+    out, size = np.empty(len(i)), np.abs if p.metric == "l1" else np.square
+    for start in range(0, len(i), _PAIRS):
+        part = slice(start, start + _PAIRS)
+        gap = a[i[part]] - b[j[part]]
+        total = np.zeros(len(gap))
+        for x in np.ascontiguousarray(size(gap, out=gap).T):
+            total += x
+        out[part] = _rounded(total, p)
+    return out
+
+
 def _smallest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Columns and values of the k smallest per row; equal values in column (id) order."""
     k = min(k, d.shape[1])

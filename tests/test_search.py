@@ -151,3 +151,66 @@ def test_a_leafs_work_does_not_grow_with_its_box(monkeypatch):
         blocks.within_box(p, kd_tree.Routing([""], 2).frozen())(pa.table(box))
         cells[n] = sum(seen)
     assert 0 < cells[8000] < 5 * cells[2000]
+
+
+def spread_out(n, dims=64, seed=7):
+    x = np.random.default_rng(seed).normal(size=(n, dims))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("metric", ["l1", "l2"])
+def test_spread_out_vectors_are_hardly_measured(monkeypatch, metric):
+    """Pivots rule out next to none of these pairs."""
+    n, p, pairs = 3000, ScoreParams(k=3, dims=64, metric=metric, leaf_rows=100), []
+    x, dense, single = spread_out(n), blocks._distances, getattr(blocks, "_paired", None)
+    monkeypatch.setattr(blocks, "_distances", lambda a, b, p: pairs.append(len(a) * len(b)) or dense(a, b, p))
+    if single:
+        monkeypatch.setattr(blocks, "_paired", lambda a, i, b, j, p: pairs.append(len(i)) or single(a, i, b, j, p))
+    routes = kd_tree.Routing([""], 12, kd_tree.choose_pivots(x, metric)).frozen()
+    box = {"id": np.arange(n), "c": x.tolist(), "home": [""] * n, "box": np.zeros(n, dtype=np.int64)}
+    found = blocks.within_box(p, routes)(pa.table(box))
+    assert sum(pairs) < n * n / 8
+    pairs.clear()
+    # Those of another box: each leaf's points as queries with a radius.
+    queries = spread_out(500, seed=8)
+    d = dense(queries, x, p)
+    radius = np.sort(d, axis=1)[:, 5]
+    asked = {"oids": [np.arange(500) + n], "ocs": [queries.ravel()], "ogs": [routes.space(queries, metric).ravel()], "ors": [radius]}
+    out = {r["id"]: (r["nid"], r["nd"]) for r in blocks.search_box(p, routes)(pa.table(asked), found).to_pylist()}
+    assert sum(pairs) < 500 * n / 8
+    for i in range(500):
+        near = np.argsort(d[i], kind="stable")[:3]
+        assert out[n + i] == (near.tolist(), d[i][near].tolist())
+
+
+@pytest.mark.parametrize("metric", ["l1", "l2"])
+@pytest.mark.parametrize("kind", ["plain", "far off", "one far out", "few values", "equal", "tiny", "huge", "one side", "flat"])
+def test_a_sieve_loses_no_pair(metric, kind):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(700, 20))
+    if kind == "far off":
+        x = 1e7 + x
+    elif kind == "one far out":
+        x[5], x[6, 3] = 1e9, -1e15
+    elif kind == "few values":
+        x = np.round(x)
+    elif kind == "equal":
+        x = np.full_like(x, 0.1)
+    elif kind in ("tiny", "huge"):
+        x *= {"tiny": 1e-305, "huge": 1e150}[kind]
+    elif kind == "one side":
+        x = np.exp(3 * x)
+    elif kind == "flat":
+        x[:, 4:] = 3.0
+    p = ScoreParams(k=3, dims=20, metric=metric, dist_scale=None)
+    q, cs = x[:100], x[50:]
+    sieve = blocks._Sieve(cs, [q], p)
+    d = blocks._distances(q, cs, p)
+    for rank in (0, 3, 40, 300):
+        radius = np.sort(d, axis=1)[:, rank]
+        i, j = sieve.pairs(*sieve.asked(q), blocks.slack(radius, p), slice(0, len(cs)))
+        hit = np.zeros(d.shape, dtype=bool)
+        hit[i, j] = True
+        assert hit[d <= radius[:, None]].all()
+        assert kind not in ("plain", "far off", "one side") or hit.sum() < d.size * (rank + 250) / len(cs)
+    assert (blocks._paired(q, i, cs, j, p) == d[i, j]).all()
