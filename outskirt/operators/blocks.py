@@ -29,8 +29,8 @@ LEAF = (
 ASK = "node bigint, qids array<bigint>, qcs array<double>, qrs array<double>, m bigint"
 _FLUSH_ROWS = 20_000
 # Points that a matrix product meets at once, pairs measured at once, and the share of a block's pairs from which all of them are measured.
-_BLOCK_ROWS, _PAIRS, _DENSE = 4096, 1 << 13, 0.25
-# Between these quantiles of a coordinate, and beyond them, a sieve of l1 has a ramp each; rows it takes them from.
+_BLOCK_ROWS, _PAIRS, _DENSE = 4096, 1 << 10, 0.25
+# A sieve of l1 cuts each coordinate at these quantiles; rows it takes them from.
 _CUTS, _CUT_ROWS = (0.3, 0.7), 2048
 
 
@@ -86,9 +86,9 @@ class _Sieve:
 
     ``f(x) . f(y) >= a(x) + a(y) - h``, with ``h`` half the squared distance (l2) or half the distance (l1) of x and y. For l2, f(x) is x
     (seen from the middle) and both sides are equal. For l1, ``|x - y| = |x| + |y| - 2 min(|x|, |y|)`` on one side of a cut, without the last term
-    across it, and ``min(u, v) <= u v + sqrt(u (1 - u)) sqrt(v (1 - v))`` in [0, 1]: a ramp and its bridge for each piece of a
-    coordinate. Both sides are equal unless x and y lie in one piece; the pairs left are looked at in single precision. ``f . f = 2 a``
-    in both, which bounds what single precision can do.
+    across it. Beyond the outer cuts ``min(u, v) <= sqrt(u) sqrt(v)``, and within a piece between cuts, scaled to [0, 1],
+    ``min(u, v) <= u v + sqrt(u (1 - u)) sqrt(v (1 - v))``: a ramp and its bridge. Both sides are equal unless x and y lie in one piece; the
+    pairs left are looked at in single precision. ``f . f = 2 a`` in both, which bounds what single precision can do.
     """
 
     def __init__(self, cs: np.ndarray, queries: list[np.ndarray], p: ScoreParams):
@@ -100,13 +100,11 @@ class _Sieve:
         if self.l1:
             cuts = np.clip(np.quantile(sample, _CUTS, axis=0), lo, hi)
             self.centre = cuts[0]
-            ends = [x.astype(np.float32) for x in np.stack([cuts[0] - lo, *(x - cuts[0] for x in (*cuts[1:], hi))]) / self.unit]
-            none = np.zeros(p.dims, dtype=np.float32)
-            #: (side of the middle, start and length) of each piece, seen from the middle.
-            self.pieces = [(j > 0, start, np.maximum(end - start, 0)) for j, (start, end) in enumerate(zip([none, none, *ends[1:]], ends))]
+            #: The cuts as seen from the first.
+            self.cuts = [((x - cuts[0]) / self.unit).astype(np.float32) for x in cuts]
         else:
             self.centre = np.clip(np.median(sample, axis=0), lo, hi)
-        self.width = p.dims * (2 * (len(_CUTS) + 1) if self.l1 else 1)
+        self.width = p.dims * (2 * len(_CUTS) if self.l1 else 1)
         self.f, self.a = np.empty((len(cs), self.width + 2), dtype=np.float32), np.empty(len(cs))
         self.z = np.empty((len(cs) if self.l1 else 0, p.dims), dtype=np.float32)
         for start in range(0, len(cs), _BLOCK_ROWS):
@@ -128,9 +126,11 @@ class _Sieve:
         if not self.l1:
             out[:, :d] = z
             return
-        for j, (above, start, size) in enumerate(self.pieces):
-            u = (z if above else -z) - start
-            np.clip(u, 0, size, out=u)
+        np.sqrt(np.maximum(-z, 0), out=out[:, :d])
+        np.sqrt(np.maximum(z - self.cuts[-1], 0), out=out[:, d : 2 * d])
+        for j, (start, end) in enumerate(zip(self.cuts, self.cuts[1:]), 1):
+            size = np.maximum(end - start, 0)
+            u = np.clip(z - start, 0, size)
             scale = np.sqrt(size)
             scale = np.divide(1, scale, out=np.zeros_like(scale), where=scale > 0)
             np.multiply(u, scale, out=out[:, 2 * j * d : (2 * j + 1) * d])
@@ -158,10 +158,12 @@ class _Sieve:
         if self.l1 and len(i) <= _DENSE * product.size:
             base, ones = self.z[at], np.ones(self.p.dims, dtype=np.float32)
             near = 2.0 * half + (self.p.dims + 32) * 2.0**-24 * 2.0 * most * 1.01 + 1e-30
-            kept = np.empty(len(i), dtype=bool)
+            kept, held = np.empty(len(i), dtype=bool), np.empty((2, _PAIRS, self.p.dims), dtype=np.float32)
             for start in range(0, len(i), _PAIRS):
                 part = slice(start, start + _PAIRS)
-                gap = z[i[part]] - base[j[part]]
+                gap, other = held[:, : len(i[part])]
+                np.take(z, i[part], axis=0, out=gap, mode="clip")
+                gap -= np.take(base, j[part], axis=0, out=other, mode="clip")
                 kept[part] = np.abs(gap, out=gap) @ ones <= near[i[part]]
             i, j = i[kept], j[kept]
         return i, j
@@ -170,9 +172,9 @@ class _Sieve:
 class _Block:
     """A box's points leaf after leaf, searched with a sieve (many dimensions)."""
 
-    def __init__(self, ids: list[np.ndarray], cs: list[np.ndarray], at: list[np.ndarray], lo: np.ndarray, hi: np.ndarray, queries: list[np.ndarray], p, routes):
-        self.ids, self.cs, self.at = (np.concatenate(x) for x in (ids, cs, at))
-        self.ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+    def __init__(self, ids: np.ndarray, cs: np.ndarray, at: np.ndarray, sizes: list[int], lo: np.ndarray, hi: np.ndarray, queries: list[np.ndarray], p, routes):
+        self.ids, self.cs, self.at = ids, cs, at
+        self.ends = np.concatenate([[0], np.cumsum(sizes)])
         self.lo, self.hi, self.p, self.routes = lo, hi, p, routes
         finite = all(np.isfinite(x.sum()) or np.isfinite(x).all() for x in (self.cs, *queries))
         with np.errstate(over="ignore"):
@@ -248,8 +250,8 @@ def within_box(p: ScoreParams, routes: Routes) -> Callable:
             best.id[rows, : at.shape[1]] = ids[found]
         whole = None
         if many_dims(p) and len(leaves) > 1:
-            rows = [x for x, _, _ in leaves]
-            whole = _Block([ids[x] for x in rows], [cs[x] for x in rows], rows, lo, hi, [], p, routes)
+            rows = np.concatenate([x for x, _, _ in leaves])
+            whole = _Block(ids[rows], cs[rows], rows, [len(x) for x, _, _ in leaves], lo, hi, [], p, routes)
         for i, (rows, free_lo, free_hi) in enumerate(leaves):
             out = ~_inside(g[rows], best.d[rows, -1], free_lo, free_hi, margin, p)
             if whole and out.any():
@@ -416,10 +418,11 @@ def search_box(p: ScoreParams, routes: Routes) -> Callable:
         out = []
         asked, box = asked.combine_chunks(), box.combine_chunks()
         if box.num_rows and asked.num_rows:
-            ids, cs = ([_values(box[c], i) for i in range(box.num_rows)] for c in ("ids", "cs"))
+            ids, cs = (box[c].chunk(0).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "cs"))
+            sizes = [len(box["ids"][i]) for i in range(box.num_rows)]
             lo, hi = (np.array([_values(box[c], i) for i in range(box.num_rows)]) for c in ("lo", "hi"))
             queries = [_values(asked["ocs"], i).reshape(-1, p.dims) for i in range(asked.num_rows)]
-            whole = _Block(ids, [x.reshape(-1, p.dims) for x in cs], [np.arange(len(x)) for x in ids], lo, hi, queries, p, routes)
+            whole = _Block(ids, cs.reshape(-1, p.dims), ids, sizes, lo, hi, queries, p, routes)
         for i in range(asked.num_rows if box.num_rows else 0):
             qids, radius = _values(asked["oids"], i), _values(asked["ors"], i)
             g = _values(asked["ogs"], i).reshape(len(qids), -1)

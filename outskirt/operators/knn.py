@@ -156,7 +156,8 @@ def _across_boxes(leaves: Leaves, p: ScoreParams) -> DataFrame:
     walk = leaves.table.where("size(touch) > 0").select("node", "oids", "ocs", "ogs", "ors", F.explode("touch").alias("box"))
     asked = walk.groupBy("box").agg(F.expr(f"cast(ceil(sum(size(oids)) / {task_rows(p)}D) as int)").alias("chunks"))
     asked = keep(asked)
-    tasks = task_count(spark, asked.agg(F.sum("chunks")).first()[0])
+    # More than there are chunks, so that few tasks get several.
+    tasks = task_count(spark, 3 * asked.agg(F.sum("chunks")).first()[0])
     walk = lookup_join(walk, asked, "box", 24 * leaves.boxes)
     walk = walk.selectExpr("box", "cast(pmod(xxhash64(node), chunks) as int) as chunk", "oids", "ocs", "ogs", "ors")
     boxes = lookup_join(leaves.table.select("box", "ids", "cs", "lo", "hi"), asked, "box", 24 * leaves.boxes)
